@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
+from .embedding_dedup import near_duplicate_vectors
 from .minhash_dedup import near_duplicates
 
 
@@ -11,14 +13,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.95 or more among all embeddings."""
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, similarity 0.8, over all documents."""
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every embedding whose vec_id is divisible by 20."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def queries() -> dict:
     return {
+        "op1_embedding_near_dedup": op1_embedding_near_dedup,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
