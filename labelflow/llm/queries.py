@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id, toxicity
 from .ann import nearest
 from .embedding_dedup import near_duplicate_vectors
 from .minhash_dedup import near_duplicates
@@ -18,6 +20,27 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def _part(name: str, n: int):
+    """crc32 of the id as text, modulo ``n``."""
+    return F.crc32(F.col(name).cast("string").cast("binary")) % n
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside the held-out fold."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    grammar = toxicity.learn(docs, labels.where(_part("doc_id", 5) != 0))
+    out = toxicity.score(docs, grammar)
+    return out.select("doc_id", (_part("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents")
+    filters = language_id.learn(docs.where(_part("doc_id", 4) != 2))
+    out = language_id.identify(docs, filters)
+    return out.select("doc_id", (_part("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, similarity 0.8, over all documents."""
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -32,6 +55,8 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
+        "op4_toxicity": op4_toxicity,
+        "op5_language_id": op5_language_id,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_nearest_neighbours": op10_nearest_neighbours,
     }
