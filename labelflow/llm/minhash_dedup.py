@@ -87,7 +87,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     y = sets.select(F.col("rep").alias("dst"), F.col("set").alias("sy"))
     common = F.size(F.array_intersect("sx", "sy")).cast("long")
     union = F.size("sx") + F.size("sy") - F.col("common")
-    both = pairs.select("src", "dst").join(x, "src").join(y, "dst").select("src", "dst", "sx", "sy", common.alias("common"))
+    # both sides are dealt out at any size: sets grow with the corpus, and so does the list of pairs
+    both = pairs.select("src", "dst").hint("merge").join(x, "src").join(y.hint("merge"), "dst").select("src", "dst", "sx", "sy", common.alias("common"))
     return both.where(100 * F.col("common") >= percent * union).select("src", "dst")
 
 
@@ -193,7 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
     star = scratch.save(star.where(fits).select("src", "dst"))
 
     ids = star.select(F.col("src").alias("rep")).union(star.select("dst")).distinct()
-    sets = scratch.save(base.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(_set_builder(width), "rep long, set array<long>"))
+    sets = scratch.save(base.select(F.col("doc_id").alias("rep"), "text").join(ids.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(_set_builder(width), "rep long, set array<long>"))
 
     first = star.groupBy("src").agg(F.min("dst").alias("dst"))
     links = scratch.save(_confirm(first, sets, percent))
@@ -225,7 +226,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
     mixed = scratch.save(member.join(mixed, "grp"))
     if not is_empty(mixed):
         need = mixed.select("rep").join(sets.select("rep"), "rep", "left_anti")
-        extra = base.select(F.col("doc_id").alias("rep"), "text").join(need, "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(_set_builder(width), "rep long, set array<long>")
+        extra = base.select(F.col("doc_id").alias("rep"), "text").join(need.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(_set_builder(width), "rep long, set array<long>")
         every = scratch.save(sets.join(mixed.select("rep"), "rep", "left_semi").union(extra))
 
         small = mixed.where(F.col("k") <= SMALL_GROUP)
