@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import language_id, mixing, packing, toxicity
 from .ann import nearest
 from .embedding_dedup import near_duplicate_vectors
 from .minhash_dedup import near_duplicates
@@ -41,6 +41,52 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_part("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary that op6 counts in, from the installed files."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=4096, end_id=1), capacity=4096)
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source weights 5, 2, 1 to 150 % of their words."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).taken()
+
+
+OP7_SQL = f"""
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+s1 as (select *, row_number() over (order by source nulls last) as sid from s),
+s2 as (select *, list_extract([5.0, 2.0, 1.0], (sid - 1) % 3 + 1)::double as weight, 2.0::double * source_size as cap from s1),
+s3 as (select *, cap / weight as full_at,
+    coalesce(sum(cap) over (order by cap / weight, sid rows between unbounded preceding and 1 preceding), 0) as before,
+    sum(weight) over (order by cap / weight, sid rows between current row and unbounded following) as rest,
+    1.5::double * sum(source_size) over () as total from s2),
+s4 as (select *, max(case when (total - before) / rest <= full_at then (total - before) / rest end) over () as level from s3),
+s5 as (select source, source_size, sid, coalesce(least(cap, level * weight), cap) as target,
+    ceil(source_size / {mixing.BLOCK}.0)::bigint as n_blocks from s4),
+s6 as (select *, case when source_size > 0 then round(target * n_blocks / source_size) else 0 end::bigint as quota from s5),
+slots as (select sid, n_blocks, unnest(range(quota)) as k from s6),
+m as (select sid, n_blocks, k % n_blocks as r, k // n_blocks as turn,
+    list_extract(cast([{", ".join(map(str, mixing.MULTIPLIERS))}] as bigint[]), (k // n_blocks) % {len(mixing.MULTIPLIERS)} + 1) as mul from slots),
+times as (select sid, (r * (mul % n_blocks) + (mul * (turn + 1)) % n_blocks) % n_blocks as block, count(*) as times from m group by all),
+p as (select doc_id, size, sid, source_size, target,
+    sum(size) over (partition by sid order by doc_id, size rows unbounded preceding)::bigint - size as start,
+    row_number() over () as row_no
+  from d join s6 on d.source is not distinct from s6.source),
+seg as (select row_no, sid, start, size, unnest(range(start // {mixing.BLOCK}, (start + size - 1) // {mixing.BLOCK} + 1)) as block from p where size > 0),
+t as (select row_no, sum((least((block + 1) * {mixing.BLOCK}, start + size) - greatest(block * {mixing.BLOCK}, start)) * times)::bigint as taken
+  from seg join times using (sid, block) group by row_no)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from p left join t using (row_no)
+"""
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, similarity 0.8, over all documents."""
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -57,10 +103,12 @@ def queries() -> dict:
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
+        "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_source_mixing": op7_source_mixing,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_source_mixing": OP7_SQL}
