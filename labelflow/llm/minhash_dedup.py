@@ -12,16 +12,8 @@ The steps:
 1. One pass hashes whole texts: set size, set digest and half keys per document.
 2. Documents with equal sets become one class at once (a partial aggregation).
 3. Half keys of A that only one class has are dropped before tables are formed.
-4. Each bucket links its members to its smallest member (a star, not all
-   pairs).  Each class is first compared with its smallest star centre, then
-   with other centres only where the two are not yet connected.
-5. Groups of classes that meet in buckets but are not one component are finished
-   exactly: members of different components and fitting sizes are all compared.
-   Small groups are joined; large ones are cut into blocks by size and hash, and
-   a task compares two blocks by matrix products and emits a forest of its links,
-   so that neither rows nor memory grow with the square of a group.
-6. Every link is confirmed on full shingle sets; components follow by
-   distributed union-find.
+4. Each bucket links its members to its smallest member (a star, not all pairs).
+5. Links are confirmed on full shingle sets and completed (see ``similar``).
 """
 
 from __future__ import annotations
@@ -32,12 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import Scratch, connected_components, is_empty
-
-#: Groups of at most so many classes are finished by a join of their pairs, larger ones in blocks.
-SMALL_GROUP = 16
-#: Classes and shingles in a block, about.
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 400_000
+from .common import Scratch
+from .similar import similar_components
 
 
 def _sketcher(width: int, side: int, seed: int):
@@ -76,89 +64,11 @@ def _set_builder(width: int):
                 words, first = tx.word_hashes(data, offsets[i : j + 1])
                 flat, at = tx.distinct_sets(*tx.shingle_hashes(words, first, width))
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sets], ["rep", "set"])
-
-    return run
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (src, dst) of ``pairs`` whose full sets have 100 * intersection >= percent * union."""
-    x = sets.select(F.col("rep").alias("src"), F.col("set").alias("sx"))
-    y = sets.select(F.col("rep").alias("dst"), F.col("set").alias("sy"))
-    common = F.size(F.array_intersect("sx", "sy")).cast("long")
-    union = F.size("sx") + F.size("sy") - F.col("common")
-    # both sides are dealt out at any size: sets grow with the corpus, and so does the list of pairs
-    both = pairs.select("src", "dst").hint("merge").join(x, "src").join(y.hint("merge"), "dst").select("src", "dst", "sx", "sy", common.alias("common"))
-    return both.where(100 * F.col("common") >= percent * union).select("src", "dst")
-
-
-def _compare_blocks(percent: int):
-    def run(table):
-        flat, at = _lists(table.column("set"))
-        rep, lab = (table.column(c).to_numpy() for c in ("rep", "lab"))
-        right = table.column("side").to_numpy() == 1
-        rows = np.repeat(np.arange(len(rep)), np.diff(at))
-        _, token, seen = np.unique(flat, return_inverse=True, return_counts=True)
-        again = seen > 1  # others are in one set only
-        number = np.cumsum(again) - 1
-        keep = again[token]
-        rows, token = rows[keep], number[token[keep]]
-        order = np.argsort(token, kind="stable")
-        rows, token = rows[order], token[order]
-        ls = np.flatnonzero(~right)
-        rs = np.flatnonzero(right) if right.any() else ls
-        common = np.zeros((len(ls), len(rs)), np.float64)
-        step = 4096
-        for lo in range(0, int(again.sum()), step):
-            i, j = np.searchsorted(token, [lo, lo + step])
-            m = np.zeros((len(rep), step), np.float32)
-            m[rows[i:j], token[i:j] - lo] = 1
-            common += m[ls] @ m[rs].T
-        n = np.diff(at)
-        linked = 100 * common >= percent * (n[ls][:, None] + n[rs][None, :] - common)
-        linked &= lab[ls][:, None] != lab[rs][None, :]
-        low_l, low_r = rep[ls].copy(), rep[rs].copy()
-        while linked.any():  # the smallest id that each member reaches
-            big = np.iinfo(np.int64).max
-            new_r = np.minimum(low_r, np.where(linked, low_l[:, None], big).min(0))
-            new_l = np.minimum(low_l, np.where(linked, new_r[None, :], big).min(1))
-            if (new_r == low_r).all() and (new_l == low_l).all():
-                break
-            low_l, low_r = new_l, new_r
-        src, dst = np.concatenate([rep[ls], rep[rs]]), np.concatenate([low_l, low_r])
-        out = src != dst
-        return pa.table({"src": src[out], "dst": dst[out]})
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at).astype(np.int64)), sets], ["rep", "n", "payload"])
 
     return run
 
 
-def _lists(column) -> tuple[np.ndarray, np.ndarray]:
-    """(values, offsets from 0) of a list column without nulls."""
-    column = column.combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = column.chunk(0)
-    at = column.offsets.to_numpy()
-    return column.values.to_numpy()[at[0] : at[-1]], at - at[0]
-
-
-def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members (grp, rep, n, lab, cls) of large groups, block against block.
-
-    A link needs sizes within percent, so blocks of size class cls meet those of
-    cls and cls + 1 only.
-    """
-    cut = members.groupBy("grp", "cls").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("nb"))
-    block = cut.select("grp", "cls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("blk"))
-    right = block.select("grp", F.col("cls").alias("cls2"), F.col("blk").alias("blk2"))
-    both = block.join(right, "grp").where("(cls = cls2 and blk <= blk2) or cls + 1 = cls2")
-    both = both.withColumn("pair", F.struct("grp", "cls", "blk", "cls2", "blk2"))
-    uses = both.select("pair", "grp", "cls", "blk", F.lit(0).alias("side"))
-    uses = uses.union(both.where("cls <> cls2 or blk <> blk2").select("pair", "grp", F.col("cls2").alias("cls"), F.col("blk2").alias("blk"), F.lit(1).alias("side")))
-    placed = members.join(cut, ["grp", "cls"]).withColumn("blk", F.expr("pmod(xxhash64(rep), nb)"))
-    rows = placed.join(uses, ["grp", "cls", "blk"]).join(sets, "rep").select("pair", "side", "rep", "lab", "set")
-    return rows.groupBy("pair").applyInArrow(_compare_blocks(percent), "src long, dst long")
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: int = 10, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose word-shingle sets are similar.
 
@@ -186,62 +96,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
     keys = scratch.save(keys.select("rep", F.xxhash64("ha", "hb").alias("key")))
 
     centre = keys.groupBy("key").agg(F.min("rep").alias("dst"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "dst")
-    met_star = scratch.save(keys.join(centre, "key").where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct())
+    met = scratch.save(keys.join(centre, "key").where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct())
     scratch.drop(keys)
-    fits = f"100 * least(n, nd) >= {percent} * greatest(n, nd)"
-    sizes = reps.select(F.col("rep").alias("src"), "n")
-    star = met_star.join(sizes, "src").join(sizes.select(F.col("src").alias("dst"), F.col("n").alias("nd")), "dst")
-    star = scratch.save(star.where(fits).select("src", "dst"))
-
-    ids = star.select(F.col("src").alias("rep")).union(star.select("dst")).distinct()
-    sets = scratch.save(base.select(F.col("doc_id").alias("rep"), "text").join(ids.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(_set_builder(width), "rep long, set array<long>"))
-
-    first = star.groupBy("src").agg(F.min("dst").alias("dst"))
-    links = scratch.save(_confirm(first, sets, percent))
-    comp = connected_components(scratch, links)
-
-    def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components so far."""
-        x = comp.select(F.col("node").alias("src"), F.col("component").alias("cx"))
-        y = comp.select(F.col("node").alias("dst"), F.col("component").alias("cy"))
-        out = pairs.join(x, "src", "left").join(y, "dst", "left")
-        return out.where("coalesce(cx, src) <> coalesce(cy, dst)").select("src", "dst")
-
-    def extend(comp: DataFrame, links: DataFrame) -> DataFrame:
-        """Components once ``links`` (between nodes) join those of ``comp``."""
-        more = comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(links)
-        return connected_components(scratch, more)
-
-    rest = star.join(first.select("src", F.col("dst").alias("tried")), "src").where("dst <> tried").select("src", "dst")
-    more = scratch.save(_confirm(apart(rest, comp), sets, percent))
-    if not is_empty(more):
-        comp = extend(comp, more)
-
-    # groups of classes that meet in buckets, directly or through others, and are not yet one component
-    group = connected_components(scratch, met_star)
-    member = group.join(reps.select(F.col("rep").alias("node"), "n"), "node").join(comp.select("node", F.col("component").alias("lab")), "node", "left")
-    member = member.select(F.col("component").alias("grp"), F.col("node").alias("rep"), "n", F.coalesce("lab", "node").alias("lab"))
-    member = member.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int"))
-    mixed = member.groupBy("grp").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("grp", "k")
-    mixed = scratch.save(member.join(mixed, "grp"))
-    if not is_empty(mixed):
-        need = mixed.select("rep").join(sets.select("rep"), "rep", "left_anti")
-        extra = base.select(F.col("doc_id").alias("rep"), "text").join(need.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(_set_builder(width), "rep long, set array<long>")
-        every = scratch.save(sets.join(mixed.select("rep"), "rep", "left_semi").union(extra))
-
-        small = mixed.where(F.col("k") <= SMALL_GROUP)
-        other = small.select("grp", F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("labd"))
-        pairs = small.join(other, "grp").where("rep < dst and lab <> labd").where(fits).select(F.col("rep").alias("src"), "dst")
-        tried = star.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-        found = _confirm(pairs.join(tried, ["src", "dst"], "left_anti"), every, percent)
-        more = scratch.save(found.union(_block_links(mixed.where(F.col("k") > SMALL_GROUP), every, percent)))
-        if not is_empty(more):
-            comp = extend(comp, more)
-        scratch.drop(every)
+    ids = met.select(F.col("src").alias("rep")).union(met.select("dst")).distinct()
+    # by the same plan at any size: the list of ids grows with the corpus
+    texts = base.select(F.col("doc_id").alias("rep"), "text").join(ids.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
+    sets = scratch.save(texts.mapInArrow(_set_builder(width), "rep long, n long, payload array<long>"))
+    comp = similar_components(scratch, met, sets, percent)
 
     named = reps.join(comp, reps.rep == comp.node, "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = scratch.save(out.withColumn("kept", F.col("doc_id") == F.col("component_id")))
-    scratch.drop(sketch, reps, met_star, star, sets, mixed, comp)
+    scratch.drop(sketch, reps, met, sets, comp)
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import language_id, mixing, packing, toxicity
 from .ann import nearest
 from .embedding_dedup import near_duplicate_vectors
+from .line_dedup import drop_similar_lines
 from .minhash_dedup import near_duplicates
 
 
@@ -20,6 +21,11 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that repeat or resemble an earlier one."""
+    return drop_similar_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _part(name: str, n: int):
     """crc32 of the id as text, modulo ``n``."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % n
@@ -101,6 +107,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
+        "op2_line_dedup": op2_line_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
         "op6_best_fit_packing": op6_best_fit_packing,
