@@ -175,3 +175,21 @@ def identify(docs: DataFrame, filters: LanguageFilters | None, id_col: str = "do
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     return base.mapInArrow(_predictor(filters), f"doc_id {kind}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, filters: LanguageFilters | None, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a learned language with at least ``min_score``.
+
+    Texts that are null, have no letter or mostly consist of unknown grams go.  Without
+    any learned language nothing can be judged and all rows stay.
+    """
+    if filters is None:
+        return docs
+    at, predict = docs.columns.index(text_col), _predictor(filters)
+
+    def run(batches):
+        for batch in batches:
+            found = next(predict([pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at).cast(pa.string())], ["doc_id", "text"])]))
+            yield batch.filter(pc.and_(pc.not_equal(found.column("lang_pred"), "und"), pc.greater_equal(found.column("score"), min_score)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -51,6 +51,12 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeat: flo
     return s.select("source", "source_size", "sid", "weight", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
+def _row_key(docs: DataFrame, *names: str) -> list:
+    """Two hashes that tell rows apart by id, text and source; rows equal in all three are alike anyway."""
+    cols = [F.col(f"`{n}`") for n in names]
+    return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit(1), *cols[::-1]).alias("k2")]
+
+
 class Mix:
     """The parts of a mixture; all are DataFrames.
 
@@ -108,7 +114,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeat: float =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), *_row_key(docs, id_col, text_col, source_col))
     sized = scratch.save(sized)
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeat)
     sources = sources.withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long"))
@@ -117,12 +123,12 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeat: float =
 
     n, all_slots = sized.count(), sources.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     ranges = max(1, -(-n // RANGE_DOCS))
-    placed = sized.join(sources.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "sid")
+    placed = sized.join(sources.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "sid", "k1", "k2")
     placed = scratch.save(placed.repartitionByRange(ranges, "sid", "doc_id").withColumn("range", F.spark_partition_id()))
     part = placed.groupBy("sid", "range").agg(F.sum("size").alias("words"))
     part = part.withColumn("base", F.sum("words").over(Window.partitionBy("sid").orderBy("range")) - F.col("words")).drop("words")
     inner = F.sum("size").over(Window.partitionBy("sid", "range").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    documents = placed.withColumn("inner", inner).join(part, ["sid", "range"]).select("doc_id", "source", "size", "sid", (F.col("inner") + F.col("base")).alias("start"))
+    documents = placed.withColumn("inner", inner).join(part, ["sid", "range"]).select("doc_id", "source", "size", "sid", "k1", "k2", (F.col("inner") + F.col("base")).alias("start"))
     documents = scratch.save(documents)
     scratch.drop(sized, placed)
 
@@ -152,3 +158,29 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeat: float =
     turn = F.expr("k div n_blocks")
     slots = slots.select("shard", "slot", "sid", turn.alias("turn"), permuted(F.col("k") % F.col("n_blocks"), turn, F.col("n_blocks")).alias("block"))
     return Mix(scratch, documents, sources, slots, block)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` as the mixture takes them: one row per copy, the text cut to the blocks that copy has.
+
+    Returns the columns of ``docs``.  The c-th copy of a document consists of the words in
+    those of its blocks that are taken c times or more, with the white space after
+    them; a copy that has all blocks is the text unchanged.  Documents that are
+    not taken (all those without words among them) go.
+    """
+    m = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    seg = m.segments().join(m.times(), ["sid", "block"], "left").select("sid", "start", F.struct("lo", "words", F.coalesce("times", F.lit(0)).alias("times")).alias("s"))
+    seg = seg.groupBy("sid", "start").agg(F.array_sort(F.collect_list("s")).alias("parts"))
+    d, t = m.documents.alias("d"), seg.alias("t")
+    d = d.join(t, (F.col("d.sid") == F.col("t.sid")) & (F.col("d.start") == F.col("t.start")) & (F.col("d.size") > 0))
+    d = d.select("d.k1", "d.k2", "t.parts", F.row_number().over(Window.partitionBy("d.k1", "d.k2").orderBy("d.start")).alias("occ"))
+    d = d.withColumn("copies", F.array_max(F.transform("parts", lambda p: p["times"]))).where("copies > 0")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_row_key(docs, id_col, text_col, source_col))
+    keyed = keyed.withColumn("occ", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1))))
+    both = keyed.join(d, ["k1", "k2", "occ"]).withColumn("c", F.explode(F.expr("sequence(1L, copies)")))
+    text = F.col("row").getField(text_col)
+    words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    has = lambda p: p["times"] >= F.col("c")
+    cut = F.array_join(F.flatten(F.transform(F.filter("parts", has), lambda p: F.slice(words, (p["lo"] + 1).cast("int"), p["words"].cast("int")))), "")
+    new = F.when(F.forall("parts", has), text).otherwise(cut)
+    return both.select(*[new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from . import language_id, mixing, packing, toxicity
 from .ann import nearest
 from .embedding_dedup import near_duplicate_vectors
+from .license_scan import scan_licenses
 from .line_dedup import drop_similar_lines
 from .minhash_dedup import near_duplicates
+from .url_filter import filter_captures, host_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,71 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_similar_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Fixed values of op3: seconds of 2024-01-01, of a day, and a log of dated entries.
+START, DAY = 1704067200, 86400
+LOG = [
+    ("casino-win.example.com", "gambling", "add", 10),
+    ("casino-win.example.com", "gambling", "remove", 150),
+    ("casino-win.example.com", "gambling", "add", 240),
+    ("free-bets.example.com", "gambling", "add", 0),
+    ("free-bets.example.com", "spam", "add", 100),
+    ("cheap-pills.example.com", "pharma", "add", 30),
+    ("cheap-pills.example.com", "pharma", "remove", 300),
+]
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a fetch time made from page_id, in seconds; the table has none."""
+    return _table(spark, sf_dir, "pages").select("page_id", "url", F.expr(f"{START} + pmod(page_id * 37, 366) * {DAY} + pmod(page_id * 101, {DAY})").alias("fetch_ts"))
+
+
+def dated_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed log, and entries for hosts of the pages that come and go by the length of their names."""
+    fixed = spark.createDataFrame([(k, c, a, START + DAY * d) for k, c, a, d in LOG], "key string, category string, action string, ts long")
+    hosts = _table(spark, sf_dir, "pages").select(host_of("url").alias("key")).where("key is not null and length(key) % 3 = 0").distinct()
+    n = F.length("key")
+    moves = F.array(*[F.struct(F.lit(a).alias("action"), (START + DAY * (n * 5 % 90 + d)).cast("long").alias("ts")) for a, d in (("add", 0), ("remove", 120), ("add", 200))])
+    own = hosts.select("key", F.lit("watch").alias("category"), F.explode(moves).alias("m")).select("key", "category", "m.action", "m.ts")
+    return fixed.union(own)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page evaluated against the entries active when it was fetched."""
+    return filter_captures(captures(spark, sf_dir), dated_entries(spark, sf_dir))
+
+
+_HOST_SQL = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', '')"
+OP3_SQL = f"""
+with c as (select page_id, url, nullif({_HOST_SQL}, '') as host,
+    ({START} + page_id * 37 % 366 * {DAY} + page_id * 101 % {DAY})::bigint as fetch_ts from pages),
+hosts as (select distinct host as key from c where host is not null and length(host) % 3 = 0),
+log as (
+  select * from (values {", ".join(f"('{k}', '{c}', '{a}', {START + DAY * d}::bigint)" for k, c, a, d in LOG)}) v(key, category, action, ts)
+  union all
+  select key, 'watch', action, {START} + {DAY} * (length(key) * 5 % 90 + d)
+  from hosts, (values ('add', 0), ('remove', 120), ('add', 200)) m(action, d)),
+l1 as (select key, category, ts, max(action) as action from log group by all),
+l2 as (select *, lag(action) over (partition by key, category order by ts) as before from l1),
+l3 as (select *, lead(ts) over (partition by key, category order by ts) as valid_to from l2 where action is distinct from before),
+held as (select key, category, ts as valid_from, valid_to from l3 where action = 'add'),
+labels as (select page_id, url, fetch_ts, string_split(host, '.') as p from c where host is not null),
+asked as (
+  select page_id, url, fetch_ts, array_to_string(p[len(p) - k + 1:], '.') as key
+  from labels, (select unnest(range(1, 40)) as k) where k <= len(p)),
+one as (select page_id, key, count(*) as n, min(category) as category from asked join held using (key)
+  where fetch_ts >= valid_from and (valid_to is null or fetch_ts < valid_to) group by all),
+found as (select page_id, sum(n)::bigint as n_active, max({{'n': length(key), 'key': key, 'category': category}}) as best from one group by page_id)
+select c.page_id, c.url, c.host, c.fetch_ts, n_active is not null as blocked, coalesce(n_active, 0)::bigint as n_active,
+  best.key as list_key, best.category as category
+from c left join found using (page_id)
+"""
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def _part(name: str, n: int):
     """crc32 of the id as text, modulo ``n``."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % n
@@ -108,14 +175,16 @@ def queries() -> dict:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
         "op2_line_dedup": op2_line_dedup,
+        "op3_url_filter": op3_url_filter,
         "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_source_mixing": op7_source_mixing,
+        "op8_license_scan": op8_license_scan,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": OP7_SQL}
+    return {"op3_url_filter": OP3_SQL, "op7_source_mixing": OP7_SQL}
