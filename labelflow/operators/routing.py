@@ -6,6 +6,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labels import Lattice
 
@@ -21,7 +22,7 @@ def canonical(*cols: tuple[str, Column]) -> Column:
     return F.concat(*out)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def xxh64(data: pd.Series) -> pd.Series:
     """XXH64 with seed 0 as a signed long; Spark's own xxhash64 has another seed and encoding."""
     return data.map(lambda b: None if b is None else (h := xxhash.xxh64_intdigest(bytes(b))) - ((h >> 63) << 64)).astype("Int64")

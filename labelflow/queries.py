@@ -70,12 +70,13 @@ def r6(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-LABELLER = F.when(F.col("state") == "purchase", "internal").when(F.col("state") == "signup", "client").when(F.col("state") == "error", "audit").otherwise("public")
+def labeller():
+    return F.when(F.col("state") == "purchase", "internal").when(F.col("state") == "signup", "client").when(F.col("state") == "error", "audit").otherwise("public")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "user_id", "value", F.col("event_type").alias("state"))
-    return lb.assign(t, LABELLER)
+    return lb.assign(t, labeller())
 
 
 # ---------------------------------------------------------------- labels
