@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,16 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders made for applications without the setting.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see.
 
     ``spark.checkpoint.dir`` names it on a cluster.  Where the setting is
-    missing (tests on one machine) a temporary folder is made and set.
+    missing (tests on one machine) a temporary folder is made for the application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="labelflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="labelflow-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        found = _own[app]
     return found.rstrip("/")
 
 
