@@ -96,3 +96,18 @@ def percentile_lookup(table: DataFrame, keys: tuple, p: str, value: str, wanted:
     """The value at the smallest measured percentile at or above ``wanted``, else at the largest measured."""
     above = F.min(F.when(F.col(p) >= wanted, F.struct(p, value)))
     return table.groupBy(*keys).agg(F.coalesce(above, F.max(F.struct(p, value)))[value].alias(value))
+
+
+def downsample(df: DataFrame, keys: tuple, time: str, order: str, step: int) -> DataFrame:
+    """The rows at which a sampler of one row per ``step`` reads, times ascending with ``order``.
+
+    The sampler waits for time step * c with c rows read so far and moves on by one a row.  So c after row i
+    is the least of i + 1 and floor(t_j / step) + 1 + i - j over j <= i: a running minimum.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = df.withColumn("_i", F.row_number().over(w)).withColumn("_t", F.col(time) - F.first(time).over(upto))
+    d = d.withColumn("_m", F.min(F.floor(F.col("_t") / step) + 1 - F.col("_i")).over(upto))
+    d = d.withColumn("_c", F.least(F.col("_i"), F.col("_i") + F.col("_m")))
+    d = d.withColumn("_before", F.lag("_c", 1, 0).over(w))
+    return d.where("_c > _before").drop("_i", "_t", "_m", "_c", "_before")

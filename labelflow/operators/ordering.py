@@ -125,3 +125,14 @@ def broken_promises(df: DataFrame, key: str, order: str, ts: str, within: int) -
     """Rows whose time is more than ``within`` before the greatest time their key has sent; they are sent all the same."""
     top = F.max(ts).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn("promised_from", top - within).where(F.col(ts) < F.col("promised_from"))
+
+
+def sequence_release(df: DataFrame, key: str, seq: str, arrival: str) -> DataFrame:
+    """(key, seq, released_at): when a sequenced port hands each number on, null while a gap below holds it.
+
+    A number goes once it and all below it, from 0, have arrived; duplicates count by their first arrival.
+    """
+    first = df.groupBy(key, seq).agg(F.min(arrival).alias("_a"))
+    w = Window.partitionBy(key).orderBy(seq)
+    whole = F.row_number().over(w) - 1 == F.col(seq)
+    return first.select(key, seq, F.when(whole, F.max("_a").over(w)).alias("released_at"))

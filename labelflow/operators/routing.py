@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,3 +120,17 @@ def scale_decision(rate: Column, goal: Column, per_instance: Column, lo: int, hi
     """Instances for a rate: ceil(max(rate, goal) / (0.8 * what one handles)), within lo and hi."""
     need = F.ceil(F.greatest(rate, goal) / (per_instance * 0.8))
     return F.greatest(F.lit(lo), F.least(F.lit(hi), need)).cast("long")
+
+
+def weighted_pick(df: DataFrame, table: DataFrame, u: Column, label: str = "label") -> DataFrame:
+    """``df`` with the receiver that each row's number ``u`` in [0, 1) picks among its label's weights.
+
+    table: (label, receiver, weight), some rows a label; receivers are taken in the order of their names, weights scaled to 1.
+    Rows of a label without a receiver stay, with a null receiver, to be routed once there is one.
+    """
+    order = Window.partitionBy(label).orderBy("receiver")
+    t = table.where("weight > 0").withColumn("hi", F.sum("weight").over(order) / F.sum("weight").over(Window.partitionBy(label)))
+    ranges = t.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("hi", "receiver"))).alias("_r"))
+    d = df.withColumn("_u", u).join(ranges, label, "left")
+    hit = F.filter("_r", lambda r: r["hi"] > F.col("_u"))
+    return d.withColumn("receiver", F.coalesce(F.get(hit, 0), F.element_at("_r", -1))["receiver"]).drop("_u", "_r")

@@ -692,3 +692,26 @@ def quantile_lookup(spark, sf_dir):
     t = latencies(spark, sf_dir).groupBy("edge").agg(*[q(x).alias(f"q{i}") for i, x in enumerate((0.5, 0.9, 0.95))])
     t = t.select("edge", F.inline(F.array(*[F.struct(F.lit(x).alias("p"), F.col(f"q{i}").alias("latency")) for i, x in enumerate((0.5, 0.9, 0.95))])))
     return mt.percentile_lookup(t, ("edge",), "p", "latency", 0.92)
+
+
+@query(f"with {MS}, g as (select edge, msg % 500 as k, row_number() over (partition by msg % 500 order by arrival, msg, part) - 1 as i, arrival, msg, part from ms), f as (select *, arrival - first_value(arrival) over (partition by k order by i) as t from g), m as (select *, i + 1 + least(0, min(floor(t / 30) - i) over (partition by k order by i)) as c from f), d as (select *, lag(c, 1, 0) over (partition by k order by i) as c0 from m) select k, msg, part, arrival from d where c > c0")
+def downsample(spark, sf_dir):
+    d = messages(spark, sf_dir).select((F.col("msg") % 500).alias("k"), "msg", "part", "arrival")
+    return mt.downsample(d.withColumn("o", F.struct("arrival", "msg", "part")), ("k",), "arrival", "o", 30).select("k", "msg", "part", "arrival")
+
+
+@query("with f as (select l_orderkey as k, l_linenumber::bigint - 1 as s, min((l_shipdate::date - date '1970-01-01')::int) as a from lineitem group by 1, 2) select k, s, case when row_number() over (partition by k order by s) - 1 = s then max(a) over (partition by k order by s) end as released_at from f")
+def sequence_release(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber").cast("long") - 1).alias("s"), F.unix_date(F.col("l_shipdate").cast("date")).alias("a"))
+    return od.sequence_release(l, "k", "s", "a")
+
+
+_W = [("public", "r0", 0.5), ("public", "r1", 0.25), ("public", "r2", 0.25), ("client", "r0", 0.75), ("client", "r1", 0.25), ("internal", "r0", 1.0)]
+_PICK = "case label when 'public' then case when u < 0.5 then 'r0' when u < 0.75 then 'r1' else 'r2' end when 'client' then case when u < 0.75 then 'r0' else 'r1' end when 'internal' then 'r0' end"
+
+
+@query(f"with {EL}, u as (select *, (seq * 7919 % 1000) / 1000.0 as u from el) select seq, label, {_PICK} as receiver from u")
+def weighted_routing(spark, sf_dir):
+    t = spark.createDataFrame(_W, "label string, receiver string, weight double")
+    d = labelled(spark, sf_dir).select("seq", F.col("_label").alias("label"))
+    return rt.weighted_pick(d, t, (F.col("seq") * 7919 % 1000) / 1000.0).select("seq", "label", "receiver")

@@ -78,3 +78,26 @@ def test_streaming_twins(spark, tmp_path):
     batch = {(r["port"], r["a"]): r["outcome"] for r in od.ordered_merge(d, "port", "s", "a", "t", 4, "route").collect()}
     seen = {(r["port"], r["a"]): r["outcome"] for r in spark.sql("select * from merge").collect()}
     assert seen and all(batch[k] == v for k, v in seen.items())
+
+
+def test_downsample_equals_the_sampler(spark):
+    from labelflow.operators import metrics as mt
+
+    rng = random.Random(6)
+    t, rows = 0, []
+    for i in range(300):
+        t += rng.choice([0, 10, 50, 90, 700])
+        rows.append((0, i, t))
+    got = sorted(r["i"] for r in mt.downsample(spark.createDataFrame(rows, "k int, i long, t long"), ("k",), "t", "i", 200).collect())
+    want, at = [], 0
+    for _, i, t in rows:
+        if at <= t - rows[0][2]:
+            want.append(i)
+            at += 200
+    assert got == want
+
+
+def test_sequence_release(spark):
+    rows = [("x", 1, 0), ("x", 0, 1), ("x", 3, 2), ("x", 1, 3), ("y", 0, 4)]
+    got = {(r["k"], r["s"]): r["released_at"] for r in od.sequence_release(spark.createDataFrame(rows, "k string, s long, a long"), "k", "s", "a").collect()}
+    assert got == {("x", 0): 1, ("x", 1): 1, ("x", 3): None, ("y", 0): 4}
