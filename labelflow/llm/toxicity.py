@@ -33,8 +33,6 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
 LEARNED, SUPPORT, SUPPORT_SHARE = 400, 3, 0.015
 #: Lengths of learned stems in letters.
 STEMS = (4, 5, 6, 7, 8)
-#: Characters on either side of a match in which its clause must end.
-CLAUSE = 200
 
 # Seed words of the grammar's classes.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb imbecile filth vermin".split()
@@ -95,6 +93,7 @@ class Grammar:
         self.words, self.stems, self.bias = words, stems, bias
         self.coef = prior() if coef is None else coef
         self.classes = {w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS} | {w: REPORT for w in REPORTS}
+        self.longest_stem = max(map(len, stems), default=0)
         self._automaton = None
 
     def __getstate__(self):
@@ -116,7 +115,7 @@ class Grammar:
     def lexeme(self, word: str) -> tuple[int, float]:
         if word in self.words:
             return self.words[word]
-        for n in range(len(word) - 1, 2, -1):
+        for n in range(min(len(word) - 1, self.longest_stem), 2, -1):
             if word[:n] in self.stems:
                 return self.stems[word[:n]]
         return self.classes.get(word, OTHER), 0.0
@@ -141,11 +140,11 @@ class Grammar:
             first = last - n + 1
             if first < done or (first and text[first - 1].isalpha()) or (whole and text[last + 1 : last + 2].isalpha() and not text[first : last + 1] in self.stems):
                 continue
-            lo, hi = max(done, first - CLAUSE), last + CLAUSE
+            lo = done  # each clause is read once, from its true start to its true end
             for m in END.finditer(text, lo, first):
                 lo = m.end()
-            m = END.search(text, last + 1, hi)
-            hi = m.start() if m else min(hi, len(text))
+            m = END.search(text, last + 1)
+            hi = m.start() if m else len(text)
             self.clause(WORD.findall(text, lo, hi), out)
             done = hi
         if done:

@@ -61,6 +61,19 @@ def test_grammar_reads_clauses():
     assert not g.channels(None).any() and not g.channels("").any() and not g.channels("idiotic").any() and g.channels("x " * 90000 + "idiot").any()
 
 
+def test_clauses_are_read_whole():
+    g = toxicity.Grammar(toxicity.seed_words(), {"schwein": (toxicity.INSULT, 1.0)})
+    long = "la " * 300
+    for text in (f"she wrote {long}idiot", f"idiot {long}moron", f"idiot {'la ' * 65}la moron", f"never {long}you idiot {long}she said {long}scum; not moron", f"idiot {'x' * 900}schwein", f"idiot {long}. you idiot"):
+        want = np.zeros(toxicity.FEATURES)
+        for clause in toxicity.END.split(text):
+            g.clause(toxicity.WORD.findall(clause), want)
+        assert np.array_equal(g.channels(text)[: toxicity.CHANNELS], want[: toxicity.CHANNELS]), text
+    assert g.channels(f"she wrote {long}idiot")[1] == 1
+    assert [g.channels("idiot " + "z" * k + " moron")[0] for k in range(185, 205)] == [2.0] * 20
+    assert g.lexeme("schwein" + "e" * 10**6)[0] == toxicity.INSULT
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "you idiot")], "doc_id long, text string")
     g = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
