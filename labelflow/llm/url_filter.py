@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+([^?#]*)"
-#: Labels of a host and parts of a path that form keys at most; the whole host and path are always keys.
-MAX_LABELS, MAX_PARTS = 8, 4
 
 
 def host_of(url: str | Column) -> Column:
@@ -26,19 +24,30 @@ def host_of(url: str | Column) -> Column:
     return F.when(host != "", host)
 
 
-def keys_of(url: str | Column) -> Column:
-    """The keys a URL is looked up by: host, parent domains, host with path prefixes."""
+def keys_of(url: str | Column, label_depths: Column | None = None, part_depths: Column | None = None) -> Column:
+    """The keys a URL is looked up by: host, parent domains, host with path prefixes.
+
+    Arrays of depths, if given, leave only domains of so many labels and prefixes of so many parts.
+    """
     url = F.col(url) if isinstance(url, str) else url
     host, path = host_of(url), F.regexp_extract(url, PATH, 1)
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MAX_LABELS))), lambda k: F.array_join(F.slice(labels, -k, k), "."))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    deep = F.least(F.size(parts), F.lit(MAX_PARTS))
-    prefixes = F.when(deep > 0, F.transform(F.sequence(F.lit(1), F.greatest(deep, F.lit(1))), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/"))))
-    full = F.when(F.size(parts) > 0, F.array(F.concat(host, F.lit("/"), F.array_join(parts, "/"))))
-    none = F.array().cast("array<string>")
-    found = F.array_distinct(F.concat(domains, F.array(host), F.coalesce(prefixes, none), F.coalesce(full, none)))
-    return F.when(host.isNotNull(), found)
+    none = F.array().cast("array<int>")
+
+    def depths(n: Column, only: Column | None) -> Column:
+        return F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(none) if only is None else F.filter(only, lambda k: k <= n)
+
+    domains = F.transform(depths(F.size(labels), label_depths), lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    prefixes = F.transform(depths(F.size(parts), part_depths), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")))
+    return F.when(host.isNotNull(), F.array_distinct(F.concat(domains, prefixes)))
+
+
+def depths_of(entries: DataFrame) -> DataFrame:
+    """One row (label_depths, part_depths): numbers of labels of the listed domains, and of parts of the listed paths."""
+    key = F.col("key")
+    parts = F.size(F.split(key, "/")) - 1
+    return entries.agg(F.collect_set(F.when(parts == 0, F.size(F.split(key, r"\.")))).alias("label_depths"), F.collect_set(F.when(parts > 0, parts)).alias("part_depths"))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -68,7 +77,9 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     held = intervals(entries)
     base = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at"))
     base = base.groupBy("id", "url", "at").agg(F.count(F.lit(1)).alias("copies"))
-    asked = base.select("id", "url", "at", F.explode(keys_of("url")).alias("key"))
+    # only depths that the list has: rows stay few, and no depth of it is left out
+    deep = base.crossJoin(F.broadcast(depths_of(entries)))
+    asked = deep.select("id", "url", "at", F.explode(keys_of("url", F.col("label_depths"), F.col("part_depths"))).alias("key"))
     hits = asked.join(held, "key").where((F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to"))))
     one = hits.groupBy("id", "url", "at", "key").agg(F.count(F.lit(1)).alias("n"), F.min("category").alias("category"))
     found = one.groupBy("id", "url", "at").agg(F.sum("n").alias("n_active"), F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("key"), F.col("category").alias("category"))).alias("best"))

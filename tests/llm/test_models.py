@@ -229,3 +229,18 @@ def test_url_filter_edges(spark):
     got = url_filter.filter_captures(spark.createDataFrame(cap, "page_id long, url string, fetch_ts long").selectExpr("*", "1 as key", "2 as category"), e).collect()
     assert len(got) == len(cap) and sorted((r["page_id"] or 0) for r in got if r["blocked"]) == [0, 1, 1, 6]
     assert {r["list_key"] for r in got if r["page_id"] == 6} == {"a.org/p/q"}
+
+
+def test_url_filter_asks_every_depth(spark):
+    host, path = ".".join(f"l{k}" for k in range(50)), "/".join(map(str, range(30)))
+    domains = [".".join(host.split(".")[-k:]) for k in range(1, 51)]
+    prefixes = [f"{host}/" + "/".join(path.split("/")[:k]) for k in range(1, 31)]
+    url = f"http://{host}/{path}?q"
+    asked = spark.createDataFrame([(url,)], "url string").select(url_filter.keys_of("url").alias("k")).first()["k"]
+    assert sorted(asked) == sorted(domains + prefixes)
+    keys = [domains[8], domains[40], prefixes[4], prefixes[20]]  # 9 and 41 labels, 5 and 21 parts
+    for listed in keys:
+        e = spark.createDataFrame([(listed, "x", "add", 0)], "key string, category string, action string, ts long")
+        cap = spark.createDataFrame([(1, url, 5), (2, "http://l49/0", 5), (3, "http://l49", 5)], "page_id long, url string, fetch_ts long")
+        got = {r["page_id"]: (r["blocked"], r["n_active"], r["list_key"]) for r in url_filter.filter_captures(cap, e).collect()}
+        assert got == {1: (True, 1, listed), 2: (False, 0, None), 3: (False, 0, None)}
