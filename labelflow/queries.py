@@ -355,11 +355,12 @@ def segment_delimited(spark, sf_dir):
 
 @query("select doc_id, 2::bigint as n, octet_length(encode(text))::bigint + 3 as bytes from documents where text is not null and octet_length(encode(text)) < 65536")
 def segment_prefixed(spark, sf_dir):
+    """Frames and their bytes of every document, those too long for a message (oversize) included."""
     text = F.encode("text", "UTF-8")
     size = F.octet_length("text")
     frame = F.concat(F.unhex(F.lpad(F.hex(size), 8, "0")), text, F.unhex(F.lit("00000003")), F.encode(F.lit("end"), "UTF-8"))
-    d = table(spark, sf_dir, "documents").where("text is not null").where(size < 65536).select("doc_id", frame.alias("data"))
-    return fr.segment(d, "data", fr.length_prefix(4)).where("kind = 'message'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("message")).alias("bytes"))
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", frame.alias("data"))
+    return fr.segment(d, "data", fr.length_prefix(4)).where("kind in ('message', 'oversize')").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("message"), "dropped")).alias("bytes"))
 
 
 @query("select doc_id, (octet_length(encode(text)) // 64)::bigint as n, (octet_length(encode(text)) % 64)::bigint as dropped from documents where octet_length(encode(text)) > 0")

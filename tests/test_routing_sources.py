@@ -63,6 +63,16 @@ def test_framings():
     assert got(b"", fr.Framing("none")) == []
 
 
+def test_prefixed_documents_of_any_length(spark, tmp_path):
+    from labelflow.queries import QUERIES
+
+    sizes = {1: 0, 2: 65535, 3: 65536, 4: 200_000, 5: fr.MAX_MESSAGE + 1}
+    docs = spark.createDataFrame([*sizes.items(), (6, None)], "doc_id long, size int")
+    docs.select("doc_id", F.expr("repeat('a', size)").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n"], r["bytes"]) for r in QUERIES["segment_prefixed"](spark, str(tmp_path)).collect()}
+    assert got == {i: (2, n + 3) for i, n in sizes.items()}
+
+
 def test_sources(spark, tmp_path):
     d = spark.createDataFrame([("e1,t1,s1",), ("short,row",)], "value string")
     assert [r["entity_id"] for r in gen.parse_transactions(d).collect()] == ["e1"]
