@@ -1,7 +1,8 @@
 """Language identification with bit-sliced Bloom filters of byte n-grams.
 
 One table serves all languages: a slot holds a bit mask with one bit per
-language, so the AND of a gram's slots returns every language whose filter may contain it.
+language, in as many words of 64 bits as they need, so the AND of a gram's slots
+returns every language whose filter may contain it.
 A language's filter holds the grams that are frequent in it and not much rarer
 than in the language where they are most frequent.  A text's grams are counted per language
 (a popcount of each bit slice), the count that false positives alone would
@@ -75,24 +76,28 @@ class LanguageFilters:
 
     def __init__(self, grams: dict[str, np.ndarray], order: list[str]):
         self.languages = order
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(order) <= np.iinfo(t).bits)
-        self.table = np.zeros(1 << SLOT_BITS, kind)
+        kind = next((t for t in (np.uint8, np.uint16, np.uint32) if len(order) <= np.iinfo(t).bits), np.uint64)
+        self.bits = np.iinfo(kind).bits
+        self.table = np.zeros((-(-len(order) // self.bits), 1 << SLOT_BITS), kind)  # words x slots
         self.false = np.zeros(len(order))
-        for bit, lang in enumerate(order):
+        for k, lang in enumerate(order):
+            word, bit = self.table[k // self.bits], kind(k % self.bits)
             for h in range(HASHES):
-                self.table[slots(grams[lang], h)] |= kind(1 << bit)
-            self.false[bit] = (self.table >> kind(bit) & kind(1)).mean() ** HASHES
+                word[slots(grams[lang], h)] |= kind(1) << bit
+            self.false[k] = (word >> bit & kind(1)).mean() ** HASHES
 
     def counts(self, parts, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """(grams of each text, corrected hits of each text and language)."""
         total, hits = np.zeros(texts, np.int64), np.zeros((texts, len(self.languages)))
         for codes, doc in parts:
-            mask = self.table[slots(codes, 0)]
-            for h in range(1, HASHES):
-                mask &= self.table[slots(codes, h)]
+            at = [slots(codes, h) for h in range(HASHES)]
             total += np.bincount(doc, minlength=texts)
-            for bit in range(len(self.languages)):
-                hits[:, bit] += np.bincount(doc[(mask >> mask.dtype.type(bit) & mask.dtype.type(1)).astype(bool)], minlength=texts)
+            for w, word in enumerate(self.table):
+                mask = word[at[0]]
+                for x in at[1:]:
+                    mask &= word[x]
+                for k in range(w * self.bits, min((w + 1) * self.bits, len(self.languages))):
+                    hits[:, k] += np.bincount(doc[(mask >> mask.dtype.type(k % self.bits) & mask.dtype.type(1)).astype(bool)], minlength=texts)
         return total, np.maximum(0, (hits - total[:, None] * self.false) / (1 - self.false))
 
 
@@ -118,30 +123,28 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", i
     """Filters from rows with a language; a bounded sample of SAMPLE_DOCS rows per language.
 
     The rows of a language are sampled by a hash of the id, at a rate taken from
-    its count.  At most 64 languages (the most frequent) get a filter.  None without rows.
+    its count.  Every language gets a filter.  None without rows.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")).where("lang is not null and text is not null")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not found:
         return None
     order = [r["lang"] for r in found]
-    rate = F.element_at(F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1 << 20, SAMPLE_DOCS * (1 << 20) // r["count"] + 1))]), F.col("lang"))
-    rows = rows.where(F.col("lang").isin(order)).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < rate)
+    rates = rows.sparkSession.createDataFrame([(r["lang"], min(1 << 20, SAMPLE_DOCS * (1 << 20) // r["count"] + 1)) for r in found], "lang string, most long")
+    rows = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("most"))
     grams = rows.select("lang", "text").mapInArrow(_gram_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = grams.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
-    totals = grams.groupBy("lang").agg(F.sum("n").alias("all")).collect()
-    kept = top.where(F.col("rank") <= 2 * FILTER_GRAMS).select("lang", "gram", "n").toArrow()
-    all_of = {r["lang"]: r["all"] for r in totals}
-    lang, gram, n = (kept.column(c).to_pylist() for c in ("lang", "gram", "n"))
-    best: dict[int, float] = {}
-    rates = [k / all_of[x] for x, k in zip(lang, n)]
-    for g, r in zip(gram, rates):
-        best[g] = max(best.get(g, 0.0), r)
-    sets: dict[str, list] = {x: [] for x in order}
-    for x, g, r, k in sorted(zip(lang, gram, rates, n), key=lambda z: (-z[2], z[1])):
-        if r >= SHARE * best[g] and len(sets[x]) < FILTER_GRAMS:
-            sets[x].append(g)
-    return LanguageFilters({x: np.array(g, np.int64).view(np.uint64) for x, g in sets.items()}, order)
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    totals = rows.sparkSession.createDataFrame(grams.groupBy("lang").agg(F.sum("n").alias("all")).collect(), "lang string, all long")
+    top = grams.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= 2 * FILTER_GRAMS)
+    top = top.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("all"))
+    own = top.withColumn("best", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= SHARE * F.col("best"))
+    kept = own.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= FILTER_GRAMS).select("lang", "gram").toArrow()
+    names, gram = kept.column("lang").to_numpy(), kept.column("gram").to_numpy()
+    by = np.argsort(names, kind="stable")
+    names, gram = names[by], gram[by]
+    start, stop = np.searchsorted(names, order), np.searchsorted(names, order, side="right")
+    sets = {x: gram[i:j] for x, i, j in zip(order, start, stop)}
+    return LanguageFilters({x: g.astype(np.int64).view(np.uint64) for x, g in sets.items()}, order)
 
 
 def _predictor(filters: LanguageFilters | None):

@@ -43,6 +43,16 @@ def test_bloom_filters_hold_what_they_were_given():
     assert total[0] == 3999 and hits[0, 0] > 3998 and hits[0, 1] < 20
 
 
+def test_every_language_gets_a_filter(spark):
+    rng = np.random.default_rng(7)
+    words = {f"l{k:03}": ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(12)] for k in range(140)}
+    f = language_id.learn(spark.createDataFrame([(i, " ".join(w), n) for i, (n, w) in enumerate(words.items())], "doc_id long, text string, lang string"))
+    assert f.languages == sorted(words)
+    docs = spark.createDataFrame([(n, " ".join(w[3:9])) for n, w in words.items()], "doc_id string, text string")
+    assert all(r["lang_pred"] == r["doc_id"] and r["score"] > 0.9 for r in language_id.identify(docs, f).collect())
+    assert language_id.keep_identified(docs, f, 0.9).count() == len(words)
+
+
 def test_toxicity_accuracy(spark):
     out = {r["doc_id"]: r for r in queries.op4_toxicity(spark, "/root/testdata/sf0.1").collect()}
     labels = [r for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if crc(r["doc_id"], 5) == 0]
