@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelflow.tables import running
+
 LOW = -(1 << 62)
 
 
@@ -94,18 +96,23 @@ def ordered_merge(df: DataFrame, port: str, stream: str, arrival: str, ts: str,
 def late_single_stream(df: DataFrame, port: str, arrival: str, ts: str, lateness: int = 0) -> DataFrame:
     """``df`` with late, in closed form, for ports fed by one stream.
 
-    The watermark is the greatest time so far less the lateness.  The released ones before a
-    message are the earlier messages at or below the watermark then, and a late message never raises the
-    last released time, so that time is the greatest earlier time at or below the earlier watermark.
-    It is found by counting: a message is late iff some earlier time lies above it and
-    at or below the watermark, which a self join on the port and a range of times decides.
+    The watermark is the greatest time so far less the lateness, so it never falls.  A message counts as
+    released from the first arrival whose watermark reaches its time; a late message never raises the last released
+    time, so that time is the greatest time released so far, and a message is late iff it is beyond its own.
+    Both are running values over slices, so a hot port is cut too.  Arrivals are unique whole numbers, times whole numbers.
     """
-    w = Window.partitionBy(port).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    x = df.withColumn("_w", F.max(ts).over(w) - lateness).alias("x")
-    y = df.select(F.col(port).alias("yp"), F.col(arrival).alias("ya"), F.col(ts).alias("yt")).alias("y")
-    cond = (F.col(f"x.{port}") == F.col("yp")) & (F.col("ya") < F.col(f"x.{arrival}")) & (F.col("yt") > F.col(f"x.{ts}")) & (F.col("yt") <= F.col("_w"))
-    late = x.join(y, cond, "left_semi").select(*[F.col(f"x.{c}") for c in df.columns], F.lit(True).alias("late"))
-    return x.join(y, cond, "left_anti").select(*[F.col(f"x.{c}") for c in df.columns], F.lit(False).alias("late")).union(late)
+    x = running(df, arrival, (port,), strict=True, _w=("max", F.col(ts))).withColumn("_w", F.col("_w") - lateness)
+    # by falling value, watermarks before the times they reach: _r is the first arrival that releases _t
+    a, t, none = F.col(arrival).cast("long"), F.col(ts).cast("long"), F.lit(None).cast("long")
+    steps = F.struct((-2 * F.col("_w") - 1).cast("long").alias("_o"), a.alias("_c"), none.alias("_a"), none.alias("_t"))
+    times = F.struct((-2 * t).alias("_o"), none.alias("_c"), a.alias("_a"), t.alias("_t"))
+    marks = x.select(port, F.inline(F.array(steps, times))).where("_o is not null")
+    released = running(marks, "_o", (port,), _r=("min", F.col("_c"))).where("_t is not null and _r is not null")
+    # by arrival: what an arrival releases, the arrival itself, what was within the watermark as it came
+    released = released.select(port, F.when(F.col("_r") > F.col("_a"), 3 * F.col("_r")).otherwise(3 * F.col("_a") + 2).alias("_o"), "_t", F.lit(False).alias("_own"))
+    own = x.select(*df.columns, (3 * a + 1).alias("_o"), none.alias("_t"), F.lit(True).alias("_own"))
+    out = running(own.unionByName(released, allowMissingColumns=True), "_o", (port,), _last=("max", F.col("_t"))).where("_own")
+    return out.select(*df.columns, F.coalesce(F.col("_last") > F.col(ts), F.lit(False)).alias("late"))
 
 
 def sequence_gaps(df: DataFrame, key: str, seq: str) -> DataFrame:

@@ -60,6 +60,18 @@ def test_closed_form_equals_the_merge(spark):
                 assert (("dropped", a) in m.offer(0, t, a)) == got[p, a]
 
 
+def test_closed_form_pairs_no_messages(spark):
+    rng = random.Random(5)
+    rows = [(a, rng.randint(-60, 60) + a // 2) for a in range(-300, 700)]  # one hot port, over several slices
+    d = spark.createDataFrame([(None, a * 1000, t * 1000) for a, t in rows], "port int, a long, t long")
+    late = od.late_single_stream(d, "port", "a", "t", 30_000)
+    m = od.Merge(30)
+    want = {a * 1000: ("dropped", a) in m.offer(0, t, a) for a, t in rows}
+    assert {r["a"]: r["late"] for r in late.collect()} == want and 0 < sum(want.values()) < len(rows)
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "LeftAnti" not in plan
+
+
 def test_streaming_twins(spark, tmp_path):
     from pyspark.sql import functions as F
 
