@@ -1,4 +1,4 @@
-"""Shared pieces: written tables that cut lineage, and connected components."""
+"""Shared pieces: written tables that cut lineage, joins on hot keys, and connected components."""
 
 from __future__ import annotations
 
@@ -7,22 +7,28 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: A key is hot if it is one of the HOT_PARTS most frequent and has more than HOT_LEAST rows.
+HOT_PARTS, HOT_LEAST = 1000, 500
+#: Tables of at most so many rows are joined as they are.
+HOT_TABLE = 10_000
 
-#: Folders made for applications without the setting.
+#: Folders made for local applications without the setting.
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see.
+    """The folder that all executors see: ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Where the setting is
-    missing (tests on one machine) a temporary folder is made for the application.
+    Where the setting is missing, a local application (one machine, as in tests) gets a
+    temporary folder; on a cluster, where none would be shared, it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="labelflow-")
@@ -36,7 +42,8 @@ class Scratch:
 
     ``save`` writes a DataFrame as Parquet and returns it as read back, so
     a lost executor never makes earlier steps run again.  ``drop`` removes the
-    tables that later steps no longer read.
+    tables that later steps no longer read; what is left (results that a caller may still
+    read) goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -44,23 +51,50 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/labelflow-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def save(self, df: DataFrame, **measures) -> DataFrame:
+        """``df`` as read back; ``counts`` of the result has its rows and, by name, other aggregates taken as it was written."""
         self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        path, seen = f"{self.root}/{self.n}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(name) for name, m in measures.items()]).write.parquet(path)
+        if self.n == 1:
+            root, fs = self._path(self.root)
+            fs.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out.labelflow_path = path
+        out.labelflow_path, out.counts = path, seen.get
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.labelflow_path)
-            path.getFileSystem(conf).delete(path, True)
+            path, fs = self._path(t.labelflow_path)
+            fs.delete(path, True)
+
 
+def hot_keys(rows: DataFrame, key: str) -> list[tuple]:
+    """(key, rows) of the hot keys of a written table: the HOT_PARTS most frequent ones with more than HOT_LEAST rows.
+
+    Any other key with so many rows has less than one in HOT_PARTS of the table; the list may be literals.
+    """
+    if rows.counts["rows"] <= HOT_TABLE:
+        return []
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_LEAST)
+    return [tuple(r) for r in counts.orderBy(F.desc("_n"), key).limit(HOT_PARTS).collect()]
 
-def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
+
+def lookup(rows: DataFrame, keys: list[str], table: DataFrame, how: str = "left", hot: list | None = None) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per key, so that no key's rows meet in one task.
+
+    ``rows`` is a written table, or ``hot`` its hot keys.  Rows with a hot value in the first key are joined
+    by broadcasting the table's rows for those values, HOT_PARTS at most; all others by a usual join.
+    """
+    hot = hot_keys(rows, keys[0]) if hot is None else hot
+    if not hot:
+        return rows.join(table, keys, how)
+    is_hot = F.coalesce(F.col(keys[0]).isin([k for k, _ in hot]), F.lit(False))
+    return rows.where(is_hot).join(F.broadcast(table.where(is_hot)), keys, how).unionByName(rows.where(~is_hot).join(table, keys, how))
 
 
 def connected_components(scratch: Scratch, edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
@@ -71,31 +105,54 @@ def connected_components(scratch: Scratch, edges: DataFrame, a: str = "src", b:
     chains until they are stars, and keeps only edges between different
     labels.  A round removes every label that touches a smaller one, so the
     edges shrink at least geometrically.  All steps are aggregations with
-    partial sums and equi joins, so a hub costs no single task.
+    partial sums and joins by ``lookup``, so a hub costs no single task.
     Nulls: edges with a null end are ignored.  Repeated edges and self loops
     change nothing.  Nodes without an edge do not appear.
     """
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
     e = scratch.save(e.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
     labels = scratch.save(e.select(F.col("x").alias("node")).union(e.select("y")).distinct().select("node", F.col("node").alias("component")))
-    while not is_empty(e):
+    while e.counts["rows"]:
         parent = scratch.save(e.groupBy(F.col("y").alias("v")).agg(F.min("x").alias("p")))
         while True:
-            up = parent.select(F.col("v").alias("w"), F.col("p").alias("pp"))
-            hop = scratch.save(parent.join(up, F.col("p") == F.col("w"), "left").select("v", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
-            moved = not is_empty(hop.where("moved"))
+            hop = lookup(parent, ["p"], parent.select(F.col("v").alias("p"), F.col("p").alias("pp")))
+            hop = hop.select("v", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved"))
+            hop = scratch.save(hop, moved=F.count_if("moved"))
             scratch.drop(parent)
             parent = hop
-            if not moved:
+            if not hop.counts["moved"]:
                 break
-        up = parent.select("v", "p")
-        new_labels = scratch.save(labels.join(up, labels.component == up.v, "left").select("node", F.coalesce("p", "component").alias("component")))
-        px, py = up.select(F.col("v").alias("vx"), F.col("p").alias("px")), up.select(F.col("v").alias("vy"), F.col("p").alias("py"))
+        new_labels = lookup(labels, ["component"], parent.select(F.col("v").alias("component"), "p"))
+        new_labels = scratch.save(new_labels.select("node", F.coalesce("p", "component").alias("component")))
         # y always has a parent; x has one unless it is a root
-        moved_e = e.join(px, e.x == F.col("vx"), "left").join(py, F.col("y") == F.col("vy"), "left")
+        moved_e = lookup(e, ["x"], parent.select(F.col("v").alias("x"), F.col("p").alias("px")))
+        moved_e = lookup(moved_e, ["y"], parent.select(F.col("v").alias("y"), F.col("p").alias("py")), hot=hot_keys(e, "y"))
         moved_e = moved_e.select(F.coalesce("px", "x").alias("l"), F.coalesce("py", "y").alias("r")).where("l <> r")
         new_e = scratch.save(moved_e.select(F.least("l", "r").alias("x"), F.greatest("l", "r").alias("y")).distinct())
         scratch.drop(parent, labels, e)
         e, labels = new_e, new_labels
     scratch.drop(e)
     return labels
+
+
+def extend_components(scratch: Scratch, comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``comp`` (node, component) after further ``links`` (src, dst), a written table; only labels are joined anew."""
+
+    def label(rows: DataFrame, end: str) -> DataFrame:
+        found = lookup(rows, [end], comp.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), hot=hot_keys(links, end))
+        return found.withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+
+    new = connected_components(scratch, label(label(links, "src"), "dst").select("_src", "_dst"), "_src", "_dst")
+    moved = lookup(comp, ["component"], new.select(F.col("node").alias("component"), F.col("component").alias("to")))
+    moved = moved.select("node", F.coalesce("to", "component").alias("component"))
+    out = scratch.save(moved.union(new.join(comp.select("node"), "node", "left_anti").select("node", "component")))
+    scratch.drop(new, comp)
+    return out
+
+
+def with_smallest(scratch: Scratch, classes: DataFrame, comp: DataFrame, id_col: str) -> DataFrame:
+    """``classes`` (rep, ``id_col``, ...) with component_id: the smallest id among the classes of its component (node, component)."""
+    linked = scratch.save(classes.select("rep", id_col).join(comp.select(F.col("node").alias("rep"), "component"), "rep"))
+    best = linked.groupBy("component").agg(F.min(id_col).alias("component_id"))
+    named = lookup(linked, ["component"], best).select("rep", "component_id")
+    return classes.join(named, "rep", "left").withColumn("component_id", F.coalesce("component_id", id_col))

@@ -13,7 +13,9 @@ threshold is never met below ``miss``.  The number of tables grows only as a sma
 rows (0.15 for cosine 0.95).  A pair is looked at in the first table where it
 meets and nowhere else, so links are counted without ever writing pairs.
 Equal vectors are one class with a weight.  Large buckets are cut into blocks and each task
-compares two blocks.
+compares two blocks.  That is done twice: a screen moves codes, factors and rotated
+vectors in bytes only and says which rows have a pair within the bound; the
+floats of those rows alone follow, and decide.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
-from .vectors import usable, matrix
+from .common import Scratch, connected_components, with_smallest
+from .vectors import as_floats, matrix, unit, usable
 
 #: Members of a bucket that one block holds at most, about.
 BLOCK = 1024
@@ -52,71 +54,117 @@ def _encoder(k: int, tables: int, seed: int):
     def run(batches):
         for batch in batches:
             dims = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims):
+            for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                x = matrix(part.column(1), int(dim))
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                turned = [x @ rotation(dim, seed + j).T for j in range(-(-tables * k // int(dim)))]
+                x = unit(matrix(part.column(1), dim))
+                turned = [x @ rotation(dim, seed + j).T for j in range(-(-tables * k // dim))]
                 bits = np.concatenate(turned, axis=1)[:, : tables * k] > 0
-                weights = (1 << np.arange(k)).astype(np.int64)
-                values = (bits.reshape(len(x), tables, k) * weights).sum(2)
-                code = turned[0] > 0
+                values = (bits.reshape(len(x), tables, k) * (1 << np.arange(k)).astype(np.int32)).sum(2, dtype=np.int32)
+                step = np.abs(turned[0]).max(1) / 127
+                small = np.rint(turned[0] / step[:, None]).astype(np.int8)
                 factor = np.abs(turned[0]).sum(1) / math.sqrt(dim)
-                keys = values + (np.arange(tables, dtype=np.int64) << 32) + (np.int64(dim) << 44)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(list(map(bytes, np.packbits(code, axis=1))), pa.binary()), pa.array(factor), pa.array(list(map(bytes, values.astype("<u4"))), pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), tables).cast(pa.list_(pa.int64()))],
-                    ["rep", "embedding", "w", "code", "factor", "values", "keys"],
+                    [part.column(0), part.column(1), part.column(2), pa.array(np.full(len(x), dim, np.int32)), _rows(np.packbits(turned[0] > 0, axis=1)), pa.array(factor), _rows(small), pa.array(step), pa.FixedSizeListArray.from_arrays(pa.array(values.reshape(-1)), tables).cast(pa.list_(pa.int32()))],
+                    ["rep", "embedding", "w", "dim", "code", "factor", "small", "step", "tables"],
                 )
 
     return run
 
 
-def _linker(cosine: float, seed: int):
-    """Batches sorted by bucket -> (rep, root, links): what each run of rows adds."""
+def _rows(x: np.ndarray) -> pa.Array:
+    """The bytes of each row of a matrix."""
+    return pa.array(list(map(bytes, np.ascontiguousarray(x))), pa.binary())
+
+
+def _bytes(t: pa.Table, name: str, rows: np.ndarray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(name).take(pa.array(rows)).to_pylist()), kind).reshape(len(rows), -1)
+
+
+def _runs(batches, process):
+    """``process`` applied to tables of whole runs, from batches sorted by run."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < 8192:
+            continue
+        t = pa.Table.from_batches(held)
+        runs = t.column("run").to_numpy()
+        cut = int(np.searchsorted(runs == runs[-1], True))  # the last run may go on
+        if cut:
+            yield from process(t.slice(0, cut))
+            rest = t.slice(cut).combine_chunks()
+            held, size = rest.to_batches(), rest.num_rows
+    if held:
+        yield from process(pa.Table.from_batches(held))
+
+
+def _pairs(run: np.ndarray, cross: np.ndarray, side: np.ndarray):
+    """(a, b) of the pairs of rows within runs, SLICE at a time; of two blocks only pairs across."""
+    i, d = np.arange(len(run)), 0
+    while True:
+        d += 1
+        i = i[i + d < len(run)]
+        i = i[run[i] == run[i + d]]
+        if not len(i):
+            return
+        for lo in range(0, len(i), SLICE):
+            a = i[lo : lo + SLICE]
+            b = a + d
+            ok = ~cross[a] | (side[a] != side[b])
+            yield a[ok], b[ok]
+
+
+def _screen(cosine: float):
+    """Batches sorted by run -> (run, rep): the rows of a pair that the codes cannot rule out."""
 
     def process(t: pa.Table):
-        rep, w, key, cross, side = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "w", "bucket", "is_cross", "side"))
-        table = (key >> 32) & 0xFFF
-        factor = t.column("factor").to_numpy()
-        col = t.column("embedding").combine_chunks()
-        dims = col.value_lengths().to_numpy(zero_copy_only=False)
-        run_id = t.column("run").to_numpy(zero_copy_only=False)
-        linked = []
-        for dim in np.unique(dims):
+        rep, run, cross, side, dims = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "run", "is_cross", "side", "dim"))
+        factor, step = t.column("factor").to_numpy(), t.column("step").to_numpy()
+        hit = np.zeros(len(rep), bool)
+        for dim in np.unique(dims).tolist():
             rows = np.flatnonzero(dims == dim)
-            x = matrix(col.take(pa.array(rows)), int(dim))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            turned = (x @ rotation(dim, seed).T).astype(np.float32)
-            packed = np.frombuffer(b"".join(t.column("code").take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1)
-            signs = (np.unpackbits(packed, axis=1)[:, :dim].astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
-            values = np.frombuffer(b"".join(t.column("values").take(pa.array(rows)).to_pylist()), "<u4").reshape(len(rows), -1)
+            signs = (np.unpackbits(_bytes(t, "code", rows, np.uint8), axis=1)[:, :dim].astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
+            turned = _bytes(t, "small", rows, np.int8).astype(np.float32) * step[rows, None].astype(np.float32)
             f = factor[rows]
-            # spread of the estimate for a pair right at the threshold
+            # spread of the estimate for a pair right at the threshold, and the most that rounding to bytes can add
             bound = SIGMAS * np.sqrt((1 - f * f) / (f * f)) / math.sqrt(max(dim - 1, 1)) * math.sqrt(1 - cosine * cosine)
-            runs, cr, sd, tb = run_id[rows], cross[rows], side[rows], table[rows]
-            i = np.arange(len(rows))
-            d = 0
-            while True:
-                d += 1
-                i = i[i + d < len(rows)]
-                i = i[runs[i] == runs[i + d]]
-                if not len(i):
-                    break
-                for lo in range(0, len(i), SLICE):
-                    a = i[lo : lo + SLICE]
-                    b = a + d
-                    ok = ~cr[a] | (sd[a] != sd[b])
-                    a, b = a[ok], b[ok]
-                    ok = (values[a] == values[b]).argmax(1) == tb[a]  # met in no earlier table
-                    a, b = a[ok], b[ok]
-                    estimate = np.einsum("ij,ij->i", signs[a], turned[b]) / f[a]
-                    ok = estimate >= cosine - bound[a]
-                    a, b = a[ok], b[ok]
-                    ok = (x[a] * x[b]).sum(1) >= cosine
-                    if ok.any():
-                        linked.append((rows[a[ok]], rows[b[ok]]))
+            rounding = step[rows] * math.sqrt(dim) / 2
+            found = np.zeros(len(rows), bool)
+            for a, b in _pairs(run[rows], cross[rows], side[rows]):
+                new = ~(found[a] & found[b])
+                a, b = a[new], b[new]
+                estimate = np.einsum("ij,ij->i", signs[a], turned[b]) / f[a]
+                ok = estimate >= cosine - bound[a] - rounding[b] / f[a] - 1e-5
+                found[a[ok]] = found[b[ok]] = True
+            hit[rows] = found
+        yield pa.RecordBatch.from_arrays([pa.array(run[hit]), pa.array(rep[hit])], ["run", "rep"])
+
+    return lambda batches: _runs(batches, process)
+
+
+def _linker(cosine: float):
+    """Batches sorted by run -> (rep, root, links): what each run of rows adds, by exact cosines."""
+
+    def process(t: pa.Table):
+        rep, w, run, cross, side, dims, at = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "w", "run", "is_cross", "side", "dim", "at"))
+        col, tables = t.column("embedding").combine_chunks(), t.column("tables").combine_chunks()
+        linked = []
+        for dim in np.unique(dims).tolist():
+            rows = np.flatnonzero(dims == dim)
+            x = unit(matrix(col.take(pa.array(rows)), dim))
+            values = tables.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1)
+            tb = at[rows]
+            for a, b in _pairs(run[rows], cross[rows], side[rows]):
+                ok = (values[a] == values[b]).argmax(1) == tb[a]  # met in no earlier table
+                a, b = a[ok], b[ok]
+                ok = (x[a] * x[b]).sum(1) >= cosine
+                if ok.any():
+                    linked.append((rows[a[ok]], rows[b[ok]]))
         if not linked:
-            return None
+            return
         a, b = (np.concatenate(z) for z in zip(*linked))
         ids, at = np.unique(np.concatenate([rep[a], rep[b]]), return_inverse=True)
         ia, ib = at[: len(a)], at[len(a) :]
@@ -131,32 +179,9 @@ def _linker(cosine: float, seed: int):
             if (new == root).all():
                 break
             root = new
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root]), pa.array(links.astype(np.int64))], ["rep", "root", "links"])
-
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.num_rows
-            if size < 8192:
-                continue
-            t = pa.Table.from_batches(held)
-            runs = t.column("run").to_numpy()
-            cut = int(np.searchsorted(runs == runs[-1], True)) if len(runs) else 0  # the last run may go on
-            if cut:
-                out = process(t.slice(0, cut))
-                if out is not None:
-                    yield out
-                rest = t.slice(cut).combine_chunks()
-                held, size = rest.to_batches(), rest.num_rows
-        if held:
-            out = process(pa.Table.from_batches(held))
-            if out is not None:
-                yield out
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root]), pa.array(links.astype(np.int64))], ["rep", "root", "links"])
 
-    return run
+    return lambda batches: _runs(batches, process)
 
 
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, miss: float = 1e-4, seed: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -169,35 +194,45 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, miss: float
 
     Null vectors, empty or all-zero ones and those with null or non-finite components
     link with nothing.  Vectors of different lengths never link.  Repeated rows
-    count as rows of their own in n_links.  Rows with a null id are left out; extra
+    count as rows of their own in n_links, and rows that share an id with different vectors are
+    judged each by its own vector.  Rows with a null id are left out; extra
     columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(vectors.sparkSession)
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("embedding")).where("vec_id is not null")
+    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), as_floats(vectors, vec_col).alias("embedding")).where("vec_id is not null")
     base = base.withColumn("fine", usable("embedding"))
     base = base.withColumn("d1", F.when(F.col("fine"), F.xxhash64("embedding"))).withColumn("d2", F.when(F.col("fine"), F.xxhash64(F.lit(1), F.col("embedding"))))
     groups = base.where("fine").groupBy("d1", "d2").agg(F.min(F.struct("vec_id", "embedding")).alias("m"), F.count(F.lit(1)).alias("w"))
-    groups = scratch.save(groups.select("d1", "d2", F.col("m.vec_id").alias("rep"), "w", "m.embedding"))
+    # a class is known by a number of its own: ids may repeat with other vectors
+    groups = scratch.save(groups.select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", F.col("m.vec_id").alias("vec_id"), "w", "m.embedding"))
     k, tables = plan_tables(groups.count(), cosine, miss)
 
-    payload = "rep long, embedding array<float>, w long, code binary, factor double, values binary, keys array<long>"
+    kind = groups.schema["embedding"].dataType.simpleString()
+    payload = f"rep long, embedding {kind}, w long, dim int, code binary, factor double, small binary, step double, tables array<int>"
     coded = scratch.save(groups.select("rep", "embedding", "w").mapInArrow(_encoder(k, tables, seed), payload))
-    placed = coded.select("rep", F.explode("keys").alias("bucket"))
-    met = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", F.ceil(F.col("k") / BLOCK).alias("nb"))
-    placed = placed.join(met, "bucket").withColumn("blk", F.expr("pmod(xxhash64(rep), nb)"))
+    placed = coded.select("rep", "dim", F.posexplode("tables").alias("at", "value"))
+    met = placed.groupBy("dim", "at", "value").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("dim", "at", "value", F.ceil(F.col("k") / BLOCK).alias("nb"))
+    placed = placed.join(met, ["dim", "at", "value"]).withColumn("blk", F.expr("pmod(xxhash64(rep), nb)"))
     placed = placed.withColumn("o", F.explode(F.expr("sequence(0L, nb - 1)")))
-    placed = placed.select("rep", "bucket", F.least("blk", "o").alias("b1"), F.greatest("blk", "o").alias("b2"), F.col("blk").alias("side"))
-    placed = placed.withColumn("run", F.xxhash64("bucket", "b1", "b2"))
-    rows = placed.join(coded.drop("keys"), "rep").select("rep", "w", "bucket", (F.col("b1") != F.col("b2")).alias("is_cross"), "side", "run", "embedding", "code", "factor", "values")
-    rows = rows.repartition("run").sortWithinPartitions("run")
-    found = scratch.save(rows.mapInArrow(_linker(cosine, seed), "rep long, root long, links long"))
+    placed = placed.withColumn("b1", F.least("blk", "o")).withColumn("b2", F.greatest("blk", "o"))
+    placed = placed.select("rep", "at", F.xxhash64("dim", "at", "value", "b1", "b2").alias("run"), (F.col("b1") != F.col("b2")).alias("is_cross"), F.col("blk").alias("side"))
+    placed = scratch.save(placed)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("run").sortWithinPartitions("run", "rep")
+
+    # every class is in every table: both sides are dealt out at any size
+    codes = placed.hint("merge").join(coded.select("rep", "dim", "code", "factor", "small", "step"), "rep").drop("at")
+    hits = scratch.save(dealt(codes).mapInArrow(_screen(cosine), "run long, rep long"))
+    exact = placed.join(hits, ["run", "rep"], "left_semi").join(coded.select("rep", "w", "dim", "embedding", "tables"), "rep")
+    found = scratch.save(dealt(exact).mapInArrow(_linker(cosine), "rep long, root long, links long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = connected_components(scratch, found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
 
-    named = groups.select("d1", "d2", "rep", "w").join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
-    named = named.select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = with_smallest(scratch, groups.select("rep", "d1", "d2", "vec_id", "w"), comp, "vec_id").join(links, "rep", "left")
+    named = named.select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id")
     out = base.select("vec_id", "d1", "d2").join(named, ["d1", "d2"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     out = scratch.save(out.withColumn("kept", F.col("vec_id") == F.col("component_id")))
-    scratch.drop(groups, coded, found, comp)
+    scratch.drop(groups, coded, placed, hits, found, comp)
     return out

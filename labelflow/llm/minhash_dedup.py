@@ -13,7 +13,7 @@ The steps:
 2. Documents with equal sets become one class at once (a partial aggregation).
 3. Half keys of A that only one class has are dropped before tables are formed.
 4. Each bucket links its members to its smallest member (a star, not all pairs).
-5. Links are confirmed on full shingle sets and completed (see ``similar``).
+5. Links are confirmed on full shingle sets and completed across the buckets (see ``similar``).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import Scratch
+from .common import Scratch, hot_keys, lookup, with_smallest
 from .similar import similar_components
 
 
@@ -57,14 +57,20 @@ def _sketcher(width: int, side: int, seed: int):
 
 
 def _set_builder(width: int):
+    """Rows (rep, d1, d2, text) -> (rep, n, payload) for texts with those digests: an id may have other texts too."""
+
     def run(batches):
         for batch in batches:
-            data, offsets, _ = tx.binary_parts(batch.column(1))
+            data, offsets, _ = tx.binary_parts(batch.column(3))
+            want = [batch.column(c).to_numpy() for c in (1, 2)]
             for i, j in tx.chunks(offsets):
                 words, first = tx.word_hashes(data, offsets[i : j + 1])
                 flat, at = tx.distinct_sets(*tx.shingle_hashes(words, first, width))
+                same = np.ones(j - i, bool)
+                for w, d in zip(want, tx.set_digest(flat, at)):
+                    same &= w[i:j] == d.view(np.int64)
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at).astype(np.int64)), sets], ["rep", "n", "payload"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at).astype(np.int64)), sets], ["rep", "n", "payload"]).filter(pa.array(same))
 
     return run
 
@@ -80,33 +86,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
     Null and empty texts have an empty set and link with nothing; a text
     with fewer than ``width`` words has its whole sequence as its only shingle.
     Rows with a null id are left out (a class needs a name).  Repeated rows give
-    repeated results.  Extra columns are ignored, whatever their names; an empty
+    repeated results; rows that share an id with other texts are judged each by its own text.  Extra columns are ignored, whatever their names; an empty
     table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
     schema = "doc_id long, n_shingles long, d1 long, d2 long, a array<long>, b array<long>"
     sketch = scratch.save(base.mapInArrow(_sketcher(width, side, seed), schema))
-    reps = scratch.save(sketch.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "a", "b")).alias("m")).select("d1", "d2", F.col("n_shingles").alias("n"), F.col("m.doc_id").alias("rep"), "m.a", "m.b"))
-
-    one_half = reps.select("rep", F.explode("a").alias("ha"))
-    met = one_half.groupBy("ha").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    met = one_half.join(met, "ha", "left_semi")
-    keys = met.join(reps.select("rep", "b"), "rep").select("rep", "ha", F.explode("b").alias("hb"))
-    keys = scratch.save(keys.select("rep", F.xxhash64("ha", "hb").alias("key")))
-
-    centre = keys.groupBy("key").agg(F.min("rep").alias("dst"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "dst")
-    met = scratch.save(keys.join(centre, "key").where("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct())
-    scratch.drop(keys)
-    ids = met.select(F.col("src").alias("rep")).union(met.select("dst")).distinct()
+    reps = sketch.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "a", "b")).alias("m"))
+    # a class is known by a number of its own: an id may have several texts
+    reps = scratch.save(reps.select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", F.col("n_shingles").alias("n"), "m.doc_id", "m.a", "m.b"))
+
+    one_half = scratch.save(reps.select("rep", F.explode("a").alias("ha")))
+    shared = one_half.groupBy("ha").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ha")
+    halves = lookup(one_half, ["ha"], shared, "inner")
+    keys = halves.join(reps.select("rep", "n", "b"), "rep").select("rep", "n", "ha", F.explode("b").alias("hb"))
+    keys = scratch.save(keys.select("rep", F.col("n").cast("int").alias("n"), F.xxhash64("ha", "hb").alias("key")))
+
+    hot = hot_keys(keys, "key")
+    centre = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("c.rep").alias("dst"), F.col("c.n").alias("nd"))
+    star = scratch.save(lookup(keys, ["key"], centre, "inner", hot))
+    scratch.drop(one_half, keys)
+    met = star.where("rep <> dst").where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)")
+    met = scratch.save(met.select(F.col("rep").alias("src"), "dst").distinct())
     # by the same plan at any size: the list of ids grows with the corpus
-    texts = base.select(F.col("doc_id").alias("rep"), "text").join(ids.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
-    sets = scratch.save(texts.mapInArrow(_set_builder(width), "rep long, n long, payload array<long>"))
-    comp = similar_components(scratch, met, sets, percent)
+    wanted = reps.join(star.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "d1", "d2")
+    texts = base.hint("merge").join(wanted, "doc_id").select("rep", "d1", "d2", "text")
+    sets = scratch.save(texts.mapInArrow(_set_builder(width), "rep long, n long, payload array<long>").dropDuplicates(["rep"]))
+    comp = similar_components(scratch, met, star, sets, percent)
 
-    named = reps.join(comp, reps.rep == comp.node, "left").select("d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
+    named = with_smallest(scratch, reps.select("rep", "d1", "d2", F.col("n").alias("n_shingles"), "doc_id"), comp, "doc_id").select("d1", "d2", "n_shingles", "component_id")
+    out = lookup(sketch.select("doc_id", "n_shingles", "d1", "d2"), ["d1", "d2", "n_shingles"], named, hot=hot_keys(sketch, "d1"))
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = scratch.save(out.withColumn("kept", F.col("doc_id") == F.col("component_id")))
-    scratch.drop(sketch, reps, met, sets, comp)
+    scratch.drop(sketch, reps, star, met, sets, comp)
     return out

@@ -1,155 +1,153 @@
 """From pairs that met in buckets to exact components of a similarity graph.
 
-Shared by the document and the line operator.  ``met`` holds star pairs: each
-member of a bucket with one centre of it.  Every link is confirmed on whole sets.
-
-1. Each member is compared with its smallest centre; components follow.
-2. Other star pairs are compared where their ends are not yet connected.
-3. Groups of members that meet, directly or through others, but are not one component are
-   finished exactly: members of different components and fitting sizes are all
-   compared.  Small groups are joined; large ones are cut into blocks by size and hash,
-   and a task compares two blocks by matrix products and emits a forest of
-   its links, so that neither rows nor memory grow with the square of a group.
+Shared by the document and the line operator.  Every link is confirmed on whole sets.
+
+1. Stars: each member of a bucket is compared with one centre of it; components follow.
+2. What is left are pairs that share a bucket and lie in different components.  In small buckets
+   they are all compared; large ones get some more centres.
+3. Members of large ones that are still in several components are joined by prefix filtering: with the elements of all sets in one order, rare ones
+   first, two sets of similarity t share one of the first n - ceil(t * n) + 1 elements of the larger and the first
+   n - ceil(2t / (1 + t) * n) + 1 of the smaller.  Elements that only one component has come first
+   and lead to no pair.  These shared elements are buckets again: stars first, then the pairs.
+
+So work grows with bucket memberships and with pairs that share a rare element, not with the square of a bucket or group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, is_empty
+from .common import HOT_LEAST, HOT_PARTS, Scratch, connected_components, extend_components, hot_keys, lookup
 
-#: Groups of at most so many members are finished by a join of their pairs, larger ones in blocks.
-SMALL_GROUP = 16
-#: Members and set elements in a block, about.
-BLOCK_ROWS, BLOCK_ELEMENTS = 256, 400_000
+#: In buckets of at most so many members all pairs across components are compared; larger ones go by prefixes.
+SMALL = 16
+#: Further centres that the members of a large bucket are compared with.
+CENTRES = 3
+
+
+def with_payloads(pairs: DataFrame, payload: DataFrame) -> DataFrame:
+    """``pairs`` (src, dst), a written table, with both payloads as sx and sy.
+
+    A dst of many pairs is dealt to several tasks, its payload with it; both grow by fewer than HOT_PARTS rows in all.
+    Both sides are dealt out at any size: sets grow with the corpus, and so does the list of pairs.
+    """
+    x = payload.select(F.col("rep").alias("src"), F.col("payload").alias("sx"))
+    y = payload.select(F.col("rep").alias("dst"), F.col("payload").alias("sy"))
+    both = pairs.select("src", "dst").hint("merge").join(x, "src")
+    hot = hot_keys(pairs, "dst")
+    if not hot:
+        return both.join(y.hint("merge"), "dst")
+    share = max(HOT_LEAST, sum(n for _, n in hot) // HOT_PARTS)
+    parts = F.broadcast(pairs.sparkSession.createDataFrame([(k, -(-n // share)) for k, n in hot], "dst long, parts long"))
+    both = both.join(parts, "dst", "left").withColumn("salt", F.pmod(F.xxhash64("src"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    y = y.join(parts, "dst", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return both.join(y.hint("merge"), ["dst", "salt"]).drop("salt")
 
 
 def confirm_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (src, dst) of ``pairs`` whose full sets (rep, n, payload) have 100 * intersection >= percent * union."""
-    x = sets.select(F.col("rep").alias("src"), F.col("payload").alias("sx"))
-    y = sets.select(F.col("rep").alias("dst"), F.col("payload").alias("sy"))
     common = F.size(F.array_intersect("sx", "sy")).cast("long")
     union = F.size("sx") + F.size("sy") - F.col("common")
-    # both sides are dealt out at any size: sets grow with the corpus, and so does the list of pairs
-    both = pairs.select("src", "dst").hint("merge").join(x, "src").join(y.hint("merge"), "dst").select("src", "dst", "sx", "sy", common.alias("common"))
+    both = with_payloads(pairs, sets).select("src", "dst", "sx", "sy", common.alias("common"))
     return both.where(100 * F.col("common") >= percent * union).select("src", "dst")
 
 
-def _compare_blocks(percent: int, to_sets: Callable):
-    def run(table):
-        flat, at = to_sets(table.column("payload"))
-        rep, lab = (table.column(c).to_numpy() for c in ("rep", "lab"))
-        right = table.column("side").to_numpy() == 1
-        rows = np.repeat(np.arange(len(rep)), np.diff(at))
-        _, token, seen = np.unique(flat, return_inverse=True, return_counts=True)
-        again = seen > 1  # others are in one set only
-        number = np.cumsum(again) - 1
-        keep = again[token]
-        rows, token = rows[keep], number[token[keep]]
-        order = np.argsort(token, kind="stable")
-        rows, token = rows[order], token[order]
-        ls = np.flatnonzero(~right)
-        rs = np.flatnonzero(right) if right.any() else ls
-        common = np.zeros((len(ls), len(rs)), np.float64)
-        step = 4096
-        for lo in range(0, int(again.sum()), step):
-            i, j = np.searchsorted(token, [lo, lo + step])
-            m = np.zeros((len(rep), step), np.float32)
-            m[rows[i:j], token[i:j] - lo] = 1
-            common += m[ls] @ m[rs].T
-        n = np.diff(at)
-        linked = 100 * common >= percent * (n[ls][:, None] + n[rs][None, :] - common)
-        linked &= lab[ls][:, None] != lab[rs][None, :]
-        low_l, low_r = rep[ls].copy(), rep[rs].copy()
-        while linked.any():  # the smallest id that each member reaches
-            big = np.iinfo(np.int64).max
-            new_r = np.minimum(low_r, np.where(linked, low_l[:, None], big).min(0))
-            new_l = np.minimum(low_l, np.where(linked, new_r[None, :], big).min(1))
-            if (new_r == low_r).all() and (new_l == low_l).all():
-                break
-            low_l, low_r = new_l, new_r
-        src, dst = np.concatenate([rep[ls], rep[rs]]), np.concatenate([low_l, low_r])
-        out = src != dst
-        return pa.table({"src": src[out], "dst": dst[out]})
-
-    return run
-
-
-def list_sets(column) -> tuple[np.ndarray, np.ndarray]:
-    """(values, offsets from 0) of a list column without nulls."""
-    column = column.combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = column.chunk(0)
-    at = column.offsets.to_numpy()
-    return column.values.to_numpy()[at[0] : at[-1]], at - at[0]
-
-
-def _block_links(members: DataFrame, sets: DataFrame, percent: int, to_sets: Callable) -> DataFrame:
-    """Links between members (grp, rep, n, lab, cls) of large groups, block against block.
-
-    A link needs sizes within percent, so blocks of size class cls meet those of
-    cls and cls + 1 only.
+def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """``rows`` with lab: the component of rep, or rep itself."""
+    out = rows.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("lab")), "rep", "left")
+    return out.withColumn("lab", F.coalesce("lab", "rep"))
+
+
+def _mixed(scratch: Scratch, buckets: DataFrame, comp: DataFrame, sizes: DataFrame | None = None, hot: list | None = None) -> DataFrame:
+    """The members of buckets (key, rep, n) in several components, with lab and the bucket's size k; n is from ``sizes`` if given."""
+    hot = hot_keys(buckets, "key") if hot is None else hot
+    member = _labelled(buckets.select("key", "rep", *["n"] * (sizes is None)), comp)
+    keys = member.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", "k")
+    out = lookup(member, ["key"], keys, "inner", hot)
+    return scratch.save(out if sizes is None else out.join(sizes, "rep"), large=F.count_if(F.col("k") > SMALL))
+
+
+def _stars(mixed: DataFrame, hot: list, percent: int) -> DataFrame:
+    """(src, dst): members of mixed buckets with CENTRES of the bucket's members, if in another component and of fitting size."""
+    out = None
+    for turn in range(CENTRES):
+        order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("ld"))
+        centre = mixed.groupBy("key").agg(F.min(order).alias("c")).select("key", "c.dst", "c.nd", "c.ld")
+        star = lookup(mixed.select("key", "rep", "n", "lab"), ["key"], centre, "inner", hot)
+        star = star.where("lab <> ld").where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)").select(F.col("rep").alias("src"), "dst")
+        out = star if out is None else out.union(star)
+    return out
+
+
+def prefixes(scratch: Scratch, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, n, lab, at, index) of sets (rep, n, lab, payload): elements by which sets of several labels can meet.
+
+    at is the element's place in the set's order, index whether it belongs to the shorter prefix that a smaller set needs.
     """
-    cut = members.groupBy("grp", "cls").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).alias("nb"))
-    block = cut.select("grp", "cls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("blk"))
-    right = block.select("grp", F.col("cls").alias("cls2"), F.col("blk").alias("blk2"))
-    both = block.join(right, "grp").where("(cls = cls2 and blk <= blk2) or cls + 1 = cls2")
-    both = both.withColumn("pair", F.struct("grp", "cls", "blk", "cls2", "blk2"))
-    uses = both.select("pair", "grp", "cls", "blk", F.lit(0).alias("side"))
-    uses = uses.union(both.where("cls <> cls2 or blk <> blk2").select("pair", "grp", F.col("cls2").alias("cls"), F.col("blk2").alias("blk"), F.lit(1).alias("side")))
-    placed = members.join(cut, ["grp", "cls"]).withColumn("blk", F.expr("pmod(xxhash64(rep), nb)"))
-    rows = placed.join(uses, ["grp", "cls", "blk"]).join(sets.select("rep", "payload"), "rep").select("pair", "side", "rep", "lab", "payload")
-    return rows.groupBy("pair").applyInArrow(_compare_blocks(percent, to_sets), "src long, dst long")
-
-
-def similar_components(scratch: Scratch, met: DataFrame, payload: DataFrame, percent: int, confirm: Callable = confirm_sets, to_sets: Callable = list_sets) -> DataFrame:
-    """(node, component) of the links among the pairs ``met`` (src, dst) and what they lead to.
-
-    payload: (rep, n, payload) of every member, n the size of its set.  confirm(pairs,
-    payload, percent) keeps similar pairs; to_sets(column) gives (values, offsets)
-    of a payload column for block comparison.
+    one = scratch.save(sets.select("rep", "n", "lab", F.explode("payload").alias("key")))
+    seen = one.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi").select("key", "k")
+    shared = lookup(one, ["key"], seen, "inner")
+    own = shared.groupBy("rep", "n", "lab").agg(F.sort_array(F.collect_list(F.struct("k", "key"))).alias("s"))
+    alone = F.col("n") - F.size("s")
+    out = own.select("rep", "n", "lab", alone.alias("alone"), F.posexplode("s").alias("at", "e")).withColumn("at", F.col("at") + F.col("alone"))
+    most = lambda a, b: F.expr(f"n - ((n * {a} + {b} - 1) div {b})")  # noqa: E731  n - ceil(n * a / b)
+    out = out.withColumn("index", F.col("at") <= most(2 * percent, 100 + percent))
+    out = scratch.save(out.where(F.col("at") <= most(percent, 100)).select(F.col("e.key").alias("key"), "rep", "n", "lab", "at", "index"))
+    scratch.drop(one)
+    return out
+
+
+def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(src, dst) across labels that share an element of their prefixes and can still have enough elements in common."""
+    small = rows.where("index").select("key", F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("ld"), F.col("at").alias("atd"))
+    both = rows.join(small, "key").where("lab <> ld and (nd < n or (nd = n and dst < rep))").where(f"100 * nd >= {percent} * n")
+    both = both.where(f"{100 + percent} * least(n - at, nd - atd) >= {percent} * (n + nd)")
+    return both.select(F.least("rep", "dst").alias("src"), F.greatest("rep", "dst").alias("dst")).distinct()
+
+
+def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, payload: DataFrame, percent: int, confirm: Callable = confirm_sets, to_sets: Callable = lambda p: p) -> DataFrame:
+    """(node, component) of all links between members of a bucket.
+
+    met: (src, dst), written: each member with a first centre, of fitting size.  buckets: (key, rep), written: the
+    members of all buckets with two or more.  payload: (rep, n, payload), n the size of the set.  confirm(pairs,
+    payload, percent) keeps similar pairs; to_sets(payload) gives the sets as arrays of longs in place of other payloads.
     """
-    fits = f"100 * least(n, nd) >= {percent} * greatest(n, nd)"
-    sizes = payload.select(F.col("rep").alias("src"), "n")
-    star = met.join(sizes, "src").join(sizes.select(F.col("src").alias("dst"), F.col("n").alias("nd")), "dst")
-    star = scratch.save(star.where(fits).select("src", "dst"))
-    first = star.groupBy("src").agg(F.min("dst").alias("dst"))
-    comp = connected_components(scratch, confirm(first, payload, percent))
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        x = comp.select(F.col("node").alias("src"), F.col("component").alias("cx"))
-        y = comp.select(F.col("node").alias("dst"), F.col("component").alias("cy"))
-        out = pairs.join(x, "src", "left").join(y, "dst", "left")
-        return out.where("coalesce(cx, src) <> coalesce(cy, dst)").select("src", "dst")
-
-    def extend(links: DataFrame) -> DataFrame:
-        more = comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(links)
-        return connected_components(scratch, more)
-
-    rest = star.join(first.select("src", F.col("dst").alias("tried")), "src").where("dst <> tried").select("src", "dst")
-    more = scratch.save(confirm(apart(rest), payload, percent))
-    if not is_empty(more):
-        comp = extend(more)
-
-    group = connected_components(scratch, met)
-    member = group.join(payload.select(F.col("rep").alias("node"), "n"), "node").join(comp.select("node", F.col("component").alias("lab")), "node", "left")
-    member = member.select(F.col("component").alias("grp"), F.col("node").alias("rep"), "n", F.coalesce("lab", "node").alias("lab"))
-    member = member.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int"))
-    mixed = member.groupBy("grp").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("grp", "k")
-    mixed = scratch.save(member.join(mixed, "grp"))
-    if not is_empty(mixed):
-        small = mixed.where(F.col("k") <= SMALL_GROUP)
-        other = small.select("grp", F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("labd"))
-        pairs = small.join(other, "grp").where("rep < dst and lab <> labd").where(fits).select(F.col("rep").alias("src"), "dst")
-        tried = star.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-        found = confirm(pairs.join(tried, ["src", "dst"], "left_anti"), payload, percent)
-        more = scratch.save(found.union(_block_links(mixed.where(F.col("k") > SMALL_GROUP), payload, percent, to_sets)))
-        if not is_empty(more):
-            comp = extend(more)
-    scratch.drop(star, mixed)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.save(pairs)
+        out = scratch.save(confirm(pairs, payload, percent))
+        scratch.drop(pairs)
+        return out
+
+    def extended(pairs: DataFrame) -> DataFrame:
+        links = confirmed(pairs)
+        out = extend_components(scratch, comp, links) if links.counts["rows"] else comp
+        scratch.drop(links)
+        return out
+
+    first = met.groupBy("src").agg(F.min("dst").alias("dst"))
+    links = confirmed(first)
+    comp = connected_components(scratch, links)
+    scratch.drop(links)
+    mixed = _mixed(scratch, buckets, comp, payload.select("rep", "n"))
+    small, large = mixed.where(F.col("k") <= SMALL), mixed.where(F.col("k") > SMALL)
+    other = small.select("key", F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("ld"))
+    pairs = small.join(other, "key").where("rep < dst and lab <> ld").where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)")
+    pairs = pairs.select(F.col("rep").alias("src"), "dst").union(_stars(large, hot_keys(mixed, "key"), percent))
+    tried = first.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    pairs = pairs.join(tried, ["src", "dst"], "left_anti")
+    if mixed.counts["rows"]:
+        comp = extended(pairs.distinct())
+    again = _mixed(scratch, large, comp, hot=hot_keys(mixed, "key")) if mixed.counts["large"] else None
+    if again and again.counts["rows"]:
+        sets = _labelled(to_sets(payload.join(again.select("rep").distinct(), "rep", "left_semi")), comp)
+        rows = prefixes(scratch, sets, percent)
+        crowded = _mixed(scratch, rows, comp)
+        comp = extended(_stars(crowded, hot_keys(crowded, "key"), percent).distinct())
+        comp = extended(_prefix_pairs(_labelled(rows.drop("lab"), comp), percent))
+        scratch.drop(rows, crowded)
+    scratch.drop(mixed)
     return comp
