@@ -30,7 +30,7 @@ from .vectors import as_floats, matrix, norms, unit, usable
 #: Rows that the rotations and the slack are learned from, at most (about).
 SAMPLE_ROWS = 8192
 #: Rows of a shard and queries of a block, about; a task holds one of each.
-SHARD_ROWS, QUERY_ROWS = 16384, 2048
+SHARD_ROWS, QUERY_ROWS = 65536, 512
 #: Bits of a substring, and the numbers that differ from 0 in 0, 1, ... of them.
 SUB = 16
 BALLS = [np.flatnonzero(np.bitwise_count(np.arange(1 << SUB, dtype=np.uint32)) == t) for t in range(SUB + 1)]
@@ -117,28 +117,43 @@ def fit(sample: np.ndarray, n_bits: int, k: int, recall: float, seed: int) -> Co
 
 
 class SubstringIndex:
-    """For each substring, which rows have which value."""
+    """For each substring, the rows of each value: its buckets."""
 
     def __init__(self, codes: np.ndarray):
         self.m = codes.shape[1]
-        self.words = np.pad(codes, ((0, 0), (0, -self.m % 4))).view(np.uint64)
+        self.words = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -self.m % 4))).view(np.uint64).T)
         self.order = [np.argsort(codes[:, i], kind="stable").astype(np.int32) for i in range(self.m)]
-        self.first = [np.searchsorted(codes[self.order[i], i], np.arange((1 << SUB) + 1)) for i in range(self.m)]
+        self.first = [np.searchsorted(codes[self.order[i], i], np.arange((1 << SUB) + 1)).astype(np.int32) for i in range(self.m)]
+        self.occupied = [np.flatnonzero(np.diff(f)).astype(np.uint16) for f in self.first]
+
+    def _buckets(self, i: int, value: int):
+        """For t = 0, 1, ...: the values of buckets at distance t.  All values at the distance are tried as long as they are
+        few next to the occupied buckets; then the occupied ones are put in order of their distance."""
+        t = 0
+        while t <= SUB and 16 * len(BALLS[t]) < len(self.occupied[i]):
+            yield BALLS[t] ^ value
+            t += 1
+        apart = np.bitwise_count(self.occupied[i] ^ np.uint16(value))
+        by = np.argsort(apart, kind="stable")
+        cut = np.searchsorted(apart[by], np.arange(t, SUB + 2))
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            yield self.occupied[i][by[lo:hi]].astype(np.int64)
 
     def probe(self, code: np.ndarray):
-        """(radius, new rows, their distances): all codes within a radius have come by the time it is yielded."""
+        """(radius, listed rows, their distances): all codes within a radius have come by the time it is yielded; rows come again."""
         word = np.pad(code, (0, -self.m % 4)).view(np.uint64)
-        seen = np.zeros(len(self.words), bool)
-        for t, ball in enumerate(BALLS):
+        buckets = [self._buckets(i, int(code[i])) for i in range(self.m)]
+        for t in range(SUB + 1):
             for i in range(self.m):
-                order, first = self.order[i], self.first[i]
-                values = ball ^ int(code[i])
-                lo, size = first[values], first[values + 1] - first[values]
-                lo, size = lo[size > 0], size[size > 0]
-                rows = order[np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)]
-                rows = rows[~seen[rows]]
-                seen[rows] = True
-                yield t * self.m + i, rows, np.bitwise_count(self.words[rows] ^ word).sum(1, dtype=np.int32)
+                first, values = self.first[i], next(buckets[i])
+                lo = first[values]
+                size = first[values + 1] - lo
+                ends = np.cumsum(size)
+                rows = self.order[i][np.repeat(lo - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+                apart = np.zeros(len(rows), np.uint8)
+                for words, w in zip(self.words, word):
+                    apart += np.bitwise_count(words[rows] ^ w)
+                yield t * self.m + i, rows, apart
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """The rows of every code within ``radius``."""
@@ -147,27 +162,32 @@ class SubstringIndex:
             out.append(rows[apart <= radius])
             if r >= radius:
                 break
-        return np.sort(np.concatenate(out))
+        return np.unique(np.concatenate(out))
 
 
 def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, coder: Coder, k: int) -> tuple[list, np.ndarray]:
-    """([(rows, scores) of each query's best], rows that the probed buckets listed for each query)."""
+    """([(rows, scores) of each query's best], entries that the probed buckets listed for each query)."""
     top = norms(x).max()
     index, qcodes, qnorm = SubstringIndex(encode(lift(x, top), coder.turns)), encode_queries(q, coder.turns), norms(q)
     out, listed = [], np.zeros(len(q), np.int64)
     for j in range(len(q)):
-        rows, scores, limit = np.zeros(0, np.int32), np.zeros(0), np.inf
+        rows, scores, limit = np.zeros(0, np.int32), np.zeros(0), 255.0
+        seen = ids == qids[j]
         for r, new, apart in index.probe(qcodes[j]):
             listed[j] += len(new)
-            new = new[(apart <= limit) & (ids[new] != qids[j])]
+            new = new[apart <= limit]
+            new = new[~seen[new]]
             if len(new):
-                rows, scores = np.append(rows, new), np.append(scores, (x[new] * q[j]).sum(1))
+                seen[new] = True
+                rows, scores = np.append(rows, new), np.append(scores, x[new] @ q[j])
                 if len(rows) >= k:
-                    keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+                    limit = min(limit, coder.radius(least, qnorm[j] * top))
+                    keep = scores >= least - 1e-9 * abs(least)  # what rounding may still reorder
                     rows, scores = rows[keep], scores[keep]
-                    limit = min(limit, coder.radius(scores.min(), qnorm[j] * top))
             if r >= limit:
                 break
+        scores = (x[rows] * q[j]).sum(1)
         best = np.lexsort((ids[rows], -scores))[:k]
         out.append((rows[best], scores[best]))
     return out, listed
