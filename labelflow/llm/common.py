@@ -88,13 +88,13 @@ def lookup(rows: DataFrame, keys: list[str], table: DataFrame, how: str = "left"
     """``rows`` joined with ``table``, which has one row per key, so that no key's rows meet in one task.
 
     ``rows`` is a written table, or ``hot`` its hot keys.  Rows with a hot value in the first key are joined
-    by broadcasting the table's rows for those values, HOT_PARTS at most; all others by a usual join.
+    by broadcasting the table's rows for those values, HOT_PARTS at most; all others are dealt out by key at any size.
     """
     hot = hot_keys(rows, keys[0]) if hot is None else hot
     if not hot:
-        return rows.join(table, keys, how)
+        return rows.hint("merge").join(table, keys, how)
     is_hot = F.coalesce(F.col(keys[0]).isin([k for k, _ in hot]), F.lit(False))
-    return rows.where(is_hot).join(F.broadcast(table.where(is_hot)), keys, how).unionByName(rows.where(~is_hot).join(table, keys, how))
+    return rows.where(is_hot).join(F.broadcast(table.where(is_hot)), keys, how).unionByName(rows.where(~is_hot).hint("merge").join(table, keys, how))
 
 
 def connected_components(scratch: Scratch, edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:

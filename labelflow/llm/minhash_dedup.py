@@ -13,7 +13,8 @@ The steps:
 2. Documents with equal sets become one class at once (a partial aggregation).
 3. Half keys of A that only one class has are dropped before tables are formed.
 4. Each bucket links its members to its smallest member (a star, not all pairs).
-5. Links are confirmed on full shingle sets and completed across the buckets (see ``similar``).
+5. Pairs whose half keys hardly agree are left out.
+6. Links are confirmed on full shingle sets and completed across the buckets (see ``similar``).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .common import Scratch, hot_keys, lookup, with_smallest
-from .similar import similar_components
+from .similar import similar_components, with_payloads
 
 
 def _sketcher(width: int, side: int, seed: int):
@@ -75,6 +76,18 @@ def _set_builder(width: int):
     return run
 
 
+#: Of two sketches' 4 * side minhashes in pairs, so many pairs agree at least if the similarity is 0.8, but for a chance of 4e-5 at side 10.
+LEAST_HALVES = 5
+
+
+def _sift(reps: DataFrame, side: int, percent: int):
+    """Keeps the pairs of classes whose half keys agree often enough; all pairs at other thresholds than it is worked out for."""
+    if side < 10 or percent < 80:
+        return None
+    halves = reps.select("rep", F.concat("a", "b").alias("payload"))
+    return lambda pairs: with_payloads(pairs, halves).where(F.size(F.array_intersect("sx", "sy")) >= LEAST_HALVES).select("src", "dst")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: int = 10, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose word-shingle sets are similar.
 
@@ -113,7 +126,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
     wanted = reps.join(star.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "d1", "d2")
     texts = base.hint("merge").join(wanted, "doc_id").select("rep", "d1", "d2", "text")
     sets = scratch.save(texts.mapInArrow(_set_builder(width), "rep long, n long, payload array<long>").dropDuplicates(["rep"]))
-    comp = similar_components(scratch, met, star, sets, percent)
+    comp = similar_components(scratch, met, star, sets, percent, sift=_sift(reps, side, percent))
 
     named = with_smallest(scratch, reps.select("rep", "d1", "d2", F.col("n").alias("n_shingles"), "doc_id"), comp, "doc_id").select("d1", "d2", "n_shingles", "component_id")
     out = lookup(sketch.select("doc_id", "n_shingles", "d1", "d2"), ["d1", "d2", "n_shingles"], named, hot=hot_keys(sketch, "d1"))

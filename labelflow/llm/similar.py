@@ -57,7 +57,7 @@ def confirm_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """``rows`` with lab: the component of rep, or rep itself."""
-    out = rows.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("lab")), "rep", "left")
+    out = rows.hint("merge").join(comp.select(F.col("node").alias("rep"), F.col("component").alias("lab")), "rep", "left")
     return out.withColumn("lab", F.coalesce("lab", "rep"))
 
 
@@ -67,7 +67,7 @@ def _mixed(scratch: Scratch, buckets: DataFrame, comp: DataFrame, sizes: DataFra
     member = _labelled(buckets.select("key", "rep", *["n"] * (sizes is None)), comp)
     keys = member.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", "k")
     out = lookup(member, ["key"], keys, "inner", hot)
-    return scratch.save(out if sizes is None else out.join(sizes, "rep"), large=F.count_if(F.col("k") > SMALL))
+    return scratch.save(out if sizes is None else out.hint("merge").join(sizes, "rep"), large=F.count_if(F.col("k") > SMALL))
 
 
 def _stars(mixed: DataFrame, hot: list, percent: int) -> DataFrame:
@@ -103,21 +103,26 @@ def prefixes(scratch: Scratch, sets: DataFrame, percent: int) -> DataFrame:
 def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(src, dst) across labels that share an element of their prefixes and can still have enough elements in common."""
     small = rows.where("index").select("key", F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("ld"), F.col("at").alias("atd"))
-    both = rows.join(small, "key").where("lab <> ld and (nd < n or (nd = n and dst < rep))").where(f"100 * nd >= {percent} * n")
+    both = rows.hint("merge").join(small, "key").where("lab <> ld and (nd < n or (nd = n and dst < rep))").where(f"100 * nd >= {percent} * n")
     both = both.where(f"{100 + percent} * least(n - at, nd - atd) >= {percent} * (n + nd)")
     return both.select(F.least("rep", "dst").alias("src"), F.greatest("rep", "dst").alias("dst")).distinct()
 
 
-def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, payload: DataFrame, percent: int, confirm: Callable = confirm_sets, to_sets: Callable = lambda p: p) -> DataFrame:
+def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, payload: DataFrame, percent: int, confirm: Callable = confirm_sets, to_sets: Callable = lambda p: p, sift: Callable | None = None) -> DataFrame:
     """(node, component) of all links between members of a bucket.
 
     met: (src, dst), written: each member with a first centre, of fitting size.  buckets: (key, rep), written: the
     members of all buckets with two or more.  payload: (rep, n, payload), n the size of the set.  confirm(pairs,
     payload, percent) keeps similar pairs; to_sets(payload) gives the sets as arrays of longs in place of other payloads.
+    sift(pairs), if given, leaves out written pairs that are too far apart to be worth moving whole sets for.
     """
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs)
+        if sift is not None and pairs.counts["rows"]:
+            near = scratch.save(sift(pairs))
+            scratch.drop(pairs)
+            pairs = near
         out = scratch.save(confirm(pairs, payload, percent))
         scratch.drop(pairs)
         return out
@@ -135,7 +140,7 @@ def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, pay
     mixed = _mixed(scratch, buckets, comp, payload.select("rep", "n"))
     small, large = mixed.where(F.col("k") <= SMALL), mixed.where(F.col("k") > SMALL)
     other = small.select("key", F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("ld"))
-    pairs = small.join(other, "key").where("rep < dst and lab <> ld").where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)")
+    pairs = small.hint("merge").join(other, "key").where("rep < dst and lab <> ld").where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)")
     pairs = pairs.select(F.col("rep").alias("src"), "dst").union(_stars(large, hot_keys(mixed, "key"), percent))
     tried = first.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     pairs = pairs.join(tried, ["src", "dst"], "left_anti")
