@@ -68,14 +68,13 @@ def entropy(p: Column) -> Column:
     return -F.sum(F.when(p > 0, p * F.log(p)).otherwise(0.0))
 
 
-def eligibility(need: dict[str, Column], host: dict[str, Column], leq: Column) -> Column:
-    """The first reason why a host cannot run an agent, or null.
-
-    need: executable, pin (a name or null), cpu, memory; host: name, alive, agents, max_agents, executables, cpu, memory.
-    """
-    return (
-        F.when(~host["alive"], "dead").when(host["agents"] >= host["max_agents"], "full")
-        .when(~F.array_contains(host["executables"], need["executable"]), "executable")
-        .when(need["pin"].isNotNull() & (need["pin"] != host["name"]), "pinned elsewhere")
-        .when(~leq, "label above host").when((need["cpu"] > host["cpu"]) | (need["memory"] > host["memory"]), "capacity")
-    )
+def merged(first: Column, then: Column) -> Column:
+    """Two maps as one object; where both have a key, ``then`` wins.  A null map counts as empty."""
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    a, b = F.coalesce(first, empty), F.coalesce(then, empty)
+    return F.map_concat(F.map_filter(a, lambda k, v: ~F.array_contains(F.map_keys(b), k)), b)
+
+
+def plus_duration(ns: Column, text: str, sign: int = 1) -> Column:
+    """A number of nanoseconds plus, or minus, a duration literal."""
+    return ns + F.lit(sign * duration(text))

@@ -7,6 +7,7 @@ bit mask, so the mask of a join is the AND of masks, joins aggregate with ``bit_
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -126,24 +127,24 @@ class Lattice:
         return [(a, b) for a in self.labels for b in self.labels if a != b and self.leq(a, b) and not any(x not in (a, b) and self.leq(a, x) and self.leq(x, b) for x in self.labels)]
 
     # --- as columns
-    def _map(self, table: dict) -> Column:
+    def as_map(self, table: dict) -> Column:
         return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 
     def up_mask(self, label: Column) -> Column:
-        return F.element_at(self._map({x: m for x, m in self.up.items()}), label)
+        return F.element_at(self.as_map({x: m for x, m in self.up.items()}), label)
 
     def down_mask(self, label: Column) -> Column:
-        return F.element_at(self._map(self.down), label)
+        return F.element_at(self.as_map(self.down), label)
 
     def from_up(self, mask: Column) -> Column:
         """The label of an up mask; a mask of no single label stands for the top."""
-        return F.coalesce(F.element_at(self._map({m: x for x, m in self.up.items()}), mask), F.lit(self.top))
+        return F.coalesce(F.element_at(self.as_map({m: x for x, m in self.up.items()}), mask), F.lit(self.top))
 
     def from_down(self, mask: Column) -> Column:
-        return F.coalesce(F.element_at(self._map({m: x for x, m in self.down.items()}), mask), F.lit(self.bottom))
+        return F.coalesce(F.element_at(self.as_map({m: x for x, m in self.down.items()}), mask), F.lit(self.bottom))
 
     def col_leq(self, a: Column, b: Column) -> Column:
-        return self.up_mask(a).bitwiseAND(F.element_at(self._map(self.bit), b)) != 0
+        return self.up_mask(a).bitwiseAND(F.element_at(self.as_map(self.bit), b)) != 0
 
     def col_join(self, *labels: Column) -> Column:
         mask = self.up_mask(labels[0])
@@ -182,6 +183,52 @@ def emitted(df: DataFrame, lattice: Lattice, name: str = "_label") -> DataFrame:
     return out.where(F.col(name) != lattice.bottom) if lattice.strict else out
 
 
+def within_range(df: DataFrame, lattice: Lattice, lo: str, hi: str, name: str = "_label") -> DataFrame:
+    """``df`` with the labels that a stage reports bound to lo..hi: a missing one counts as ``hi``, and so does one outside, with _out_of_range."""
+    label = F.coalesce(F.col(name), F.lit(hi))
+    inside = label.isin(lattice.interval(lo, hi))
+    return df.withColumn("_out_of_range", ~inside).withColumn(name, F.when(inside, label).otherwise(hi))
+
+
+def sink_check(df: DataFrame, lattice: Lattice, sinks: list[str], names: tuple[str, ...] = ("_label",)) -> DataFrame:
+    """``df`` with _violation: the join of its labels may not flow to the meet of the sinks' labels.  Rows without any label pass."""
+    masks = [F.coalesce(lattice.up_mask(F.col(n)), F.lit(-1).cast("long")) for n in names]
+    joined = masks[0]
+    for m in masks[1:]:
+        joined = joined.bitwiseAND(m)
+    return df.withColumn("_violation", joined.bitwiseAND(F.lit(lattice.bit[lattice.meet(*sinks)]).cast("long")) == 0)
+
+
+class FlowRules:
+    """Read and write rules between labels: ``a -> b`` and ``b <- a`` allow a flow, ``a -/> b`` and ``b </- a`` forbid it, the later rule wins."""
+
+    RULE = re.compile(r"\s*(\S+)\s+(->|-/>|<-|</-)\s+(\S+)\s*")
+
+    def __init__(self, rules: list[str]):
+        self.edges: dict[tuple[str, str], bool] = {}
+        for r in rules:
+            if not (m := self.RULE.fullmatch(r)):
+                raise LatticeError("E0710", f"not a rule: {r}")
+            a, arrow, b = m.groups()
+            self.edges.pop(pair := (a, b) if arrow[0] == "-" else (b, a), None)
+            self.edges[pair] = "/" not in arrow
+        self.labels = list(dict.fromkeys(x for e in self.edges for x in e))
+
+    def distances(self) -> dict[tuple[str, str], int]:
+        """The fewest allowed flows from label to label; pairs that no chain of flows connects are missing."""
+        out = {(x, x): 0 for x in self.labels}
+        for x in self.labels:
+            ring, d = {x}, 0
+            while ring:
+                d += 1
+                ring = {b for (a, b), ok in self.edges.items() if ok and a in ring and (x, b) not in out}
+                out |= {(x, b): d for b in ring}
+        return out
+
+    def may_flow(self, a: str, b: str) -> bool:
+        return (a, b) in self.distances() and self.edges.get((a, b), True)
+
+
 def taint(df: DataFrame, lattice: Lattice, instance: str, order: str, name: str = "_label") -> DataFrame:
     """``df`` with _taint: the join of all labels its instance has received up to the row."""
     out = running(df, order, (instance,), _taint_mask=("bit_and", lattice.up_mask(F.col(name))))
@@ -190,7 +237,7 @@ def taint(df: DataFrame, lattice: Lattice, instance: str, order: str, name: str
 
 def first_compartment(df: DataFrame, lattice: Lattice, instance: str, order: str, name: str = "_label") -> DataFrame:
     """Rows in the compartment of their instance's first labelled row; labels of none always pass."""
-    comp = F.element_at(lattice._map(lattice.compartment), F.col(name))
+    comp = F.element_at(lattice.as_map(lattice.compartment), F.col(name))
     first = df.where(comp.isNotNull()).groupBy(instance).agg(F.min_by(comp, order).alias("_first"))
     out = df.join(first, instance, "left")
     return out.where(comp.isNull() | F.col("_first").isNull() | (comp == F.col("_first"))).drop("_first")

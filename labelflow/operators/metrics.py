@@ -111,3 +111,24 @@ def downsample(df: DataFrame, keys: tuple, time: str, order: str, step: int) ->
     d = d.withColumn("_c", F.least(F.col("_i"), F.col("_i") + F.col("_m")))
     d = d.withColumn("_before", F.lag("_c", 1, 0).over(w))
     return d.where("_c > _before").drop("_i", "_t", "_m", "_c", "_before")
+
+
+def apply_feed(snapshot: DataFrame, version: int, feed: DataFrame, key: str, seq: str, action: str, value: str) -> DataFrame:
+    """(key, value): a snapshot (key, value) taken at ``version`` with the change feed applied to it.
+
+    Changes up to the version are in the snapshot already and count no more; a change that the feed repeats
+    counts once.
+    """
+    start = snapshot.select(key, F.lit(version).cast("long").alias(seq), F.lit("set").alias(action), value)
+    return registry_fold(start.unionByName(feed.where(F.col(seq) > version).select(key, F.col(seq).cast("long").alias(seq), action, value)), key, seq, action, value)
+
+
+def latest_keys(df: DataFrame, key: str, order: str, value: str, n: int = 300) -> DataFrame:
+    """(key, value): a bounded map's content: the ``n`` keys that were inserted last, each with the value it was set to last."""
+    state = df.groupBy(key).agg(F.min(order).alias("_in"), F.max_by(value, order).alias(value))
+    return state.orderBy(F.desc("_in")).limit(n).select(key, value)
+
+
+def agent_usage(df: DataFrame, agent: str, rss: str, cpu: str) -> DataFrame:
+    """(agent, max_rss, mean_cpu) of resource records."""
+    return df.groupBy(agent).agg(F.max(rss).alias("max_rss"), F.avg(cpu).alias("mean_cpu"))

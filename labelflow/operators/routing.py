@@ -1,9 +1,9 @@
-"""Routing rows to instances: key groups, lanes, weights, drift, eligibility."""
+"""Routing rows to instances: key groups, lanes, compartments, weights, drift."""
 
 from __future__ import annotations
 
-import pandas as pd
-import xxhash
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,10 +22,52 @@ def canonical(*cols: tuple[str, Column]) -> Column:
     return F.concat(*out)
 
 
-@F.pandas_udf(T.LongType())
-def xxh64(data: pd.Series) -> pd.Series:
+# The five primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotl(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def hash_rows(data: np.ndarray) -> np.ndarray:
+    """XXH64 with seed 0 of the rows of a byte matrix, all rows at once."""
+    rows, n = data.shape
+    lane = lambda at, width: np.ascontiguousarray(data[:, at : at + width]).view(f"<u{width}").astype(np.uint64)[:, 0]
+    turn = lambda acc, x: _rotl(acc + x * _P2, 31) * _P1
+    zero, at = np.zeros(rows, np.uint64), 0
+    if n >= 32:
+        acc = [zero + _P1 + _P2, zero + _P2, zero, zero - _P1]
+        while at + 32 <= n:
+            acc = [turn(a, lane(at + 8 * k, 8)) for k, a in enumerate(acc)]
+            at += 32
+        h = sum((_rotl(a, r) for a, r in zip(acc, (1, 7, 12, 18))), zero)
+        for a in acc:
+            h = (h ^ turn(zero, a)) * _P1 + _P4
+    else:
+        h = zero + _P5
+    h = h + np.uint64(n)
+    for width, mul, rot, by, add in ((8, None, 27, _P1, _P4), (4, _P1, 23, _P2, _P3), (1, _P5, 11, _P1, np.uint64(0))):
+        while at + width <= n:
+            x = lane(at, width)
+            h = _rotl(h ^ (turn(zero, x) if mul is None else x * mul), rot) * by + add
+            at += width
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
+@F.arrow_udf(T.LongType())
+def xxh64(data: pa.Array) -> pa.Array:
     """XXH64 with seed 0 as a signed long; Spark's own xxhash64 has another seed and encoding."""
-    return data.map(lambda b: None if b is None else (h := xxhash.xxh64_intdigest(bytes(b))) - ((h >> 63) << 64)).astype("Int64")
+    data = data.cast(pa.binary())
+    out, size = np.zeros(len(data), np.int64), data.fill_null(b"").cast(pa.binary())
+    at = np.frombuffer(size.buffers()[1], np.int32)[size.offset : size.offset + len(size) + 1]
+    flat = np.frombuffer(size.buffers()[2], np.uint8) if size.buffers()[2] is not None else np.zeros(0, np.uint8)
+    for n in np.unique(np.diff(at)).tolist():
+        rows = np.flatnonzero(np.diff(at) == n)
+        out[rows] = hash_rows(flat[at[rows][:, None] + np.arange(n)]).view(np.int64)
+    return pa.array(out, mask=~np.asarray(data.is_valid().to_numpy(zero_copy_only=False), bool))
 
 
 def key_group(encoded: Column, groups: int = 128) -> Column:
@@ -53,6 +95,21 @@ def lanes(labels: DataFrame, lattice: Lattice, tops: list[str], name: str = "lab
     return labels.withColumn("lane", lane)
 
 
+def compartment_groups(df: DataFrame, lattice: Lattice, group: Column, name: str = "_label") -> DataFrame:
+    """``df`` with route: its key group within the lane of its label's compartment (null for a label of none), so compartments never share an instance."""
+    lane = F.element_at(lattice.as_map(lattice.compartment), F.col(name))
+    return df.withColumn("route", F.when(lane.isNotNull(), F.concat_ws("/", lane.cast("string"), group.cast("string"))))
+
+
+def queued(df: DataFrame, waiting: DataFrame | None, lattice: Lattice, ceilings: list[str], name: str = "_label") -> tuple[DataFrame, DataFrame]:
+    """(rows that some receiver may have, rows that wait for one): new rows together with those that ``waiting`` held so far."""
+    rows = df if waiting is None else waiting.unionByName(df)
+    free = F.lit(False)
+    for c in ceilings:
+        free = free | F.coalesce(lattice.col_leq(F.col(name), F.lit(c)), F.lit(False))
+    return rows.where(free), rows.where(~free)
+
+
 def broadcast_copies(df: DataFrame, lattice: Lattice, receivers: list[tuple[str, str]], name: str = "_label") -> DataFrame:
     """A copy of each row for each receiver (name, ceiling) that may have it; the receivers are a literal list."""
     all_of = F.array(*[F.struct(F.lit(r).alias("receiver"), F.lit(c).alias("ceiling")) for r, c in receivers])
@@ -60,52 +117,6 @@ def broadcast_copies(df: DataFrame, lattice: Lattice, receivers: list[tuple[str,
     return df.withColumn("_r", F.explode(fit)).withColumn("receiver", F.col("_r.receiver")).drop("_r")
 
 
-def weights(frequency: dict[str, float], allowed: dict[str, list[str]], share: dict[str, float]) -> tuple[dict, float]:
-    """(weight of each (label, receiver), deviation): loads as near to the shares as labels allow.
-
-    The least sum of |load - share| is a flow problem: push as much as the shares take along allowed
-    routes (augmenting paths), then give what is left of a label to its first receiver.
-    Labels without a receiver are left out and the rest scaled to 1.  Some dozens of labels and receivers.
-    """
-    freq = {x: p for x, p in frequency.items() if allowed.get(x)}
-    total = sum(freq.values()) or 1.0
-    left = {x: p / total for x, p in freq.items()}
-    room, w = dict(share), {}
-    while True:
-        # shortest path from a label with mass over routes, back over used routes, to a receiver with room
-        back, todo, end = {("l", x): None for x in left if left[x] > 1e-12}, [("l", x) for x in left if left[x] > 1e-12], None
-        while todo and end is None:
-            kind, x = todo.pop(0)
-            if kind == "l":
-                steps = [("r", r) for r in allowed[x]]
-            elif room.get(x, 0) > 1e-12:
-                end = ("r", x)
-                break
-            else:
-                steps = [("l", a) for (a, r), v in w.items() if r == x and v > 1e-12]
-            for s in steps:
-                if s not in back:
-                    back[s] = (kind, x)
-                    todo.append(s)
-        if end is None:
-            break
-        path = [end]
-        while back[path[-1]] is not None:
-            path.append(back[path[-1]])
-        path.reverse()
-        amount = min(left[path[0][1]], room[end[1]], *[w[b[1], a[1]] for a, b in zip(path, path[1:]) if a[0] == "r"], 1.0)
-        left[path[0][1]] -= amount
-        room[end[1]] -= amount
-        for a, b in zip(path, path[1:]):
-            key, sign = ((a[1], b[1]), 1) if a[0] == "l" else ((b[1], a[1]), -1)
-            w[key] = w.get(key, 0.0) + sign * amount
-    for x, p in left.items():
-        if p > 1e-12:
-            w[x, allowed[x][0]] = w.get((x, allowed[x][0]), 0.0) + p
-    load = {r: sum(v for (_, s), v in w.items() if s == r) for r in share}
-    return w, sum(abs(load[r] - share[r]) for r in share)
-
-
 def drift(observed: DataFrame, expected: DataFrame, edge: str = "edge", label: str = "label", least: int = 200, limit: float = 0.2) -> DataFrame:
     """(edge, n, distance, drifted): total-variation distance of observed labels from the (edge, label, p) expected."""
     got = observed.groupBy(edge, label).agg(F.count(F.lit(1)).alias("n"))
@@ -116,12 +127,6 @@ def drift(observed: DataFrame, expected: DataFrame, edge: str = "edge", label: s
     return out.select(edge, n.alias("n"), "distance", ((n >= least) & (F.col("distance") > limit)).alias("drifted"))
 
 
-def scale_decision(rate: Column, goal: Column, per_instance: Column, lo: int, hi: int) -> Column:
-    """Instances for a rate: ceil(max(rate, goal) / (0.8 * what one handles)), within lo and hi."""
-    need = F.ceil(F.greatest(rate, goal) / (per_instance * 0.8))
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), need)).cast("long")
-
-
 def weighted_pick(df: DataFrame, table: DataFrame, u: Column, label: str = "label") -> DataFrame:
     """``df`` with the receiver that each row's number ``u`` in [0, 1) picks among its label's weights.
 

@@ -2,35 +2,67 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelflow.tables import running, time_slices
+from labelflow.operators.ranks import RangeRanks, by_groups
+from labelflow.tables import first_reaching, running, time_slices
 
 
-def window_changelog(df: DataFrame, time: str = "ts", length: int = 3600) -> DataFrame:
-    """Add and Remove rows of a sliding window (t - length, t]: each row enters at its time and leaves ``length`` later."""
-    moves = F.array(F.struct(F.lit("Add").alias("action"), F.col(time).alias("at")), F.struct(F.lit("Remove").alias("action"), (F.col(time) + length).alias("at")))
-    return df.withColumn("_m", F.explode(moves)).select("*", F.col("_m.action").alias("action"), F.col("_m.at").alias("at")).drop("_m")
+def window_changelog(df: DataFrame, time: str = "ts", length: int = 3600, order: str = "seq") -> DataFrame:
+    """Add and Remove rows of a sliding window (t - length, t], with ``by``: the arrival that causes the move.
 
+    The greatest time seen drives the window.  Rows leave in the order they came, so a row goes, right before an arrival
+    is added, once that arrival's time is ``length`` beyond the greatest time up to the row itself.  Moves
+    happen in the order of by, then Remove before Add, then ``order``.  Rows that nothing drives out stay.
+    """
+    top = running(df, order, _top=("max", F.col(time)))
+    levels = top.select(F.col(order).alias("_at"), F.col("_top").alias("_level"))
+    gone = first_reaching(levels, top.select(*df.columns, (F.col("_top") + length).alias("_want")))
+    gone = gone.where("_first is not null").select(*df.columns, F.lit("Remove").alias("action"), F.col("_first").alias("by"))
+    return df.withColumn("action", F.lit("Add")).withColumn("by", F.col(order).cast("long")).unionByName(gone)
 
-def sliding_median(df: DataFrame, keys: tuple = (), time: str = "ts", value: str = "value", length: int = 3600, name: str = "median") -> DataFrame:
-    """``df`` with the exact median of ``value`` over the rows of its key in (t - length, t], later rows of t included."""
+
+def _medians(df: DataFrame, keys: tuple, time: str, order: list[str], value: str, length: int, name: str, first_only: bool) -> DataFrame:
+    """``df`` with the median of ``value`` over (t - length, t] of its key; whole windows lie in a row's time slice."""
     s = time_slices(df, time, length)
-    w = Window.partitionBy(*keys, "_slice").orderBy(time).rangeBetween(-(length - 1), 0)
-    return s.withColumn(name, F.percentile(value, 0.5).over(w)).where("_own").drop("_slice", "_own")
+    parts = [*keys, "_slice"]
+
+    def work(t: pa.Table, group: np.ndarray) -> pa.Table:
+        at = t.column(time).to_numpy()
+        low = int(at.min())
+        line = group * (2 * (int(at.max()) - low) + 2 * length + 2) + (at - low)  # groups far apart on one line
+        from_row = np.searchsorted(line, line - length, side="right")
+        first = np.searchsorted(line, line, side="left")
+        upto = first + 1 if first_only else np.searchsorted(line, line, side="right")
+        valid = t.column(value).is_valid().combine_chunks().to_numpy(zero_copy_only=False)
+        before = np.concatenate([[0], np.cumsum(valid)])
+        values = t.column(value).filter(pa.array(valid)).to_numpy().astype(np.float64)
+        want = t.column("_own").to_numpy()
+        if first_only:
+            want = want & (first == np.arange(len(at)))
+        rows = np.flatnonzero(want)
+        found = RangeRanks(values).median(before[from_row[rows]], before[upto[rows]])
+        out = t.take(pa.array(rows)).drop_columns(["_slice", "_own"])
+        return out.append_column(name, pa.array(found, mask=np.isnan(found)))
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{name}` double"
+    return by_groups(s, parts, [time, *order], work, kind)
+
+
+def sliding_median(df: DataFrame, keys: tuple = (), time: str = "ts", value: str = "value", length: int = 3600, name: str = "median") -> DataFrame:
+    """``df`` with the exact median of ``value`` over the rows of its key in (t - length, t], later rows of t included.
+
+    Times are whole numbers; null values do not count.
+    """
+    return _medians(df, keys, time, [], value, length, name, False)
 
 
 def first_reading_median(df: DataFrame, keys: tuple = (), time: str = "ts", order: str = "seq", value: str = "value", length: int = 3600, name: str = "median") -> DataFrame:
     """One row per key and time: the median over earlier rows of the window and the time's first row only."""
-    s = time_slices(df, time, length)
-    part = Window.partitionBy(*keys, "_slice")
-    earlier = part.orderBy(time).rangeBetween(-(length - 1), -1)
-    s = s.withColumn("_e", F.collect_list(value).over(earlier)).withColumn("_n", F.row_number().over(part.partitionBy(*keys, "_slice", time).orderBy(order)))
-    s = s.where("_own and _n = 1").withColumn("_v", F.array_sort(F.concat("_e", F.array(value))))
-    n = F.size("_v")
-    mid = (F.element_at("_v", F.floor((n + 1) / 2).cast("int")) + F.element_at("_v", F.floor(n / 2 + 1).cast("int"))) / 2
-    return s.select(*keys, time, order, mid.alias(name))
+    return _medians(df, keys, time, [order], value, length, name, True).select(*keys, time, order, name)
 
 
 def outlier_changes(plug_medians: DataFrame, global_medians: DataFrame, per_house: bool = True, day: int = 86400) -> DataFrame:

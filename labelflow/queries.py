@@ -158,6 +158,63 @@ def label_propagation(spark, sf_dir):
     return d.select("seq", F.col("total_label").alias("sum_label"), "total")
 
 
+@query(f"with {EL}, c as (select * from el where ({up('label')} & {LATTICE.bit['client']}) <> 0) select count(*) as total, count(*) filter (where ({up('label')} & {LATTICE.bit['client']}) = 0) as violated from c")
+def violations_after_check(spark, sf_dir):
+    """What a checked flow still violates: nothing."""
+    d = lb.check(lb.check(labelled(spark, sf_dir), LATTICE, F.lit("client")), LATTICE, F.lit("client"), enforce=False)
+    return d.agg(F.count(F.lit(1)).alias("total"), F.count_if("_violation").alias("violated"))
+
+
+def limit_labeller(limit: float):
+    """A labeller with a parameter of its graph."""
+    return F.when(F.col("value") > limit, "internal").otherwise(labeller())
+
+
+@query(f"with {EL} select seq, case when value > 100 then 'internal' else label end as label from el")
+def label_parameter(spark, sf_dir):
+    return lb.assign(labelled(spark, sf_dir), limit_labeller(100.0)).select("seq", F.col("_label").alias("label"))
+
+
+_REPORTED = "case when value < 10 then null when value > 300 then 'audit' else label end"
+
+
+@query(f"with {EL}, r as (select seq, {_REPORTED} as rep from el) select seq, case when rep in ('client', 'internal') then rep else 'internal' end as label, rep is not null and rep not in ('client', 'internal') as out_of_range from r")
+def label_dynamic_range(spark, sf_dir):
+    d = labelled(spark, sf_dir).withColumn("_label", F.when(F.col("value") < 10, None).when(F.col("value") > 300, "audit").otherwise(F.col("_label")))
+    return lb.within_range(d, LATTICE, "client", "internal").select("seq", F.col("_label").alias("label"), F.col("_out_of_range").alias("out_of_range"))
+
+
+@query(f"with {EL}, n as (select seq, case when value < 10 then null else label end as a, case when user_id % 3 = 0 then null else 'client' end as b from el) select seq, a is not null and ({up('a')} & {LATTICE.bit['client']}) = 0 as violation from n")
+def sink_check(spark, sf_dir):
+    d = labelled(spark, sf_dir).select("seq", F.when(F.col("value") >= 10, F.col("_label")).alias("a"), F.when(F.col("user_id") % 3 != 0, "client").alias("b"))
+    return lb.sink_check(d, LATTICE, ["client", "internal"], ("a", "b")).select("seq", F.col("_violation").alias("violation"))
+
+
+@query(f"with {EL} select user_id % 10 as grp, {_case(f'bit_and({_case("label", LATTICE.down)})', {m: x for x, m in LATTICE.down.items()})} as label from el group by 1")
+def label_meet_grouped(spark, sf_dir):
+    return labelled(spark, sf_dir).groupBy((F.col("user_id") % 10).alias("grp")).agg(LATTICE.meet_agg(F.col("_label")).alias("label"))
+
+
+@query(f"with {EL}, h as (select *, {_case('user_id % 3', HOSTS)} as host from el) select seq, value > user_id as larger, {decode(f'{up("label")} & {up("host")}')} as larger_label, user_id & 6 as band, host as band_label, coalesce(nullif(event_type, 'view'), user_id::varchar) as text, {decode(f'{up("label")} & {up("host")}')} as text_label from h")
+def label_operators(spark, sf_dir):
+    """Comparison, bitwise, coalescing and concatenating columns carry the labels of their operands."""
+    host = F.element_at(F.create_map(*[F.lit(x) for kv in HOSTS.items() for x in kv]), (F.col("user_id") % 3).cast("int"))
+    d = labelled(spark, sf_dir).withColumns({"value_label": F.col("_label"), "state_label": F.col("_label"), "user_id_label": host})
+    u = F.col("user_id")
+    d = lb.propagate(d, LATTICE, "larger", F.col("value") > u, "value", "user_id")
+    d = lb.propagate(d, LATTICE, "band", u.bitwiseAND(F.lit(6)), "user_id")
+    d = lb.propagate(d, LATTICE, "text", F.coalesce(F.nullif(F.col("state"), F.lit("view")), u.cast("string")), "state", "user_id")
+    return d.select("seq", "larger", "larger_label", "band", "band_label", "text", "text_label")
+
+
+RULES = ["public -> client", "public -> audit", "internal <- client", "audit -> internal", "audit -/> internal", "internal -> vault"]
+
+
+@query("with recursive e(a, b) as (values ('public', 'client'), ('public', 'audit'), ('client', 'internal'), ('internal', 'vault')), l(x) as (values ('public'), ('client'), ('audit'), ('internal'), ('vault')), d(source, target, distance) as (select x, x, 0 from l union all select d.source, e.b, d.distance + 1 from d join e on e.a = d.target) select source, target, min(distance)::bigint as distance from d group by all")
+def rule_distances(spark, sf_dir):
+    return spark.createDataFrame([(a, b, d) for (a, b), d in lb.FlowRules(RULES).distances().items()], "source string, target string, distance long")
+
+
 TWO = lb.Lattice([["a_low", "a_high"], ["b_low", "b_high"]])
 _TWO_LABEL = "case when user_id % 2 = 0 then case when value > 50 then 'a_high' else 'a_low' end else case when value > 50 then 'b_high' else 'b_low' end end"
 
@@ -169,6 +226,22 @@ def compartment_isolation(spark, sf_dir):
     return lb.first_compartment(d, TWO, "inst", "seq").select("seq", "inst", F.col("_label").alias("label"))
 
 
+@query(f"with {EV}, x as (select seq, value > 80 as joins, {_TWO_LABEL} as label from ev) select seq, label from x where not (joins and left(label, 1) = 'a')")
+def emission_check(spark, sf_dir):
+    """Labels of two compartments join to the forbidden top, which is never emitted."""
+    side = lambda s: F.when(F.col("value") > 50, f"{s}_high").otherwise(f"{s}_low")
+    d = labelled(spark, sf_dir).withColumn("own", F.when(F.col("user_id") % 2 == 0, side("a")).otherwise(side("b")))
+    d = d.withColumn("_label", F.when(F.col("value") > 80, TWO.col_join(F.col("own"), F.lit("b_low"))).otherwise(F.col("own")))
+    return lb.emitted(d, TWO).select("seq", F.col("own").alias("label"))
+
+
+@query(f"with {EV}, x as (select seq, {_TWO_LABEL} as label, user_id % 128 as grp from ev) select seq, case left(label, 1) when 'a' then '{TWO.compartment['a_low']}' else '{TWO.compartment['b_low']}' end || '/' || grp::varchar as route from x")
+def compartment_lanes(spark, sf_dir):
+    side = lambda s: F.when(F.col("value") > 50, f"{s}_high").otherwise(f"{s}_low")
+    d = labelled(spark, sf_dir).withColumn("_label", F.when(F.col("user_id") % 2 == 0, side("a")).otherwise(side("b")))
+    return rt.compartment_groups(d, TWO, F.col("user_id") % 128).select("seq", "route")
+
+
 @query("select * from (values " + ", ".join(f"('{x}', {u}::bigint, {LATTICE.down[x]}::bigint)" for x, u in LATTICE.up.items()) + ") t(label, up_mask, down_mask)")
 def lattice_table(spark, sf_dir):
     return spark.createDataFrame([(x, LATTICE.up[x], LATTICE.down[x]) for x in LATTICE.labels], "label string, up_mask long, down_mask long")
@@ -196,6 +269,15 @@ def unroutable_labels(spark, sf_dir):
     return labelled(spark, sf_dir).select("_label").distinct().join(ok, "_label", "left_anti").select(F.col("_label").alias("label"))
 
 
+@query(f"with {EL} select seq, ({up('label')} & {LATTICE.bit['client']}) <> 0 or seq >= 500 as sent from el")
+def queued_rows(spark, sf_dir):
+    """Rows that no receiver may have wait; when one with a higher ceiling comes, those that wait and the new ones go, the rest waits on."""
+    d = labelled(spark, sf_dir)
+    sent, waiting = rt.queued(d.where("seq < 500"), None, LATTICE, ["client"])
+    late, _ = rt.queued(d.where("seq >= 500"), None, LATTICE, ["client", "internal"])
+    return sent.unionByName(late).select("seq", F.lit(True).alias("sent")).unionByName(waiting.select("seq", F.lit(False).alias("sent")))
+
+
 @query(f"with {EL}, r as (select * from (values ('r0', 'internal'), ('r1', 'client'), ('r2', 'public')) t(receiver, ceiling)) select seq, receiver from el, r where ({up('label')} & {bit('ceiling')}) <> 0")
 def broadcast_copies(spark, sf_dir):
     return rt.broadcast_copies(labelled(spark, sf_dir), LATTICE, [("r0", "internal"), ("r1", "client"), ("r2", "public")]).select("seq", "receiver")
@@ -219,16 +301,6 @@ def key_owner(spark, sf_dir):
     return transactions(spark, sf_dir).select("seq", g.alias("grp"), rt.instance_of(g, 7).alias("instance"))
 
 
-@query(None)
-def route_weights(spark, sf_dir):
-    freq = {r["_label"]: r["count"] for r in labelled(spark, sf_dir).groupBy("_label").count().collect()}  # a row per label
-    total = sum(freq.values())
-    recv = {"r0": "internal", "r1": "client", "r2": "public"}
-    allowed = {x: [r for r, c in recv.items() if LATTICE.leq(x, c)] for x in freq}
-    w, dev = rt.weights({x: n / total for x, n in freq.items()}, allowed, dict.fromkeys(recv, 1 / 3))
-    return spark.createDataFrame([(x, r, round(v, 9), round(dev, 9)) for (x, r), v in w.items() if v > 1e-12], "label string, receiver string, weight double, deviation double")
-
-
 @query(f"with {MS}, n as (select edge, label, count(*) as n from ms group by all), q as (select edge, label, n / sum(n) over (partition by edge) as q, sum(n) over (partition by edge) as total from n), p as (select edge, label, p from (select distinct edge from ms), (values ('public', 0.5), ('client', 0.3), ('internal', 0.2)) v(label, p)) select edge, max(total)::bigint as n, round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 6) as distance, max(total) >= 200 and sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2 > 0.2 as drifted from p full join q using (edge, label) group by edge")
 def label_drift(spark, sf_dir):
     m = messages(spark, sf_dir)
@@ -237,34 +309,6 @@ def label_drift(spark, sf_dir):
     return rt.drift(m, expected).select("edge", "n", r6("distance").alias("distance"), "drifted")
 
 
-@query(f"with {EL}, a as (select *, 'node' || (seq % 3)::varchar as n1 from el), b as (select *, 'sink' || (user_id % 2)::varchar as n2 from a where not (n1 = 'node2' and label = 'internal')) select n1 as node, label, count(*) as n from b group by all union all select n2, label, count(*) from b group by all")
-def sim_label_hist(spark, sf_dir):
-    d = labelled(spark, sf_dir).withColumn("n1", F.concat(F.lit("node"), (F.col("seq") % 3).cast("string")))
-    d = d.where(~((F.col("n1") == "node2") & (F.col("_label") == "internal"))).withColumn("n2", F.concat(F.lit("sink"), (F.col("user_id") % 2).cast("string")))
-    return d.select(F.explode(F.array("n1", "n2")).alias("node"), F.col("_label").alias("label")).groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("with r as (select l_suppkey % 7 as edge, l_quantity as q from lineitem) select edge, greatest(1, least(16, ceil(greatest(sum(q) / 10, 50.0) / (1000.0 * 0.8))))::bigint as instances from r group by edge")
-def scale_decision(spark, sf_dir):
-    q = F.sum("l_quantity").cast("double") / 10
-    return table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 7).alias("edge")).agg(rt.scale_decision(q, F.lit(50.0), F.lit(1000.0), 1, 16).alias("instances"))
-
-
-@query("""with h as (select s_suppkey as host, s_suppkey % 7 <> 0 as alive, s_suppkey % 5 as agents, case when s_suppkey % 2 = 0 then ['node', 'python'] else ['python'] end as execs, s_suppkey % 4 * 1000 as cpu from supplier),
-a as (select * from (values ('cam', 'node', 1000, null), ('rec', 'python', 2000, null), ('web', 'node', 500, 4)) t(agent, exe, need, pin))
-select agent, host::bigint as host, case when not alive then 'dead' when agents >= 4 then 'full' when not list_contains(execs, exe) then 'executable' when pin is not null and pin <> host then 'pinned elsewhere' when host % 11 = 0 then 'label above host' when need > cpu then 'capacity' end as reason from h, a""")
-def eligibility(spark, sf_dir):
-    k = F.col("s_suppkey")
-    h = table(spark, sf_dir, "supplier").select(k.cast("long").alias("host"), (k % 7 != 0).alias("alive"), (k % 5).alias("agents"), F.when(k % 2 == 0, F.array(F.lit("node"), F.lit("python"))).otherwise(F.array(F.lit("python"))).alias("execs"), (k % 4 * 1000).alias("cpu"))
-    need = F.array(*[F.struct(F.lit(a).alias("agent"), F.lit(e).alias("exe"), F.lit(c).alias("need"), F.lit(p).cast("long").alias("pin")) for a, e, c, p in (("cam", "node", 1000, None), ("rec", "python", 2000, None), ("web", "node", 500, 4))])
-    d = h.select("*", F.inline(need))
-    reason = ex.eligibility(
-        {"executable": F.col("exe"), "pin": F.col("pin"), "cpu": F.col("need"), "memory": F.lit(0)},
-        {"name": F.col("host"), "alive": F.col("alive"), "agents": F.col("agents"), "max_agents": F.lit(4), "executables": F.col("execs"), "cpu": F.col("cpu"), "memory": F.lit(0)},
-        F.col("host") % 11 != 0)
-    return d.select("agent", "host", reason.alias("reason"))
-
-
 # ---------------------------------------------------------------- expressions
 @query(f"with {EV} select seq, starts_with(event_type, 'pu') as starts, ends_with(event_type, 'k') as ends, contains(event_type, 'i') as has, event_type || ':' || user_id::varchar as tag, event_type < 'error' as below from ev")
 def expr_strings(spark, sf_dir):
@@ -353,7 +397,7 @@ def segment_delimited(spark, sf_dir):
     return d.where("kind = 'message'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select doc_id, 2::bigint as n, octet_length(encode(text))::bigint + 3 as bytes from documents where text is not null and octet_length(encode(text)) < 65536")
+@query("select doc_id, 2::bigint as n, octet_length(encode(text))::bigint + 3 as bytes from documents where text is not null")
 def segment_prefixed(spark, sf_dir):
     """Frames and their bytes of every document, those too long for a message (oversize) included."""
     text = F.encode("text", "UTF-8")
@@ -369,9 +413,52 @@ def segment_fixed(spark, sf_dir):
     return d.groupBy("doc_id").agg(F.sum((F.col("kind") == "message").cast("long")).alias("n"), F.sum("dropped").alias("dropped"))
 
 
-@query(None)
+@query("with p as (select page_id, regexp_extract_all(html, '(?s)<li>.*?</li>') as m from pages) select page_id, len(m)::bigint as n, list_sum(list_transform(m, lambda x: octet_length(encode(x))))::bigint as bytes from p where len(m) > 0")
 def segment_markers(spark, sf_dir):
-    return fr.segment(table(spark, sf_dir, "pages").select("page_id", "html"), "html", fr.markers(b"<p>", b"</p>")).groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("dropped").alias("dropped"))
+    d = fr.segment(table(spark, sf_dir, "pages").select("page_id", "html"), "html", fr.markers(b"<li>", b"</li>"))
+    return d.where("kind = 'message'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("message")).alias("bytes"))
+
+
+@query(f"with {EV} select seq, unnest([0, length(props) + 1, length(props) + 13, length(props) + 14]) as offset, unnest(['message', 'message', 'unframed', 'message']) as kind, unnest([props, '{{\"a\": \"}}{{\"}}', null, '{{}}']) as message from ev")
+def segment_json(spark, sf_dir):
+    """Objects one after another, with a brace in a string and loose text between them."""
+    data = F.concat(F.col("props"), F.lit(' {"a": "}{"} '), F.lit("x{}"))
+    d = fr.segment(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), data.alias("data")), "data", fr.json_objects())
+    return d.select("seq", "offset", "kind", F.decode("message", "UTF-8").alias("message"))
+
+
+@query(f"with {EV}, s as (select user_id % 97 as k, case when seq % 11 = 0 then 'delete' else 'set' end as op, value as v, seq from ev), l as (select k, arg_max(op, seq) as op, arg_max(v, seq) as v from s group by k) select k, v from l where op <> 'delete'")
+def registry_feed(spark, sf_dir):
+    """A snapshot with the whole change feed, from before the snapshot on and every change twice, equals the fold of all changes."""
+    d = table(spark, sf_dir, "events").select((F.col("user_id") % 97).alias("k"), F.when(F.col("event_id") % 11 == 0, "delete").otherwise("set").alias("op"), F.col("value").alias("v"), F.col("event_id").alias("seq"))
+    snapshot = mt.registry_fold(d.where("seq <= 400"), "k", "seq", "op", "v")
+    return mt.apply_feed(snapshot, 400, d.unionByName(d), "k", "seq", "op", "v")
+
+
+@query(f"with {EV}, k as (select ts, min(seq) as first, arg_max(value, seq) as value from ev group by ts) select ts, value from k order by first desc limit 300")
+def latest_keys(spark, sf_dir):
+    d = table(spark, sf_dir, "events").select("event_id", "value")
+    return mt.latest_keys(d.join(transactions(spark, sf_dir).select(F.col("seq").alias("event_id"), "ts"), "event_id"), "ts", "event_id", "value", 300)
+
+
+@query(f"with {EV} select user_id % 10 as agent, max(seq) as max_rss, round(avg(value), 6) as mean_cpu from ev group by 1")
+def agent_usage(spark, sf_dir):
+    d = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("agent"), F.col("event_id").alias("rss"), F.col("value").alias("cpu"))
+    return mt.agent_usage(d, "agent", "rss", "cpu").withColumn("mean_cpu", r6("mean_cpu"))
+
+
+@query(f"with {EV} select seq, 'vitals' as kind, user_id::varchar as person, event_type as state, 3 as keys from ev")
+def object_merge(spark, sf_dir):
+    text = lambda *kv: F.create_map(*[F.lit(x) if i % 2 == 0 else x for i, x in enumerate(kv)])
+    d = transactions(spark, sf_dir)
+    m = ex.merged(text("kind", F.lit("history"), "person", F.col("entity_id").cast("string")), text("state", F.col("state"), "kind", F.lit("vitals")))
+    return d.withColumn("m", m).select("seq", *[F.element_at("m", k).alias(k) for k in ("kind", "person", "state")], F.size("m").alias("keys"))
+
+
+@query(f"with {EV} select seq, seq * 1000000 + 1500000000 as later, seq * 1000000 - 250000 as sooner from ev")
+def expr_durations(spark, sf_dir):
+    ns = F.col("seq") * ex.duration("1ms")
+    return transactions(spark, sf_dir).select("seq", ex.plus_duration(ns, "1500ms").alias("later"), ex.plus_duration(ns, "250us", -1).alias("sooner"))
 
 
 @query(f"with {EV}, s as (select user_id % 97 as k, case when seq % 11 = 0 then 'delete' else 'set' end as op, value as v, seq from ev), l as (select k, arg_max(op, seq) as op, arg_max(v, seq) as v from s group by k) select k, v from l where op <> 'delete'")
@@ -410,6 +497,12 @@ def fraud_score(spark, sf_dir):
     return d.select("seq", "entity_id", "score", "states", (F.col("score") > 0.8).alias("outlier"))
 
 
+@query(f"with {_scored(_MISS)} select seq, entity_id, round(score, 6) as score, round(score, 6) > 0.96 as outlier from sc")
+def fraud_score_strict(spark, sf_dir):
+    d = _scores(spark, sf_dir, "missProbability", 0.96).withColumn("score", r6("score"))
+    return d.select("seq", "entity_id", "score", (F.col("score") > 0.96).alias("outlier"))
+
+
 @query(f"with {_scored(_MISS)} select entity_id, count(*) as n, round(max(score), 6) as top from sc where round(score, 6) > 0.8 group by entity_id")
 def fraud_outliers(spark, sf_dir):
     d = _scores(spark, sf_dir, "missProbability", 0.8)
@@ -431,9 +524,12 @@ def work(spark, sf_dir):
     return readings(spark, sf_dir).where("property <> 0")
 
 
-@query(f"with {WORK} select 'Add' as action, ts as at, seq, value from work union all select 'Remove', ts + 3600, seq, value from work")
+_TOPS = "tops as (select *, max(ts) over (order by seq) as top from work), firsts as (select top as level, min(seq) as by_seq from tops group by top)"
+
+
+@query(f"with {WORK}, {_TOPS} select 'Add' as action, ts, seq, value, seq as by from work union all select 'Remove', ts, seq, value, by_seq from tops asof join firsts on tops.top + 3600 <= firsts.level")
 def window_changelog(spark, sf_dir):
-    return wd.window_changelog(work(spark, sf_dir)).select("action", "at", "seq", "value")
+    return wd.window_changelog(work(spark, sf_dir)).select("action", "ts", "seq", "value", "by")
 
 
 @query(f"with {WORK} select seq, ts, round(quantile_cont(value, 0.5) over (order by ts range between 3599 preceding and current row), 6) as median from work")
@@ -569,17 +665,35 @@ def late_routes(spark, sf_dir):
     return od.late_single_stream(jittered(spark, sf_dir), "port", "seq", "t", 36000).select("seq", "port", "late")
 
 
-@query(f"with {TX}, {_JIT}, w as (select *, max(t) over (partition by port order by seq rows between unbounded preceding and 1 preceding) - 36000 as wm from tx2), l as (select seq, port, t, exists (select 1 from tx2 y where y.port = w.port and y.seq < w.seq and y.t > w.t and y.t <= w.wm) as late from w) select port, count(*) filter (where late) as dropped, count(*) filter (where not late) as released from l group by port")
+def _merged(streams: int) -> str:
+    """Messages with the arrival that releases each and whether it is late, word by word from the definition."""
+    tops = ", ".join(f"coalesce(max(case when seq % {streams} = {k} then t end) over w, 9000000000000) as m{k}" for k in range(streams))
+    return f"""{_JIT}, w0 as (select *, {tops} from tx2 window w as (partition by port order by seq)),
+w1 as (select seq, port, t, least({", ".join(f"m{k}" for k in range(streams))}) - 36000 as wm from w0),
+rl as (select x.port, x.seq, x.t, min(y.seq) as r from w1 x left join w1 y on y.port = x.port and y.seq >= x.seq and y.wm >= x.t group by all),
+mg as (select x.port, x.seq, x.t, any_value(x.r) as r, count(y.seq) > 0 as late from rl x left join rl y on y.port = x.port and y.r < x.seq and y.t > x.t group by all)"""
+
+
+@query(f"with {TX}, {_merged(1)} select port, count(*) filter (where late) as dropped, count(*) filter (where not late) as released from mg group by port")
 def ordered_merge(spark, sf_dir):
     d = jittered(spark, sf_dir).withColumn("stream", F.lit(0))
-    m = od.ordered_merge(d, "port", "stream", "seq", "t", 36000)
+    m = od.ordered_merge(d, "port", "stream", (0,), "seq", "t", 36000)
     return m.groupBy("port").agg(F.count_if(F.col("outcome") == "dropped").alias("dropped"), F.count_if(F.col("outcome") == "released").alias("released"))
 
 
-@query(None)
+def _streams(spark, sf_dir):
+    return jittered(spark, sf_dir).withColumn("stream", (F.col("seq") % 3).cast("int"))
+
+
+@query(f"with {TX}, {_merged(3)} select port, seq, t, case when late then 'routed' else 'released' end as outcome, case when late then seq else r end as emitted_at from mg")
 def ordered_merge_streams(spark, sf_dir):
-    d = jittered(spark, sf_dir).withColumn("stream", (F.col("seq") % 3).cast("int"))
-    return od.ordered_merge(d, "port", "stream", "seq", "t", 36000, on_late="route")
+    return od.ordered_merge(_streams(spark, sf_dir), "port", "stream", (0, 1, 2), "seq", "t", 36000, on_late="route").drop("stream")
+
+
+@query(f"with {TX}, {_merged(3)} select port, seq, case when late then 'late' else 'released' end as outcome, row_number() over (partition by port order by case when late then seq else r end nulls last, not late, t, seq % 3, seq) as position from mg")
+def ordered_merge_order(spark, sf_dir):
+    m = od.ordered_merge(_streams(spark, sf_dir), "port", "stream", (0, 1, 2), "seq", "t", 36000, on_late="pass")
+    return od.in_order(m, "port", "stream", "seq", "t").select("port", "seq", "outcome", F.col("position").cast("long").alias("position"))
 
 
 @query("with d as (select distinct l_orderkey as k, l_linenumber::bigint as s from lineitem where l_quantity > 10), g as (select k, s, coalesce(lag(s) over (partition by k order by s), -1) as p from d) select k, p + 1 as gap_from, s - 1 as gap_to from g where s > p + 1")
@@ -655,7 +769,7 @@ def sink_throughput(spark, sf_dir):
     return mt.sink_throughput(messages(spark, sf_dir), "edge", "arrival").select("edge", r6("mean").alias("mean"), r6("p1").alias("p1"))
 
 
-_PRIO = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+_PRIO = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 @query("select o_orderstatus as status, " + ", ".join(f"round(coalesce(avg(o_totalprice) filter (where o_orderpriority = '{p}'), 0), 2) as \"{p}_mean\", round(coalesce(stddev_samp(o_totalprice) filter (where o_orderpriority = '{p}'), 0), 2) as \"{p}_std\"" for p in _PRIO) + " from orders group by 1")
@@ -665,7 +779,7 @@ def mttr_pivot(spark, sf_dir):
     return d.select("status", *[F.round(F.col(f"`{p}_{s}`"), 2).alias(f"{p}_{s}") for p in _PRIO for s in ("mean", "std")])
 
 
-_CELLS = [("A", "F"), ("N", "O"), ("R", "F")]
+_CELLS = [(a, b) for a in "ANR" for b in "FO"]
 
 
 @query("select l_suppkey % 7 as edge, " + ", ".join(f"round(avg(l_tax * 100.0 / case when l_discount = 0 then 1 else l_discount end) filter (where l_returnflag = '{a}' and l_linestatus = '{b}'), 4) as \"{a}_{b}\"" for a, b in _CELLS) + " from lineitem group by 1")

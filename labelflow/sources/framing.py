@@ -7,9 +7,11 @@ text files with plain lines ``read_lines`` stays in Spark's own reader.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,40 +57,123 @@ def fixed(n: int) -> Framing:
     return Framing("fixed", width=n)
 
 
+def json_objects(limit: int = MAX_MESSAGE) -> Framing:
+    """Objects written one after another; braces within strings do not count."""
+    return Framing("json", b"{", b"}", limit=limit)
+
+
+def _cuts(data: np.ndarray, at: np.ndarray, f: Framing) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first byte, message end, whether it is cut short) of each piece of texts that lie one after another.
+
+    For lines, one-byte delimiters and fixed widths, all pieces of all texts at once.
+    """
+    size = np.diff(at)
+    if f.kind == "fixed":
+        many = -(-size // f.width)
+        text = np.repeat(np.arange(len(size)), many)
+        k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        begin = at[text] + k * f.width
+        end = np.minimum(begin + f.width, at[text + 1])
+        return text, begin, end, end - begin < f.width
+    marks = np.flatnonzero(data == f.end[0])
+    marks = marks[(marks >= at[0]) & (marks < at[-1])]
+    inner = at[1:][(size > 0)]
+    open_end = inner[(inner == 0) | (data[np.maximum(inner - 1, 0)] != f.end[0])]  # texts that do not end with a mark
+    end = np.sort(np.concatenate([marks, open_end * 1.0 - 0.5]).astype(np.float64)) if len(open_end) else marks.astype(np.float64)
+    cut_short = end != np.floor(end)
+    end = np.ceil(end).astype(np.int64)
+    text = np.searchsorted(at, end - cut_short, side="right") - 1
+    begin = np.concatenate([[0], end[:-1] + ~cut_short[:-1]]).astype(np.int64)
+    return text, np.maximum(begin, at[text]), end, cut_short
+
+
+def _vector_rows(data: np.ndarray, at: np.ndarray, f: Framing):
+    """(text, kind, offset, messages, dropped) of all texts, for the framings of ``_cuts``."""
+    text, begin, end, short = _cuts(data, at, f)
+    stop, tail = end.copy(), f.kind in ("delimiter", "fixed")
+    if f.kind == "delimiter":
+        stop = end + ~short
+    elif f.kind != "fixed":
+        has_cr = (stop > begin) & (data[np.maximum(stop - 1, 0)] == 13)
+        stop = stop - has_cr
+    if f.kind == "ndjson":
+        ink = np.concatenate([[0], np.cumsum(~np.isin(data, np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)))])
+        some = ink[stop] > ink[begin]
+        text, begin, stop, short = (x[some] for x in (text, begin, stop, short))
+    size = stop - begin
+    kind = np.where(short & tail, "truncated", np.where(size > f.limit, "oversize", "message"))
+    shown = np.where(kind == "message", size, 0)
+    flat = data[np.repeat(begin - np.cumsum(shown) + shown, shown) + np.arange(shown.sum())]
+    ends = np.concatenate([[0], np.cumsum(shown)]).astype(np.int32)
+    valid = np.packbits(kind == "message", bitorder="little")
+    messages = pa.Array.from_buffers(pa.binary(), len(size), [pa.py_buffer(valid.tobytes()), pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+    return text, kind, begin - at[text], messages, size - shown
+
+
+def split_objects(data: bytes) -> list[tuple[str, int, int]]:
+    """(kind, from, to) of the objects and of what lies outside of them, white space aside; strings and escapes are respected."""
+    a = np.frombuffer(data, np.uint8)
+    slash = a == 92
+    run = np.arange(len(a)) - np.maximum.accumulate(np.where(slash, -1, np.arange(len(a)))) if len(a) else np.zeros(0, int)
+    escaped = np.concatenate([[False], (run[:-1] % 2 == 1)]) if len(a) else np.zeros(0, bool)
+    out, i = [], 0
+    while i < len(a):
+        begin = data.find(b"{", i)
+        stop = len(a) if begin < 0 else begin
+        if data[i:stop].strip():
+            out.append(("unframed", i, stop))
+        if begin < 0:
+            break
+        part = a[begin:]
+        quoted = np.cumsum((part == 34) & ~escaped[begin:]) % 2 == 1
+        depth = np.cumsum(np.where(quoted, 0, (part == 123).astype(np.int64) - (part == 125)))
+        ends = np.flatnonzero((part == 125) & ~quoted & (depth == 0))
+        if not len(ends):
+            out.append(("truncated", begin, len(a)))
+            break
+        # objects that follow at once come from the same pass; an odd quote outside of objects starts a new one
+        at = 0
+        for e in ends.tolist():
+            if quoted[at] or data[begin + at : begin + at + 1] != b"{":
+                break
+            out.append(("message", begin + at, begin + e + 1))
+            at = e + 1
+            gap = len(data[begin + at :]) - len(data[begin + at :].lstrip()) if at < len(part) and part[at] in b" \t\n\r" else 0
+            at += gap
+            if at >= len(part):
+                break
+        i = begin + at
+    return out
+
+
 def split(data: bytes, f: Framing) -> list[tuple[str, int, bytes | None, int]]:
-    """(kind, offset, message, bytes dropped): kind message, or the error truncated, oversize or unframed."""
+    """(kind, offset, message, bytes dropped) of one text: kind message, or the error truncated, oversize or unframed."""
+    if not data:
+        return []
+    if f.kind in ("lines", "ndjson", "fixed") or (f.kind == "delimiter" and len(f.end) == 1):
+        _, kind, offset, messages, dropped = _vector_rows(np.frombuffer(data, np.uint8), np.array([0, len(data)]), f)
+        return list(zip(kind.tolist(), offset.tolist(), messages.to_pylist(), dropped.tolist()))
     out: list[tuple[str, int, bytes | None, int]] = []
 
     def put(at: int, message: bytes):
-        if len(message) > f.limit:
-            out.append(("oversize", at, None, len(message)))
-        else:
-            out.append(("message", at, message, 0))
+        out.append(("oversize", at, None, len(message)) if len(message) > f.limit else ("message", at, message, 0))
 
     n, i = len(data), 0
     if f.kind == "none":
-        if n:
-            put(0, data)
-    elif f.kind in ("lines", "ndjson", "delimiter"):
-        while i < n:
-            j = data.find(f.end, i)
-            if j < 0 and f.kind == "delimiter":
-                out.append(("truncated", i, None, n - i))
-                break
-            stop = n if j < 0 else j
-            if f.kind == "delimiter":
-                put(i, data[i : j + len(f.end)])
+        put(0, data)
+    elif f.kind == "json":
+        for kind, lo, hi in split_objects(data):
+            if kind == "message":
+                put(lo, data[lo:hi])
             else:
-                line = data[i:stop]
-                line = line[:-1] if line.endswith(b"\r") else line
-                if f.kind == "lines" or line.strip():
-                    put(i, line)
-            i = stop + len(f.end)
-    elif f.kind == "fixed":
-        for i in range(0, n - f.width + 1, f.width):
-            put(i, data[i : i + f.width])
-        if n % f.width:
-            out.append(("truncated", n - n % f.width, None, n % f.width))
+                out.append((kind, lo, None, hi - lo))
+    elif f.kind == "delimiter":
+        *whole, rest = data.split(f.end)
+        for part in whole:
+            put(i, part + f.end)
+            i += len(part) + len(f.end)
+        if rest:
+            out.append(("truncated", i, None, len(rest)))
     elif f.kind == "length_prefix":
         while i < n:
             size = int.from_bytes(data[i : i + f.width], f.order) if i + f.width <= n else -1
@@ -99,27 +184,24 @@ def split(data: bytes, f: Framing) -> list[tuple[str, int, bytes | None, int]]:
             put(i, data[i + f.width : stop])
             i = stop
     elif f.kind == "markers":
-        depth, begin, loose = 0, 0, 0
-        while i < n:
-            s, e = data.find(f.start, i), data.find(f.end, i)
-            if depth == 0:
-                if s != i:  # bytes outside of any message
-                    stop = n if s < 0 else s
-                    out.append(("unframed", i, None, stop - i))
-                    i = stop
-                    continue
-                begin, depth, i = i, 1, i + len(f.start)
-                continue
-            if e < 0:
-                break
-            if 0 <= s < e and f.start != f.end:
-                depth, i = depth + 1, s + len(f.start)
-                continue
-            depth, i = depth - 1, e + len(f.end)
-            if depth == 0:
-                put(begin, data[begin:i])
+        marks = sorted({m.start(): m.group() for m in re.finditer(re.escape(f.start) + b"|" + re.escape(f.end), data)}.items())
+        depth, begin, loose = 0, 0, 0  # loose: where bytes outside of messages begin
+        for at, mark in marks:
+            if depth == 0 and mark == f.start:
+                if at > loose:
+                    out.append(("unframed", loose, None, at - loose))
+                begin, depth = at, 1
+            elif depth and mark == f.start and f.start != f.end:
+                depth += 1
+            elif depth:
+                depth -= 1
+                if depth == 0:
+                    loose = at + len(mark)
+                    put(begin, data[begin:loose])
         if depth:
             out.append(("truncated", begin, None, n - begin))
+        elif loose < n:
+            out.append(("unframed", loose, None, n - loose))
     else:
         raise ValueError(f"unknown framing {f.kind}")
     return out
@@ -134,14 +216,35 @@ def segment(df: DataFrame, data: str, framing: Framing) -> DataFrame:
     src = df.select(*[f"`{f.name}`" for f in keep], F.col(data).cast("binary").alias("_data"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep) + "kind string, offset long, message binary, dropped long"
     names = [f.name for f in keep]
+    at_once = framing.kind in ("lines", "ndjson", "fixed") or (framing.kind == "delimiter" and len(framing.end) == 1)
 
     def run(batches):
-        for pdf in batches:
-            found = [(*row, *m) for row in pdf.itertuples(index=False, name=None) if row[-1] is not None for m in split(bytes(row[-1]), framing)]
-            got = [(*r[: len(names)], *r[len(names) + 1 :]) for r in found]
-            yield pd.DataFrame(got, columns=[*names, "kind", "offset", "message", "dropped"])
-
-    return src.mapInPandas(run, schema)
+        for batch in batches:
+            column = batch.column(len(names)).fill_null(b"")
+            if at_once:
+                at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+                flat = column.buffers()[2]
+                flat = np.frombuffer(flat, np.uint8) if flat is not None and at[-1] else np.zeros(1, np.uint8)
+                text, *found = _vector_rows(flat, at, framing)
+            else:
+                rows = [(k, *m) for k, x in enumerate(column) for m in split(x.as_py(), framing)]
+                text, *found = (list(c) for c in zip(*rows)) if rows else ([], [], [], [], [])
+            kinds = (pa.string(), pa.int64(), pa.binary(), pa.int64())
+            out = [batch.column(k).take(pa.array(text, pa.int64())) for k in range(len(names))]
+            out += [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(found, kinds)]
+            yield pa.RecordBatch.from_arrays(out, [*names, "kind", "offset", "message", "dropped"])
+
+    return src.mapInArrow(run, schema)
+
+
+def read_json_objects(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(records, reports) of files of JSON objects one after another; bad objects and loose text are reported."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("data"))
+    rows = segment(files, "data", json_objects()).withColumn("value", F.decode("message", "UTF-8"))
+    parsed = rows.withColumn("r", F.from_json("value", f"struct<{schema}, _corrupt: string>", {"columnNameOfCorruptRecord": "_corrupt"}))
+    fine = (F.col("kind") == "message") & F.col("r").isNotNull() & F.col("r._corrupt").isNull()
+    bad = parsed.where(~fine).select(F.when(F.col("kind") == "message", "schema_mismatch").otherwise(F.col("kind")).alias("kind"), F.col("path").alias("node"), F.coalesce("value", F.col("dropped").cast("string")).alias("detail"))
+    return parsed.where(fine).select("r.*").drop("_corrupt"), bad
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,6 @@
 """Structured Streaming twins of the batch operators.
 
-State lives in Spark's state store and checkpoints, which replaces hand-made snapshots; the ordered merge
-keeps its buffer there, keyed by port.
+State lives in Spark's state store and checkpoints; the ordered merge keeps what it holds there, keyed by port.
 """
 
 from __future__ import annotations
@@ -9,12 +8,13 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from labelflow.operators.ordering import Merge
+from labelflow.operators.ordering import OUTCOMES, merge_arrays
 
 
 def running_sum(stream: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -32,27 +32,38 @@ def running_sum(stream: DataFrame, key: str, value: str, order: str) -> DataFram
     return stream.groupBy(key).applyInPandasWithState(run, schema, "total double", "append", GroupStateTimeout.NoTimeout)
 
 
-def ordered_merge(stream: DataFrame, port: str, source: str, arrival: str, ts: str, lateness: int = 0, on_late: str = "drop", idle_ms: int | None = None) -> DataFrame:
-    """(port, arrival, ts, outcome) of a stream of messages, released by the merge rule of batch ``ordered_merge``.
+def ordered_merge(stream: DataFrame, port: str, source: str, arrival: str, ts: str, lateness: int = 0, on_late: str = "drop", idle_ms: int | None = None, most_held: int = 1 << 20) -> DataFrame:
+    """(port, arrival, ts, outcome) of a stream of messages, released by the rule of batch ``ordered_merge``.
 
-    With ``idle_ms`` a port that receives nothing for so long releases what it holds.
+    State is what the port holds, each stream's greatest time and the greatest time released.  With ``idle_ms`` a port that
+    receives nothing for so long releases what it holds; one that holds more than ``most_held`` messages
+    after a micro-batch releases the earliest of them beforehand.
     """
     kind = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    columns = [source, arrival, ts]
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState):
-        m = pickle.loads(state.get[0]) if state.exists else Merge(lateness, on_late)
-        out = []
+        held, tops, last = pickle.loads(state.get[0]) if state.exists else (None, {}, None)
+        new = pd.concat([b[columns] for b in batches]).sort_values(arrival) if not state.hasTimedOut else None
+        rows = pd.concat([x for x in (held, new) if x is not None], ignore_index=True)
+        n = 0 if held is None else len(held)
+        at, late, tops, last = merge_arrays(rows[source].to_numpy()[n:], rows[ts].to_numpy()[n:], rows[ts].to_numpy()[:n], tops, last, lateness)
+        rows["at"], rows["late"] = at, np.concatenate([np.zeros(n, bool), late])
         if state.hasTimedOut:
-            out = m.flush()
-        else:
-            for pdf in batches:
-                for s, t, a in sorted(zip(pdf[source], pdf[ts], pdf[arrival]), key=lambda x: x[2]):
-                    out += m.offer(s, t, (a, t))
-        state.update((pickle.dumps(m),))
+            rows["at"] = 0
+        rows = rows.sort_values([ts, source, arrival])
+        kept = rows[(rows["at"] < 0) & ~rows["late"]]
+        early = kept.index[: max(0, len(kept) - most_held)]
+        rows.loc[early, "at"] = len(at)
+        gone, kept = rows[(rows["at"] >= 0) | rows["late"]], kept.drop(early)
+        for t in gone.loc[~gone["late"], ts].tail(1):
+            last = t if last is None else max(last, t)
+        gone = gone.assign(outcome=np.where(gone["late"], OUTCOMES[on_late], "released")).sort_values("at", kind="stable")
+        state.update((pickle.dumps((kept[columns], tops, last)),))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame([(k[0], a, t, o) for o, (a, t) in out], columns=[port, arrival, ts, "outcome"])
+        yield gone.assign(**{port: k[0]})[[port, arrival, ts, "outcome"]]
 
     schema = f"{port} {kind[port]}, {arrival} {kind[arrival]}, {ts} {kind[ts]}, outcome string"
     return stream.groupBy(port).applyInPandasWithState(run, schema, "merge binary", "append", timeout)

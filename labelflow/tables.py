@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +49,31 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "N", "public").when(F.col("l_returnflag") == "A", "client").otherwise("internal").alias("label"))
 
 
+_local: dict[str, str] = {}
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table read back, so that steps which use it several times do not compute it anew.
+
+    It lies in ``spark.checkpoint.dir``, which all executors of a cluster share, until the application ends.  A local
+    application without the setting gets a temporary folder.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="labelflow-")
+        folder = _local[app]
+    name = f"{folder.rstrip('/')}/labelflow-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(name)
+
+
 #: Width of a slice in values of the ordering column.
 SLICE = 1 << 16
 
@@ -77,6 +105,21 @@ def running(df: DataFrame, order: str, keys: tuple = (), width: int = SLICE, str
     return joined.select(*[out[c] for c in df.columns if c != "_slice"], *[both[values[n][0]](joined[f"_b_{n}"], joined[f"_l_{n}"]).alias(n) for n in cols])
 
 
+def first_reaching(levels: DataFrame, asks: DataFrame, keys: tuple = ()) -> DataFrame:
+    """``asks`` (keys, ..., _want) with _first: the least _at among levels (keys, _at, _level) of its key with _level >= _want.
+
+    Levels and wants are whole numbers.  Both are put in one falling order, in which the answer is a
+    running least value: no row is paired with another.
+    """
+    kept = [c for c in asks.columns if c != "_want"]
+    rows = F.struct(*[F.col(c) for c in kept]) if kept else F.lit(1)
+    told = levels.select(*keys, (-2 * F.col("_level") - 1).cast("long").alias("_o"), F.col("_at").cast("long").alias("_c"))
+    asked = asks.select(*keys, (-2 * F.col("_want")).cast("long").alias("_o"), rows.alias("_row"), F.lit(True).alias("_ask"))
+    marks = asked.unionByName(told, allowMissingColumns=True).where("_o is not null")
+    out = running(marks, "_o", keys, _first=("min", F.col("_c"))).where("_ask")
+    return out.select(*[F.col(f"_row.{c}").alias(c) for c in kept], "_first")
+
+
 def time_slices(df: DataFrame, time: str, back: int, slice_seconds: int | None = None) -> DataFrame:
     """``df`` with _slice and _own: each row in its own slice of time and, where windows of later
     slices reach back to it, in those too.

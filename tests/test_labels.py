@@ -1,34 +1,65 @@
+"""Lattices against a naive model on generated orders, and label columns against the lattice."""
+
+import random
+from itertools import product
+
 import pytest
 from pyspark.sql import functions as F
 
 from labelflow.operators import labels as lb
-
-
-def test_chain():
-    x = lb.Lattice([["public", "internal"], ["internal", "secret"]])
-    assert (x.bottom, x.top, x.forbidden_top) == ("public", "secret", False)
-    assert x.leq("public", "secret") and x.join("public", "internal") == "internal"
-
-
-def test_tree_gets_a_top_of_its_compartment():
-    x = lb.Lattice([["internal", "hr"], ["internal", "eng"]])
-    assert x.join("hr", "eng") == "top(internal)" == x.top
-    assert x.bottom == "internal" and "bottom" not in x.labels and not x.forbidden_top
-
-
-def test_meet():
-    x = lb.Lattice([["public", "internal", "hr"], ["internal", "eng"]])
-    assert x.meet("hr", "eng") == "internal" and x.meet("hr", "top(public)") == "hr"
-
-
-def test_two_compartments():
-    x = lb.Lattice([["a", "b"], ["c", "d"]])
-    assert (x.bottom, x.top, x.forbidden_top) == ("bottom", "top", True)
-    assert x.join("b", "c") == "top" and x.leq("bottom", "a")
-    assert lb.Lattice([["a", "b"], ["solo"]]).compartments == 2
-
-
-@pytest.mark.parametrize("chains,code", [([["a", "b"], ["b", "a"]], "E0701"), ([["a", "c"], ["a", "d"], ["b", "c"], ["b", "d"]], "E0703"), ([["top", "a"]], "E0706"), ([["bottom", "a"]], "E0706")])
+from labelflow.tables import running
+
+
+def reachable(chains):
+    """x -> all y with x <= y, by repeated steps along the declared pairs."""
+    pairs = {(a, b) for c in chains for a, b in zip(c, c[1:])}
+    out = {x: {x} for c in chains for x in c}
+    while True:
+        new = {x: s | {b for a, b in pairs if a in s} for x, s in out.items()}
+        if new == out:
+            return out
+        out = new
+
+
+def grid(n, m):
+    """The chains of a product of two orders, which is a lattice: rows and columns of g<i><j>."""
+    return [[f"g{i}{j}" for j in range(m)] for i in range(n)] + [[f"g{i}{j}" for i in range(n)] for j in range(m)]
+
+
+@pytest.mark.parametrize("n,m", [(1, 4), (2, 3), (3, 3), (4, 5)])
+def test_grids_join_and_meet_by_coordinates(n, m):
+    x = lb.Lattice(grid(n, m))
+    assert (x.bottom, x.top, x.forbidden_top, x.compartments) == ("g00", f"g{n - 1}{m - 1}", False, 1)
+    for (i, j), (k, l) in product(product(range(n), range(m)), repeat=2):
+        assert x.join(f"g{i}{j}", f"g{k}{l}") == f"g{max(i, k)}{max(j, l)}" and x.meet(f"g{i}{j}", f"g{k}{l}") == f"g{min(i, k)}{min(j, l)}"
+        assert x.leq(f"g{i}{j}", f"g{k}{l}") == (i <= k and j <= l)
+
+
+def test_generated_trees_are_completed():
+    rng = random.Random(21)
+    for _ in range(40):
+        parts = [[f"p{p}n0"] for p in range(rng.randint(1, 3))]
+        chains = []
+        for p, nodes in enumerate(parts):
+            for k in range(1, rng.randint(2, 6)):
+                chains.append([rng.choice(nodes), f"p{p}n{k}"])
+                nodes.append(f"p{p}n{k}")
+        rng.shuffle(chains)
+        x, order = lb.Lattice(chains), reachable(chains)
+        made = set(x.labels) - set(order)
+        assert all(x.leq(a, b) == (b in order[a]) for a, b in product(order, order))
+        assert x.compartments == len(parts) and x.forbidden_top == (len(parts) > 1) and (lb.BOTTOM in made) == (len(parts) > 1)
+        for p, nodes in enumerate(parts):
+            leaves = [a for a in nodes if order[a] == {a}]
+            assert (f"top(p{p}n0)" in made) == (len(leaves) > 1)
+        for a, b in product(x.labels, x.labels):
+            j, m = x.join(a, b), x.meet(a, b)
+            assert x.leq(a, j) and x.leq(b, j) and x.leq(m, a) and x.leq(m, b)
+            assert all(x.leq(j, u) for u in x.labels if x.leq(a, u) and x.leq(b, u)) and all(x.leq(u, m) for u in x.labels if x.leq(u, a) and x.leq(u, b))
+        assert {(a, b) for a, b in x.covers()} <= {(a, b) for a, b in product(x.labels, x.labels) if x.leq(a, b)}
+
+
+@pytest.mark.parametrize("chains,code", [([["k", "l", "m"], ["m", "k"]], "E0701"), ([["low1", "up1"], ["low1", "up2"], ["low2", "up2"], ["low2", "up1"]], "E0703"), ([["k", lb.TOP]], "E0706"), ([[lb.BOTTOM, "k"]], "E0706")])
 def test_errors(chains, code):
     with pytest.raises(lb.LatticeError) as e:
         lb.Lattice(chains)
@@ -36,26 +67,27 @@ def test_errors(chains, code):
 
 
 def test_columns_agree_with_the_lattice(spark):
-    x = lb.Lattice([["public", "client", "internal"], ["public", "audit", "internal"]])
-    rows = spark.createDataFrame([(a, b) for a in x.labels for b in x.labels], "a string, b string")
-    a, b = F.col("a"), F.col("b")
-    got = rows.select("a", "b", x.col_leq(a, b).alias("leq"), x.col_join(a, b).alias("join"), x.col_meet(a, b).alias("meet")).collect()
-    for r in got:
-        assert (r["leq"], r["join"], r["meet"]) == (x.leq(r["a"], r["b"]), x.join(r["a"], r["b"]), x.meet(r["a"], r["b"]))
-
-
-def test_labelled_pipeline(spark):
-    """Doubling, then sums per id, with one record blocked by its label."""
-    x = lb.Lattice([["low", "high"]])
-    d = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate([("a", 1), ("b", 2), ("c", 3), ("a", 4), ("b", 4), ("c", 5), ("d", 4), ("d", 6)])], "seq long, id string, v long")
-    d = lb.assign(d.withColumn("v", F.col("v") * 2), F.when(F.col("id") == "a", "high").otherwise("low"))
-    sums = lb.check(d, x, F.lit("low")).groupBy("id").agg(F.sum("v").alias("v"))
-    assert {r["id"]: r["v"] for r in sums.collect()} == {"b": 12, "c": 16, "d": 20}
+    for x in (lb.Lattice(grid(2, 3)), lb.Lattice([["u", "v"], ["u", "w"], ["r", "s"]])):
+        rows = spark.createDataFrame([(a, b) for a in x.labels for b in x.labels], "a string, b string")
+        a, b = F.col("a"), F.col("b")
+        got = rows.select("a", "b", x.col_leq(a, b).alias("leq"), x.col_join(a, b).alias("join"), x.col_meet(a, b).alias("meet")).collect()
+        for r in got:
+            assert (r["leq"], r["join"], r["meet"]) == (x.leq(r["a"], r["b"]), x.join(r["a"], r["b"]), x.meet(r["a"], r["b"]))
+
+
+def test_rules_and_ranges(spark):
+    r = lb.FlowRules(["a -> b", "c <- b", "c </- b", "b -> d", "d -> c"])
+    assert r.distances() == {("a", "a"): 0, ("b", "b"): 0, ("c", "c"): 0, ("d", "d"): 0, ("a", "b"): 1, ("b", "d"): 1, ("d", "c"): 1, ("a", "d"): 2, ("b", "c"): 2, ("a", "c"): 3}
+    assert r.may_flow("a", "c") and not r.may_flow("b", "c") and not r.may_flow("c", "a")
+    with pytest.raises(lb.LatticeError):
+        lb.FlowRules(["a => b"])
+    x = lb.Lattice(grid(2, 2))
+    d = spark.createDataFrame([("g00",), ("g01",), (None,), ("g11",)], "_label string")
+    assert [(r["_label"], r["_out_of_range"]) for r in lb.within_range(d, x, "g01", "g11").collect()] == [("g11", True), ("g01", False), ("g11", False), ("g11", False)]
+    assert [r["_violation"] for r in lb.sink_check(d, x, ["g01", "g11"]).collect()] == [False, False, False, True]
 
 
 def test_running_over_slices_equals_one_window(spark):
-    from labelflow.tables import running
-
     d = spark.range(500).select(F.col("id").alias("o"), (F.col("id") * 37 % 101).alias("v"), (F.col("id") % 3).alias("k"))
     got = running(d, "o", ("k",), width=16, s=("sum", F.col("v")), m=("max", F.col("v")), n=("count", F.lit(1))).collect()
     state = {}

