@@ -6,8 +6,8 @@
 3. Output slots are dealt to shards.  Every slot draws its source, so a shard's
    source counts are multinomial.  A source's draws beyond its quota of blocks go,
    in order, to sources short of theirs, so that totals meet the targets.
-4. The k-th slot of a source maps through a permutation of the source's block
-   numbers (another one for each time round), and slots join blocks by that number.
+4. The k-th slot of a source maps through a pseudorandom permutation of the source's block
+   numbers, keyed by the seed, the source and the time round, and slots join blocks by that number.
 """
 
 from __future__ import annotations
@@ -19,11 +19,14 @@ from .common import Scratch
 
 #: Words of a block, slots of an output shard, documents of a range.
 BLOCK, SHARD_SLOTS, RANGE_DOCS = 128, 4096, 20000
-#: Cells of the table that turns a random number into a source.
+#: Cells by which numbers find the part that they lie in.
 CELLS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
-# Multipliers of the permutations, primes above 2**31.
-MULTIPLIERS = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783)
+#: Rounds of a permutation, and how often it is applied again to a number outside of the blocks; with 40 or fewer cells
+#: outside that is always enough, with more a chance below (1 / 40) ** 40.
+ROUNDS, WALKS = 4, 40
+# Three primes below 2**31 and multipliers modulo them, for the pseudorandom function.
+STEPS = ((1103515245, 12345, 2147483647), (1664525, 1013904223, 2147483629), (22695477, 69069, 2147483587))
 
 
 def word_count(text):
@@ -62,11 +65,12 @@ class Mix:
 
     documents: one row per input row: doc_id, source, size, sid, start (words before it in its source).
     sources: source, source_size, sid, weight, target, n_blocks, quota.
+    draws: shard, sid, c: the multinomial counts of each shard.
     slots: shard, slot, sid, turn, block.
     """
 
-    def __init__(self, scratch: Scratch, documents: DataFrame, sources: DataFrame, slots: DataFrame, block: int):
-        self.scratch, self.documents, self.sources, self.slots, self.block = scratch, documents, sources, slots, block
+    def __init__(self, scratch: Scratch, documents: DataFrame, sources: DataFrame, draws: DataFrame, slots: DataFrame, block: int):
+        self.scratch, self.documents, self.sources, self.draws, self.slots, self.block = scratch, documents, sources, draws, slots, block
 
     def segments(self) -> DataFrame:
         """(sid, start, block, lo, words): the part of each document in each block; lo counts from its start."""
@@ -86,21 +90,59 @@ class Mix:
         return self.slots.join(self.segments(), ["sid", "block"]).select("shard", "slot", "sid", "block", "doc_id", "lo", "words")
 
     def taken(self) -> DataFrame:
-        """doc_id, size, source_size, target, taken of every input row."""
+        """doc_id, size, source_size, target, drawn (slots that drew the source, before surplus draws are passed on), taken of every input row."""
         by_doc = self.segments().join(self.times(), ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
         same = (F.col("d.sid") == F.col("t.sid")) & (F.col("d.start") == F.col("t.start")) & (F.col("d.size") > 0)
         out = self.documents.alias("d").join(by_doc.alias("t"), same, "left")
         out = out.select("d.doc_id", "d.sid", "d.size", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
-        return out.join(self.sources.select("sid", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", "taken")
+        drawn = self.draws.groupBy("sid").agg(F.sum("c").alias("drawn"))
+        named = self.sources.select("sid", "source_size", "target").join(drawn, "sid", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+        return out.join(named, "sid").select("doc_id", "size", "source_size", "target", "drawn", "taken")
 
 
-def permuted(k, turn, n):
-    """The image of k under the permutation number ``turn`` of 0 .. n-1: k * m + c modulo n.
+def pseudorandom(*parts):
+    """A number from 0 to 2**31 that depends on all of the numbers ``parts``: a chain of products modulo different primes."""
+    x = F.lit(1).cast("long")
+    for part in parts:
+        for k, (by, plus, prime) in enumerate(STEPS):
+            x = (x * F.lit(by).cast("long") + (F.pmod(part, F.lit(prime)) if k == 0 else F.lit(plus))) % prime
+    return x
 
-    m is a prime above any block count, so it shares no factor with n.
+
+def sides(n):
+    """(a, b) with a * b >= n, as near to a square as whole numbers allow."""
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    return a, F.ceil(n / a).cast("long")
+
+
+def _turned(x, a, b, *key):
+    """A Feistel network over the a * b cells: each round adds a keyed function of one coordinate to the other."""
+    l, r = x % a, F.floor(x / a).cast("long")
+    for k in range(ROUNDS):
+        if k % 2 == 0:
+            l = (l + pseudorandom(*key, F.lit(k), r)) % a
+        else:
+            r = (r + pseudorandom(*key, F.lit(k), l)) % b
+    return r * a + l
+
+
+def permuted(k, n, *key):
+    """The image of k under a permutation of 0 .. n-1 that the numbers ``key`` choose: a keyed Feistel network, walked on while outside."""
+    a, b = sides(n)
+    once = lambda x: _turned(x, a, b, *key)
+    first = once(k)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first, lambda x, _: F.when(x >= n, once(x)).otherwise(x))
+    return F.when(first >= n, walked).otherwise(first)
+
+
+def in_cells(rows: DataFrame, at: str, parts: DataFrame, lo: str, hi: str, total: int) -> DataFrame:
+    """``rows`` with the columns of the one of ``parts`` whose lo <= at < hi; the parts divide 0 .. total - 1.
+
+    Both sides are cut into CELLS equal cells and joined on them, so a row meets the few parts of its cell only.
     """
-    m = F.element_at(F.array(*[F.lit(x) for x in MULTIPLIERS]), (F.pmod(turn, F.lit(len(MULTIPLIERS))) + 1).cast("int"))
-    return F.pmod(k * F.pmod(m, n) + F.pmod(m * (turn + 1), n), n)
+    total = max(1, total)
+    cut = parts.where(f"{hi} > {lo}").withColumn("cell", F.explode(F.expr(f"sequence(cast(floor(cast({lo} as decimal(38)) * {CELLS} / {total}) as long), cast(floor(cast({hi} - 1 as decimal(38)) * {CELLS} / {total}) as long))")))
+    return rows.withColumn("cell", F.expr(f"cast(floor(cast({at} as decimal(38)) * {CELLS} / {total}) as long)")).join(cut, "cell").where(f"{at} >= {lo} and {at} < {hi}").drop("cell")
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeat: float = 2.0, block: int = BLOCK, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
@@ -108,8 +150,8 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeat: float =
 
     Null texts and texts without words have size 0 and are never taken.  A null source
     is a source of its own.  Rows that repeat are rows of their own.  Null ids come first in their source.  Extra columns are
-    ignored.  An empty table gives empty parts.  All draws are hashes of slot numbers, so
-    reruns agree.  A source may have 2**31 blocks; no document is taken more than
+    ignored.  An empty table gives empty parts.  All draws are functions of slot numbers, so
+    reruns agree.  A source may have some 2**61 blocks; no document is taken more than
     ceil(repeat) times.
     """
     spark = docs.sparkSession
@@ -132,14 +174,13 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeat: float =
     documents = scratch.save(documents)
     scratch.drop(sized, placed)
 
-    # every slot draws a source by its share of the quotas: cell of a random number, then the number itself
-    by_sid = Window.orderBy("sid")
+    # every slot draws a source by its share of the quotas
+    by_sid = Window.orderBy("sid")  # a row per source
     edges = sources.where("quota > 0").withColumn("hi", F.sum("quota").over(by_sid)).withColumn("lo", F.col("hi") - F.col("quota"))
     total = max(1, all_slots)
-    cells = edges.select("sid", "quota", "lo", "hi", F.explode(F.expr(f"sequence(lo * {CELLS} div {total}, (hi * {CELLS} - 1) div {total})")).alias("cell"))
-    slots = spark.range(all_slots).select(F.col("id").alias("slot"), (F.col("id") / SHARD_SLOTS).cast("long").alias("shard"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("u"))
-    slots = slots.withColumn("cell", F.expr(f"u * {CELLS} div {total}"))
-    drawn = slots.join(cells, "cell").where("u >= lo and u < hi").select("shard", "slot", "sid", "quota")
+    u = (pseudorandom(F.lit(seed), F.col("id")) * F.lit(1 << 31) + pseudorandom(F.lit(seed + 1), F.col("id"))) % total
+    slots = spark.range(all_slots).select(F.col("id").alias("slot"), (F.col("id") / SHARD_SLOTS).cast("long").alias("shard"), u.alias("u"))
+    drawn = in_cells(slots, "u", edges.select("sid", "quota", "lo", "hi"), "lo", "hi", total).select("shard", "slot", "sid", "quota")
     counts = drawn.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("c"))  # multinomial, shard by shard
     counts = scratch.save(counts.withColumn("base", F.sum("c").over(Window.partitionBy("sid").orderBy("shard")) - F.col("c")))
     rank = F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot")) - 1
@@ -150,14 +191,15 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeat: float =
     state = sources.where("quota > 0").select("sid", "quota").join(got, "sid", "left").fillna(0, ["got"])
     state = state.withColumn("over", F.greatest(F.col("got") - F.col("quota"), F.lit(0))).withColumn("lack", F.greatest(F.col("quota") - F.col("got"), F.lit(0)))
     state = scratch.save(state.withColumn("over_base", F.sum("over").over(by_sid) - F.col("over")).withColumn("lack_base", F.sum("lack").over(by_sid) - F.col("lack")))
+    spares = state.agg(F.coalesce(F.sum("over"), F.lit(0))).first()[0]
     own = drawn.where("k < quota").select("shard", "slot", "sid", "k")
     spare = drawn.where("k >= quota").join(state.select("sid", "over_base"), "sid").select("shard", "slot", (F.col("k") - F.col("quota") + F.col("over_base")).alias("i"))
-    short = state.where("lack > 0").select("sid", "got", "lack", "lack_base")
-    passed = spare.join(short, (F.col("i") >= F.col("lack_base")) & (F.col("i") < F.col("lack_base") + F.col("lack"))).select("shard", "slot", "sid", (F.col("i") - F.col("lack_base") + F.col("got")).alias("k"))
-    slots = own.union(passed).join(sources.select("sid", "n_blocks"), "sid")
+    short = state.where("lack > 0").select("sid", "got", "lack_base", (F.col("lack_base") + F.col("lack")).alias("lack_end"))
+    passed = in_cells(spare, "i", short, "lack_base", "lack_end", spares).select("shard", "slot", "sid", (F.col("i") - F.col("lack_base") + F.col("got")).alias("k"))
     turn = F.expr("k div n_blocks")
-    slots = slots.select("shard", "slot", "sid", turn.alias("turn"), permuted(F.col("k") % F.col("n_blocks"), turn, F.col("n_blocks")).alias("block"))
-    return Mix(scratch, documents, sources, slots, block)
+    slots = own.union(passed).join(sources.select("sid", "n_blocks"), "sid").select("shard", "slot", "sid", turn.alias("turn"), F.expr("k % n_blocks").alias("k"), "n_blocks")
+    slots = slots.select("shard", "slot", "sid", "turn", permuted(F.col("k"), F.col("n_blocks"), F.lit(seed), F.col("sid"), F.col("turn")).alias("block"))
+    return Mix(scratch, documents, sources, counts.select("shard", "sid", "c"), slots, block)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

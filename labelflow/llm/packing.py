@@ -9,6 +9,7 @@ their pieces packed in a next level across groups, until one group is left.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -29,13 +30,21 @@ TIGHT = 0.985
 #: Words whose ids a worker remembers at most.
 REMEMBER = 300_000
 
-# In these texts the vocabulary's own normalisation is lower case and nothing else, and
-# its split into words is that of WORDS; all others are encoded as a whole.
+# In these texts NFC, white space as single spaces and lower case, the normalisation of the
+# vocabularies that PARTS describes, change letters' case only, and their split into words is that
+# of WORDS; all other texts, and all texts under other vocabularies, are encoded as a whole.
 PLAIN = re.compile("[\t\n\x0b\x0c\r -~¡-¬®-ÿ–—‘’“”…]*")
 _L, _N = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
 
 
+# The normaliser and the split that this holds for.
+PARTS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+)
+
+
 class WordEncoder:
     """Token ids of texts as little-endian 32-bit bytes; words are encoded once and remembered.
 
@@ -48,12 +57,15 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their names in a text are ordinary text
-        vocab = self.tok.get_vocab()
+        made, vocab = json.loads(self.tok.to_str()), self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for name, i in vocab.items():
             self.ends[i] = name.endswith("</w>")
-        self.by_words = self.ends.any()
+        split = (made["pre_tokenizer"] or {}).get("pretokenizers") or [None]
+        self.by_words = self.ends.any() and (made["normalizer"], split[0]) == PARTS
+        # texts with an added token in them are encoded as a whole, as the vocabulary has it
+        names = [re.escape(t["content"]) for t in made["added_tokens"] if t["content"]]
+        self.added = re.compile("|".join(names), re.IGNORECASE) if names else None
         self.known: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
@@ -68,7 +80,7 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_words or not PLAIN.fullmatch(text):
+        if not self.by_words or not PLAIN.fullmatch(text) or (self.added and self.added.search(text)):
             return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
         words = WORDS.findall(text.lower())
         known = self.known
@@ -114,7 +126,8 @@ def _cutter(path: str, capacity: int, end_id: int, keep_ids: bool):
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and the end id, cut at ``capacity``.
 
-    Null and empty texts consist of the end id alone.  Whole texts are encoded.
+    Null and empty texts consist of the end id alone.  Whole texts are encoded, added tokens in them as the vocabulary has
+    it.  Rows with a null id are packed like all others and keep it.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()

@@ -131,8 +131,26 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).taken()
 
 
+def _random_sql(*parts: str) -> str:
+    x = "1::bigint"
+    for part in parts:
+        for k, (by, plus, prime) in enumerate(mixing.STEPS):
+            x = f"(({x} * {by} + {f'({part}) % {prime}' if k == 0 else plus}) % {prime})"
+    return x
+
+
+def _feistel_sql(seed: int) -> str:
+    """Nested selects that turn x once in each round; l and r are the coordinates."""
+    out = "select *, x % a as l, x // a as r from walk where x >= n or not begun"
+    for k in range(mixing.ROUNDS):
+        one, other, mod = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        out = f"select * exclude ({one}), ({one} + {_random_sql(str(seed), 'sid', 'turn', str(k), other)}) % {mod} as {one} from ({out})"
+    return out
+
+
+OP7_SEED = 17
 OP7_SQL = f"""
-with d as (
+with recursive d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 s1 as (select *, row_number() over (order by source nulls last) as sid from s),
@@ -145,10 +163,16 @@ s4 as (select *, max(case when (total - before) / rest <= full_at then (total -
 s5 as (select source, source_size, sid, coalesce(least(cap, level * weight), cap) as target,
     ceil(source_size / {mixing.BLOCK}.0)::bigint as n_blocks from s4),
 s6 as (select *, case when source_size > 0 then round(target * n_blocks / source_size) else 0 end::bigint as quota from s5),
+ed as (select sid, quota, sum(quota) over (order by sid)::bigint as hi from s6 where quota > 0),
+al as (select unnest(range(max(hi))) as slot, max(hi) as total from ed),
+u as (select ({_random_sql(str(OP7_SEED), 'slot')} * 2147483648::bigint + {_random_sql(str(OP7_SEED + 1), 'slot')}) % total as u from al),
+dr as (select sid, count(*) as drawn from u join ed on u >= hi - quota and u < hi group by sid),
 slots as (select sid, n_blocks, unnest(range(quota)) as k from s6),
-m as (select sid, n_blocks, k % n_blocks as r, k // n_blocks as turn,
-    list_extract(cast([{", ".join(map(str, mixing.MULTIPLIERS))}] as bigint[]), (k // n_blocks) % {len(mixing.MULTIPLIERS)} + 1) as mul from slots),
-times as (select sid, (r * (mul % n_blocks) + (mul * (turn + 1)) % n_blocks) % n_blocks as block, count(*) as times from m group by all),
+walk as (
+  select sid, k // n_blocks as turn, k, n_blocks as n, ceil(sqrt(n_blocks))::bigint as a, ceil(n_blocks / ceil(sqrt(n_blocks)))::bigint as b, k % n_blocks as x, false as begun from slots
+  union all
+  select sid, turn, k, n, a, b, (r * a + l)::bigint as x, true from ({_feistel_sql(OP7_SEED)})),
+times as (select sid, x as block, count(*) as times from walk where begun and x < n group by all),
 p as (select doc_id, size, sid, source_size, target,
     sum(size) over (partition by sid order by doc_id, size rows unbounded preceding)::bigint - size as start,
     row_number() over () as row_no
@@ -156,7 +180,7 @@ p as (select doc_id, size, sid, source_size, target,
 seg as (select row_no, sid, start, size, unnest(range(start // {mixing.BLOCK}, (start + size - 1) // {mixing.BLOCK} + 1)) as block from p where size > 0),
 t as (select row_no, sum((least((block + 1) * {mixing.BLOCK}, start + size) - greatest(block * {mixing.BLOCK}, start)) * times)::bigint as taken
   from seg join times using (sid, block) group by row_no)
-select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from p left join t using (row_no)
+select doc_id, size, source_size, target, coalesce(drawn, 0)::bigint as drawn, coalesce(taken, 0)::bigint as taken from p left join t using (row_no) left join dr using (sid)
 """
 
 

@@ -1,13 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read a clause word by word: insult and threat words (with
-learned weights), words that address a target, negation with a scope of
-three words, and reported speech that holds to the clause's end.  Their
-composition is one deterministic automaton whose state is the product of
-theirs.  When it reads an insult or a threat it emits the word's weight into a
-channel named by the state (plain, aimed, negated, reported and their combinations).  Clauses are
-scored, not isolated words: the channels of all matched clauses add up, and a logistic
-link with one coefficient per channel gives the score.
+A clause is a string of word classes.  Three transducers annotate it from left to right: a target word is
+remembered for SCOPE words, a negation for SCOPE words, reported speech to the clause's end.  Two more read the annotated string:
+
+* the insult transducer accepts phrases: insult words that follow one another, or are joined by at most LINKS linking words
+  ("scum of the earth's trash"), an intensifier before them adding to their weight.  A phrase is aimed at
+  a target within SCOPE words before its first word or after its last;
+* the threat transducer accepts a threat verb with a target within SCOPE words after it, or after a modal within
+  SCOPE words before it; a verb with neither is no threat.
+
+They are composed on the fly: a state is one state of each, met states are remembered.  The composition emits the sum of
+a phrase's weights into a channel that says insult or threat, aimed or not, negated or not, reported or not.  What the
+clauses of a text emit adds up, and a logistic link with one coefficient per channel gives the score.
 
 What is learned, from a bounded sample of labelled texts: words and word
 stems that mark toxic texts (any language), their weights, and the channel coefficients,
@@ -20,6 +24,7 @@ import itertools
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -34,47 +39,92 @@ LEARNED, SUPPORT, SUPPORT_SHARE = 400, 3, 0.015
 #: Lengths of learned stems in letters.
 STEMS = (4, 5, 6, 7, 8)
 
-# Seed words of the grammar's classes.
-INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb imbecile filth vermin".split()
-THREATS = "kill hurt destroy beat smash shoot stab burn murder strangle".split()
-TARGETS = "you your yours yourself u ur he she they them him her his their these those".split()
-NEGATIONS = "not no never nobody nothing isn't aren't wasn't weren't don't doesn't didn't won't can't cannot without".split()
-REPORTS = "said says say called calls wrote writes claimed claims according quoted quotes reported shouted".split()
+# The grammar's word classes, in English, German, French and Spanish.
+INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb imbecile filth vermin dumm idioten abschaum versager dreck ekelhaft wertlos crétin abruti ordure minable dégoûtant tonto estúpido basura escoria inútil asqueroso".split()
+THREATS = "kill hurt destroy beat smash shoot stab burn murder strangle töten umbringen schlagen verbrennen vernichten tuer frapper brûler détruire matar golpear quemar destruir".split()
+TARGETS = "you your yours yourself u ur he she they them him her his their these those du dich dir dein deine ihr euch sie ihn ihm diese tu te toi ton vous votre il elle ils elles leur lui ces tú ti usted ustedes él ella ellos ellas vosotros esos esas".split()
+NEGATIONS = "not no never nobody nothing isn't aren't wasn't weren't don't doesn't didn't won't can't cannot without nicht kein keine nie niemals niemand ohne pas jamais rien aucun aucune sans nunca jamás nada ningún ninguna sin".split()
+REPORTS = "said says say called calls wrote writes claimed claims according quoted quotes reported shouted sagt sagte schrieb behauptet zitiert laut rief dit disait écrit affirme selon cria dijo dice escribió afirma según gritó".split()
+INTENSIFIERS = "so such very really totally utterly absolute complete total sehr echt völlig total absolut très vraiment totalement muy tan totalmente realmente".split()
+MODALS = "will would shall should gonna going must want hope i'll we'll werde werden soll muss will vais va allons dois veux voy va vamos debo quiero".split()
+LINKING = "a an the of and or little piece und oder der die das ein eine von et ou le la les un une de du des y o el los las una".split()
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 END = re.compile(r"[.!?;\n]")
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-SCOPE = 3
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENSE, MODAL, LINK = range(9)
+SCOPE, LINKS, STRONG = 3, 2, 1.25
 # Prior coefficient of a channel = base, times a factor for each modifier.
 BASE, AIMED, NEGATED, REPORTED = 2.0, 1.3, 0.6, 0.7
 
-# each transducer: (start, step(state, symbol) -> state)
-NEGATION_FST = (0, lambda s, x: SCOPE if x == NEGATION else max(0, s - 1))
-TARGET_FST = (0, lambda s, x: SCOPE if x == TARGET else max(0, s - 1))
-REPORT_FST = (0, lambda s, x: 1 if x == REPORT else s)
-
-
-def compose() -> tuple[dict, list]:
-    """The product automaton: {(state, symbol): (next state, channel or None)} and its states."""
-    parts = (NEGATION_FST, TARGET_FST, REPORT_FST)
-    start = tuple(p[0] for p in parts)
-    states, todo, table = [start], [start], {}
-    while todo:
-        s = todo.pop()
-        for x in range(6):
-            t = tuple(step(q, x) for q, (_, step) in zip(s, parts))
-            channel = None
-            if x in (INSULT, THREAT):
-                channel = ((x == THREAT) << 3) | ((s[1] > 0) << 2) | ((s[0] > 0) << 1) | s[2]
-            table[s, x] = (t, channel)
-            if t not in states:
-                states.append(t)
-                todo.append(t)
-    return table, states
-
-
-TABLE, STATES = compose()
-START = STATES[0]
+
+def fade(word: int):
+    """The transducer that remembers a class of words for SCOPE words: its state is how many are left."""
+    return lambda state, symbol: SCOPE if symbol == word else max(0, state - 1)
+
+
+recall_target, recall_negation, recall_modal = fade(TARGET), fade(NEGATION), fade(MODAL)
+
+
+def insult_step(state, symbol, aimed, negated, reported, intense):
+    """-> (state, [(operation, channel)]).  state: None, or (words since the phrase's last, all of them linking, aimed, negated, reported)."""
+    out = []
+    if symbol == INSULT:
+        if state is not None and state[1] and state[0] <= LINKS:
+            return (0, True, *state[2:]), [("add", None)]
+        if state is not None:
+            out.append(("emit insult", state[2:]))
+        return (0, True, aimed, negated, reported), [*out, ("begin strong" if intense else "begin", None)]
+    if state is None:
+        return None, out
+    since, linking, *flags = state
+    if symbol == TARGET:
+        return None, [("emit insult", (True, *flags[1:]))]
+    if since + 1 == SCOPE:
+        return None, [("emit insult", tuple(flags))]
+    return (since + 1, linking and symbol == LINK, *flags), out
+
+
+def threat_step(state, symbol, meant, negated, reported):
+    """-> (state, [(operation, channel)]).  state: None, or (words since the verb, after a modal, negated, reported)."""
+    out = []
+    if state is not None:
+        since, modal, *flags = state
+        if symbol == TARGET:
+            return None, [("emit threat", (True, *flags))]
+        if symbol == THREAT or since + 1 == SCOPE:
+            out, state = [("emit threat", (False, *flags))] if modal else [], None
+        else:
+            state = (since + 1, modal, *flags)
+    if symbol == THREAT:
+        return (0, meant, negated, reported), [*out, ("threaten", None)]
+    return state, out
+
+
+#: States of target, negation, report, modal, whether the last word intensified, insult, threat.
+START = (0, 0, False, 0, False, None, None)
+
+
+@lru_cache(maxsize=1 << 16)
+def compose(state: tuple, symbol: int) -> tuple[tuple, tuple]:
+    """(next state, operations) of the composed transducers for one word."""
+    target, negation, report, modal, intense, insult, threat = state
+    insult, first = insult_step(insult, symbol, target > 0, negation > 0, report, intense)
+    threat, then = threat_step(threat, symbol, modal > 0, negation > 0, report)
+    after = (recall_target(target, symbol), recall_negation(negation, symbol), report or symbol == REPORT, recall_modal(modal, symbol), symbol == INTENSE, insult, threat)
+    return after, tuple(first + then)
+
+
+def at_end(state: tuple) -> list:
+    """What a state still emits when the clause ends."""
+    insult, threat = state[5:]
+    out = [("emit insult", insult[2:])] if insult is not None else []
+    return out + ([("emit threat", (False, *threat[2:]))] if threat is not None and threat[1] else [])
+
+
+def channel(threat: bool, aimed: bool, negated: bool, reported: bool) -> int:
+    return threat << 3 | aimed << 2 | negated << 1 | reported
+
+
 CHANNELS = 16
 FEATURES = CHANNELS + 1  # the last says how long the text is that matched
 
@@ -92,7 +142,8 @@ class Grammar:
     def __init__(self, words: dict, stems: dict, bias: float = -3.0, coef: np.ndarray | None = None):
         self.words, self.stems, self.bias = words, stems, bias
         self.coef = prior() if coef is None else coef
-        self.classes = {w: TARGET for w in TARGETS} | {w: NEGATION for w in NEGATIONS} | {w: REPORT for w in REPORTS}
+        kinds = ((LINKING, LINK), (INTENSIFIERS, INTENSE), (MODALS, MODAL), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT))
+        self.classes = {w: k for listed, k in kinds for w in listed}
         self.longest_stem = max(map(len, stems), default=0)
         self._automaton = None
 
@@ -121,14 +172,25 @@ class Grammar:
         return self.classes.get(word, OTHER), 0.0
 
     def clause(self, words: list[str], out: np.ndarray) -> None:
-        """Run the automaton over one clause; an address after the match counts as aimed too."""
-        state, marks = START, [self.lexeme(w) for w in words]
-        for k, (symbol, weight) in enumerate(marks):
-            state, channel = TABLE[state, symbol]
-            if channel is not None:
-                if any(m[0] == TARGET for m in marks[k + 1 : k + 1 + SCOPE]):
-                    channel |= 4
-                out[channel] += weight
+        """Run the composition over one clause; ``out`` gets the weight of each phrase in its channel."""
+        state, insult, threat = START, 0.0, 0.0
+        steps = [self.lexeme(w) for w in words]
+        for k in range(len(steps) + 1):
+            if k < len(steps):
+                state, operations = compose(state, steps[k][0])
+            else:
+                operations = at_end(state)
+            for name, flags in operations:
+                if name == "emit insult":
+                    out[channel(False, *flags)] += insult
+                elif name == "emit threat":
+                    out[channel(True, *flags)] += threat
+                elif name == "threaten":
+                    threat = steps[k][1]
+                elif name == "add":
+                    insult += steps[k][1]
+                else:
+                    insult = steps[k][1] * (STRONG if name == "begin strong" else 1.0)
 
     def channels(self, text: str | None) -> np.ndarray:
         """What the clauses of a whole text emit, by channel; last, the text's log length if any matched."""

@@ -132,8 +132,7 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    texts = [None, "", "Hello, World's end! It'll do.", "ÀÉ ß 12½ — “q”", "İstanbul ΣΑΣ", "日本語 text", "a b c\x1fd", "é café", "<|endoftext|>", "don't 'S x", "word " * 9000, "x" * 20000]
+    texts = [None, "", "Hello, World's end! It'll do.", "ÀÉ ß 12½ — “q”", "İstanbul ΣΑΣ", "日本語 text", "a b c\x1fd", "é café", "<|endoftext|>", "a <|endoftext|> b", "a <|ENDoftext|>", "don't 'S x", "word " * 9000, "x" * 20000]
     d = spark.createDataFrame(list(enumerate(texts)) + [(2, texts[2])], "doc_id long, text string")
     cut = packing.pieces(d, path, 4096, 1, keep_ids=True)
     rows = packing.pack(cut).collect()
