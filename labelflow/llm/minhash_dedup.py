@@ -121,7 +121,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
     star = scratch.save(lookup(keys, ["key"], centre, "inner", hot))
     scratch.drop(one_half, keys)
     met = star.where("rep <> dst").where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)")
-    met = scratch.save(met.select(F.col("rep").alias("src"), "dst").distinct())
+    met = scratch.save(met.groupBy(F.col("rep").alias("src"), "dst").agg(F.count(F.lit(1)).alias("times")))
     # by the same plan at any size: the list of ids grows with the corpus
     wanted = reps.join(star.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "d1", "d2")
     texts = base.hint("merge").join(wanted, "doc_id").select("rep", "d1", "d2", "text")

@@ -2,7 +2,8 @@
 
 Shared by the document and the line operator.  Every link is confirmed on whole sets.
 
-1. Stars: each member of a bucket is compared with one centre of it; components follow.
+1. Stars: each member of a bucket is compared with one centre of it, first with the one that it meets in most
+   buckets; components follow.
 2. What is left are pairs that share a bucket and lie in different components.  In small buckets
    they are all compared; large ones get some more centres.
 3. Members of large ones that are still in several components are joined by prefix filtering: with the elements of all sets in one order, rare ones
@@ -111,7 +112,7 @@ def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
 def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, payload: DataFrame, percent: int, confirm: Callable = confirm_sets, to_sets: Callable = lambda p: p, sift: Callable | None = None) -> DataFrame:
     """(node, component) of all links between members of a bucket.
 
-    met: (src, dst), written: each member with a first centre, of fitting size.  buckets: (key, rep), written: the
+    met: (src, dst, times), written: each member with the first centres of its buckets, if of fitting size, and in how many they meet.  buckets: (key, rep), written: the
     members of all buckets with two or more.  payload: (rep, n, payload), n the size of the set.  confirm(pairs,
     payload, percent) keeps similar pairs; to_sets(payload) gives the sets as arrays of longs in place of other payloads.
     sift(pairs), if given, leaves out written pairs that are too far apart to be worth moving whole sets for.
@@ -133,17 +134,23 @@ def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, pay
         scratch.drop(links)
         return out
 
-    first = met.groupBy("src").agg(F.min("dst").alias("dst"))
+    # the centre met most often is the likeliest to be similar; the others follow where they could still join components
+    first = met.groupBy("src").agg(F.min_by("dst", F.struct(-F.col("times"), "dst")).alias("dst"))
     links = confirmed(first)
     comp = connected_components(scratch, links)
     scratch.drop(links)
+    rest = met.select("src", "dst").join(first.hint("merge"), ["src", "dst"], "left_anti")
+    for end in ("src", "dst"):
+        rest = lookup(rest, [end], comp.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), hot=hot_keys(met, end))
+    comp = extended(rest.where("coalesce(_src, src) <> coalesce(_dst, dst)").select("src", "dst"))
+
     mixed = _mixed(scratch, buckets, comp, payload.select("rep", "n"))
     small, large = mixed.where(F.col("k") <= SMALL), mixed.where(F.col("k") > SMALL)
     other = small.select("key", F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("ld"))
     pairs = small.hint("merge").join(other, "key").where("rep < dst and lab <> ld").where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)")
     pairs = pairs.select(F.col("rep").alias("src"), "dst").union(_stars(large, hot_keys(mixed, "key"), percent))
-    tried = first.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    pairs = pairs.join(tried, ["src", "dst"], "left_anti")
+    tried = met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    pairs = pairs.hint("merge").join(tried, ["src", "dst"], "left_anti")
     if mixed.counts["rows"]:
         comp = extended(pairs.distinct())
     again = _mixed(scratch, large, comp, hot=hot_keys(mixed, "key")) if mixed.counts["large"] else None
