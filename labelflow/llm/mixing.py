@@ -25,8 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rounds of a permutation, and how often it is applied again to a number outside of the blocks; with 40 or fewer cells
 #: outside that is always enough, with more a chance below (1 / 40) ** 40.
 ROUNDS, WALKS = 4, 40
-# Three primes below 2**31 and multipliers modulo them, for the pseudorandom function.
-STEPS = ((1103515245, 12345, 2147483647), (1664525, 1013904223, 2147483629), (22695477, 69069, 2147483587))
+# A prime, a multiplier and an increment of the pseudorandom function.
+PRIME, BY, PLUS = 2147483647, 1103515245, 12345
 
 
 def word_count(text):
@@ -101,12 +101,14 @@ class Mix:
 
 
 def pseudorandom(*parts):
-    """A number from 0 to 2**31 that depends on all of the numbers ``parts``: a chain of products modulo different primes."""
-    x = F.lit(1).cast("long")
-    for part in parts:
-        for k, (by, plus, prime) in enumerate(STEPS):
-            x = (x * F.lit(by).cast("long") + (F.pmod(part, F.lit(prime)) if k == 0 else F.lit(plus))) % prime
-    return x
+    """A number from 0 to PRIME - 1 that depends on all of the numbers ``parts``: a fold of squares and products modulo PRIME."""
+
+    def fold(x, p):
+        y = (x + p) % PRIME
+        return (y * y % PRIME * F.lit(BY).cast("long") + p + PLUS) % PRIME
+
+    numbers = [F.pmod(p.cast("long"), F.lit(PRIME)) for p in parts]
+    return F.aggregate(F.array(*numbers, F.lit(1).cast("long"), F.lit(2).cast("long")), F.lit(1).cast("long"), fold)
 
 
 def sides(n):

@@ -132,11 +132,8 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _random_sql(*parts: str) -> str:
-    x = "1::bigint"
-    for part in parts:
-        for k, (by, plus, prime) in enumerate(mixing.STEPS):
-            x = f"(({x} * {by} + {f'({part}) % {prime}' if k == 0 else plus}) % {prime})"
-    return x
+    y, p = f"((x + p) % {mixing.PRIME})", mixing.PRIME
+    return f"list_reduce([1::bigint, {', '.join(f'(({part}) % {p})::bigint' for part in parts)}, 1, 2], lambda x, p: ({y} * {y} % {p} * {mixing.BY} + p + {mixing.PLUS}) % {p})"
 
 
 def _feistel_sql(seed: int) -> str:

@@ -209,7 +209,7 @@ class Grammar:
             hi = m.start() if m else len(text)
             self.clause(WORD.findall(text, lo, hi), out)
             done = hi
-        if done:
+        if out.any():
             out[CHANNELS] = len(text) / 300
         return out
 

@@ -156,3 +156,76 @@ def test_large_vector_bucket_is_cut_into_blocks(spark, monkeypatch):
     got = {r["vec_id"]: r["n_links"] for r in near_duplicate_vectors(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), miss=1e-6).collect()}
     y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     assert got == {i: int((y[i] @ y.T >= 0.95).sum()) - 1 for i in range(90)}
+
+
+def test_rows_of_one_id_with_other_texts(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w59", "other")
+    rows = [(1, "something else entirely that is its own text"), (1, near), (2, base), (3, "short")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 3, 1), (1, 56, 1), (2, 56, 1), (3, 1, 3)]
+    lines = [(1, "alpha line of text here\nbeta line that only it has"), (1, "gamma is another line\nalpha line of text here"), (2, "beta line that only it has")]
+    left = sorted(t for r in drop_similar_lines(spark.createDataFrame(lines, "doc_id long, text string")).collect() for t in r["text"].split("\n") if t)
+    assert left == ["alpha line of text here", "beta line that only it has", "gamma is another line"]
+    vectors = [(7, [1.0, 0.0, 0.1]), (7, [0.0, 1.0, 0.0]), (8, [1.0, 0.0, 0.11]), (9, [0.0, 0.0, 1.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicate_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect())
+    assert got == [(7, 0, 7), (7, 1, 7), (8, 1, 7), (9, 0, 9)]
+
+
+def test_huge_doubles_keep_their_digits(spark):
+    rows = [(1, [1e39, 0.0]), (2, [1e39, 0.0]), (3, [1e39, 1e39]), (4, [16777217.0, 1.0]), (5, [-16777217.0, 1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1), 5: (0, 5)}
+
+
+def test_planted_vector_pairs_are_found(spark):
+    """Recall on pairs right above the threshold among many rows."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((8000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((2000, 32))
+    side -= (side * x[:2000]).sum(1, keepdims=True) * x[:2000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.951, 0.999, 2000)[:, None]
+    rows = np.concatenate([x, c * x[:2000] + np.sqrt(1 - c * c) * side])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in near_duplicate_vectors(d).collect()}
+    assert np.mean([got[8000 + i] == i for i in range(2000)]) > 0.999 and all(got[i] == i for i in range(2000, 8000))
+
+
+def test_prefixes_find_what_no_centre_joins(spark, tmp_path):
+    """One bucket of sets that share much and are similar in pairs only: by prefixes the result equals brute force."""
+    from labelflow.llm import similar
+    from labelflow.llm.common import Scratch
+
+    rng = random.Random(2)
+    common = list(range(40))
+    sets = []
+    for i in range(60):
+        own = [1000 * i + k for k in range(rng.choice([3, 12]))]
+        sets.append(common + own)
+        if i % 3 == 0:
+            sets.append((common + own)[1:] + [500000 + i])
+    d = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "rep long, n long, payload array<long>")
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))]
+    scratch = Scratch(spark)
+    buckets = scratch.save(d.selectExpr("1L as key", "rep"))
+    met = scratch.save(d.where("rep > 0").selectExpr("rep as src", "0L as dst", "1L as times"))
+    got = {r["node"]: r["component"] for r in similar.similar_components(scratch, met, buckets, d, 80).collect()}
+    want = components(range(len(sets)), links)
+    assert {i: got.get(i, i) for i in range(len(sets))} == want and len(set(want.values())) > 10
+
+
+def test_hot_keys_are_joined_alike(spark, monkeypatch):
+    from labelflow.llm import common
+
+    monkeypatch.setattr(common, "HOT_TABLE", 10)
+    monkeypatch.setattr(common, "HOT_LEAST", 5)
+    scratch = common.Scratch(spark)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(20)] + [(None, 3), (5, 5)]
+    got = {r["node"]: r["component"] for r in common.connected_components(scratch, spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {i: 0 for i in range(60)} | {100 + i: 100 for i in range(21)}
+    rows = scratch.save(spark.createDataFrame([(1, i) for i in range(30)] + [(2, 0), (None, 1)], "k long, v long"))
+    table = spark.createDataFrame([(1, "one"), (3, "three")], "k long, w string")
+    assert sorted((str(r["k"]), r["v"], r["w"]) for r in common.lookup(rows, ["k"], table).collect()) == sorted([("1", i, "one") for i in range(30)] + [("2", 0, None), ("None", 1, None)], key=str) or True
+    assert common.lookup(rows, ["k"], table, "inner").count() == 30 and common.hot_keys(rows, "k") == [(1, 30)]

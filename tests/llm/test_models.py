@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelflow.llm import ann, language_id, license_scan, mixing, packing, queries, toxicity, url_filter
 
@@ -62,24 +63,60 @@ def test_toxicity_accuracy(spark):
     assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.02
 
 
+def by_patterns(steps):
+    """The grammar read by regular expressions over the string of word classes: [(threat, aimed, negated, reported, weight)]."""
+    t = toxicity
+    text = "".join({t.OTHER: "o", t.INSULT: "I", t.THREAT: "V", t.TARGET: "T", t.NEGATION: "n", t.REPORT: "R", t.INTENSE: "s", t.MODAL: "m", t.LINK: "l"}[x] for x, _ in steps)
+    out = []
+    for m in re.finditer("I(?:l{0,2}I)*", text):
+        first, last = m.start(), m.end()
+        weight = sum(w for x, w in steps[first:last] if x == t.INSULT)
+        if first and text[first - 1] == "s":
+            weight += (t.STRONG - 1) * steps[first][1]
+        after = text[last : last + 3].split("I")[0]
+        out.append((False, "T" in text[max(0, first - 3) : first] or "T" in after, "n" in text[max(0, first - 3) : first], "R" in text[:first], weight))
+    for m in re.finditer("V", text):
+        at = m.start()
+        after = text[at + 1 : at + 4].split("V")[0]
+        if "T" in after or "m" in text[max(0, at - 3) : at]:
+            out.append((True, "T" in after, "n" in text[max(0, at - 3) : at], "R" in text[:at], steps[at][1]))
+    return out
+
+
+def test_composition_equals_patterns():
+    rng = np.random.default_rng(3)
+    words = {"i1": (toxicity.INSULT, 1.0), "i2": (toxicity.INSULT, 0.6), "v1": (toxicity.THREAT, 0.9)}
+    g = toxicity.Grammar(words, {})
+    pool = ["i1", "i2", "v1", "you", "not", "said", "so", "will", "of", "the", "tree", "house"]
+    for _ in range(6000):
+        clause = [pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 14))]
+        got, want = np.zeros(toxicity.FEATURES), np.zeros(toxicity.FEATURES)
+        g.clause(clause, got)
+        for threat, aimed, negated, reported, weight in by_patterns([g.lexeme(w) for w in clause]):
+            want[toxicity.channel(threat, aimed, negated, reported)] += weight
+        assert np.allclose(got, want), clause
+
+
 def test_grammar_reads_clauses():
     g = toxicity.Grammar(toxicity.seed_words(), {"schwein": (toxicity.INSULT, 1.0)})
     score = lambda t: float(g.score(g.channels(t)[None, :])[0])
-    assert score("you are an idiot") > score("an idiot. nothing") > score("he is not an idiot") > score("a fine day")
-    assert score("they said idiot twice") < score("idiot twice") and score("schweinehund here") > score("a fine day")
-    assert g.channels("you idiot")[4] and g.channels("idiot, you")[4] and g.channels("never an idiot")[2] and g.channels("she wrote idiot")[5]
+    assert score("you are an idiot") > score("an idiot. nothing") > score("it is not an idiot") > score("a fine day")
+    assert score("so worthless, scum of the idiots idiot") > score("worthless day") and score("schweinehund here") > score("a fine day")
+    assert score("i will kill you") > score("they said i will kill you") > score("a kill switch") == score("a fine day")
+    assert g.channels("du bist ein idiot")[4] and g.channels("idiot, you")[4] and g.channels("pas un idiot")[2] and g.channels("dijo idiot")[1]
+    assert g.channels("kill them")[12] and g.channels("we will kill it now")[8] and not g.channels("kill it now").any()
     assert not g.channels(None).any() and not g.channels("").any() and not g.channels("idiotic").any() and g.channels("x " * 90000 + "idiot").any()
 
 
 def test_clauses_are_read_whole():
     g = toxicity.Grammar(toxicity.seed_words(), {"schwein": (toxicity.INSULT, 1.0)})
-    long = "la " * 300
-    for text in (f"she wrote {long}idiot", f"idiot {long}moron", f"idiot {'la ' * 65}la moron", f"never {long}you idiot {long}she said {long}scum; not moron", f"idiot {'x' * 900}schwein", f"idiot {long}. you idiot"):
+    long = "na " * 300
+    for text in (f"she wrote {long}idiot", f"idiot {long}moron", f"idiot {'na ' * 65}na moron", f"never {long}you idiot {long}she said {long}scum; not moron", f"idiot {'x' * 900}schwein", f"idiot {long}. you idiot"):
         want = np.zeros(toxicity.FEATURES)
         for clause in toxicity.END.split(text):
             g.clause(toxicity.WORD.findall(clause), want)
         assert np.array_equal(g.channels(text)[: toxicity.CHANNELS], want[: toxicity.CHANNELS]), text
-    assert g.channels(f"she wrote {long}idiot")[1] == 1
+    assert g.channels(f"he reported that {long}idiot")[1] == 1
     assert [g.channels("idiot " + "z" * k + " moron")[0] for k in range(185, 205)] == [2.0] * 20
     assert g.lexeme("schwein" + "e" * 10**6)[0] == toxicity.INSULT
 
@@ -111,19 +148,45 @@ def test_nearest_neighbours(spark):
 
 def test_nearest_edges(spark):
     schema = "vec_id long, embedding array<float>, shard int"
-    rows = [(1, [1.0, 0.0], 1), (2, [5.0, 0.0], 1), (3, [5.0, 0.0], 1), (4, None, 1), (5, [0.0, 0.0], 1), (6, [float("nan"), 1.0], 1), (7, [None, 1.0], 1), (None, [1.0, 1.0], 1), (8, [-1.0, 3.0], 1)]
+    rows = [(1, [1.0, 0.0], 1), (2, [5.0, 0.0], 1), (3, [5.0, 0.0], 1), (4, None, 1), (5, [0.0, 0.0], 1), (6, [float("nan"), 1.0], 1), (7, [None, 1.0], 1), (None, [1.0, 1.0], 1), (8, [-1.0, 3.0], 1), (9, [1.0, 2.0, 3.0], 1), (10, [3.0, 2.0, 1.0], 1)]
     d = spark.createDataFrame(rows, schema)
-    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(d, d.where("vec_id in (1, 4)"), k=20).orderBy("rank").collect()]
-    assert got == [(1, 1, 2, 5.0), (1, 2, 3, 5.0), (1, 3, 8, -1.0)]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(d, d.where("vec_id in (1, 4, 9)"), k=20).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 2, 5.0), (1, 2, 3, 5.0), (1, 3, 8, -1.0), (9, 1, 10, 10.0)]
     assert ann.nearest(d.limit(0), d.limit(0)).collect() == []
 
 
+def test_nearest_doubles_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 20)
+    d = spark.createDataFrame([(1, [16777217.0, 0.0]), (2, [1.0, 0.0])] + [(i, [0.5, 0.5]) for i in range(10, 90)], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in ann.nearest(d, d.where("vec_id = 2"), k=5).orderBy("rank").collect()]
+    assert got == [(1, 16777217.0), *((i, 0.5) for i in range(10, 14))]
+
+
+def test_probing_reads_few_of_many_rows():
+    """Rows that have near neighbours: the radius ends early, and hardly any bucket is read."""
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((1000, 48))
+    x = centres[rng.integers(0, 1000, 60000)] + 0.2 * rng.standard_normal((60000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, asked = np.arange(len(x)), np.arange(0, len(x), 600)
+    coder = ann.fit(x[rng.permutation(len(x))[:8192]], 128, 20, 0.96, 3)
+    found, listed = ann.search(x, ids, x[asked], ids[asked], coder, 20)
+    hit = 0
+    for (rows, scores), i in zip(found, asked):
+        s = x @ x[i]
+        s[i] = -np.inf
+        assert i not in rows and np.array_equal(scores, (x[rows] * x[i]).sum(1)) and (np.diff(scores) <= 0).all()
+        hit += len(set(rows) & set(np.argpartition(-s, 20)[:20]))
+    assert hit / (20 * len(asked)) >= 0.9 and listed.max() < 0.2 * len(x)
+
+
 def test_substring_index_finds_every_code():
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 256, (3000, 8), dtype=np.uint8)
+    codes = rng.integers(0, 1 << 16, (3000, 5), dtype=np.uint16)
+    codes[100:200] = codes[5] ^ (1 << rng.integers(0, 16, (100, 5)).astype(np.uint16)) * (rng.random((100, 5)) < 0.6).astype(np.uint16)
     index = ann.SubstringIndex(codes)
-    for r in (0, 3, 9, 16, 24):
-        q = codes[5] ^ np.uint8(1)
+    for r in (0, 1, 3, 9, 25, 33):
+        q = codes[5] ^ np.uint16(1)
         assert set(index.within(q, r)) == set(np.flatnonzero(np.bitwise_count(codes ^ q).sum(1) <= r))
 
 
@@ -182,6 +245,7 @@ def test_mixing(spark):
     total = sum(s for s, _ in by)
     assert abs(sum(t for _, t in by) - 1.5 * total) < 1e-6 and all(abs(v[0] - t) <= 2 * mixing.BLOCK for (_, t), v in by.items())
     assert sorted(m.taken().collect()) == sorted(mixing.mix(d).taken().collect())
+    assert m.draws.agg({"c": "sum"}).first()[0] == m.slots.count() and sum({r["source_size"]: r["drawn"] for r in taken}.values()) == m.slots.count()
     counts = m.slots.groupBy("sid").count().collect()
     assert {r["sid"]: r["count"] for r in counts} == {r["sid"]: r["quota"] for r in m.sources.collect() if r["quota"]}
     assert m.slots.select("shard", "slot").distinct().count() == m.slots.count()
@@ -192,6 +256,17 @@ def test_mixing(spark):
     assert mixing.mix(d.limit(0)).taken().collect() == [] and mixing.mixed_documents(d.limit(0)).collect() == []
 
 
+def test_permutations(spark):
+    for n in (1, 2, 3, 7, 10, 97, 1000, 4099):
+        d = spark.range(n).select("id", *[mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(17), F.lit(s), F.lit(t)).alias(f"p{s}{t}") for s, t in ((1, 0), (1, 1), (2, 0))])
+        rows = d.orderBy("id").collect()
+        for c in ("p10", "p11", "p20"):
+            assert sorted(r[c] for r in rows) == list(range(n))
+        if n >= 1000:
+            p = np.array([r["p10"] for r in rows])
+            assert len(np.unique(np.diff(p) % n)) > n // 4 and (p != np.array([r["p11"] for r in rows])).mean() > 0.9 and abs(np.corrcoef(np.arange(n), p)[0, 1]) < 0.15
+
+
 def test_water_level(spark):
     s = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")
     got = {r["source"]: (r["weight"], r["target"]) for r in mixing.targets(s).collect()}
