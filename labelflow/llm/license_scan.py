@@ -20,21 +20,49 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
-# Common licence notices and the openings of common licence texts.
+# Parts of licence texts that several of them share, common licence notices, openings and whole texts.
+BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_TWO = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+MIT_HEAD = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+MIT_TAIL = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+ISC_HEAD = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+ISC_TAIL = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+APACHE_NOTICE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+GPL_REST = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+GPL_THREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+GPL_TWO = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+MPL_NOTICE = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", MIT_HEAD),
+    ("MIT", f"{MIT_HEAD} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {MIT_TAIL}"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", GPL_THREE),
+    ("GPL-3.0", f"{GPL_THREE} {GPL_REST}"),
+    ("GPL-2.0", GPL_TWO),
+    ("GPL-2.0", f"{GPL_TWO} {GPL_REST}"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", BSD_HEAD),
+    ("BSD-3-Clause", BSD_HEAD),
+    ("BSD-2-Clause", f"{BSD_HEAD} {BSD_TWO} {BSD_TAIL}"),
+    ("BSD-3-Clause", f"{BSD_HEAD} {BSD_TWO} {BSD_THIRD} {BSD_TAIL}"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", ISC_HEAD),
+    ("ISC", f"{ISC_HEAD} {ISC_TAIL}"),
+    ("Zlib", ZLIB),
+    ("Apache-2.0", APACHE_NOTICE),
+    ("MPL-2.0", MPL_NOTICE),
+    ("Unlicense", UNLICENSE),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -78,17 +106,18 @@ class Scanner:
         #: A unit with fewer bigrams of the templates reaches no template.
         self.least = max(1, math.ceil(self.size.min() * threshold / (2 - threshold) - 1e-9))
 
-    def best(self, unit: np.ndarray) -> tuple[float, int]:
-        """(coefficient, template) of a unit's distinct bigrams; the first of equals."""
+    def best(self, unit: np.ndarray) -> tuple[float, str]:
+        """(coefficient, licence) of a unit's distinct bigrams; licences whose templates tie are all named."""
         a, t = len(unit), self.threshold
         fits = np.flatnonzero((a * (2 - t) >= self.size * t - 1e-9) & (a * t <= self.size * (2 - t) + 1e-9))
-        top = (0.0, -1)
+        top, names = 0.0, []
         for k in fits:
             c = np.isin(self.sets[k], unit, assume_unique=True).sum()
             dice = 2.0 * c / (a + self.size[k])
-            if dice >= t and dice > top[0]:
-                top = (dice, int(k))
-        return top
+            if dice >= max(t, top):
+                names = [*names, self.names[k]] if dice == top else [self.names[k]]
+                top = dice
+        return top, " OR ".join(dict.fromkeys(names))
 
     def scan(self, text: bytes):
         """(first line, lines, licence, coefficient) of each matching unit of a text.
@@ -110,12 +139,12 @@ class Scanner:
             _, word_at = bigrams(data, breaks)
             inner = np.isin(at, word_at, assume_unique=True)
         all_of, hit = np.bincount(line[inner], minlength=n_lines), np.bincount(line[inner & known], minlength=n_lines)
-        found: dict[int, tuple[float, int]] = {}
+        found: dict[int, tuple[float, str]] = {}
         for k in np.flatnonzero(hit >= self.least):
             dice, which = self.best(np.unique(h[inner & (line == k)]))
-            if which >= 0:
+            if which:
                 found[k] = (dice, which)
-                yield int(k), 1, self.names[which], dice
+                yield int(k), 1, which, dice
         mostly = 2 * hit >= np.maximum(all_of, 1)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], mostly.astype(np.int8), [0]])))
         units = [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2]) if b - a > 1]
@@ -127,8 +156,8 @@ class Scanner:
             if (known & unit).sum() < self.least:
                 continue
             dice, which = self.best(np.unique(h[unit]))
-            if which >= 0 and dice > max((found[k][0] for k in found if a <= k < b), default=0.0):
-                yield a, b - a, self.names[which], dice
+            if which and dice > max((found[k][0] for k in found if a <= k < b), default=0.0):
+                yield a, b - a, which, dice
 
 
 def _scan(scanner: Scanner):
@@ -155,7 +184,8 @@ def _scan(scanner: Scanner):
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, first_line, n_lines, license, dice): each unit of a text that matches a template.
 
-    Lines count from 0.  The best template is named, the first in the list among equals.  Null and empty
+    Lines count from 0.  The best template is named; licences whose templates are equally near, such as those that share a
+    head, are named together (A OR B).  Null and empty
     texts, and texts without a match, give no row.  A unit with fewer than two words has no
     bigram and matches nothing.  Repeated rows give repeated results; null ids pass through; extra columns are ignored.
     """

@@ -280,18 +280,54 @@ def dice(a, b):
     return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0
 
 
+def best_licence(unit):
+    values = [(round(dice(unit, t), 9), n) for n, t in license_scan.TEMPLATES]
+    top = max(v for v, _ in values)
+    return (top, " OR ".join(dict.fromkeys(n for v, n in values if v == top))) if top >= 0.8 else None
+
+
+def scan_by_hand(text):
+    """Every line, run of lines that mostly consist of template bigrams, and the whole text, each against every template."""
+    grams = lambda t: list(zip(w := re.findall(r"[a-z0-9\u0080-\uffff]+", t.lower()), w[1:]))
+    known = {g for _, t in license_scan.TEMPLATES for g in grams(t)}
+    lines = (text or "").split("\n")
+    out, found = [], {}
+    for k, line in enumerate(lines):
+        if b := best_licence(line):
+            found[k] = b[0]
+            out.append((k, 1, b[1], b[0]))
+    mostly = [2 * sum(g in known for g in grams(x)) >= max(1, len(grams(x))) for x in lines]
+    units, k = [], 0
+    while k < len(lines):
+        e = k
+        while e < len(lines) and mostly[e]:
+            e += 1
+        units += [(k, e)] * (e - k > 1)
+        k = max(e, k + 1)
+    units += [(0, len(lines))] * (len(lines) > 1 and (0, len(lines)) not in units)
+    for a, e in units:
+        if (b := best_licence("\n".join(lines[a:e]))) and b[0] > max((found[k] for k in found if a <= k < e), default=0.0):
+            out.append((a, e - a, b[1], b[0]))
+    return sorted(out)
+
+
 def test_licences_equal_brute_force(spark):
     names = license_scan.TEMPLATES
     lines = [t for _, t in names] + ["Released under the MIT license", "this program is fine", "", "all rights", "RELEASED UNDER: THE MIT LICENSE!", "licensed under cc by nc 4 0 or so", "some other words that go on"]
-    docs = [(i, f"first line here\n{x}\nlast words there") for i, x in enumerate(lines)] + [(100, None), (101, ""), (102, names[2][1].replace(", ", ",\n"))]
+    docs = [(i, f"first line here\n{x}\nlast words there") for i, x in enumerate(lines)] + [(100, None), (101, "")]
+    docs += [(102 + k, t.replace(", ", ",\n").replace(". ", ".\n")) for k, (_, t) in enumerate(names)]
+    docs += [(200, names[3][1].replace(" ", "\n")), (201, "x " * 30000 + "\n" + names[0][1]), (202, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + license_scan.TEMPLATES[3][1].replace(". ", ".\n"))]
+    d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, license int")
     got = {}
-    for r in license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+    for r in license_scan.scan_licenses(d).collect():
         got.setdefault(r["doc_id"], []).append((r["first_line"], r["n_lines"], r["license"], round(r["dice"], 9)))
-    for i, line in enumerate(lines):
-        best = max((round(dice(line, t), 9), -k) for k, (_, t) in enumerate(names))
-        mine = [x for x in got.get(i, []) if x[:2] == (1, 1)]
-        assert mine == ([(1, 1, names[-best[1]][0], best[0])] if best[0] >= 0.8 else [])
-    assert any(x[2] == "MIT" and x[1] > 1 for x in got[102]) and 100 not in got and 101 not in got
+    for i, text in docs:
+        assert sorted(got.get(i, [])) == scan_by_hand(text), text
+    bsd = {n: next(i for i, (m, t) in enumerate(names) if m == n and len(t) > 800) for n in ("BSD-2-Clause", "BSD-3-Clause")}
+    assert all([x[2] for x in got[i] if x[1] == 1] == [n] for n, i in bsd.items())
+    head = next(i for i, (_, t) in enumerate(names) if t == license_scan.BSD_HEAD)
+    assert got[head][0][2] == "BSD-2-Clause OR BSD-3-Clause"
+    assert license_scan.scan_licenses(d.limit(0)).collect() == []
 
 
 @pytest.mark.parametrize("name", ["op3_url_filter", "op7_source_mixing"])
