@@ -11,7 +11,7 @@ from .embedding_dedup import near_duplicate_vectors
 from .license_scan import scan_licenses
 from .line_dedup import drop_similar_lines
 from .minhash_dedup import near_duplicates
-from .url_filter import filter_captures, host_of
+from .url_filter import filter_captures, host_of, path_parts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,12 +47,14 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dated_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixed log, and entries for hosts of the pages that come and go by the length of their names."""
+    """The fixed log, and entries for hosts and path prefixes of the pages that come and go by the length of their names."""
     fixed = spark.createDataFrame([(k, c, a, START + DAY * d) for k, c, a, d in LOG], "key string, category string, action string, ts long")
-    hosts = _table(spark, sf_dir, "pages").select(host_of("url").alias("key")).where("key is not null and length(key) % 3 = 0").distinct()
+    pages = _table(spark, sf_dir, "pages").select(host_of("url").alias("host"), path_parts("url").alias("parts")).where("host is not null")
+    hosts = pages.select(F.col("host").alias("key"), F.lit("watch").alias("category")).where("length(key) % 3 = 0")
+    paths = pages.where("size(parts) > 1").select(F.concat_ws("/", "host", F.slice("parts", 1, F.size("parts") - 1)).alias("key"), F.lit("section").alias("category")).where("length(key) % 4 = 0")
     n = F.length("key")
     moves = F.array(*[F.struct(F.lit(a).alias("action"), (START + DAY * (n * 5 % 90 + d)).cast("long").alias("ts")) for a, d in (("add", 0), ("remove", 120), ("add", 200))])
-    own = hosts.select("key", F.lit("watch").alias("category"), F.explode(moves).alias("m")).select("key", "category", "m.action", "m.ts")
+    own = hosts.union(paths).distinct().select("key", "category", F.explode(moves).alias("m")).select("key", "category", "m.action", "m.ts")
     return fixed.union(own)
 
 
@@ -61,15 +63,17 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_captures(captures(spark, sf_dir), dated_entries(spark, sf_dir))
 
 
-_HOST_SQL = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', '')"
+_HOST_SQL = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)', 1)), '\.$', '')"
 OP3_SQL = f"""
 with c as (select page_id, url, nullif({_HOST_SQL}, '') as host,
     ({START} + page_id * 37 % 366 * {DAY} + page_id * 101 % {DAY})::bigint as fetch_ts from pages),
-hosts as (select distinct host as key from c where host is not null and length(host) % 3 = 0),
+parts as (select page_id, url, fetch_ts, host, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '') as q from c where host is not null),
+hosts as (select distinct host as key, 'watch' as category from c where host is not null and length(host) % 3 = 0
+  union select distinct host || '/' || array_to_string(q[:len(q) - 1], '/') as key, 'section' from parts where len(q) > 1 and length(host || '/' || array_to_string(q[:len(q) - 1], '/')) % 4 = 0),
 log as (
   select * from (values {", ".join(f"('{k}', '{c}', '{a}', {START + DAY * d}::bigint)" for k, c, a, d in LOG)}) v(key, category, action, ts)
   union all
-  select key, 'watch', action, {START} + {DAY} * (length(key) * 5 % 90 + d)
+  select key, category, action, {START} + {DAY} * (length(key) * 5 % 90 + d)
   from hosts, (values ('add', 0), ('remove', 120), ('add', 200)) m(action, d)),
 l1 as (select key, category, ts, max(action) as action from log group by all),
 l2 as (select *, lag(action) over (partition by key, category order by ts) as before from l1),
@@ -77,8 +81,8 @@ l3 as (select *, lead(ts) over (partition by key, category order by ts) as valid
 held as (select key, category, ts as valid_from, valid_to from l3 where action = 'add'),
 labels as (select page_id, url, fetch_ts, string_split(host, '.') as p from c where host is not null),
 asked as (
-  select page_id, url, fetch_ts, array_to_string(p[len(p) - k + 1:], '.') as key
-  from labels, (select unnest(range(1, 40)) as k) where k <= len(p)),
+  select page_id, url, fetch_ts, array_to_string(p[k:], '.') as key from (select *, unnest(range(1, len(p) + 1)) as k from labels)
+  union select page_id, url, fetch_ts, host || '/' || array_to_string(q[:k], '/') from (select *, unnest(range(1, len(q) + 1)) as k from parts)),
 one as (select page_id, key, count(*) as n, min(category) as category from asked join held using (key)
   where fetch_ts >= valid_from and (valid_to is null or fetch_ts < valid_to) group by all),
 found as (select page_id, sum(n)::bigint as n_active, max({{'n': length(key), 'key': key, 'category': category}}) as best from one group by page_id)

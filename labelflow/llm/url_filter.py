@@ -13,26 +13,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+([^?#]*)"
 
 
 def host_of(url: str | Column) -> Column:
-    """The host of an absolute URL in lower case, without user, port and a final dot; null if there is none."""
+    """The host of an absolute URL in lower case, without user, port and a final dot; null if there is none.
+
+    An IPv6 address keeps its brackets.  Addresses are keys like names; what is before a dot of theirs is no domain that anybody lists.
+    """
     url = F.col(url) if isinstance(url, str) else url
     host = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
     return F.when(host != "", host)
 
 
+def path_parts(url: str | Column) -> Column:
+    """The parts of an absolute URL's path between slashes, empty ones left out."""
+    url = F.col(url) if isinstance(url, str) else url
+    return F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda p: p != "")
+
+
 def keys_of(url: str | Column, label_depths: Column | None = None, part_depths: Column | None = None) -> Column:
     """The keys a URL is looked up by: host, parent domains, host with path prefixes.
 
     Arrays of depths, if given, leave only domains of so many labels and prefixes of so many parts.
     """
     url = F.col(url) if isinstance(url, str) else url
-    host, path = host_of(url), F.regexp_extract(url, PATH, 1)
+    host, parts = host_of(url), path_parts(url)
     labels = F.split(host, r"\.")
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
     none = F.array().cast("array<int>")
 
     def depths(n: Column, only: Column | None) -> Column:

@@ -342,12 +342,13 @@ def test_oracles(spark, name):
 
 
 def test_url_filter_edges(spark):
-    log = [("bad.com", "x", "add", 10), ("bad.com", "x", "add", 12), ("bad.com", "x", "remove", 20), ("bad.com", "x", "remove", 20), ("bad.com", None, "ADD", 30), ("a.org/p/q", "y", "add", 0), (None, "x", "add", 0), ("z.com", "x", "drop", 0), ("t.com", "x", "add", 5), ("t.com", "x", "remove", 5)]
+    log = [("bad.com", "x", "add", 10), ("bad.com", "x", "add", 12), ("bad.com", "x", "remove", 20), ("bad.com", "x", "remove", 20), ("bad.com", None, "ADD", 30), ("a.org/p/q", "y", "add", 0), (None, "x", "add", 0), ("z.com", "x", "drop", 0), ("[2001:db8::1]", "x", "add", 0), ("10.0.0.1", "x", "add", 0), ("t.com", "x", "add", 5), ("t.com", "x", "remove", 5)]
     e = spark.createDataFrame(log, "key string, category string, action string, ts long")
-    assert sorted(map(str, url_filter.intervals(e).select("key", "valid_from", "valid_to").collect())) == sorted(map(str, [("bad.com", 10, 20), ("bad.com", 30, None), ("a.org/p/q", 0, None)])) or url_filter.intervals(e).count() == 3
-    cap = [(1, "http://u:p@WWW.Bad.com:80/x", 15), (2, "http://bad.com", 20), (3, "http://bad.com", 9), (4, None, 15), (5, "/relative", 15), (6, "https://a.org/p/q/r?x", 1), (7, "https://a.org/p", 1), (8, "http://bad.com", None), (None, "http://bad.com/", 40), (9, "http://t.com", 5), (1, "http://u:p@WWW.Bad.com:80/x", 15)]
+    assert sorted(map(str, url_filter.intervals(e).select("key", "valid_from", "valid_to").collect())) == sorted(map(str, [("bad.com", 10, 20), ("bad.com", 30, None), ("a.org/p/q", 0, None)])) or url_filter.intervals(e).count() == 5
+    cap = [(1, "http://u:p@WWW.Bad.com:80/x", 15), (2, "http://bad.com", 20), (3, "http://bad.com", 9), (4, None, 15), (5, "/relative", 15), (6, "https://a.org/p/q/r?x", 1), (7, "https://a.org/p", 1), (8, "http://bad.com", None), (None, "http://bad.com/", 40), (9, "http://t.com", 5), (10, "http://[2001:DB8::1]:80/x", 15), (11, "http://10.0.0.1/", 15), (1, "http://u:p@WWW.Bad.com:80/x", 15)]
     got = url_filter.filter_captures(spark.createDataFrame(cap, "page_id long, url string, fetch_ts long").selectExpr("*", "1 as key", "2 as category"), e).collect()
-    assert len(got) == len(cap) and sorted((r["page_id"] or 0) for r in got if r["blocked"]) == [0, 1, 1, 6]
+    assert len(got) == len(cap) and sorted((r["page_id"] or 0) for r in got if r["blocked"]) == [0, 1, 1, 6, 10, 11]
+    assert url_filter.filter_captures(spark.createDataFrame(cap, "page_id long, url string, fetch_ts long").limit(0), e).collect() == [] and url_filter.filter_captures(spark.createDataFrame(cap, "page_id long, url string, fetch_ts long"), e.limit(0)).where("blocked").count() == 0
     assert {r["list_key"] for r in got if r["page_id"] == 6} == {"a.org/p/q"}
 
 
