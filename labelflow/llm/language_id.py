@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .common import Scratch
 
 #: Lengths of grams in bytes; a gram lies within a word or takes in the space at one of its ends.
 GRAMS = (3, 4, 5)
@@ -132,13 +133,15 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", i
     order = [r["lang"] for r in found]
     rates = rows.sparkSession.createDataFrame([(r["lang"], min(1 << 20, SAMPLE_DOCS * (1 << 20) // r["count"] + 1)) for r in found], "lang string, most long")
     rows = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("most"))
-    grams = rows.select("lang", "text").mapInArrow(_gram_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    scratch = Scratch(rows.sparkSession)
+    grams = scratch.save(rows.select("lang", "text").mapInArrow(_gram_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     totals = rows.sparkSession.createDataFrame(grams.groupBy("lang").agg(F.sum("n").alias("all")).collect(), "lang string, all long")
     top = grams.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= 2 * FILTER_GRAMS)
     top = top.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("all"))
     own = top.withColumn("best", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= SHARE * F.col("best"))
     kept = own.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= FILTER_GRAMS).select("lang", "gram").toArrow()
+    scratch.drop(grams)
     names, gram = kept.column("lang").to_numpy(), kept.column("gram").to_numpy()
     by = np.argsort(names, kind="stable")
     names, gram = names[by], gram[by]
