@@ -13,7 +13,7 @@ The steps:
 2. Documents with equal sets become one class at once (a partial aggregation).
 3. Half keys of A that only one class has are dropped before tables are formed.
 4. Each bucket links its members to its smallest member (a star, not all pairs).
-5. Pairs whose half keys hardly agree are left out.
+5. Pairs whose minhashes hardly agree are left out.
 6. Links are confirmed on full shingle sets and completed across the buckets (see ``similar``).
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .common import Scratch, hot_keys, lookup, with_smallest
-from .similar import similar_components, with_payloads
+from .similar import near, similar_components
 
 
 def _sketcher(width: int, side: int, seed: int):
@@ -42,7 +42,8 @@ def _sketcher(width: int, side: int, seed: int):
                 d1, d2 = tx.set_digest(flat, at)
                 mins = hasher(flat, at)
                 full = size > 0
-                halves = []
+                sig, halves = np.zeros(j - i, np.int64), []
+                sig[full] = tx.signature(mins)
                 for c in range(2):
                     keys = np.zeros((j - i, side), np.uint64)
                     for k in range(side):
@@ -50,8 +51,8 @@ def _sketcher(width: int, side: int, seed: int):
                         keys[full, k] = tx.fold(mins[:, col : col + 2], (c << 20) + k)
                     halves.append(pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1).view(np.int64)), side).cast(pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *halves],
-                    ["doc_id", "n_shingles", "d1", "d2", "a", "b"],
+                    [ids.slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sig), *halves],
+                    ["doc_id", "n_shingles", "d1", "d2", "sig", "a", "b"],
                 )
 
     return run
@@ -76,18 +77,6 @@ def _set_builder(width: int):
     return run
 
 
-#: Of two sketches' 4 * side minhashes in pairs, so many pairs agree at least if the similarity is 0.8, but for a chance of 4e-5 at side 10.
-LEAST_HALVES = 5
-
-
-def _sift(reps: DataFrame, side: int, percent: int):
-    """Keeps the pairs of classes whose half keys agree often enough; all pairs at other thresholds than it is worked out for."""
-    if side < 10 or percent < 80:
-        return None
-    halves = reps.select("rep", F.concat("a", "b").alias("payload"))
-    return lambda pairs: with_payloads(pairs, halves).where(F.size(F.array_intersect("sx", "sy")) >= LEAST_HALVES).select("src", "dst")
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: int = 10, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose word-shingle sets are similar.
 
@@ -104,29 +93,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
     """
     scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, a array<long>, b array<long>"
+    schema = "doc_id long, n_shingles long, d1 long, d2 long, sig long, a array<long>, b array<long>"
     sketch = scratch.save(base.mapInArrow(_sketcher(width, side, seed), schema))
-    reps = sketch.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "a", "b")).alias("m"))
+    reps = sketch.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig", "a", "b")).alias("m"))
     # a class is known by a number of its own: an id may have several texts
-    reps = scratch.save(reps.select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", F.col("n_shingles").alias("n"), "m.doc_id", "m.a", "m.b"))
+    reps = scratch.save(reps.select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", F.col("n_shingles").alias("n"), "m.doc_id", "m.sig", "m.a", "m.b"))
 
     one_half = scratch.save(reps.select("rep", F.explode("a").alias("ha")))
     shared = one_half.groupBy("ha").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ha")
     halves = lookup(one_half, ["ha"], shared, "inner")
-    keys = halves.join(reps.select("rep", "n", "b"), "rep").select("rep", "n", "ha", F.explode("b").alias("hb"))
-    keys = scratch.save(keys.select("rep", F.col("n").cast("int").alias("n"), F.xxhash64("ha", "hb").alias("key")))
+    keys = halves.join(reps.select("rep", "n", "sig", "b"), "rep").select("rep", "n", "sig", "ha", F.explode("b").alias("hb"))
+    keys = scratch.save(keys.select("rep", "sig", F.col("n").cast("int").alias("n"), F.xxhash64("ha", "hb").alias("key")))
 
     hot = hot_keys(keys, "key")
-    centre = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("c.rep").alias("dst"), F.col("c.n").alias("nd"))
+    centre = keys.groupBy("key").agg(F.min(F.struct("rep", "n", "sig")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("c.rep").alias("dst"), F.col("c.n").alias("nd"), F.col("c.sig").alias("sd"))
     star = scratch.save(lookup(keys, ["key"], centre, "inner", hot))
     scratch.drop(one_half, keys)
-    met = star.where("rep <> dst").where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)")
+    met = star.where((F.col("rep") != F.col("dst")) & near("sig", "sd")).where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)")
     met = scratch.save(met.groupBy(F.col("rep").alias("src"), "dst").agg(F.count(F.lit(1)).alias("times")))
     # by the same plan at any size: the list of ids grows with the corpus
     wanted = reps.join(star.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "d1", "d2")
     texts = base.hint("merge").join(wanted, "doc_id").select("rep", "d1", "d2", "text")
     sets = scratch.save(texts.mapInArrow(_set_builder(width), "rep long, n long, payload array<long>").dropDuplicates(["rep"]))
-    comp = similar_components(scratch, met, star, sets, percent, sift=_sift(reps, side, percent))
+    comp = similar_components(scratch, met, star, sets, percent)
 
     named = with_smallest(scratch, reps.select("rep", "d1", "d2", F.col("n").alias("n_shingles"), "doc_id"), comp, "doc_id").select("d1", "d2", "n_shingles", "component_id")
     out = lookup(sketch.select("doc_id", "n_shingles", "d1", "d2"), ["d1", "d2", "n_shingles"], named, hot=hot_keys(sketch, "d1"))

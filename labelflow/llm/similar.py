@@ -5,7 +5,7 @@ Shared by the document and the line operator.  Every link is confirmed on whole
 1. Stars: each member of a bucket is compared with one centre of it, first with the one that it meets in most
    buckets; components follow.
 2. What is left are pairs that share a bucket and lie in different components.  In small buckets
-   they are all compared; large ones get some more centres.
+   all whose signatures are near are compared; large ones get some more centres.
 3. Members of large ones that are still in several components are joined by prefix filtering: with the elements of all sets in one order, rare ones
    first, two sets of similarity t share one of the first n - ceil(t * n) + 1 elements of the larger and the first
    n - ceil(2t / (1 + t) * n) + 1 of the smaller.  Elements that only one component has come first
@@ -18,17 +18,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_LEAST, HOT_PARTS, Scratch, connected_components, extend_components, hot_keys, lookup
 
-#: In buckets of at most so many members all pairs across components are compared; larger ones go by prefixes.
-SMALL = 16
+#: In buckets of at most so many members all pairs across components are looked at; larger ones go by prefixes.
+SMALL = 256
+#: Signatures of two sets hold two bits of each of 30 minhashes.  At similarity 0.8 more than FAR of the 30 differ with a chance of
+#: 5e-5; such pairs are left out.
+FAR = 13
 #: Further centres that the members of a large bucket are compared with.
 CENTRES = 3
 
 
+def near(a: str, b: str) -> Column:
+    """Whether two signatures differ in FAR minhashes at most."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) <= FAR
+
+
 def with_payloads(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     """``pairs`` (src, dst), a written table, with both payloads as sx and sy.
 
@@ -63,9 +72,9 @@ def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _mixed(scratch: Scratch, buckets: DataFrame, comp: DataFrame, sizes: DataFrame | None = None, hot: list | None = None) -> DataFrame:
-    """The members of buckets (key, rep, n) in several components, with lab and the bucket's size k; n is from ``sizes`` if given."""
+    """The members of buckets (key, rep, sig, n) in several components, with lab and the bucket's size k; n is from ``sizes`` if given."""
     hot = hot_keys(buckets, "key") if hot is None else hot
-    member = _labelled(buckets.select("key", "rep", *["n"] * (sizes is None)), comp)
+    member = _labelled(buckets.select("key", "rep", "sig", *["n"] * (sizes is None)), comp)
     keys = member.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", "k")
     out = lookup(member, ["key"], keys, "inner", hot)
     return scratch.save(out if sizes is None else out.hint("merge").join(sizes, "rep"), large=F.count_if(F.col("k") > SMALL))
@@ -75,55 +84,50 @@ def _stars(mixed: DataFrame, hot: list, percent: int) -> DataFrame:
     """(src, dst): members of mixed buckets with CENTRES of the bucket's members, if in another component and of fitting size."""
     out = None
     for turn in range(CENTRES):
-        order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("ld"))
-        centre = mixed.groupBy("key").agg(F.min(order).alias("c")).select("key", "c.dst", "c.nd", "c.ld")
-        star = lookup(mixed.select("key", "rep", "n", "lab"), ["key"], centre, "inner", hot)
-        star = star.where("lab <> ld").where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)").select(F.col("rep").alias("src"), "dst")
+        order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("ld"), F.col("sig").alias("sd"))
+        centre = mixed.groupBy("key").agg(F.min(order).alias("c")).select("key", "c.dst", "c.nd", "c.ld", "c.sd")
+        star = lookup(mixed.select("key", "rep", "n", "lab", "sig"), ["key"], centre, "inner", hot)
+        star = star.where((F.col("lab") != F.col("ld")) & near("sig", "sd")).where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)").select(F.col("rep").alias("src"), "dst")
         out = star if out is None else out.union(star)
     return out
 
 
 def prefixes(scratch: Scratch, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, rep, n, lab, at, index) of sets (rep, n, lab, payload): elements by which sets of several labels can meet.
+    """(key, rep, n, lab, sig, at, index) of sets (rep, n, lab, sig, payload): elements by which sets of several labels can meet.
 
     at is the element's place in the set's order, index whether it belongs to the shorter prefix that a smaller set needs.
     """
-    one = scratch.save(sets.select("rep", "n", "lab", F.explode("payload").alias("key")))
+    one = scratch.save(sets.select("rep", "n", "lab", "sig", F.explode("payload").alias("key")))
     seen = one.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi").select("key", "k")
     shared = lookup(one, ["key"], seen, "inner")
-    own = shared.groupBy("rep", "n", "lab").agg(F.sort_array(F.collect_list(F.struct("k", "key"))).alias("s"))
+    own = shared.groupBy("rep", "n", "lab", "sig").agg(F.sort_array(F.collect_list(F.struct("k", "key"))).alias("s"))
     alone = F.col("n") - F.size("s")
-    out = own.select("rep", "n", "lab", alone.alias("alone"), F.posexplode("s").alias("at", "e")).withColumn("at", F.col("at") + F.col("alone"))
+    out = own.select("rep", "n", "lab", "sig", alone.alias("alone"), F.posexplode("s").alias("at", "e")).withColumn("at", F.col("at") + F.col("alone"))
     most = lambda a, b: F.expr(f"n - ((n * {a} + {b} - 1) div {b})")  # noqa: E731  n - ceil(n * a / b)
     out = out.withColumn("index", F.col("at") <= most(2 * percent, 100 + percent))
-    out = scratch.save(out.where(F.col("at") <= most(percent, 100)).select(F.col("e.key").alias("key"), "rep", "n", "lab", "at", "index"))
+    out = scratch.save(out.where(F.col("at") <= most(percent, 100)).select(F.col("e.key").alias("key"), "rep", "n", "lab", "sig", "at", "index"))
     scratch.drop(one)
     return out
 
 
 def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(src, dst) across labels that share an element of their prefixes and can still have enough elements in common."""
-    small = rows.where("index").select("key", F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("ld"), F.col("at").alias("atd"))
-    both = rows.hint("merge").join(small, "key").where("lab <> ld and (nd < n or (nd = n and dst < rep))").where(f"100 * nd >= {percent} * n")
+    small = rows.where("index").select("key", F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("ld"), F.col("at").alias("atd"), F.col("sig").alias("sd"))
+    both = rows.hint("merge").join(small, "key").where(near("sig", "sd")).where("lab <> ld and (nd < n or (nd = n and dst < rep))").where(f"100 * nd >= {percent} * n")
     both = both.where(f"{100 + percent} * least(n - at, nd - atd) >= {percent} * (n + nd)")
     return both.select(F.least("rep", "dst").alias("src"), F.greatest("rep", "dst").alias("dst")).distinct()
 
 
-def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, payload: DataFrame, percent: int, confirm: Callable = confirm_sets, to_sets: Callable = lambda p: p, sift: Callable | None = None) -> DataFrame:
+def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, payload: DataFrame, percent: int, confirm: Callable = confirm_sets, to_sets: Callable = lambda p: p) -> DataFrame:
     """(node, component) of all links between members of a bucket.
 
-    met: (src, dst, times), written: each member with the first centres of its buckets, if of fitting size, and in how many they meet.  buckets: (key, rep), written: the
-    members of all buckets with two or more.  payload: (rep, n, payload), n the size of the set.  confirm(pairs,
+    met: (src, dst, times), written: each member with the first centres of its buckets, if of fitting size, and in how many they meet.  buckets: (key, rep, sig), written: the
+    members of all buckets with two or more, with their signatures.  payload: (rep, n, payload), n the size of the set.  confirm(pairs,
     payload, percent) keeps similar pairs; to_sets(payload) gives the sets as arrays of longs in place of other payloads.
-    sift(pairs), if given, leaves out written pairs that are too far apart to be worth moving whole sets for.
     """
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs)
-        if sift is not None and pairs.counts["rows"]:
-            near = scratch.save(sift(pairs))
-            scratch.drop(pairs)
-            pairs = near
         out = scratch.save(confirm(pairs, payload, percent))
         scratch.drop(pairs)
         return out
@@ -146,8 +150,8 @@ def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, pay
 
     mixed = _mixed(scratch, buckets, comp, payload.select("rep", "n"))
     small, large = mixed.where(F.col("k") <= SMALL), mixed.where(F.col("k") > SMALL)
-    other = small.select("key", F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("ld"))
-    pairs = small.hint("merge").join(other, "key").where("rep < dst and lab <> ld").where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)")
+    other = small.select("key", F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("ld"), F.col("sig").alias("sd"))
+    pairs = small.hint("merge").join(other, "key").where("rep < dst and lab <> ld").where(near("sig", "sd")).where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)")
     pairs = pairs.select(F.col("rep").alias("src"), "dst").union(_stars(large, hot_keys(mixed, "key"), percent))
     tried = met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     pairs = pairs.hint("merge").join(tried, ["src", "dst"], "left_anti")
@@ -155,10 +159,12 @@ def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, pay
         comp = extended(pairs.distinct())
     again = _mixed(scratch, large, comp, hot=hot_keys(mixed, "key")) if mixed.counts["large"] else None
     if again and again.counts["rows"]:
-        sets = _labelled(to_sets(payload.join(again.select("rep").distinct(), "rep", "left_semi")), comp)
+        sigs = again.select("rep", "sig").distinct()
+        sets = _labelled(to_sets(payload.join(sigs, "rep", "left_semi")), comp).join(sigs, "rep")
         rows = prefixes(scratch, sets, percent)
         crowded = _mixed(scratch, rows, comp)
-        comp = extended(_stars(crowded, hot_keys(crowded, "key"), percent).distinct())
+        if crowded.counts["large"]:
+            comp = extended(_stars(crowded.where(F.col("k") > SMALL), hot_keys(crowded, "key"), percent).distinct())
         comp = extended(_prefix_pairs(_labelled(rows.drop("lab"), comp), percent))
         scratch.drop(rows, crowded)
     scratch.drop(mixed)

@@ -186,3 +186,11 @@ def set_digest(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
         for o, salt in zip(out, (0x243F6A8885A308D3, 0x13198A2E03707344)):
             o[full] = np.add.reduceat(mix(flat ^ np.uint64(salt)), starts)
     return out[0], out[1]
+
+
+def signature(mins: np.ndarray) -> np.ndarray:
+    """Two bits of each of the first 30 minhash columns, as one long a row; ``differing`` compares them."""
+    out = np.zeros(len(mins), np.uint64)
+    for k in range(30):
+        out |= (mix(mins[:, k].astype(np.uint64)) & np.uint64(3)) << np.uint64(2 * k)
+    return out.view(np.int64)

@@ -193,11 +193,12 @@ def test_planted_vector_pairs_are_found(spark):
     assert np.mean([got[8000 + i] == i for i in range(2000)]) > 0.999 and all(got[i] == i for i in range(2000, 8000))
 
 
-def test_prefixes_find_what_no_centre_joins(spark, tmp_path):
+def test_prefixes_find_what_no_centre_joins(spark, monkeypatch):
     """One bucket of sets that share much and are similar in pairs only: by prefixes the result equals brute force."""
     from labelflow.llm import similar
     from labelflow.llm.common import Scratch
 
+    monkeypatch.setattr(similar, "SMALL", 16)
     rng = random.Random(2)
     common = list(range(40))
     sets = []
@@ -209,7 +210,7 @@ def test_prefixes_find_what_no_centre_joins(spark, tmp_path):
     d = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "rep long, n long, payload array<long>")
     links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))]
     scratch = Scratch(spark)
-    buckets = scratch.save(d.selectExpr("1L as key", "rep"))
+    buckets = scratch.save(d.selectExpr("1L as key", "rep", "0L as sig"))
     met = scratch.save(d.where("rep > 0").selectExpr("rep as src", "0L as dst", "1L as times"))
     got = {r["node"]: r["component"] for r in similar.similar_components(scratch, met, buckets, d, 80).collect()}
     want = components(range(len(sets)), links)
