@@ -15,6 +15,9 @@ HOT_PARTS, HOT_LEAST = 1000, 500
 #: Tables of at most so many rows are joined as they are.
 HOT_TABLE = 10_000
 
+#: After tables of more rows the driver's garbage is collected, since Spark deletes the shuffle files of finished steps only then.
+LARGE = 100_000
+
 #: Folders made for local applications without the setting.
 _own: dict[str, str] = {}
 
@@ -65,6 +68,8 @@ class Scratch:
             fs.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.labelflow_path, out.counts = path, seen.get
+        if out.counts["rows"] > LARGE:
+            self.spark._jvm.System.gc()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
