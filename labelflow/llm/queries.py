@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, toxicity
+from . import language_id, mixing, packing, toxicity, whitening
 from .ann import nearest
 from .embedding_dedup import near_duplicate_vectors
 from .license_scan import scan_licenses
 from .line_dedup import drop_similar_lines
 from .minhash_dedup import near_duplicates
+from .sharding import KEY_BITS, TOLERANCE, shard_records
 from .url_filter import filter_captures, host_of, path_parts
 
 
@@ -196,6 +197,49 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+SHARDS = 16
+
+
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes."""
+    out = shard_records(_table(spark, sf_dir, "documents"), SHARDS)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+_KEY_SQL = f"('0x' || substr(md5({{}}), 1, {KEY_BITS // 4}))::bigint"
+#: CRC-32 has no function here: bits of a byte, then bytes of a text, folded by the polynomial.
+OP11_SQL = f"""
+with steps as (select list(v order by i) as fold from (
+    select range as i, list_reduce(list_prepend(range::bigint, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)::bigint as v from range(256))),
+d as (select doc_id, coalesce(text, '') as t from documents),
+r as (select doc_id, (strlen(t) + 1)::bigint as size, {_KEY_SQL.format("t")} as h, {_KEY_SQL.format("coalesce(doc_id::varchar, '')")} as g,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda b: ('0x' || b)::bigint)),
+      lambda c, b: xor(c >> 8, fold[(xor(c, b) & 255) + 1])), 4294967295)::bigint as text_crc32 from d, steps),
+p as (select *, (sum(size) over (order by h, g rows unbounded preceding))::bigint - size as start, row_number() over (order by h, g) as rank, (sum(size) over ())::bigint as total from r),
+c as (select unnest(range(1, {SHARDS})) as cut),
+x as (select cut, h, total from p, c where start * {SHARDS} <= cut * total and cut * total < (start + size) * {SHARDS}),
+gr as (select h, 2 * {SHARDS} * min(start) as lo, 2 * {SHARDS} * max(start + size) as hi from p group by h),
+k as (select case when (hi - lo) * {TOLERANCE} > 2 * total then 2 * cut * total when 2 * cut * total - lo < hi - 2 * cut * total then lo else hi end as pos from x join gr using (h)),
+s as (select *, (select count(*) from k where pos <= 2 * {SHARDS} * start + {SHARDS} * size) as shard from p)
+select doc_id, size, text_crc32, 'bytes' as law, shard::int as shard, rank - min(rank) over (partition by shard) as slot, null::int as grown_shard from s
+"""
+
+
+WHITENED = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of all embeddings."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors, components=32)
+    if model is None:
+        return spark.createDataFrame([], WHITENED)
+    error = model.identity_error(vectors)
+    out = model.transform(vectors, deviation="deviation").where("whitened is not null").select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    explained = F.array(*[F.lit(float(x)) for x in model.explained]).cast("array<double>")
+    return out.select("vec_id", (F.col("k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, F.col("k")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
 def queries() -> dict:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
@@ -208,8 +252,10 @@ def queries() -> dict:
         "op8_license_scan": op8_license_scan,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_sharding": op11_sharding,
+        "op12_embedding_whitening": op12_embedding_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op7_source_mixing": OP7_SQL}
+    return {"op3_url_filter": OP3_SQL, "op7_source_mixing": OP7_SQL, "op11_sharding": OP11_SQL}
