@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, mixing, packing, toxicity, whitening
 from .ann import nearest
+from .collocation import collocations
 from .embedding_dedup import near_duplicate_vectors
 from .license_scan import scan_licenses
 from .line_dedup import drop_similar_lines
@@ -240,6 +241,32 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", (F.col("k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, F.col("k")).alias("explained"), F.lit(error).alias("identity_error"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language of all documents."""
+    return collocations(_table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+OP13_SQL = """
+with pieces as (
+  select lang, row_number() over () as id, p as piece from (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as p from documents)),
+w as (select lang, list_filter(string_split_regex(piece, '[ \\t]'), lambda x: x <> '') as w from pieces),
+g as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as f
+  from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from w, (select unnest([1, 2, 3, 4]) as m) where len(w) >= m) group by all),
+n as (select lang, sum(f)::bigint as n from g where m = 1 group by lang),
+c as (select lang, m, phrase, string_split(phrase, ' ') as w, f as a from g where m > 1 and f >= 30),
+cut as (select lang, m, phrase, a, k, array_to_string(w[:k], ' ') as lp, array_to_string(w[k + 1:], ' ') as rp from (select *, unnest(range(1, m)) as k from c)),
+sc as (select cut.lang, cut.phrase, a, k, gl.f as l, gr.f as r, (2000000::hugeint * a // (gl.f + gr.f))::bigint as score
+  from cut join g gl on gl.lang = cut.lang and gl.phrase = lp join g gr on gr.lang = cut.lang and gr.phrase = rp),
+lo as (select *, row_number() over (partition by lang, phrase order by score, k) as pick from sc),
+sub as (select lang, array_to_string(w[i:i + s - 1], ' ') as phrase, max(a) as longest from (
+  select lang, w, s, a, unnest(range(1, m - s + 2)) as i from c, (select unnest([2, 3]) as s) where s < m) group by all),
+kept as (select lo.* from lo left join sub using (lang, phrase) where pick = 1 and (longest is null or 100 * longest::hugeint < 80 * a::hugeint)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
+"""
+
+
 def queries() -> dict:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
@@ -254,8 +281,9 @@ def queries() -> dict:
         "op10_nearest_neighbours": op10_nearest_neighbours,
         "op11_sharding": op11_sharding,
         "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_phrase_collocations": op13_phrase_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op7_source_mixing": OP7_SQL, "op11_sharding": OP11_SQL}
+    return {"op3_url_filter": OP3_SQL, "op7_source_mixing": OP7_SQL, "op11_sharding": OP11_SQL, "op13_phrase_collocations": OP13_SQL}
