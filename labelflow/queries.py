@@ -13,6 +13,7 @@ from labelflow.operators import metrics as mt
 from labelflow.operators import ordering as od
 from labelflow.operators import routing as rt
 from labelflow.operators import windows as wd
+from labelflow.sources import blocks as bl
 from labelflow.sources import framing as fr
 from labelflow.sources import generators as gen
 from labelflow.tables import messages, readings, running, table, transactions, vitals
@@ -427,6 +428,55 @@ def segment_json(spark, sf_dir):
     return d.select("seq", "offset", "kind", F.decode("message", "UTF-8").alias("message"))
 
 
+#: Bytes of the blocks that streams of the queries below are cut into; most messages of some size span blocks.
+STREAM_BLOCK = 1 << 14
+TEXT_STREAMS = "s as (select source as stream, string_agg(coalesce(text, ''), '' order by doc_id) as t from documents group by source)"
+
+
+@query(f"with {TEXT_STREAMS}, p as (select stream, string_split(t, chr(10)) as p from s), l as (select stream, unnest(p) as line, unnest(range(len(p))) as k, len(p) as n from p), o as (select *, (sum(strlen(line) + 1) over (partition by stream order by k))::bigint - strlen(line) - 1 as offset from l) select stream, o.offset, md5(regexp_replace(line, chr(13) || '$', '')) as digest from o where not (k = n - 1 and line = '')")
+def stream_lines(spark, sf_dir):
+    """The documents of a source as chunks of one stream: its lines run on over chunks and blocks."""
+    chunks = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    out = bl.segment_stream(bl.stream_blocks(chunks, "source", "doc_id", "text", STREAM_BLOCK), fr.lines())
+    return out.select("stream", "offset", F.md5("message").alias("digest"))
+
+
+@query(f"with {TEXT_STREAMS}, p as (select stream, strlen(t) as size, list_slice(string_split(t, 'the '), 1, -2) as p, string_split(t, 'the ')[-1] as rest from s), l as (select stream, unnest(p) || 'the ' as m, unnest(range(len(p))) as k from p) select stream, 'message' as kind, (sum(strlen(m)) over (partition by stream order by k))::bigint - strlen(m) as offset, md5(m) as digest, 0::bigint as dropped from l union all select stream, 'truncated', size - strlen(rest), null, strlen(rest) from p where rest <> ''")
+def stream_delimited(spark, sf_dir):
+    """The same streams cut behind a delimiter of several bytes, which blocks cut too."""
+    chunks = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    out = bl.segment_stream(bl.stream_blocks(chunks, "source", "doc_id", "text", STREAM_BLOCK), fr.delimiter(b"the "))
+    return out.select("stream", "kind", "offset", F.md5("message").alias("digest"), "dropped")
+
+
+@query("with s as (select (page_id % 5)::varchar as stream, string_agg(html, '' order by page_id) as t from pages group by 1), m as (select stream, t, regexp_extract_all(t, '(?s)<li>.*?</li>') as m from s), b as (select stream, len(m)::bigint as n, coalesce(list_sum(list_transform(m, lambda x: strlen(x))), 0)::bigint as bytes, strlen(t)::bigint as size from m) select stream, n, bytes, size - bytes as unframed from b")
+def stream_markers(spark, sf_dir):
+    """Pages as chunks of five streams: list items, and the bytes outside of them."""
+    chunks = table(spark, sf_dir, "pages").select((F.col("page_id") % 5).alias("s"), "page_id", "html")
+    out = bl.segment_stream(bl.stream_blocks(chunks, "s", "page_id", "html", STREAM_BLOCK), fr.markers(b"<li>", b"</li>"))
+    whole = F.col("kind") == "message"
+    return out.groupBy("stream").agg(F.count_if(whole).alias("n"), F.sum(F.when(whole, F.octet_length("message")).otherwise(0)).alias("bytes"), F.sum(F.when(~whole, F.col("dropped")).otherwise(0)).alias("unframed"))
+
+
+@query(f"with {EV}, s as (select (user_id % 8)::varchar as stream, seq, props as message, case when seq % 5 = 0 then ' x\"' else '' end as loose from ev), o as (select *, (sum(strlen(message) + strlen(loose)) over (partition by stream order by seq))::bigint - strlen(message) - strlen(loose) as offset from s) select stream, 'message' as kind, o.offset, message, 0::bigint as dropped from o union all select stream, 'unframed', o.offset + strlen(message) + 1, null, 2 from o where loose <> ''")
+def stream_json(spark, sf_dir):
+    """Objects one after another, each in two chunks, with loose text and odd quotes between some."""
+    ev = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("s"), F.col("event_id").alias("seq"), F.concat("props", F.when(F.col("event_id") % 5 == 0, ' x"').otherwise("")).alias("t"))
+    halves = F.explode(F.array(F.struct((2 * F.col("seq")).alias("k"), F.substring("t", 1, 4).alias("c")), F.struct((2 * F.col("seq") + 1).alias("k"), F.expr("substring(t, 5)").alias("c"))))
+    chunks = ev.select("s", halves.alias("h")).select("s", "h.k", "h.c")
+    out = bl.segment_stream(bl.stream_blocks(chunks, "s", "k", "c", STREAM_BLOCK), fr.json_objects())
+    return out.select("stream", "kind", "offset", F.decode("message", "UTF-8").alias("message"), "dropped")
+
+
+@query("with d as (select source as stream, doc_id, coalesce(text, '') as t from documents) select stream, (sum(strlen(t) + 4) over (partition by stream order by doc_id))::bigint - strlen(t) - 4 as offset, md5(t) as digest from d")
+def stream_prefixed(spark, sf_dir):
+    """Every document as a frame behind its length, the frames of a source one stream."""
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    chunks = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.unhex(F.lpad(F.hex(F.octet_length(text)), 8, "0")), text).alias("frame"))
+    out = bl.segment_stream(bl.stream_blocks(chunks, "source", "doc_id", "frame", STREAM_BLOCK), fr.length_prefix(4))
+    return out.select("stream", "offset", F.md5("message").alias("digest"))
+
+
 @query(f"with {EV}, s as (select user_id % 97 as k, case when seq % 11 = 0 then 'delete' else 'set' end as op, value as v, seq from ev), l as (select k, arg_max(op, seq) as op, arg_max(v, seq) as v from s group by k) select k, v from l where op <> 'delete'")
 def registry_feed(spark, sf_dir):
     """A snapshot with the whole change feed, from before the snapshot on and every change twice, equals the fold of all changes."""

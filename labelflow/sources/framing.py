@@ -7,7 +7,6 @@ text files with plain lines ``read_lines`` stays in Spark's own reader.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelflow.sources.scan import START, scanner
+
+BLANK = b" \t\n\r\x0b\x0c"
 #: A message longer than this is an error.
 MAX_MESSAGE = (16 << 20) - (64 << 10)
 
@@ -97,7 +99,7 @@ def _vector_rows(data: np.ndarray, at: np.ndarray, f: Framing):
         has_cr = (stop > begin) & (data[np.maximum(stop - 1, 0)] == 13)
         stop = stop - has_cr
     if f.kind == "ndjson":
-        ink = np.concatenate([[0], np.cumsum(~np.isin(data, np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)))])
+        ink = np.concatenate([[0], np.cumsum(~np.isin(data, np.frombuffer(BLANK, np.uint8)))])
         some = ink[stop] > ink[begin]
         text, begin, stop, short = (x[some] for x in (text, begin, stop, short))
     size = stop - begin
@@ -110,42 +112,6 @@ def _vector_rows(data: np.ndarray, at: np.ndarray, f: Framing):
     return text, kind, begin - at[text], messages, size - shown
 
 
-def split_objects(data: bytes) -> list[tuple[str, int, int]]:
-    """(kind, from, to) of the objects and of what lies outside of them, white space aside; strings and escapes are respected."""
-    a = np.frombuffer(data, np.uint8)
-    slash = a == 92
-    run = np.arange(len(a)) - np.maximum.accumulate(np.where(slash, -1, np.arange(len(a)))) if len(a) else np.zeros(0, int)
-    escaped = np.concatenate([[False], (run[:-1] % 2 == 1)]) if len(a) else np.zeros(0, bool)
-    out, i = [], 0
-    while i < len(a):
-        begin = data.find(b"{", i)
-        stop = len(a) if begin < 0 else begin
-        if data[i:stop].strip():
-            out.append(("unframed", i, stop))
-        if begin < 0:
-            break
-        part = a[begin:]
-        quoted = np.cumsum((part == 34) & ~escaped[begin:]) % 2 == 1
-        depth = np.cumsum(np.where(quoted, 0, (part == 123).astype(np.int64) - (part == 125)))
-        ends = np.flatnonzero((part == 125) & ~quoted & (depth == 0))
-        if not len(ends):
-            out.append(("truncated", begin, len(a)))
-            break
-        # objects that follow at once come from the same pass; an odd quote outside of objects starts a new one
-        at = 0
-        for e in ends.tolist():
-            if quoted[at] or data[begin + at : begin + at + 1] != b"{":
-                break
-            out.append(("message", begin + at, begin + e + 1))
-            at = e + 1
-            gap = len(data[begin + at :]) - len(data[begin + at :].lstrip()) if at < len(part) and part[at] in b" \t\n\r" else 0
-            at += gap
-            if at >= len(part):
-                break
-        i = begin + at
-    return out
-
-
 def split(data: bytes, f: Framing) -> list[tuple[str, int, bytes | None, int]]:
     """(kind, offset, message, bytes dropped) of one text: kind message, or the error truncated, oversize or unframed."""
     if not data:
@@ -158,52 +124,22 @@ def split(data: bytes, f: Framing) -> list[tuple[str, int, bytes | None, int]]:
     def put(at: int, message: bytes):
         out.append(("oversize", at, None, len(message)) if len(message) > f.limit else ("message", at, message, 0))
 
-    n, i = len(data), 0
+    n = len(data)
     if f.kind == "none":
         put(0, data)
-    elif f.kind == "json":
-        for kind, lo, hi in split_objects(data):
+    else:
+        found, state = scanner(f).segments(START, np.frombuffer(data, np.uint8), n, 0)
+        since = state[3]
+        if since < n:  # what is open at the end
+            found = [*found, ("unframed" if f.kind in ("markers", "json") and not state[0] else "truncated", since, n)]
+        head = f.width if f.kind == "length_prefix" else 0
+        for kind, lo, hi in found:
             if kind == "message":
-                put(lo, data[lo:hi])
-            else:
+                put(lo, data[lo + head : hi])
+            elif f.kind != "json" or kind == "truncated":
                 out.append((kind, lo, None, hi - lo))
-    elif f.kind == "delimiter":
-        *whole, rest = data.split(f.end)
-        for part in whole:
-            put(i, part + f.end)
-            i += len(part) + len(f.end)
-        if rest:
-            out.append(("truncated", i, None, len(rest)))
-    elif f.kind == "length_prefix":
-        while i < n:
-            size = int.from_bytes(data[i : i + f.width], f.order) if i + f.width <= n else -1
-            stop = i + f.width + size
-            if size < 0 or stop > n:
-                out.append(("truncated", i, None, n - i))
-                break
-            put(i, data[i + f.width : stop])
-            i = stop
-    elif f.kind == "markers":
-        marks = sorted({m.start(): m.group() for m in re.finditer(re.escape(f.start) + b"|" + re.escape(f.end), data)}.items())
-        depth, begin, loose = 0, 0, 0  # loose: where bytes outside of messages begin
-        for at, mark in marks:
-            if depth == 0 and mark == f.start:
-                if at > loose:
-                    out.append(("unframed", loose, None, at - loose))
-                begin, depth = at, 1
-            elif depth and mark == f.start and f.start != f.end:
-                depth += 1
-            elif depth:
-                depth -= 1
-                if depth == 0:
-                    loose = at + len(mark)
-                    put(begin, data[begin:loose])
-        if depth:
-            out.append(("truncated", begin, None, n - begin))
-        elif loose < n:
-            out.append(("unframed", loose, None, n - loose))
-    else:
-        raise ValueError(f"unknown framing {f.kind}")
+            elif loose := data[lo:hi].lstrip(BLANK):  # white space between objects is no error
+                out.append((kind, hi - len(loose), None, len(loose)))
     return out
 
 
