@@ -11,6 +11,7 @@ from labelflow.functions import expressions as ex
 from labelflow.operators import labels as lb
 from labelflow.operators import metrics as mt
 from labelflow.operators import ordering as od
+from labelflow.operators import ports as pt
 from labelflow.operators import routing as rt
 from labelflow.operators import windows as wd
 from labelflow.sources import blocks as bl
@@ -880,3 +881,36 @@ def weighted_routing(spark, sf_dir):
     t = spark.createDataFrame(_W, "label string, receiver string, weight double")
     d = labelled(spark, sf_dir).select("seq", F.col("_label").alias("label"))
     return rt.weighted_pick(d, t, (F.col("seq") * 7919 % 1000) / 1000.0).select("seq", "label", "receiver")
+
+
+_RUN = "len(list_filter(range(1, len({h}) + 1), lambda j: {h}[j].n = {first} + j - 1))"
+_OUT = "list_transform({h}[1:{run}], lambda y: {{'n': y.n, 'a': y.a, 'o': 'released', 't': {t}}})"
+SEQUENCED = f"""with recursive {EV},
+d as (select user_id % 50 as k, row_number() over (partition by user_id % 50 order by seq) - 1 as r from ev),
+e as (select k, r, b + b // 9 as n, r * 10 + r % 4 as c from (select k, r, case when r % 13 = 5 then r - 2 else xor(r, 1) end as b from d)),
+l as (select k, list({{'n': n, 'a': r, 'c': c}} order by r) as e, count(*) as m from e group by k),
+w as (
+  select k, 0::bigint as i, 0::bigint as nxt, null::bigint as since, []::struct(n bigint, a bigint)[] as held, []::struct(n bigint, a bigint, o varchar, t bigint)[] as out from l
+  union all
+  select k, i, case when kind = 'dup' then nxt else first + run end as nxt,
+    case when kind = 'dup' then since when len(h) = run then null when kind = 'fire' then t else coalesce(since, t) end as since,
+    case when kind = 'dup' then held else h[run + 1:] end as held,
+    case when kind = 'dup' then [{{'n': x.n, 'a': x.a, 'o': 'duplicate', 't': t}}]
+      when kind = 'fire' then list_concat([{{'n': null::bigint, 'a': null::bigint, 'o': 'skipped', 't': t}}], {_OUT.format(h='h', run='run', t='t')})
+      else list_concat(list_transform(list_filter(held, lambda y: y.n = x.n), lambda y: {{'n': y.n, 'a': y.a, 'o': 'replaced', 't': t}}), {_OUT.format(h='h', run='run', t='t')}) end as out
+  from (select *, {_RUN.format(h='h', first='first')} as run from (
+    select k, case when fire then i else i + 1 end as i, nxt, since, held, x, case when fire then 'fire' when x.n < nxt then 'dup' else 'offer' end as kind,
+      case when fire then since + 35 else x.c end as t, case when fire then held[1].n else nxt end as first,
+      case when fire then held else list_sort(list_append(list_filter(held, lambda y: y.n <> x.n), {{'n': x.n, 'a': x.a}})) end as h
+    from (select w.*, e[i + 1] as x, len(held) > 0 and (i = m or since + 35 <= e[i + 1].c) as fire from w join l using (k) where i < m or len(held) > 0)))),
+o as (select k, unnest(out) as r from w)
+select k, r.n as n, r.a as a, r.o as outcome, r.t as at from o"""
+
+
+@query(SEQUENCED)
+def sequence_ports(spark, sf_dir):
+    """Sequenced ports with a gap timeout over numbers that are missing, swapped and repeated; the SQL walks them by recursion."""
+    d = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("k"), (F.row_number().over(Window.partitionBy(F.col("user_id") % 50).orderBy("event_id")) - 1).cast("long").alias("r"))
+    b = F.when(F.col("r") % 13 == 5, F.col("r") - 2).otherwise(F.col("r").bitwiseXOR(F.lit(1).cast("long")))
+    e = d.withColumn("b", b).select("k", (F.col("b") + F.expr("b div 9")).alias("n"), F.col("r").alias("a"), (F.col("r") * 10 + F.col("r") % 4).alias("c"))
+    return pt.sequenced_ports(e, "k", "n", "a", "c", gap=35).select("k", F.col("seq").alias("n"), F.col("arrival").alias("a"), "outcome", "at")
