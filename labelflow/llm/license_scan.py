@@ -106,24 +106,24 @@ class Scanner:
         #: A unit with fewer bigrams of the templates reaches no template.
         self.least = max(1, math.ceil(self.size.min() * threshold / (2 - threshold) - 1e-9))
 
-    def best(self, unit: np.ndarray) -> tuple[float, str]:
-        """(coefficient, licence) of a unit's distinct bigrams; licences whose templates tie are all named."""
+    def best(self, unit: np.ndarray) -> tuple[float, str, int]:
+        """(coefficient, licence, bigrams in common) of a unit's distinct bigrams; licences whose templates tie are all named."""
         a, t = len(unit), self.threshold
         fits = np.flatnonzero((a * (2 - t) >= self.size * t - 1e-9) & (a * t <= self.size * (2 - t) + 1e-9))
-        top, names = 0.0, []
+        top, names, common = 0.0, [], 0
         for k in fits:
             c = np.isin(self.sets[k], unit, assume_unique=True).sum()
             dice = 2.0 * c / (a + self.size[k])
             if dice >= max(t, top):
                 names = [*names, self.names[k]] if dice == top else [self.names[k]]
-                top = dice
-        return top, " OR ".join(dict.fromkeys(names))
+                top, common = dice, int(c)
+        return top, " OR ".join(dict.fromkeys(names)), common
 
     def scan(self, text: bytes):
         """(first line, lines, licence, coefficient) of each matching unit of a text.
 
-        A run or the whole text is reported only if no line within it already
-        matches as well or better.
+        Of units that overlap, that with most bigrams in common with its template is reported; of ties, the nearer, then the shorter.
+        So a licence of several paragraphs is one unit, whatever its lines say by themselves.
         """
         data = np.frombuffer(text, np.uint8)
         breaks = np.flatnonzero(data == 10)
@@ -138,26 +138,30 @@ class Scanner:
         if len(h):
             _, word_at = bigrams(data, breaks)
             inner = np.isin(at, word_at, assume_unique=True)
+        start = _WORD[data]
+        word_line = np.searchsorted(breaks, np.flatnonzero(start & ~np.concatenate([[False], start[:-1]])), side="right")
         all_of, hit = np.bincount(line[inner], minlength=n_lines), np.bincount(line[inner & known], minlength=n_lines)
-        found: dict[int, tuple[float, str]] = {}
-        for k in np.flatnonzero(hit >= self.least):
-            dice, which = self.best(np.unique(h[inner & (line == k)]))
-            if which:
-                found[k] = (dice, which)
-                yield int(k), 1, which, dice
-        mostly = 2 * hit >= np.maximum(all_of, 1)
+        units = [(int(k), int(k) + 1) for k in np.flatnonzero(hit >= self.least)]
+        # lines without words neither break a run nor begin or end one
+        spoken = np.flatnonzero(np.bincount(word_line, minlength=n_lines))
+        mostly = (2 * hit >= np.maximum(all_of, 1))[spoken]
         edges = np.flatnonzero(np.diff(np.concatenate([[0], mostly.astype(np.int8), [0]])))
-        units = [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2]) if b - a > 1]
+        units += [(int(spoken[a]), int(spoken[b - 1]) + 1) for a, b in zip(edges[::2], edges[1::2]) if b - a > 1]
         if n_lines > 1 and (0, n_lines) not in units:
             units.append((0, n_lines))
+        found = []
         for a, b in units:
             unit = (line >= a) & (line < b)
             unit &= inner | (line < b - 1)
-            if (known & unit).sum() < self.least:
-                continue
-            dice, which = self.best(np.unique(h[unit]))
-            if which and dice > max((found[k][0] for k in found if a <= k < b), default=0.0):
-                yield a, b - a, which, dice
+            if (known & unit).sum() >= self.least:
+                dice, which, common = self.best(np.unique(h[unit]))
+                if which:
+                    found.append((-common, -dice, b - a, a, which))
+        taken: list[tuple[int, int]] = []
+        for _, dice, n, a, which in sorted(found):
+            if all(a + n <= x or a >= y for x, y in taken):
+                taken.append((a, a + n))
+                yield a, n, which, -dice
 
 
 def _scan(scanner: Scanner):
@@ -187,7 +191,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8,
     Lines count from 0.  The best template is named; licences whose templates are equally near, such as those that share a
     head, are named together (A OR B).  Null and empty
     texts, and texts without a match, give no row.  A unit with fewer than two words has no
-    bigram and matches nothing.  Repeated rows give repeated results; null ids pass through; extra columns are ignored.
+    bigram and matches nothing.  Texts are scanned whole, however long; an empty table gives an empty result.  Repeated rows give repeated results; null ids pass through; extra columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()

@@ -56,7 +56,9 @@ def dated_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = pages.where("size(parts) > 1").select(F.concat_ws("/", "host", F.slice("parts", 1, F.size("parts") - 1)).alias("key"), F.lit("section").alias("category")).where("length(key) % 4 = 0")
     n = F.length("key")
     moves = F.array(*[F.struct(F.lit(a).alias("action"), (START + DAY * (n * 5 % 90 + d)).cast("long").alias("ts")) for a, d in (("add", 0), ("remove", 120), ("add", 200))])
-    own = hosts.union(paths).distinct().select("key", "category", F.explode(moves).alias("m")).select("key", "category", "m.action", "m.ts")
+    # written as lists have them: hosts in capitals with dot, port and slash; every other path with a capital, which then is another path
+    written = F.when(F.col("category") == "watch", F.concat(F.upper("key"), F.lit(".:8080/"))).when(n % 8 == 0, F.regexp_replace("key", "/([^/]*)$", "/X$1")).otherwise(F.col("key"))
+    own = hosts.union(paths).distinct().select(written.alias("key"), "category", F.explode(moves).alias("m")).select("key", "category", "m.action", "m.ts")
     return fixed.union(own)
 
 
@@ -75,7 +77,7 @@ hosts as (select distinct host as key, 'watch' as category from c where host is
 log as (
   select * from (values {", ".join(f"('{k}', '{c}', '{a}', {START + DAY * d}::bigint)" for k, c, a, d in LOG)}) v(key, category, action, ts)
   union all
-  select key, category, action, {START} + {DAY} * (length(key) * 5 % 90 + d)
+  select case when category = 'section' and length(key) % 8 = 0 then regexp_replace(key, '/([^/]*)$', '/X\\1') else key end, category, action, {START} + {DAY} * (length(key) * 5 % 90 + d)
   from hosts, (values ('add', 0), ('remove', 120), ('add', 200)) m(action, d)),
 l1 as (select key, category, ts, max(action) as action from log group by all),
 l2 as (select *, lag(action) over (partition by key, category order by ts) as before from l1),

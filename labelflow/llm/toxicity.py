@@ -7,15 +7,16 @@ remembered for SCOPE words, a negation for SCOPE words, reported speech to the c
   ("scum of the earth's trash"), an intensifier before them adding to their weight.  A phrase is aimed at
   a target within SCOPE words before its first word or after its last;
 * the threat transducer accepts a threat verb with a target within SCOPE words after it, or after a modal within
-  SCOPE words before it; a verb with neither is no threat.
+  SCOPE words before it; a verb with neither is no threat.  Behind a modal it is aimed also by a target between the two ("werde dich töten")
+  or an object pronoun before both ("te voy a matar").
 
 They are composed on the fly: a state is one state of each, met states are remembered.  The composition emits the sum of
 a phrase's weights into a channel that says insult or threat, aimed or not, negated or not, reported or not.  What the
 clauses of a text emit adds up, and a logistic link with one coefficient per channel gives the score.
 
 What is learned, from a bounded sample of labelled texts: words and word
-stems that mark toxic texts (any language), their weights, and the channel coefficients,
-which start from priors so that channels without examples keep a sensible value.
+stems that mark toxic texts (any language), their weights, the bias, and one factor for the
+coefficients of all channels, whose order is the grammar's.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ STEMS = (4, 5, 6, 7, 8)
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb imbecile filth vermin dumm idioten abschaum versager dreck ekelhaft wertlos crétin abruti ordure minable dégoûtant tonto estúpido basura escoria inútil asqueroso".split()
 THREATS = "kill hurt destroy beat smash shoot stab burn murder strangle töten umbringen schlagen verbrennen vernichten tuer frapper brûler détruire matar golpear quemar destruir".split()
 TARGETS = "you your yours yourself u ur he she they them him her his their these those du dich dir dein deine ihr euch sie ihn ihm diese tu te toi ton vous votre il elle ils elles leur lui ces tú ti usted ustedes él ella ellos ellas vosotros esos esas".split()
+OBJECTS = "te dich euch os".split()  # targets that are never subjects and may stand before their verb
 NEGATIONS = "not no never nobody nothing isn't aren't wasn't weren't don't doesn't didn't won't can't cannot without nicht kein keine nie niemals niemand ohne pas jamais rien aucun aucune sans nunca jamás nada ningún ninguna sin".split()
 REPORTS = "said says say called calls wrote writes claimed claims according quoted quotes reported shouted sagt sagte schrieb behauptet zitiert laut rief dit disait écrit affirme selon cria dijo dice escribió afirma según gritó".split()
 INTENSIFIERS = "so such very really totally utterly absolute complete total sehr echt völlig total absolut très vraiment totalement muy tan totalmente realmente".split()
@@ -51,18 +53,19 @@ LINKING = "a an the of and or little piece und oder der die das ein eine von et
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 END = re.compile(r"[.!?;\n]")
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENSE, MODAL, LINK = range(9)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INTENSE, MODAL, LINK, OBJECT = range(10)
+AT = (TARGET, OBJECT)
 SCOPE, LINKS, STRONG = 3, 2, 1.25
 # Prior coefficient of a channel = base, times a factor for each modifier.
 BASE, AIMED, NEGATED, REPORTED = 2.0, 1.3, 0.6, 0.7
 
 
-def fade(word: int):
-    """The transducer that remembers a class of words for SCOPE words: its state is how many are left."""
-    return lambda state, symbol: SCOPE if symbol == word else max(0, state - 1)
+def fade(*words: int):
+    """The transducer that remembers classes of words for SCOPE words: its state is how many are left."""
+    return lambda state, symbol: SCOPE if symbol in words else max(0, state - 1)
 
 
-recall_target, recall_negation, recall_modal = fade(TARGET), fade(NEGATION), fade(MODAL)
+recall_target, recall_negation, recall_modal, recall_object = fade(*AT), fade(NEGATION), fade(MODAL), fade(OBJECT)
 
 
 def insult_step(state, symbol, aimed, negated, reported, intense):
@@ -77,46 +80,48 @@ def insult_step(state, symbol, aimed, negated, reported, intense):
     if state is None:
         return None, out
     since, linking, *flags = state
-    if symbol == TARGET:
+    if symbol in AT:
         return None, [("emit insult", (True, *flags[1:]))]
     if since + 1 == SCOPE:
         return None, [("emit insult", tuple(flags))]
     return (since + 1, linking and symbol == LINK, *flags), out
 
 
-def threat_step(state, symbol, meant, negated, reported):
-    """-> (state, [(operation, channel)]).  state: None, or (words since the verb, after a modal, negated, reported)."""
+def threat_step(state, symbol, meant, aimed, negated, reported):
+    """-> (state, [(operation, channel)]).  state: None, or (words since the verb, after a modal, negated, reported); aimed: a target stands before the verb."""
     out = []
     if state is not None:
         since, modal, *flags = state
-        if symbol == TARGET:
+        if symbol in AT:
             return None, [("emit threat", (True, *flags))]
         if symbol == THREAT or since + 1 == SCOPE:
             out, state = [("emit threat", (False, *flags))] if modal else [], None
         else:
             state = (since + 1, modal, *flags)
+    if symbol == THREAT and meant and aimed:
+        return None, [*out, ("threaten", None), ("emit threat", (True, negated, reported))]
     if symbol == THREAT:
         return (0, meant, negated, reported), [*out, ("threaten", None)]
     return state, out
 
 
-#: States of target, negation, report, modal, whether the last word intensified, insult, threat.
-START = (0, 0, False, 0, False, None, None)
+#: States of target, object, negation, report, modal, whether the last word intensified, insult, threat.
+START = (0, 0, 0, False, 0, False, None, None)
 
 
 @lru_cache(maxsize=1 << 16)
 def compose(state: tuple, symbol: int) -> tuple[tuple, tuple]:
     """(next state, operations) of the composed transducers for one word."""
-    target, negation, report, modal, intense, insult, threat = state
+    target, object_, negation, report, modal, intense, insult, threat = state
     insult, first = insult_step(insult, symbol, target > 0, negation > 0, report, intense)
-    threat, then = threat_step(threat, symbol, modal > 0, negation > 0, report)
-    after = (recall_target(target, symbol), recall_negation(negation, symbol), report or symbol == REPORT, recall_modal(modal, symbol), symbol == INTENSE, insult, threat)
+    threat, then = threat_step(threat, symbol, modal > 0, target > modal or object_ > 0, negation > 0, report)
+    after = (recall_target(target, symbol), recall_object(object_, symbol), recall_negation(negation, symbol), report or symbol == REPORT, recall_modal(modal, symbol), symbol == INTENSE, insult, threat)
     return after, tuple(first + then)
 
 
 def at_end(state: tuple) -> list:
     """What a state still emits when the clause ends."""
-    insult, threat = state[5:]
+    insult, threat = state[6:]
     out = [("emit insult", insult[2:])] if insult is not None else []
     return out + ([("emit threat", (False, *threat[2:]))] if threat is not None and threat[1] else [])
 
@@ -142,7 +147,7 @@ class Grammar:
     def __init__(self, words: dict, stems: dict, bias: float = -3.0, coef: np.ndarray | None = None):
         self.words, self.stems, self.bias = words, stems, bias
         self.coef = prior() if coef is None else coef
-        kinds = ((LINKING, LINK), (INTENSIFIERS, INTENSE), (MODALS, MODAL), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT))
+        kinds = ((LINKING, LINK), (INTENSIFIERS, INTENSE), (MODALS, MODAL), (TARGETS, TARGET), (OBJECTS, OBJECT), (NEGATIONS, NEGATION), (REPORTS, REPORT))
         self.classes = {w: k for listed, k in kinds for w in listed}
         self.longest_stem = max(map(len, stems), default=0)
         self._automaton = None
@@ -248,10 +253,16 @@ def _channel_rows(grammar: Grammar):
 
 
 def fit_link(x: np.ndarray, y: np.ndarray, rounds: int = 30, strength: float = 1.0) -> tuple[float, np.ndarray]:
-    """(bias, coefficients) of a logistic link by Newton steps, pulled towards the prior."""
-    a = np.concatenate([np.ones((len(x), 1)), np.log1p(x)], axis=1)
-    centre = np.concatenate([[-3.0], prior()])
-    pull = np.diag([0.05, *[strength] * FEATURES])
+    """(bias, coefficients) of a logistic link by Newton steps, pulled towards the prior.
+
+    One factor scales all channels of the prior, so what is fitted cannot turn the grammar round: aimed phrases count for more than
+    plain ones, threats as much as aimed insults, negated and reported ones for less.  The bias stays where a single aimed phrase of
+    weight 1 crosses 0.5 and a single plain one does not.
+    """
+    pattern = prior()[:CHANNELS]
+    a = np.stack([np.ones(len(x)), np.log1p(x[:, :CHANNELS]) @ pattern, np.log1p(x[:, CHANNELS])], axis=1)
+    centre = np.array([-3.0, 1.0, 0.0])
+    pull = np.diag([0.05, 0.05, strength])
     w = centre.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
@@ -260,8 +271,10 @@ def fit_link(x: np.ndarray, y: np.ndarray, rounds: int = 30, strength: float = 1
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    w[1:-1], w[-1] = np.maximum(w[1:-1], 0), min(w[-1], 0)
-    return float(w[0]), w[1:]
+    scale = max(w[1], 0.5)
+    plain, aimed = scale * BASE * math.log(2), scale * BASE * AIMED * math.log(2)
+    bias = float(np.clip(w[0], 0.03 * plain - 0.98 * aimed, -1.03 * plain))
+    return bias, np.append(scale * pattern, min(w[2], 0.0))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Grammar:
@@ -321,8 +334,8 @@ def _scorer(grammar: Grammar):
 def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row: whole texts, 0 to 1, higher where toxic.
 
-    Null and empty texts have no clause and get the link's value for none.  Repeated
-    rows and null ids pass through; extra columns are ignored.
+    Null and empty texts have no clause and get the link's value for none.  Texts of any length are read whole.  Repeated
+    rows and null ids pass through; extra columns are ignored.  An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()

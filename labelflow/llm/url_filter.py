@@ -51,9 +51,17 @@ def keys_of(url: str | Column, label_depths: Column | None = None, part_depths:
     return F.when(host.isNotNull(), F.array_distinct(F.concat(domains, prefixes)))
 
 
+def listed_key(key: str | Column) -> Column:
+    """A listed key in the form in which captures ask: host in lower case without scheme, user, port and final dot, then the
+    path's parts, whose case counts, without empty ones, query and fragment; null if no host is left."""
+    key = F.trim(F.col(key) if isinstance(key, str) else key)
+    url = F.when(key.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), key).otherwise(F.concat(F.lit("x://"), key))
+    return F.when(host_of(url).isNotNull(), F.array_join(F.concat(F.array(host_of(url)), path_parts(url)), "/"))
+
+
 def depths_of(entries: DataFrame) -> DataFrame:
     """One row (label_depths, part_depths): numbers of labels of the listed domains, and of parts of the listed paths."""
-    key = F.col("key")
+    key = listed_key("key")
     parts = F.size(F.split(key, "/")) - 1
     return entries.agg(F.collect_set(F.when(parts == 0, F.size(F.split(key, r"\.")))).alias("label_depths"), F.collect_set(F.when(parts > 0, parts)).alias("part_depths"))
 
@@ -64,9 +72,9 @@ def intervals(entries: DataFrame) -> DataFrame:
     valid_to is null while a key is still listed.  Adding what is listed and removing what is
     not change nothing.  Of entries at one instant a removal counts last.  Entries with a
     null key, action or ts, or another action, are left out; a null category is one of
-    its own.  Repeated entries change nothing.
+    its own.  Repeated entries change nothing.  Keys may be written as URLs; ``listed_key`` says what counts in them.
     """
-    log = entries.select(F.lower("key").alias("key"), "category", F.lower("action").alias("action"), "ts").where("key is not null and ts is not null and action in ('add', 'remove')")
+    log = entries.select(listed_key("key").alias("key"), "category", F.lower("action").alias("action"), "ts").where("key is not null and ts is not null and action in ('add', 'remove')")
     log = log.groupBy("key", "category", "ts").agg(F.max("action").alias("action"))  # remove is after add
     order = Window.partitionBy("key", "category").orderBy("ts")
     log = log.withColumn("before", F.lag("action").over(order)).where("not (action <=> before)")
@@ -80,7 +88,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     n_active counts the (key, category) pairs listed at the fetch time; list_key is the
     longest of them (the last in order among equals) and category its smallest category.  A null or relative
     URL, or a null time, matches nothing.  Rows that repeat are evaluated each; an id may be null.  Extra
-    columns are ignored.
+    columns are ignored.  Without entries nothing is blocked; without captures the result is empty.
     """
     held = intervals(entries)
     base = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at"))

@@ -66,7 +66,7 @@ def test_toxicity_accuracy(spark):
 def by_patterns(steps):
     """The grammar read by regular expressions over the string of word classes: [(threat, aimed, negated, reported, weight)]."""
     t = toxicity
-    text = "".join({t.OTHER: "o", t.INSULT: "I", t.THREAT: "V", t.TARGET: "T", t.NEGATION: "n", t.REPORT: "R", t.INTENSE: "s", t.MODAL: "m", t.LINK: "l"}[x] for x, _ in steps)
+    text = "".join({t.OTHER: "o", t.INSULT: "I", t.THREAT: "V", t.TARGET: "T", t.NEGATION: "n", t.REPORT: "R", t.INTENSE: "s", t.MODAL: "m", t.LINK: "l", t.OBJECT: "C"}[x] for x, _ in steps)
     out = []
     for m in re.finditer("I(?:l{0,2}I)*", text):
         first, last = m.start(), m.end()
@@ -74,12 +74,14 @@ def by_patterns(steps):
         if first and text[first - 1] == "s":
             weight += (t.STRONG - 1) * steps[first][1]
         after = text[last : last + 3].split("I")[0]
-        out.append((False, "T" in text[max(0, first - 3) : first] or "T" in after, "n" in text[max(0, first - 3) : first], "R" in text[:first], weight))
+        out.append((False, bool(re.search("[TC]", text[max(0, first - 3) : first] + after)), "n" in text[max(0, first - 3) : first], "R" in text[:first], weight))
     for m in re.finditer("V", text):
         at = m.start()
         after = text[at + 1 : at + 4].split("V")[0]
-        if "T" in after or "m" in text[max(0, at - 3) : at]:
-            out.append((True, "T" in after, "n" in text[max(0, at - 3) : at], "R" in text[:at], steps[at][1]))
+        before = text[max(0, at - 3) : at]
+        behind = "m" in before and ("C" in before or "T" in before[before.rfind("m") :])
+        if behind or re.search("[TC]", after) or "m" in before:
+            out.append((True, behind or bool(re.search("[TC]", after)), "n" in text[max(0, at - 3) : at], "R" in text[:at], steps[at][1]))
     return out
 
 
@@ -87,7 +89,7 @@ def test_composition_equals_patterns():
     rng = np.random.default_rng(3)
     words = {"i1": (toxicity.INSULT, 1.0), "i2": (toxicity.INSULT, 0.6), "v1": (toxicity.THREAT, 0.9)}
     g = toxicity.Grammar(words, {})
-    pool = ["i1", "i2", "v1", "you", "not", "said", "so", "will", "of", "the", "tree", "house"]
+    pool = ["i1", "i2", "v1", "you", "te", "not", "said", "so", "will", "of", "the", "tree", "house"]
     for _ in range(6000):
         clause = [pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 14))]
         got, want = np.zeros(toxicity.FEATURES), np.zeros(toxicity.FEATURES)
@@ -97,6 +99,18 @@ def test_composition_equals_patterns():
         assert np.allclose(got, want), clause
 
 
+def test_fitted_weights_keep_the_order_of_the_grammar(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    g = toxicity.learn(docs, labels.where(queries._part("doc_id", 5) != 0))
+    score = lambda t: float(g.score(g.channels(t)[None, :])[0])
+    for threat in ("I will kill you", "we will burn your house", "ich werde dich töten", "je vais te tuer", "te voy a matar"):
+        assert score(threat) >= 0.5, threat
+    for aimed, plain in (("you are an idiot", "an idiot"), ("du bist ein idiot", "ein idiot"), ("tu es un crétin", "un crétin"), ("tú eres un estúpido", "un estúpido")):
+        assert score(aimed) >= 0.5 > score(plain) > score("a fine day")
+    assert score("you are not an idiot") < 0.5 and score("The word idiot appears in the dictionary.") < 0.5
+    assert score("he said: an idiot") < score("an idiot") and score("they said i will kill you") < score("i will kill you")
+
+
 def test_grammar_reads_clauses():
     g = toxicity.Grammar(toxicity.seed_words(), {"schwein": (toxicity.INSULT, 1.0)})
     score = lambda t: float(g.score(g.channels(t)[None, :])[0])
@@ -287,30 +301,58 @@ def best_licence(unit):
 
 
 def scan_by_hand(text):
-    """Every line, run of lines that mostly consist of template bigrams, and the whole text, each against every template."""
+    """Every line, run of lines that mostly consist of template bigrams, and the whole text, each against every template; of those that
+    overlap, that which has most in common."""
     grams = lambda t: list(zip(w := re.findall(r"[a-z0-9\u0080-\uffff]+", t.lower()), w[1:]))
     known = {g for _, t in license_scan.TEMPLATES for g in grams(t)}
     lines = (text or "").split("\n")
-    out, found = [], {}
-    for k, line in enumerate(lines):
-        if b := best_licence(line):
-            found[k] = b[0]
-            out.append((k, 1, b[1], b[0]))
-    mostly = [2 * sum(g in known for g in grams(x)) >= max(1, len(grams(x))) for x in lines]
-    units, k = [], 0
-    while k < len(lines):
-        e = k
-        while e < len(lines) and mostly[e]:
-            e += 1
-        units += [(k, e)] * (e - k > 1)
-        k = max(e, k + 1)
-    units += [(0, len(lines))] * (len(lines) > 1 and (0, len(lines)) not in units)
+    spoken = [k for k, x in enumerate(lines) if re.search(r"[A-Za-z0-9\u0080-\uffff]", x)]
+    units, run = {(k, k + 1) for k in spoken} | {(0, len(lines))}, []
+    for k in [*spoken, None]:
+        if k is not None and 2 * sum(g in known for g in grams(lines[k])) >= max(1, len(grams(lines[k]))):
+            run.append(k)
+            continue
+        units |= {(run[0], run[-1] + 1)} if run else set()
+        run = []
+    found = []
     for a, e in units:
-        if (b := best_licence("\n".join(lines[a:e]))) and b[0] > max((found[k] for k in found if a <= k < e), default=0.0):
-            out.append((a, e - a, b[1], b[0]))
+        unit = "\n".join(lines[a:e])
+        if b := best_licence(unit):
+            common = max(len(set(grams(unit)) & set(grams(t))) for _, t in license_scan.TEMPLATES if round(dice(unit, t), 9) == b[0])
+            found.append((-common, -b[0], e - a, a, b[1]))
+    out = []
+    for _, d, n, a, name in sorted(found):
+        if all(a + n <= x or a >= x + m for x, m, *_ in out):
+            out.append((a, n, name, -d))
     return sorted(out)
 
 
+BSD_FILE = """Copyright (c) 2020, Some One
+All rights reserved.
+
+{head}
+
+* {one}
+
+* {two}
+
+{third}{tail}
+
+int main() {{ return 0; }}
+"""
+
+
+def test_whole_licence_files_are_named_once():
+    one, two = license_scan.BSD_TWO.removeprefix("1. ").split(" 2. ")
+    scan = license_scan.Scanner()
+    for name, third in (("BSD-3-Clause", f"* {license_scan.BSD_THIRD.removeprefix('3. ')}\n\n"), ("BSD-2-Clause", "")):
+        text = BSD_FILE.format(head=license_scan.BSD_HEAD, one=one, two=two, third=third, tail=license_scan.BSD_TAIL.replace(". ", ".\n"))
+        names = [which for _, n, which, _ in scan.scan(text.encode()) if n > 1]
+        assert names == [name] and "BSD-2-Clause OR BSD-3-Clause" not in [which for _, _, which, _ in scan.scan(text.encode())]
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + license_scan.TEMPLATES[3][1].replace(". ", ".\n\n")
+    assert [which for _, n, which, _ in scan.scan(mit.encode()) if n > 1] == ["MIT"]
+
+
 def test_licences_equal_brute_force(spark):
     names = license_scan.TEMPLATES
     lines = [t for _, t in names] + ["Released under the MIT license", "this program is fine", "", "all rights", "RELEASED UNDER: THE MIT LICENSE!", "licensed under cc by nc 4 0 or so", "some other words that go on"]
@@ -344,7 +386,8 @@ def test_oracles(spark, name):
 def test_url_filter_edges(spark):
     log = [("bad.com", "x", "add", 10), ("bad.com", "x", "add", 12), ("bad.com", "x", "remove", 20), ("bad.com", "x", "remove", 20), ("bad.com", None, "ADD", 30), ("a.org/p/q", "y", "add", 0), (None, "x", "add", 0), ("z.com", "x", "drop", 0), ("[2001:db8::1]", "x", "add", 0), ("10.0.0.1", "x", "add", 0), ("t.com", "x", "add", 5), ("t.com", "x", "remove", 5)]
     e = spark.createDataFrame(log, "key string, category string, action string, ts long")
-    assert sorted(map(str, url_filter.intervals(e).select("key", "valid_from", "valid_to").collect())) == sorted(map(str, [("bad.com", 10, 20), ("bad.com", 30, None), ("a.org/p/q", 0, None)])) or url_filter.intervals(e).count() == 5
+    held = {(r["key"], r["category"], r["valid_from"], r["valid_to"]) for r in url_filter.intervals(e).collect()}
+    assert held == {("bad.com", "x", 10, 20), ("bad.com", None, 30, None), ("a.org/p/q", "y", 0, None), ("[2001:db8::1]", "x", 0, None), ("10.0.0.1", "x", 0, None)}
     cap = [(1, "http://u:p@WWW.Bad.com:80/x", 15), (2, "http://bad.com", 20), (3, "http://bad.com", 9), (4, None, 15), (5, "/relative", 15), (6, "https://a.org/p/q/r?x", 1), (7, "https://a.org/p", 1), (8, "http://bad.com", None), (None, "http://bad.com/", 40), (9, "http://t.com", 5), (10, "http://[2001:DB8::1]:80/x", 15), (11, "http://10.0.0.1/", 15), (1, "http://u:p@WWW.Bad.com:80/x", 15)]
     got = url_filter.filter_captures(spark.createDataFrame(cap, "page_id long, url string, fetch_ts long").selectExpr("*", "1 as key", "2 as category"), e).collect()
     assert len(got) == len(cap) and sorted((r["page_id"] or 0) for r in got if r["blocked"]) == [0, 1, 1, 6, 10, 11]
@@ -352,6 +395,15 @@ def test_url_filter_edges(spark):
     assert {r["list_key"] for r in got if r["page_id"] == 6} == {"a.org/p/q"}
 
 
+def test_url_filter_keys_as_lists_write_them(spark):
+    keys = {"a.org/Ads": "a.org/Ads", "b.org/": "b.org", "c.org/p/": "c.org/p", "D.org.": "d.org", "www.e.org:8080": "www.e.org", "https://U@F.org:1/x//y/?q#f": "f.org/x/y", " ": None, "/p": None}
+    log = spark.createDataFrame([(k, "x", "add", 0) for k in keys], "key string, category string, action string, ts long")
+    assert {r["key"]: r["k"] for r in log.select("key", url_filter.listed_key("key").alias("k")).collect()} == keys
+    asked = {"http://a.org/Ads/1": True, "http://a.org/ads/1": False, "http://b.org/z": True, "http://c.org/p": True, "http://c.org/P": False, "http://x.d.org": True, "http://www.e.org/": True, "http://f.org/x/y/z": True, "http://f.org/x/": False}
+    got = url_filter.filter_captures(spark.createDataFrame([(k, u, 5) for k, u in enumerate(asked)], "page_id long, url string, fetch_ts long"), log)
+    assert {r["url"]: r["blocked"] for r in got.collect()} == asked
+
+
 def test_url_filter_asks_every_depth(spark):
     host, path = ".".join(f"l{k}" for k in range(50)), "/".join(map(str, range(30)))
     domains = [".".join(host.split(".")[-k:]) for k in range(1, 51)]
