@@ -2,14 +2,18 @@
 
 A label is a name in a string column.  ``up(x)`` is the set of labels at or above x as a
 bit mask, so the mask of a join is the AND of masks, joins aggregate with ``bit_and``, and
-``leq`` is one bit test: all stay inside generated code and group by any key.
+``leq`` is one bit test: all stay inside generated code and group by any key.  Lattices of more than
+WORD labels take several words a mask, and do the same word by word.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from dataclasses import dataclass, field
-from itertools import product
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +21,13 @@ from pyspark.sql import functions as F
 from labelflow.tables import running
 
 BOTTOM, TOP = "bottom", "top"
+#: Labels that one long holds as a mask.
+WORD = 62
+
+
+def _literal(value: list, kind: str) -> Column:
+    """A large literal as one expression; built value by value it would take the planner seconds."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 class LatticeError(ValueError):
@@ -43,74 +54,90 @@ class Lattice:
         names = list(dict.fromkeys(x for c in self.chains for x in c))
         if bad := {BOTTOM, TOP} & set(names):
             raise LatticeError("E0706", f"reserved names {sorted(bad)}")
-        above = {x: {x} for x in names}
+        # up-sets as rows of a bit matrix, closed from the upper labels down
+        number = {x: i for i, x in enumerate(names)}
         pairs = [(a, b) for c in self.chains for a, b in zip(c, c[1:])]
-        grown = True
-        while grown:
-            grown = False
-            for a, b in pairs:
-                if not above[b] <= above[a]:
-                    above[a] |= above[b]
-                    grown = True
-        if loop := [(a, b) for a, b in pairs if a in above[b]]:
-            raise LatticeError("E0701", f"cycle at {loop[0]}")
-        part: dict[str, str] = {x: x for x in names}
+        over: dict[str, list[str]] = {x: [] for x in names}
+        waits = dict.fromkeys(names, 0)
+        under: dict[str, list[str]] = {x: [] for x in names}
+        for a, b in dict.fromkeys(pairs):
+            over[a].append(b)
+            under[b].append(a)
+            waits[a] += 1
+        up, ready = {}, [x for x in names if not waits[x]]
+        while ready:
+            x = ready.pop()
+            up[x] = 1 << number[x]
+            for y in over[x]:
+                up[x] |= up[y]
+            for y in under[x]:
+                waits[y] -= 1
+                if not waits[y]:
+                    ready.append(y)
+        if len(up) < len(names):
+            raise LatticeError("E0701", f"cycle at {next((a, b) for a, b in pairs if waits[a] and waits[b])}")
+        part = {x: x for x in names}
+
+        def head(x):
+            while part[x] != x:
+                part[x] = part[part[x]]
+                x = part[x]
+            return x
+
         for a, b in pairs:
-            old, new = part[b], part[a]
-            part = {x: new if p == old else p for x, p in part.items()}
-        parts = [[x for x in names if part[x] == p] for p in dict.fromkeys(part.values())]
-        self.compartment = {x: i for i, members in enumerate(parts) for x in members}
-        self.compartments = len(parts)
-        for i, members in enumerate(parts):
-            lone = [x for x in members if above[x] == {x}]
-            if len(lone) > 1 and any(self._bound(members, above, a, b) is None for a, b in product(members, members)):
-                low = min(x for x in members if not any(x in above[y] for y in members if y != x))
-                name = f"top({low})"
-                above[name] = {name}
-                self.compartment[name] = i
+            part[head(b)] = head(a)
+        groups: dict[str, list[str]] = {}
+        for x in names:
+            groups.setdefault(head(x), []).append(x)
+        self.compartment = {x: i for i, members in enumerate(groups.values()) for x in members}
+        self.compartments = len(groups)
+        for i, members in enumerate(list(groups.values())):
+            lone = [x for x in members if up[x] == 1 << number[x]]
+            known = {up[x] for x in members}
+            if len(lone) > 1 and any(up[a] & up[b] not in known for a, b in combinations(members, 2)):
+                name = f"top({min(x for x in members if not under[x])})"
+                number[name], self.compartment[name] = len(number), i
+                up[name] = 1 << number[name]
                 for x in members:
-                    above[x].add(name)
-        if not any(len(s) == len(above) for s in above.values()):
-            above[BOTTOM] = {BOTTOM, *above}
+                    up[x] |= up[name]
+        if not any(m.bit_count() == len(up) for m in up.values()):
+            number[BOTTOM] = len(number)
+            up[BOTTOM] = sum(1 << k for k in number.values())
         self.forbidden_top = self.compartments > 1
         if self.forbidden_top:
-            for s in above.values():
-                s.add(TOP)
-            above[TOP] = {TOP}
-        self.labels, self.above = list(above), above
-        if len(self.labels) > 62:
-            raise LatticeError("E0799", "more than 62 labels do not fit a mask")
-        self.bottom = next(x for x in self.labels if len(above[x]) == len(above))
-        self.top = next((x for x in self.labels if all(x in s for s in above.values())), self.bottom)
+            number[TOP] = len(number)
+            up = {x: m | 1 << number[TOP] for x, m in up.items()} | {TOP: 1 << number[TOP]}
+        self.labels = list(number)
+        self.up = {x: up[x] for x in self.labels}
+        self.above = {x: {self.labels[k] for k in range(len(self.labels)) if m >> k & 1} for x, m in self.up.items()}
         self.bit = {x: 1 << i for i, x in enumerate(self.labels)}
-        self.up = {x: sum(self.bit[y] for y in above[x]) for x in self.labels}
-        self.down = {x: sum(self.bit[y] for y in self.labels if x in above[y]) for x in self.labels}
-        for a, b in product(self.labels, self.labels):
-            if self._bound(self.labels, above, a, b) is None:
+        self.down = dict.fromkeys(self.labels, 0)
+        for x in self.labels:
+            for y in self.above[x]:
+                self.down[y] |= self.bit[x]
+        self._by_up, self._by_down = {m: x for x, m in self.up.items()}, {m: x for x, m in self.down.items()}
+        self.bottom = next(x for x in self.labels if len(self.above[x]) == len(self.labels))
+        self.top = next((x for x in self.labels if self.down[x].bit_count() == len(self.labels)), self.bottom)
+        for a, b in combinations(self.labels, 2):
+            if self.up[a] & self.up[b] not in self._by_up:  # the up-set of a join is what both up-sets share
                 raise LatticeError("E0703", f"'{a}' and '{b}' have no least upper bound; declare a label above both and below their upper bounds")
-
-    @staticmethod
-    def _bound(universe, above, a, b):
-        upper = [u for u in universe if u in above[a] and u in above[b]]
-        least = [u for u in upper if all(v in above[u] for v in upper)]
-        return least[0] if len(least) == 1 else None
+        #: More labels than a long has bits take several words a mask.
+        self.wide = len(self.labels) > WORD
 
     def leq(self, a: str, b: str) -> bool:
         return b in self.above[a]
 
     def join(self, *names: str) -> str:
-        out = self.bottom
+        mask = self.up[self.bottom]
         for x in names:
-            out = self._bound(self.labels, self.above, out, x)
-        return out
+            mask &= self.up[x]
+        return self._by_up[mask]
 
     def meet(self, *names: str) -> str:
-        out = self.top
+        mask = self.down[self.top]
         for x in names:
-            lower = [u for u in self.labels if self.leq(u, out) and self.leq(u, x)]
-            best = [u for u in lower if all(self.leq(v, u) for v in lower)]
-            out = best[0] if len(best) == 1 else self.bottom
-        return out
+            mask &= self.down[x]
+        return self._by_down.get(mask, self.bottom)
 
     def interval(self, lo: str, hi: str) -> list[str]:
         return [x for x in self.labels if self.leq(lo, x) and self.leq(x, hi)]
@@ -120,7 +147,7 @@ class Lattice:
 
     def order(self) -> list[str]:
         """Labels, lower ones first."""
-        return sorted(self.labels, key=lambda x: (-len(self.above[x]), x))
+        return sorted(self.labels, key=lambda x: (-self.up[x].bit_count(), x))
 
     def covers(self) -> list[tuple[str, str]]:
         """The pairs (a, b) with a directly below b: the rules along which data may flow."""
@@ -130,39 +157,63 @@ class Lattice:
     def as_map(self, table: dict) -> Column:
         return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 
-    def up_mask(self, label: Column) -> Column:
-        return F.element_at(self.as_map({x: m for x, m in self.up.items()}), label)
-
-    def down_mask(self, label: Column) -> Column:
-        return F.element_at(self.as_map(self.down), label)
-
-    def from_up(self, mask: Column) -> Column:
-        """The label of an up mask; a mask of no single label stands for the top."""
-        return F.coalesce(F.element_at(self.as_map({m: x for x, m in self.up.items()}), mask), F.lit(self.top))
+    def _place(self, label: Column) -> Column:
+        """The place of a label in ``order``: its bucket by CRC-32 is looked up in a literal array, then the few names in there."""
+        buckets: list[list] = [[] for _ in range(2 * len(self.labels))]
+        for k, x in enumerate(self.order()):
+            buckets[zlib.crc32(x.encode()) % len(buckets)].append({"x": x, "k": k})
+        table = _literal(buckets, "array<array<struct<x: string, k: int>>>")
+        held = F.get(table, (F.crc32(label.cast("binary")) % len(buckets)).cast("int"))
+        return F.get(F.filter(held, lambda e: e["x"] == label), F.lit(0))["k"]
+
+    def _words(self, label: Column, of: dict, falling: bool = False) -> list[Column]:
+        """Masks of a label as columns of WORD bits each; one for lattices that a long holds.
+
+        In wide lattices bits stand in ``order`` (or against it, if ``falling``), so that the least bit of a join, or of a meet, is the label itself.
+        """
+        if not self.wide:
+            return [F.element_at(self.as_map(of), label)]
+        order = self.order()
+        n = len(order)
+        bit = {self.bit[x].bit_length() - 1: n - 1 - k if falling else k for k, x in enumerate(order)}
+        masks = [sum(1 << bit[b] for b in range(n) if of[x] >> b & 1) for x in order]
+        at = self._place(label)
+        return [F.get(_literal([m >> lo & (1 << WORD) - 1 for m in masks], "array<bigint>"), at) for lo in range(0, n, WORD)]
+
+    def _named(self, words: list[Column], of: dict, otherwise: str, falling: bool = False) -> Column:
+        """The label of masks; a mask of no single label stands for ``otherwise``."""
+        if not self.wide:
+            return F.coalesce(F.element_at(self.as_map({m: x for x, m in of.items()}), words[0]), F.lit(otherwise))
+        least = [F.when(w != 0, F.bit_count(w.bitwiseAND(-w) - 1) + k * WORD) for k, w in enumerate(words)]
+        order = self.order()[::-1] if falling else self.order()
+        return F.coalesce(F.get(_literal(order, "array<string>"), F.coalesce(*least).cast("int")), F.lit(otherwise))
+
+    def up_words(self, label: Column) -> list[Column]:
+        return self._words(label, self.up)
+
+    def from_up_words(self, words: list[Column]) -> Column:
+        return self._named(words, self.up, self.top)
 
-    def from_down(self, mask: Column) -> Column:
-        return F.coalesce(F.element_at(self.as_map({m: x for x, m in self.down.items()}), mask), F.lit(self.bottom))
+    def up_mask(self, label: Column) -> Column:
+        if self.wide:
+            raise LatticeError("E0799", f"more than {WORD} labels take several words: use up_words")
+        return self.up_words(label)[0]
 
     def col_leq(self, a: Column, b: Column) -> Column:
-        return self.up_mask(a).bitwiseAND(F.element_at(self.as_map(self.bit), b)) != 0
+        met = [u.bitwiseAND(x) != 0 for u, x in zip(self.up_words(a), self._words(b, self.bit))]
+        return reduce(Column.__or__, met)
 
     def col_join(self, *labels: Column) -> Column:
-        mask = self.up_mask(labels[0])
-        for x in labels[1:]:
-            mask = mask.bitwiseAND(self.up_mask(x))
-        return self.from_up(mask)
+        return self.from_up_words([reduce(Column.bitwiseAND, w) for w in zip(*map(self.up_words, labels))])
 
     def col_meet(self, *labels: Column) -> Column:
-        mask = self.down_mask(labels[0])
-        for x in labels[1:]:
-            mask = mask.bitwiseAND(self.down_mask(x))
-        return self.from_down(mask)
+        return self._named([reduce(Column.bitwiseAND, w) for w in zip(*[self._words(x, self.down, True) for x in labels])], self.down, self.bottom, True)
 
     def join_agg(self, label: Column) -> Column:
-        return self.from_up(F.bit_and(self.up_mask(label)))
+        return self.from_up_words([F.bit_and(w) for w in self.up_words(label)])
 
     def meet_agg(self, label: Column) -> Column:
-        return self.from_down(F.bit_and(self.down_mask(label)))
+        return self._named([F.bit_and(w) for w in self._words(label, self.down, True)], self.down, self.bottom, True)
 
 
 def assign(df: DataFrame, labeller: Column, fallback: Column | None = None, name: str = "_label") -> DataFrame:
@@ -192,11 +243,10 @@ def within_range(df: DataFrame, lattice: Lattice, lo: str, hi: str, name: str =
 
 def sink_check(df: DataFrame, lattice: Lattice, sinks: list[str], names: tuple[str, ...] = ("_label",)) -> DataFrame:
     """``df`` with _violation: the join of its labels may not flow to the meet of the sinks' labels.  Rows without any label pass."""
-    masks = [F.coalesce(lattice.up_mask(F.col(n)), F.lit(-1).cast("long")) for n in names]
-    joined = masks[0]
-    for m in masks[1:]:
-        joined = joined.bitwiseAND(m)
-    return df.withColumn("_violation", joined.bitwiseAND(F.lit(lattice.bit[lattice.meet(*sinks)]).cast("long")) == 0)
+    words = [[F.coalesce(w, F.lit(-1).cast("long")) for w in lattice.up_words(F.col(n))] for n in names]
+    joined = [reduce(Column.bitwiseAND, w) for w in zip(*words)]
+    sink = lattice._words(F.lit(lattice.meet(*sinks)), lattice.bit)
+    return df.withColumn("_violation", ~reduce(Column.__or__, [w.bitwiseAND(x) != 0 for w, x in zip(joined, sink)]))
 
 
 class FlowRules:
@@ -231,8 +281,9 @@ class FlowRules:
 
 def taint(df: DataFrame, lattice: Lattice, instance: str, order: str, name: str = "_label") -> DataFrame:
     """``df`` with _taint: the join of all labels its instance has received up to the row."""
-    out = running(df, order, (instance,), _taint_mask=("bit_and", lattice.up_mask(F.col(name))))
-    return out.withColumn("_taint", lattice.from_up(F.col("_taint_mask"))).drop("_taint_mask")
+    words = {f"_taint_{k}": ("bit_and", w) for k, w in enumerate(lattice.up_words(F.col(name)))}
+    out = running(df, order, (instance,), **words)
+    return out.withColumn("_taint", lattice.from_up_words([F.col(w) for w in words])).drop(*words)
 
 
 def first_compartment(df: DataFrame, lattice: Lattice, instance: str, order: str, name: str = "_label") -> DataFrame:

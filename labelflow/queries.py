@@ -244,9 +244,28 @@ def compartment_lanes(spark, sf_dir):
     return rt.compartment_groups(d, TWO, F.col("user_id") % 128).select("seq", "route")
 
 
-@query("select * from (values " + ", ".join(f"('{x}', {u}::bigint, {LATTICE.down[x]}::bigint)" for x, u in LATTICE.up.items()) + ") t(label, up_mask, down_mask)")
-def lattice_table(spark, sf_dir):
-    return spark.createDataFrame([(x, LATTICE.up[x], LATTICE.down[x]) for x in LATTICE.labels], "label string, up_mask long, down_mask long")
+#: A lattice of 500 labels: pairs of a level out of 20 and one out of 25.
+GRID = lb.Lattice([[f"g{i}_{j}" for j in range(25)] for i in range(20)] + [[f"g{i}_{j}" for i in range(20)] for j in range(25)])
+_GRID = f"{EV}, g as (select seq, user_id % 100 as grp, user_id % 20 as i, seq % 25 as j from ev)"
+
+
+def _on_grid(spark, sf_dir):
+    d = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id"))
+    return d.select("seq", (F.col("user_id") % 100).alias("grp"), F.concat(F.lit("g"), (F.col("user_id") % 20).cast("string"), F.lit("_"), (F.col("seq") % 25).cast("string")).alias("_label"))
+
+
+@query(f"with {_GRID} select grp, 'g' || max(i)::varchar || '_' || max(j)::varchar as joined, 'g' || min(i)::varchar || '_' || min(j)::varchar as met, count(*) filter (where i <= 12 and j <= 9) as may_flow from g group by grp")
+def wide_lattice(spark, sf_dir):
+    """Joins, meets and clearance over 500 labels, masks of nine words."""
+    d = _on_grid(spark, sf_dir)
+    return d.groupBy("grp").agg(GRID.join_agg(F.col("_label")).alias("joined"), GRID.meet_agg(F.col("_label")).alias("met"), F.count_if(GRID.col_leq(F.col("_label"), F.lit("g12_9"))).alias("may_flow"))
+
+
+@query(f"with {_GRID} select seq, 'g' || (max(i) over w)::varchar || '_' || (max(j) over w)::varchar as taint, i > 12 or j > 9 as violation from g window w as (partition by grp order by seq)")
+def wide_taint(spark, sf_dir):
+    """Running taint and sink checks over the same labels."""
+    d = lb.taint(_on_grid(spark, sf_dir), GRID, "grp", "seq")
+    return lb.sink_check(d, GRID, ["g12_20", "g19_9"]).select("seq", F.col("_taint").alias("taint"), F.col("_violation").alias("violation"))
 
 
 # ---------------------------------------------------------------- routing

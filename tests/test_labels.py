@@ -95,3 +95,32 @@ def test_running_over_slices_equals_one_window(spark):
         s, m, n = state.get(r["k"], (0, 0, 0))
         state[r["k"]] = (s + r["v"], max(m, r["v"]), n + 1)
         assert (r["s"], r["m"], r["n"]) == state[r["k"]]
+
+
+def test_wide_lattices_as_columns(spark):
+    rng = random.Random(8)
+    chains = [[f"t{rng.randrange(max(1, k // 3), k) if k > 1 else 0}", f"t{k}"] for k in range(1, 90)]  # a tree with a top over its leaves
+    for x in (lb.Lattice(chains), lb.Lattice(grid(9, 9)), lb.Lattice([*grid(8, 8), ["other", "side"]])):
+        assert x.wide and (lb.TOP in x.labels) == (x.compartments > 1)
+        pairs = [(rng.choice(x.labels), rng.choice(x.labels)) for _ in range(150)] + [(a, a) for a in x.labels[:5]]
+        df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k long, a string, b string")
+        a, b = F.col("a"), F.col("b")
+        for r in df.select("a", "b", x.col_join(a, b).alias("j"), x.col_meet(a, b).alias("m"), x.col_leq(a, b).alias("leq")).collect():
+            assert (r["j"], r["m"], r["leq"]) == (x.join(r["a"], r["b"]), x.meet(r["a"], r["b"]), x.leq(r["a"], r["b"]))
+        row = df.agg(x.join_agg(a).alias("j"), x.meet_agg(a).alias("m")).first()
+        assert row["j"] == x.join(*[p for p, _ in pairs]) and row["m"] == x.meet(*[p for p, _ in pairs])
+        assert df.select(x.col_leq(F.lit("nobody"), b).alias("v")).first()["v"] is None
+        got = {r["k"]: r["_taint"] for r in lb.taint(df.withColumn("one", F.lit(1)), x, "one", "k", "a").collect()}
+        assert got == {k: x.join(*[p for p, _ in pairs[: k + 1]]) for k in got}
+
+
+def test_large_lattices_are_closed_fast():
+    import time
+
+    began = time.time()
+    x = lb.Lattice([[f"{i}.{j}" for j in range(25)] for i in range(20)] + [[f"{i}.{j}" for i in range(20)] for j in range(25)])
+    assert time.time() - began < 5 and len(x.labels) == 500 and x.join("17.0", "0.24") == "17.24" and x.meet("17.0", "0.24") == "0.0"
+    with pytest.raises(lb.LatticeError, match="E0701"):
+        lb.Lattice([["a", "b", "c"], ["c", "d", "a"]])
+    with pytest.raises(lb.LatticeError, match="E0703"):
+        lb.Lattice([["a", "c", "z"], ["a", "d", "z"], ["b", "c"], ["b", "d"]])
