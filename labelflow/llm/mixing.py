@@ -1,7 +1,8 @@
 """Mixing sources to target weights: a native plan of DataFrame operations.
 
 1. Words are counted; a running sum (ranges of ids in parallel, then within ranges) places each
-   document in its source's stream of words, which is cut into blocks of equal length.
+   document in its source's stream of words, which is cut into blocks of equal length: shorter ones for sources of few
+   words, so that whole blocks come near any target.
 2. Each source's target follows from its weight, stopped at a multiple of its size.
 3. Output slots are dealt to shards.  Every slot draws its source, so a shard's
    source counts are multinomial.  A source's draws beyond its quota of blocks go,
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Words of a block, slots of an output shard, documents of a range.
-BLOCK, SHARD_SLOTS, RANGE_DOCS = 128, 4096, 20000
+#: Words of a block at most, blocks of a source at least (where it has so many words), slots of an output shard, documents of a range.
+BLOCK, FINE, SHARD_SLOTS, RANGE_DOCS = 128, 100, 4096, 20000
 #: Cells by which numbers find the part that they lie in.
 CELLS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,22 +64,21 @@ def _row_key(docs: DataFrame, *names: str) -> list:
 class Mix:
     """The parts of a mixture; all are DataFrames.
 
-    documents: one row per input row: doc_id, source, size, sid, start (words before it in its source).
-    sources: source, source_size, sid, weight, target, n_blocks, quota.
+    documents: one row per input row: doc_id, source, size, sid, width, start (words before it in its source).
+    sources: source, source_size, sid, weight, target, width (words of a block), n_blocks, quota.
     draws: shard, sid, c: the multinomial counts of each shard.
     slots: shard, slot, sid, turn, block.
     """
 
-    def __init__(self, scratch: Scratch, documents: DataFrame, sources: DataFrame, draws: DataFrame, slots: DataFrame, block: int):
-        self.scratch, self.documents, self.sources, self.draws, self.slots, self.block = scratch, documents, sources, draws, slots, block
+    def __init__(self, scratch: Scratch, documents: DataFrame, sources: DataFrame, draws: DataFrame, slots: DataFrame):
+        self.scratch, self.documents, self.sources, self.draws, self.slots = scratch, documents, sources, draws, slots
 
     def segments(self) -> DataFrame:
         """(sid, start, block, lo, words): the part of each document in each block; lo counts from its start."""
-        b = self.block
         d = self.documents.where("size > 0")
-        d = d.withColumn("block", F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")))
-        lo = F.greatest(F.col("block") * b, F.col("start")) - F.col("start")
-        hi = F.least((F.col("block") + 1) * b, F.col("start") + F.col("size")) - F.col("start")
+        d = d.withColumn("block", F.explode(F.expr("sequence(start div width, (start + size - 1) div width)")))
+        lo = F.greatest(F.col("block") * F.col("width"), F.col("start")) - F.col("start")
+        hi = F.least((F.col("block") + 1) * F.col("width"), F.col("start") + F.col("size")) - F.col("start")
         return d.select("sid", "start", "doc_id", "block", lo.alias("lo"), (hi - lo).alias("words"))
 
     def times(self) -> DataFrame:
@@ -161,18 +161,19 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeat: float =
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), *_row_key(docs, id_col, text_col, source_col))
     sized = scratch.save(sized)
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeat)
-    sources = sources.withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    sources = sources.withColumn("width", F.expr(f"greatest(1L, least({block}L, source_size div {FINE}))"))
+    sources = sources.withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("width")).cast("long"))
     quota = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(0)
     sources = scratch.save(sources.withColumn("quota", quota.cast("long")))
 
     n, all_slots = sized.count(), sources.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     ranges = max(1, -(-n // RANGE_DOCS))
-    placed = sized.join(sources.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "sid", "k1", "k2")
+    placed = sized.join(sources.select(F.col("source").alias("s"), "sid", "width"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "sid", "width", "k1", "k2")
     placed = scratch.save(placed.repartitionByRange(ranges, "sid", "doc_id").withColumn("range", F.spark_partition_id()))
     part = placed.groupBy("sid", "range").agg(F.sum("size").alias("words"))
     part = part.withColumn("base", F.sum("words").over(Window.partitionBy("sid").orderBy("range")) - F.col("words")).drop("words")
     inner = F.sum("size").over(Window.partitionBy("sid", "range").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    documents = placed.withColumn("inner", inner).join(part, ["sid", "range"]).select("doc_id", "source", "size", "sid", "k1", "k2", (F.col("inner") + F.col("base")).alias("start"))
+    documents = placed.withColumn("inner", inner).join(part, ["sid", "range"]).select("doc_id", "source", "size", "sid", "width", "k1", "k2", (F.col("inner") + F.col("base")).alias("start"))
     documents = scratch.save(documents)
     scratch.drop(sized, placed)
 
@@ -201,7 +202,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeat: float =
     turn = F.expr("k div n_blocks")
     slots = own.union(passed).join(sources.select("sid", "n_blocks"), "sid").select("shard", "slot", "sid", turn.alias("turn"), F.expr("k % n_blocks").alias("k"), "n_blocks")
     slots = slots.select("shard", "slot", "sid", "turn", permuted(F.col("k"), F.col("n_blocks"), F.lit(seed), F.col("sid"), F.col("turn")).alias("block"))
-    return Mix(scratch, documents, sources, counts.select("shard", "sid", "c"), slots, block)
+    return Mix(scratch, documents, sources, counts.select("shard", "sid", "c"), slots)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

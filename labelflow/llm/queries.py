@@ -165,8 +165,8 @@ s3 as (select *, cap / weight as full_at,
     sum(weight) over (order by cap / weight, sid rows between current row and unbounded following) as rest,
     1.5::double * sum(source_size) over () as total from s2),
 s4 as (select *, max(case when (total - before) / rest <= full_at then (total - before) / rest end) over () as level from s3),
-s5 as (select source, source_size, sid, coalesce(least(cap, level * weight), cap) as target,
-    ceil(source_size / {mixing.BLOCK}.0)::bigint as n_blocks from s4),
+s5 as (select source, source_size, sid, coalesce(least(cap, level * weight), cap) as target, width, ceil(source_size / width::double)::bigint as n_blocks
+    from (select *, greatest(1, least({mixing.BLOCK}, source_size // {mixing.FINE}))::bigint as width from s4)),
 s6 as (select *, case when source_size > 0 then round(target * n_blocks / source_size) else 0 end::bigint as quota from s5),
 ed as (select sid, quota, sum(quota) over (order by sid)::bigint as hi from s6 where quota > 0),
 al as (select unnest(range(max(hi))) as slot, max(hi) as total from ed),
@@ -178,12 +178,12 @@ walk as (
   union all
   select sid, turn, k, n, a, b, (r * a + l)::bigint as x, true from ({_feistel_sql(OP7_SEED)})),
 times as (select sid, x as block, count(*) as times from walk where begun and x < n group by all),
-p as (select doc_id, size, sid, source_size, target,
+p as (select doc_id, size, sid, source_size, target, width,
     sum(size) over (partition by sid order by doc_id, size rows unbounded preceding)::bigint - size as start,
     row_number() over () as row_no
   from d join s6 on d.source is not distinct from s6.source),
-seg as (select row_no, sid, start, size, unnest(range(start // {mixing.BLOCK}, (start + size - 1) // {mixing.BLOCK} + 1)) as block from p where size > 0),
-t as (select row_no, sum((least((block + 1) * {mixing.BLOCK}, start + size) - greatest(block * {mixing.BLOCK}, start)) * times)::bigint as taken
+seg as (select row_no, sid, start, size, width, unnest(range(start // width, (start + size - 1) // width + 1)) as block from p where size > 0),
+t as (select row_no, sum((least((block + 1) * width, start + size) - greatest(block * width, start)) * times)::bigint as taken
   from seg join times using (sid, block) group by row_no)
 select doc_id, size, source_size, target, coalesce(drawn, 0)::bigint as drawn, coalesce(taken, 0)::bigint as taken from p left join t using (row_no) left join dr using (sid)
 """

@@ -281,6 +281,16 @@ def test_permutations(spark):
             assert len(np.unique(np.diff(p) % n)) > n // 4 and (p != np.array([r["p11"] for r in rows])).mean() > 0.9 and abs(np.corrcoef(np.arange(n), p)[0, 1]) < 0.15
 
 
+def test_small_sources_meet_their_targets(spark):
+    rows = [(100 * k + i, "w " * (5 + k % 3), f"s{k:02}") for k in range(12) for i in range(20)]  # 100 to 140 words each
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).taken().collect()
+    by = {}
+    for r in out:
+        by.setdefault((r["source_size"], r["target"], r["doc_id"] // 100), []).append(r["taken"])
+        assert r["taken"] <= 2 * r["size"]
+    assert len(by) == 12 and all(abs(sum(v) - target) <= 0.02 * target for (_, target, _), v in by.items())
+
+
 def test_water_level(spark):
     s = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")
     got = {r["source"]: (r["weight"], r["target"]) for r in mixing.targets(s).collect()}
