@@ -9,7 +9,6 @@ WORD labels take several words a mask, and do the same word by word.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from dataclasses import dataclass, field
 from functools import reduce
@@ -18,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelflow.tables import running
+from labelflow.tables import running, written
 
 BOTTOM, TOP = "bottom", "top"
 #: Labels that one long holds as a mask.
@@ -249,34 +248,48 @@ def sink_check(df: DataFrame, lattice: Lattice, sinks: list[str], names: tuple[s
     return df.withColumn("_violation", ~reduce(Column.__or__, [w.bitwiseAND(x) != 0 for w, x in zip(joined, sink)]))
 
 
-class FlowRules:
-    """Read and write rules between labels: ``a -> b`` and ``b <- a`` allow a flow, ``a -/> b`` and ``b </- a`` forbid it, the later rule wins."""
+RULE = r"^\s*(\S+)\s+(->|-/>|<-|</-)\s+(\S+)\s*$"
+ANY = "*"
 
-    RULE = re.compile(r"\s*(\S+)\s+(->|-/>|<-|</-)\s+(\S+)\s*")
 
-    def __init__(self, rules: list[str]):
-        self.edges: dict[tuple[str, str], bool] = {}
-        for r in rules:
-            if not (m := self.RULE.fullmatch(r)):
-                raise LatticeError("E0710", f"not a rule: {r}")
-            a, arrow, b = m.groups()
-            self.edges.pop(pair := (a, b) if arrow[0] == "-" else (b, a), None)
-            self.edges[pair] = "/" not in arrow
-        self.labels = list(dict.fromkeys(x for e in self.edges for x in e))
+def flow_rules(df: DataFrame, rule: str, order: str) -> DataFrame:
+    """(domain, source, sink, allowed): the edges that a table of rules leaves, one rule a row.
 
-    def distances(self) -> dict[tuple[str, str], int]:
-        """The fewest allowed flows from label to label; pairs that no chain of flows connects are missing."""
-        out = {(x, x): 0 for x in self.labels}
-        for x in self.labels:
-            ring, d = {x}, 0
-            while ring:
-                d += 1
-                ring = {b for (a, b), ok in self.edges.items() if ok and a in ring and (x, b) not in out}
-                out |= {(x, b): d for b in ring}
-        return out
-
-    def may_flow(self, a: str, b: str) -> bool:
-        return (a, b) in self.distances() and self.edges.get((a, b), True)
+    ``a -> b`` and ``a -/> b`` allow and forbid a flow of the write domain, ``b <- a`` and ``b </- a`` of the read domain; ``*`` stands for every
+    label that the domain's rules name.  Of all rules for an edge, those with ``*`` too, the last by ``order`` holds.  Texts that are no
+    rules, and nulls, raise an error when the edges are computed.
+    """
+    part = lambda k: F.regexp_extract(rule, RULE, k)
+    fine = F.coalesce(F.col(rule).rlike(RULE), F.lit(False))
+    arrow = F.when(fine, part(2)).otherwise(F.raise_error(F.concat(F.lit("E0710: not a rule: "), F.coalesce(rule, F.lit("null")))))
+    read = arrow.startswith("<")
+    r = df.select(F.when(read, "read").otherwise("write").alias("domain"), F.when(read, part(3)).otherwise(part(1)).alias("source"), F.when(read, part(1)).otherwise(part(3)).alias("sink"), (~arrow.contains("/")).alias("allowed"), F.col(order).alias("at"))
+    names = r.select("domain", F.explode(F.array("source", "sink")).alias("x")).where(F.col("x") != ANY).distinct()
+    for end in ("source", "sink"):  # a rule for any label is one for each; the names are those that the result has anyway
+        each = r.where(F.col(end) == ANY).join(names, "domain").withColumn(end, F.col("x")).select(*r.columns)
+        r = r.where(F.col(end) != ANY).union(each)
+    return r.groupBy("domain", "source", "sink").agg(F.max_by("allowed", "at").alias("allowed"))
+
+
+def flow_distances(edges: DataFrame) -> DataFrame:
+    """(domain, source, target, distance, may_flow) of edges (domain, source, sink, allowed): the fewest allowed flows between labels.
+
+    Pairs that no chain connects are missing; a label reaches itself in 0.  may_flow is false where the pair's own edge is forbidden, though a
+    chain leads there.  Each round joins what the last one has found new with the edges, and ends when nothing is new: so many
+    rounds as the longest distance, none of which sees a pair twice.
+    """
+    edges = written(edges)
+    steps = edges.where("allowed and source <> sink").select("domain", F.col("source").alias("target"), F.col("sink").alias("next"))
+    labels = edges.select("domain", F.explode(F.array("source", "sink")).alias("source")).distinct()
+    new = written(labels.select("domain", "source", F.col("source").alias("target"), F.lit(0).cast("long").alias("distance")))
+    found, d = new, 0
+    while not new.isEmpty():
+        d += 1
+        met = new.join(steps, ["domain", "target"]).select("domain", "source", F.col("next").alias("target")).distinct()
+        new = written(met.join(found, ["domain", "source", "target"], "left_anti").withColumn("distance", F.lit(d).cast("long")))
+        found = found.unionByName(new)
+    barred = edges.where("not allowed").select("domain", "source", F.col("sink").alias("target"), F.lit(True).alias("barred"))
+    return found.join(barred, ["domain", "source", "target"], "left").select("domain", "source", "target", "distance", F.col("barred").isNull().alias("may_flow"))
 
 
 def taint(df: DataFrame, lattice: Lattice, instance: str, order: str, name: str = "_label") -> DataFrame:

@@ -209,12 +209,25 @@ def label_operators(spark, sf_dir):
     return d.select("seq", "larger", "larger_label", "band", "band_label", "text", "text_label")
 
 
-RULES = ["public -> client", "public -> audit", "internal <- client", "audit -> internal", "audit -/> internal", "internal -> vault"]
+_RULES = f"""with recursive {EV}, r as (select case when seq % 3 = 0 then 'read' else 'write' end as domain, 'u' || (user_id % 60)::varchar as source, 'u' || (seq % 60)::varchar as sink, seq % 7 <> 0 as allowed, seq as k
+  from ev where (seq * 31 + user_id) % 8 = 0 and user_id % 60 < seq % 60),
+n as (select distinct 'write' as domain, unnest([source, sink]) as x from r where domain = 'write' union select 'write', 'vault'),
+e as (select domain, source, sink, arg_max(allowed, k) as allowed from (select * from r union all select domain, x, 'vault', true, -1 from n) group by all),
+l as (select distinct domain, unnest([source, sink]) as x from e),
+d(domain, source, target, distance) as (select domain, x, x, 0::bigint from l union select d.domain, d.source, e.sink, d.distance + 1 from d join e on e.domain = d.domain and e.source = d.target where e.allowed and e.source <> e.sink),
+m as (select domain, source, target, min(distance) as distance from d group by all)
+select m.domain, m.source, m.target, m.distance, coalesce(e.allowed, true) as may_flow from m left join e on e.domain = m.domain and e.source = m.source and e.sink = m.target"""
 
 
-@query("with recursive e(a, b) as (values ('public', 'client'), ('public', 'audit'), ('client', 'internal'), ('internal', 'vault')), l(x) as (values ('public'), ('client'), ('audit'), ('internal'), ('vault')), d(source, target, distance) as (select x, x, 0 from l union all select d.source, e.b, d.distance + 1 from d join e on e.a = d.target) select source, target, min(distance)::bigint as distance from d group by all")
+@query(_RULES)
 def rule_distances(spark, sf_dir):
-    return spark.createDataFrame([(a, b, d) for (a, b), d in lb.FlowRules(RULES).distances().items()], "source string, target string, distance long")
+    """Distances over flow rules made from events, with forbidden edges, two domains and a rule for any label."""
+    d = table(spark, sf_dir, "events").where("(event_id * 31 + user_id) % 8 = 0 and user_id % 60 < event_id % 60")
+    a, b = (F.concat(F.lit("u"), c.cast("string")) for c in (F.col("user_id") % 60, F.col("event_id") % 60))
+    barred, read = F.col("event_id") % 7 == 0, F.col("event_id") % 3 == 0
+    text = F.when(read, F.concat(b, F.when(barred, " </- ").otherwise(" <- "), a)).otherwise(F.concat(a, F.when(barred, " -/> ").otherwise(" -> "), b))
+    rules = d.select(text.alias("rule"), F.col("event_id").alias("at")).union(spark.createDataFrame([("* -> vault", -1)], "rule string, at long"))
+    return lb.flow_distances(lb.flow_rules(rules, "rule", "at"))
 
 
 TWO = lb.Lattice([["a_low", "a_high"], ["b_low", "b_high"]])

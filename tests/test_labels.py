@@ -75,12 +75,31 @@ def test_columns_agree_with_the_lattice(spark):
             assert (r["leq"], r["join"], r["meet"]) == (x.leq(r["a"], r["b"]), x.join(r["a"], r["b"]), x.meet(r["a"], r["b"]))
 
 
-def test_rules_and_ranges(spark):
-    r = lb.FlowRules(["a -> b", "c <- b", "c </- b", "b -> d", "d -> c"])
-    assert r.distances() == {("a", "a"): 0, ("b", "b"): 0, ("c", "c"): 0, ("d", "d"): 0, ("a", "b"): 1, ("b", "d"): 1, ("d", "c"): 1, ("a", "d"): 2, ("b", "c"): 2, ("a", "c"): 3}
-    assert r.may_flow("a", "c") and not r.may_flow("b", "c") and not r.may_flow("c", "a")
-    with pytest.raises(lb.LatticeError):
-        lb.FlowRules(["a => b"])
+def test_flow_rules_over_tables(spark):
+    def table_of(*rules):
+        return lb.flow_rules(spark.createDataFrame(list(enumerate(rules)), "at long, rule string"), "rule", "at")
+
+    got = {(r["domain"], r["source"], r["target"]): (r["distance"], r["may_flow"]) for r in lb.flow_distances(table_of("a -> b", "b -/> c", "b -> c", " c ->  a", "a -/> c", "x <- y", "y <- z", "x </- z", "p -> q", "p -/> *", "p -> r")).collect()}
+    write = {(s, t): v[0] for (d, s, t), v in got.items() if d == "write"}
+    cycle = {(x, y): (ord(y) - ord(x)) % 3 for x in "abc" for y in "abc"}
+    assert write == cycle | {("p", "p"): 0, ("q", "q"): 0, ("r", "r"): 0, ("p", "r"): 1}
+    assert got["write", "a", "c"] == (2, False) and got["write", "a", "b"] == (1, True)
+    assert {(s, t): v for (d, s, t), v in got.items() if d == "read"} == {("x", "x"): (0, True), ("y", "y"): (0, True), ("z", "z"): (0, True), ("y", "x"): (1, True), ("z", "y"): (1, True), ("z", "x"): (2, False)}
+    rng = random.Random(4)
+    rules = [f"n{rng.randrange(12)} -> n{rng.randrange(12)}" for _ in range(18)] + ["* -> n3"]
+    edges = {tuple(r.split(" -> ")) for r in rules}
+    names = sorted({x for e in edges for x in e} - {"*"})
+    edges = {(a, b) for a, b in edges if a != "*"} | {(x, "n3") for x in names}
+    want = {(x, x): 0 for x in names}
+    for d in range(1, 13):
+        want |= {(x, b): d for (x, y), k in list(want.items()) for a, b in edges if k == d - 1 and a == y and (x, b) not in want}
+    assert {(r["source"], r["target"]): r["distance"] for r in lb.flow_distances(table_of(*rules)).collect()} == want
+    assert lb.flow_distances(table_of("a -> b").where("false")).collect() == []
+    with pytest.raises(Exception, match="E0710"):
+        table_of("a => b").collect()
+
+
+def test_ranges_and_sinks(spark):
     x = lb.Lattice(grid(2, 2))
     d = spark.createDataFrame([("g00",), ("g01",), (None,), ("g11",)], "_label string")
     assert [(r["_label"], r["_out_of_range"]) for r in lb.within_range(d, x, "g01", "g11").collect()] == [("g11", True), ("g01", False), ("g11", False), ("g11", False)]
