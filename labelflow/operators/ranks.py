@@ -63,26 +63,35 @@ def _changes(t: pa.Table, names: list[str]) -> np.ndarray:
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """(rows, number of each row's group): whole groups of batches sorted by ``names``, about CHUNK rows at a time."""
+    """(rows, number of each row's group): whole groups of batches sorted by ``names``, about CHUNK rows at a time.
+
+    Each batch is compared with the last row before it only, so a group of any length costs its rows once.
+    """
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = start = 0  # start: where the last group begins, which may go on
+
+    def numbered(parts):
+        t = pa.Table.from_batches(parts).combine_chunks()
+        return t, np.cumsum(_changes(t, names)) - 1
+
     for batch in batches:
         if not batch.num_rows:
             continue
+        seam = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch] if held else [batch]).combine_chunks()
+        new = np.flatnonzero(_changes(seam, names)[bool(held) :])
+        start = size + int(new[-1]) if len(new) else start
         held.append(batch)
         size += batch.num_rows
-        if size < CHUNK:
-            continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        group = np.cumsum(_changes(t, names)) - 1
-        cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
-        if cut:
-            yield t.slice(0, cut).combine_chunks(), group[:cut]
-            held = t.slice(cut).combine_chunks().to_batches()
-        size = size - cut
+        if size >= CHUNK and start:
+            first = start - (size - batch.num_rows)  # the cut lies in the last batch that has a change
+            k = len(held) - 1
+            while first < 0:
+                k -= 1
+                first += held[k].num_rows
+            yield numbered([*held[:k], *([held[k].slice(0, first)] if first else [])])
+            held, size, start = [held[k].slice(first), *held[k + 1 :]], size - start, 0
     if held:
-        t = pa.Table.from_batches(held).combine_chunks()
-        yield t, np.cumsum(_changes(t, names)) - 1
+        yield numbered(held)
 
 
 def by_groups(df: DataFrame, names: list[str], order: list[str], work: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:

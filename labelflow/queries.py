@@ -324,9 +324,12 @@ def key_group(spark, sf_dir):
     return t.withColumn("instance", rt.instance_of(F.col("key_group"), 5))
 
 
-@query("select i::int as instance, ((i * 128 + 6) // 7)::int as group_from, (((i + 1) * 128 + 6) // 7)::int as group_to from range(7) t(i)")
+@query(f"with {EV}, o as (select i::int as instance, ((i * 128 + 6) // 7)::int as group_from, (((i + 1) * 128 + 6) // 7)::int as group_to from range(7) t(i)) select instance, group_from, group_to, count(*) as n from o join ev on user_id % 128 >= group_from and user_id % 128 < group_to group by all")
 def key_ranges(spark, sf_dir):
-    return rt.owned_ranges(spark, 7)
+    """The ranges of key groups that seven instances own, with the rows of events that each gets."""
+    n = transactions(spark, sf_dir).groupBy((F.col("entity_id") % 128).alias("g")).agg(F.count(F.lit(1)).alias("n"))  # a row per group
+    r = rt.owned_ranges(spark, 7)
+    return r.join(n, (F.col("g") >= F.col("group_from")) & (F.col("g") < F.col("group_to"))).groupBy("instance", "group_from", "group_to").agg(F.sum("n").alias("n"))
 
 
 @query(f"with {EV}, g as (select seq, (user_id % 128)::int as grp from ev), o as (select i::int as instance, (i * 128 + 6) // 7 as lo, ((i + 1) * 128 + 6) // 7 as hi from range(7) t(i)) select seq, grp, instance from g join o on grp >= lo and grp < hi")

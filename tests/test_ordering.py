@@ -152,3 +152,32 @@ def test_sequence_release(spark):
     rows = [("x", 1, 0), ("x", 0, 1), ("x", 3, 2), ("x", 1, 3), ("y", 0, 4)]
     got = {(r["k"], r["s"]): r["released_at"] for r in od.sequence_release(spark.createDataFrame(rows, "k string, s long, a long"), "k", "s", "a").collect()}
     assert got == {("x", 0): 1, ("x", 1): 1, ("x", 3): None, ("y", 0): 4}
+
+
+def test_whole_groups_of_any_length(monkeypatch):
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from labelflow.operators import ranks
+
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(ranks, "CHUNK", 50)
+    for sizes in ([400], [1] * 200, [1, 300, 1], [49, 1, 50, 7], rng.integers(1, 90, 40).tolist(), []):
+        k = np.repeat(np.arange(len(sizes)) // 3, sizes)
+        s = np.repeat([f"s{x}" for x in range(len(sizes))], sizes).astype(object)
+        rows = pa.table({"k": k, "s": pa.array(s, pa.string()), "row": np.arange(len(k))})
+        for step in (1, 7, 64):
+            parts = list(ranks.whole_groups(iter(rows.to_batches(max_chunksize=step)), ["k", "s"])) if len(k) else []
+            assert sum((t.column("row").to_pylist() for t, _ in parts), []) == list(range(len(k)))
+            seen = [(x, y) for t, _ in parts for x, y in dict.fromkeys(zip(t.column("k").to_pylist(), t.column("s").to_pylist()))]
+            assert len(seen) == len(set(seen)) == len(sizes) and all((np.diff(g, prepend=0) >= 0).all() for _, g in parts)
+    monkeypatch.setattr(ranks, "CHUNK", 10_000)
+    took = []
+    for n in (500_000, 2_000_000):  # one group
+        batches = pa.table({"k": np.zeros(n, np.int64), "v": np.arange(n)}).to_batches(max_chunksize=5_000)
+        began = time.time()
+        assert [t.num_rows for t, _ in ranks.whole_groups(iter(batches), ["k"])] == [n]
+        took.append(time.time() - began)
+    assert took[1] < 10 * max(took[0], 0.05)
