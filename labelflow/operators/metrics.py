@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelflow.tables import time_slices
+from labelflow.tables import numbered, running, time_slices
 
 
 def latency_nearest(df: DataFrame, keys: tuple, value: str) -> DataFrame:
@@ -104,13 +104,14 @@ def downsample(df: DataFrame, keys: tuple, time: str, order: str, step: int) ->
     The sampler waits for time step * c with c rows read so far and moves on by one a row.  So c after row i
     is the least of i + 1 and floor(t_j / step) + 1 + i - j over j <= i: a running minimum.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("_i", F.row_number().over(w)).withColumn("_t", F.col(time) - F.first(time).over(upto))
-    d = d.withColumn("_m", F.min(F.floor(F.col("_t") / step) + 1 - F.col("_i")).over(upto))
-    d = d.withColumn("_c", F.least(F.col("_i"), F.col("_i") + F.col("_m")))
-    d = d.withColumn("_before", F.lag("_c", 1, 0).over(w))
-    return d.where("_c > _before").drop("_i", "_t", "_m", "_c", "_before")
+    first = df.groupBy(*keys).agg(F.min(time).alias("_first")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    d = numbered(df, keys, [F.col(order)], "_i").join(first, same).withColumn("_own", F.floor((F.col(time) - F.col("_first")) / step) + 1 - F.col("_i"))
+    d = running(d.select(*df.columns, "_i", "_own"), "_i", keys, strict=True, _m=("min", F.col("_own")))
+    before = F.when(F.col("_i") == 1, 0).otherwise(F.least(F.col("_i") - 1, F.col("_i") - 1 + F.col("_m")))
+    return d.where(F.least(F.col("_i"), F.col("_i") + F.least("_m", "_own")) > before).select(*df.columns)
 
 
 def apply_feed(snapshot: DataFrame, version: int, feed: DataFrame, key: str, seq: str, action: str, value: str) -> DataFrame:

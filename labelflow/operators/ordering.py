@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelflow.tables import first_reaching, running, written
+from labelflow.tables import first_reaching, numbered, running, written
 
 OUTCOMES = {"drop": "dropped", "pass": "late", "route": "routed"}
 
@@ -93,9 +93,9 @@ def ordered_merge(df: DataFrame, port: str, stream: str, streams: tuple, arrival
 
 
 def in_order(merged: DataFrame, port: str, stream: str, arrival: str, ts: str) -> DataFrame:
-    """What the ports hand on, with position from 1 in their order of release; a port's rows are sorted in one window."""
+    """What the ports hand on, with position from 1 in their order of release."""
     order = [F.col("emitted_at").asc_nulls_last(), F.col("outcome") == "released", F.col(ts), F.col(stream), F.col(arrival)]
-    return merged.where("outcome <> 'dropped'").withColumn("position", F.row_number().over(Window.partitionBy(port).orderBy(*order)))
+    return numbered(merged.where("outcome <> 'dropped'"), (port,), order)
 
 
 def late_single_stream(df: DataFrame, port: str, arrival: str, ts: str, lateness: int = 0) -> DataFrame:

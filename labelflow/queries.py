@@ -17,7 +17,7 @@ from labelflow.operators import windows as wd
 from labelflow.sources import blocks as bl
 from labelflow.sources import framing as fr
 from labelflow.sources import generators as gen
-from labelflow.tables import messages, readings, running, table, transactions, vitals
+from labelflow.tables import epoch_seconds, messages, readings, running, table, transactions, vitals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -523,8 +523,7 @@ def registry_feed(spark, sf_dir):
 
 @query(f"with {EV}, k as (select ts, min(seq) as first, arg_max(value, seq) as value from ev group by ts) select ts, value from k order by first desc limit 300")
 def latest_keys(spark, sf_dir):
-    d = table(spark, sf_dir, "events").select("event_id", "value")
-    return mt.latest_keys(d.join(transactions(spark, sf_dir).select(F.col("seq").alias("event_id"), "ts"), "event_id"), "ts", "event_id", "value", 300)
+    return mt.latest_keys(table(spark, sf_dir, "events").select("event_id", "value", epoch_seconds("ts").alias("ts")), "ts", "event_id", "value", 300)
 
 
 @query(f"with {EV} select user_id % 10 as agent, max(seq) as max_rss, round(avg(value), 6) as mean_cpu from ev group by 1")

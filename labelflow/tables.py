@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -66,6 +68,7 @@ def written(df: DataFrame) -> DataFrame:
         app = spark.sparkContext.applicationId
         if app not in _local:
             _local[app] = tempfile.mkdtemp(prefix="labelflow-")
+            atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
         folder = _local[app]
     name = f"{folder.rstrip('/')}/labelflow-{uuid.uuid4().hex}"
     df.write.parquet(name)
@@ -105,6 +108,22 @@ def running(df: DataFrame, order: str, keys: tuple = (), width: int = SLICE, str
     return joined.select(*[out[c] for c in df.columns if c != "_slice"], *[both[values[n][0]](joined[f"_b_{n}"], joined[f"_l_{n}"]).alias(n) for n in cols])
 
 
+def numbered(df: DataFrame, keys: tuple, order: list[Column], name: str = "position") -> DataFrame:
+    """``df`` with ``name``: the rows of each key numbered from 1 by ``order``, without one task for a key.
+
+    Rows are range-partitioned by key and order; a partition numbers its own rows, and what came before it is the count of the
+    earlier ones.
+    """
+    x = written(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()))
+    counts = x.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    base = counts.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")).alias("_base"))
+    x = x.withColumn("_row", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return x.join(base, same).select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_row") + F.col("_base")).cast("long").alias(name))
+
+
 def first_reaching(levels: DataFrame, asks: DataFrame, keys: tuple = ()) -> DataFrame:
     """``asks`` (keys, ..., _want) with _first: the least _at among levels (keys, _at, _level) of its key with _level >= _want.
 
