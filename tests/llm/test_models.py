@@ -25,6 +25,64 @@ def test_language_accuracy(spark):
     assert np.mean([out[d["doc_id"]]["lang_pred"] == d["lang"] for d in held]) > 0.98
 
 
+def language_by_sets(train, texts):
+    """(language, score) of each text by exact sets of grams: no filters, no arrays."""
+
+    def grams(text):
+        b = [c if 97 <= c <= 122 or c >= 128 else 32 for c in f" {text} ".lower().encode()]
+        b = [c for k, c in enumerate(b) if c != 32 or k == 0 or b[k - 1] != 32]
+        return [tuple(b[i : i + n]) for n in language_id.GRAMS for i in range(len(b) - n + 1) if 32 not in b[i + 1 : i + n - 1]]
+
+    code = lambda g: int.from_bytes(bytes([len(g), *g]), "big")
+    count, rows = {}, {}
+    for lang, text in train:
+        rows[lang] = rows.get(lang, 0) + 1
+        for g in grams(text):
+            own = count.setdefault(lang, {})
+            own[g] = own.get(g, 0) + 1
+    order = sorted(rows, key=lambda x: (-rows[x], x))
+    first = {x: sorted(count[x], key=lambda g: (-count[x][g], code(g)))[: 2 * language_id.FILTER_GRAMS] for x in order}
+    rate = {x: {g: count[x][g] / sum(count[x].values()) for g in first[x]} for x in order}
+    best = {}
+    for x in order:
+        for g, r in rate[x].items():
+            best[g] = max(best.get(g, 0), r)
+    sets = {x: set([g for g in first[x] if rate[x][g] >= language_id.SHARE * best[g]][: language_id.FILTER_GRAMS]) for x in order}
+    out = []
+    for t in texts:
+        own = grams(t or "")
+        hits = [sum(g in sets[x] for g in own) for x in order]
+        some = any(c.isalpha() for c in t or "")
+        out.append((order[hits.index(max(hits))], max(hits) / max(1, len(own)), sorted(hits)[-2:]) if some else ("und", 0.0, [0, 9**9]))
+    return out
+
+
+def test_languages_equal_exact_sets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    train = [(r["lang"], r["text"]) for r in rows if crc(r["doc_id"], 4) != 2]
+    texts = [r["text"] for r in rows] + ["the und de", "12 ?", "", None, "x", "der the la le"]
+    f = language_id.learn(docs.where(queries._part("doc_id", 4) != 2))
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), f).collect()}
+    for k, (lang, score, top) in enumerate(language_by_sets(train, texts)):
+        assert abs(got[k]["score"] - score) < 0.03, texts[k]
+        if top[1] - top[0] > 0.03 * max(1, top[1]):  # else corrected hits may order what is as good as equal
+            assert got[k]["lang_pred"] == lang, texts[k]
+
+
+def test_languages_and_grammars_of_empty_and_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "one two three", "en", 0.5, "x"), (2, None, None, 0.1, "y")], "doc_id long, text string, lang string, score double, predicted string")
+    f = language_id.learn(docs)
+    assert language_id.identify(docs.limit(0), f).collect() == [] and language_id.learn(docs.limit(0)) is None
+    assert [r["lang_pred"] for r in language_id.identify(docs, f).orderBy("doc_id").collect()] == ["en", "und"]
+    g = toxicity.learn(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert toxicity.score(docs.limit(0), g).collect() == [] and len(toxicity.score(docs, g).collect()) == 2
+    long = spark.createDataFrame([(k, "the same words again and again " * 20_000) for k in (1, 2)], "doc_id long, text string")
+    assert {r["lang_pred"] for r in language_id.identify(long, f).collect()} == {"en"}
+    tie = language_id.learn(spark.createDataFrame([(1, "abc abc", "b"), (2, "abc abc", "a")], "doc_id long, text string, lang string"))
+    assert language_id.identify(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), tie).first()["lang_pred"] == "a"
+
+
 def test_language_edges(spark):
     train = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate([("the cat sat on the mat and the hat", "en"), ("der hund und die katze sind hier", "de")] * 4 + [("x", None)])], "doc_id long, text string, lang string")
     f = language_id.learn(train)
