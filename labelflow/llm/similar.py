@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import HOT_LEAST, HOT_PARTS, Scratch, connected_components, extend_components, hot_keys, lookup
 
 #: In buckets of at most so many members all pairs across components are looked at; larger ones go by prefixes.
-SMALL = 256
+SMALL = 24
 #: Signatures of two sets hold two bits of each of 30 minhashes.  At similarity 0.8 more than FAR of the 30 differ with a chance of
 #: 5e-5; such pairs are left out.
 FAR = 13
