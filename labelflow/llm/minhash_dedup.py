@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .common import Scratch, hot_keys, lookup, with_smallest
-from .similar import near, similar_components
+from .similar import deal, first_centres, near, similar_components, similar_sets
 
 
 def _sketcher(width: int, side: int, seed: int):
     def run(batches):
         hasher = tx.MinHasher(4 * side, seed)
         for batch in batches:
-            ids = batch.column(0)
-            data, offsets, _ = tx.binary_parts(batch.column(1))
+            ids, texts = batch.column(0), batch.column(1)
+            data, offsets, _ = tx.binary_parts(batch.column(2))
             for i, j in tx.chunks(offsets):
                 words, first = tx.word_hashes(data, offsets[i : j + 1])
                 flat, at = tx.distinct_sets(*tx.shingle_hashes(words, first, width))
@@ -51,28 +51,25 @@ def _sketcher(width: int, side: int, seed: int):
                         keys[full, k] = tx.fold(mins[:, col : col + 2], (c << 20) + k)
                     halves.append(pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1).view(np.int64)), side).cast(pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sig), *halves],
-                    ["doc_id", "n_shingles", "d1", "d2", "sig", "a", "b"],
+                    [ids.slice(i, j - i), texts.slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(sig), *halves],
+                    ["doc_id", "tk", "n_shingles", "d1", "d2", "sig", "a", "b"],
                 )
 
     return run
 
 
 def _set_builder(width: int):
-    """Rows (rep, d1, d2, text) -> (rep, n, payload) for texts with those digests: an id may have other texts too."""
+    """Rows (rep, dst, centre, text) -> (rep, dst, centre, n, payload), payload the text's set."""
 
     def run(batches):
         for batch in batches:
             data, offsets, _ = tx.binary_parts(batch.column(3))
-            want = [batch.column(c).to_numpy() for c in (1, 2)]
             for i, j in tx.chunks(offsets):
                 words, first = tx.word_hashes(data, offsets[i : j + 1])
                 flat, at = tx.distinct_sets(*tx.shingle_hashes(words, first, width))
-                same = np.ones(j - i, bool)
-                for w, d in zip(want, tx.set_digest(flat, at)):
-                    same &= w[i:j] == d.view(np.int64)
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at).astype(np.int64)), sets], ["rep", "n", "payload"]).filter(pa.array(same))
+                kept = [batch.column(c).slice(i, j - i) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(at).astype(np.int64)), sets], ["rep", "dst", "centre", "n", "payload"])
 
     return run
 
@@ -92,12 +89,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
     table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, sig long, a array<long>, b array<long>"
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("binary")).alias("tk"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
+    schema = "doc_id long, tk long, n_shingles long, d1 long, d2 long, sig long, a array<long>, b array<long>"
     sketch = scratch.save(base.mapInArrow(_sketcher(width, side, seed), schema))
-    reps = sketch.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "sig", "a", "b")).alias("m"))
+    reps = sketch.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "tk", "sig", "a", "b")).alias("m"))
     # a class is known by a number of its own: an id may have several texts
-    reps = scratch.save(reps.select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", F.col("n_shingles").alias("n"), "m.doc_id", "m.sig", "m.a", "m.b"))
+    reps = scratch.save(reps.select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", F.col("n_shingles").alias("n"), "m.doc_id", "m.tk", "m.sig", "m.a", "m.b"))
 
     one_half = scratch.save(reps.select("rep", F.explode("a").alias("ha")))
     shared = one_half.groupBy("ha").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ha")
@@ -110,16 +107,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
     star = scratch.save(lookup(keys, ["key"], centre, "inner", hot))
     scratch.drop(one_half, keys)
     met = star.where((F.col("rep") != F.col("dst")) & near("sig", "sd")).where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)")
-    met = scratch.save(met.groupBy(F.col("rep").alias("src"), "dst").agg(F.count(F.lit(1)).alias("times")))
-    # by the same plan at any size: the list of ids grows with the corpus
-    wanted = reps.join(star.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "d1", "d2")
-    texts = base.hint("merge").join(wanted, "doc_id").select("rep", "d1", "d2", "text")
-    sets = scratch.save(texts.mapInArrow(_set_builder(width), "rep long, n long, payload array<long>").dropDuplicates(["rep"]))
-    comp = similar_components(scratch, met, star, sets, percent)
+    first = scratch.save(first_centres(met.groupBy(F.col("rep").alias("src"), "dst").agg(F.count(F.lit(1)).alias("times"))))
+
+    # each text is dealt out once, by its id and hash; its set is written together with the centre that it is compared with first
+    wanted = reps.join(star.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "tk")
+    wanted = wanted.hint("merge").join(first.select(F.col("src").alias("rep"), "dst"), "rep", "left")
+    wanted = wanted.hint("merge").join(first.select(F.col("dst").alias("rep"), F.lit(True).alias("centre")).distinct(), "rep", "left")
+    wanted = scratch.save(wanted)
+    texts = base.hint("merge").join(wanted, ["doc_id", "tk"]).select("rep", "dst", "centre", "text")
+    sets = scratch.save(texts.mapInArrow(_set_builder(width), "rep long, dst long, centre boolean, n long, payload array<long>"))
+    if sets.counts["rows"] > wanted.counts["rows"]:  # repeated rows
+        once = scratch.save(sets.dropDuplicates(["rep"]))
+        scratch.drop(sets)
+        sets = once
+    both = sets.where("dst is not null").select(F.col("rep").alias("src"), "dst", F.col("payload").alias("sx"))
+    links = scratch.save(similar_sets(deal(both, sets.where("centre"), first), percent))
+    comp = similar_components(scratch, first, star, sets, percent, links=links)
 
     named = with_smallest(scratch, reps.select("rep", "d1", "d2", F.col("n").alias("n_shingles"), "doc_id"), comp, "doc_id").select("d1", "d2", "n_shingles", "component_id")
     out = lookup(sketch.select("doc_id", "n_shingles", "d1", "d2"), ["d1", "d2", "n_shingles"], named, hot=hot_keys(sketch, "d1"))
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = scratch.save(out.withColumn("kept", F.col("doc_id") == F.col("component_id")))
-    scratch.drop(sketch, reps, star, met, sets, comp)
+    scratch.drop(sketch, reps, star, first, wanted, sets, comp)
     return out

@@ -4,8 +4,8 @@ Shared by the document and the line operator.  Every link is confirmed on whole
 
 1. Stars: each member of a bucket is compared with one centre of it, first with the one that it meets in most
    buckets; components follow.
-2. What is left are pairs that share a bucket and lie in different components.  In small buckets
-   all whose signatures are near are compared; large ones get some more centres.
+2. What is left are buckets with members in different components.  Their members are compared with the bucket's
+   first member; then, in those that are still mixed, all whose signatures are near if the bucket is small; large ones get some more centres.
 3. Members of large ones that are still in several components are joined by prefix filtering: with the elements of all sets in one order, rare ones
    first, two sets of similarity t share one of the first n - ceil(t * n) + 1 elements of the larger and the first
    n - ceil(2t / (1 + t) * n) + 1 of the smaller.  Elements that only one component has come first
@@ -30,6 +30,8 @@ SMALL = 24
 FAR = 13
 #: Further centres that the members of a large bucket are compared with.
 CENTRES = 3
+#: Pairs of so many rows (4 MB) or fewer are broadcast.
+FEW = 250_000
 
 
 def near(a: str, b: str) -> Column:
@@ -38,31 +40,49 @@ def near(a: str, b: str) -> Column:
     return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) <= FAR
 
 
-def with_payloads(pairs: DataFrame, payload: DataFrame) -> DataFrame:
-    """``pairs`` (src, dst), a written table, with both payloads as sx and sy.
+def first_centres(met: DataFrame) -> DataFrame:
+    """(src, dst) of ``met`` (src, dst, times): for each member the centre that it meets most often, the likeliest to be similar."""
+    return met.groupBy("src").agg(F.min_by("dst", F.struct(-F.col("times"), "dst")).alias("dst"))
+
+
+def deal(both: DataFrame, payload: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``both`` (src, dst, sx) with the payload of dst as sy; ``pairs`` is the written table of its (src, dst).
 
     A dst of many pairs is dealt to several tasks, its payload with it; both grow by fewer than HOT_PARTS rows in all.
-    Both sides are dealt out at any size: sets grow with the corpus, and so does the list of pairs.
     """
-    x = payload.select(F.col("rep").alias("src"), F.col("payload").alias("sx"))
     y = payload.select(F.col("rep").alias("dst"), F.col("payload").alias("sy"))
-    both = pairs.select("src", "dst").hint("merge").join(x, "src")
     hot = hot_keys(pairs, "dst")
     if not hot:
-        return both.join(y.hint("merge"), "dst")
+        return both.hint("merge").join(y, "dst")
     share = max(HOT_LEAST, sum(n for _, n in hot) // HOT_PARTS)
     parts = F.broadcast(pairs.sparkSession.createDataFrame([(k, -(-n // share)) for k, n in hot], "dst long, parts long"))
     both = both.join(parts, "dst", "left").withColumn("salt", F.pmod(F.xxhash64("src"), F.coalesce("parts", F.lit(1)))).drop("parts")
     y = y.join(parts, "dst", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return both.join(y.hint("merge"), ["dst", "salt"]).drop("salt")
+    return both.hint("merge").join(y, ["dst", "salt"]).drop("salt")
 
 
-def confirm_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (src, dst) of ``pairs`` whose full sets (rep, n, payload) have 100 * intersection >= percent * union."""
+def with_payloads(pairs: DataFrame, payload: DataFrame) -> DataFrame:
+    """``pairs`` (src, dst), a written table, with both payloads as sx and sy.
+
+    FEW pairs at most are broadcast, so that only the payloads they name are dealt out; more are dealt out themselves.
+    """
+    x = payload.select(F.col("rep").alias("src"), F.col("payload").alias("sx"))
+    if pairs.counts["rows"] > FEW:
+        return deal(x.hint("merge").join(pairs.select("src", "dst"), "src"), payload, pairs)
+    ends = pairs.select(F.col("dst").alias("rep")).distinct()
+    return deal(x.join(F.broadcast(pairs.select("src", "dst")), "src"), payload.join(F.broadcast(ends), "rep", "left_semi"), pairs)
+
+
+def similar_sets(both: DataFrame, percent: int) -> DataFrame:
+    """The (src, dst) of rows with sets sx and sy that have 100 * intersection >= percent * union."""
     common = F.size(F.array_intersect("sx", "sy")).cast("long")
     union = F.size("sx") + F.size("sy") - F.col("common")
-    both = with_payloads(pairs, sets).select("src", "dst", "sx", "sy", common.alias("common"))
-    return both.where(100 * F.col("common") >= percent * union).select("src", "dst")
+    return both.select("src", "dst", "sx", "sy", common.alias("common")).where(100 * F.col("common") >= percent * union).select("src", "dst")
+
+
+def confirm_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (src, dst) of ``pairs`` whose full sets (rep, n, payload) have 100 * intersection >= percent * union."""
+    return similar_sets(with_payloads(pairs, sets), percent)
 
 
 def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -118,43 +138,57 @@ def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("rep", "dst").alias("src"), F.greatest("rep", "dst").alias("dst")).distinct()
 
 
-def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, payload: DataFrame, percent: int, confirm: Callable = confirm_sets, to_sets: Callable = lambda p: p) -> DataFrame:
+def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, payload: DataFrame, percent: int, confirm: Callable = confirm_sets, to_sets: Callable = lambda p: p, links: DataFrame | None = None) -> DataFrame:
     """(node, component) of all links between members of a bucket.
 
-    met: (src, dst, times), written: each member with the first centres of its buckets, if of fitting size, and in how many they meet.  buckets: (key, rep, sig), written: the
-    members of all buckets with two or more, with their signatures.  payload: (rep, n, payload), n the size of the set.  confirm(pairs,
-    payload, percent) keeps similar pairs; to_sets(payload) gives the sets as arrays of longs in place of other payloads.
+    met: (src, dst, times): each member with the first centres of its buckets, if of fitting size, and in how many they meet.  buckets: (key, rep, sig), written: the
+    members of all buckets with two or more, with their signatures and, if at hand, their sizes n.  payload: (rep, n, payload), n the size of the set.  confirm(pairs,
+    payload, percent) keeps similar pairs; to_sets(payload) gives the sets as arrays of longs in place of other payloads.  Where ``links`` is given (written), it holds the
+    similar ones of ``met``, which then is the written table of their first centres (src, dst).
     """
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs)
         out = scratch.save(confirm(pairs, payload, percent))
-        scratch.drop(pairs)
         return out
 
-    def extended(pairs: DataFrame) -> DataFrame:
-        links = confirmed(pairs)
-        out = extend_components(scratch, comp, links) if links.counts["rows"] else comp
-        scratch.drop(links)
+    def extended(pairs: DataFrame, keep: bool = False) -> DataFrame:
+        pairs = scratch.save(pairs)
+        out = comp
+        if pairs.counts["rows"]:
+            links = confirmed(pairs)
+            out = extend_components(scratch, comp, links) if links.counts["rows"] else comp
+            scratch.drop(links)
+        if keep:
+            return out, pairs
+        scratch.drop(pairs)
         return out
 
-    # the centre met most often is the likeliest to be similar; the others follow where they could still join components
-    first = met.groupBy("src").agg(F.min_by("dst", F.struct(-F.col("times"), "dst")).alias("dst"))
-    links = confirmed(first)
+    first = met
+    if links is None:
+        first = scratch.save(first_centres(met))
+        links = confirmed(first)
     comp = connected_components(scratch, links)
     scratch.drop(links)
-    rest = met.select("src", "dst").join(first.hint("merge"), ["src", "dst"], "left_anti")
-    for end in ("src", "dst"):
-        rest = lookup(rest, [end], comp.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), hot=hot_keys(met, end))
-    comp = extended(rest.where("coalesce(_src, src) <> coalesce(_dst, dst)").select("src", "dst"))
 
-    mixed = _mixed(scratch, buckets, comp, payload.select("rep", "n"))
+    own = "n" in buckets.columns
+    whole = _mixed(scratch, buckets, comp, None if own else payload.select("rep", "n"))
+    if not whole.counts["rows"]:
+        return comp
+    hot = hot_keys(whole, "key")
+    centre = whole.groupBy("key").agg(F.min(F.struct("rep", "n", "lab", "sig")).alias("c"))
+    centre = centre.select("key", F.col("c.rep").alias("dst"), F.col("c.n").alias("nd"), F.col("c.lab").alias("ld"), F.col("c.sig").alias("sd"))
+    star = lookup(whole.select("key", "rep", "n", "lab", "sig"), ["key"], centre, "inner", hot).where((F.col("lab") != F.col("ld")) & near("sig", "sd"))
+    star = star.where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)").select(F.col("rep").alias("src"), "dst").distinct()
+    ordered = lambda d: d.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    comp, second = extended(ordered(star).hint("merge").join(ordered(first), ["src", "dst"], "left_anti"), keep=True)
+
+    mixed = _mixed(scratch, whole.drop("lab", "k"), comp, hot=hot)
+    scratch.drop(whole)
     small, large = mixed.where(F.col("k") <= SMALL), mixed.where(F.col("k") > SMALL)
     other = small.select("key", F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("ld"), F.col("sig").alias("sd"))
     pairs = small.hint("merge").join(other, "key").where("rep < dst and lab <> ld").where(near("sig", "sd")).where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)")
-    pairs = pairs.select(F.col("rep").alias("src"), "dst").union(_stars(large, hot_keys(mixed, "key"), percent))
-    tried = met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    pairs = pairs.hint("merge").join(tried, ["src", "dst"], "left_anti")
+    pairs = pairs.select(F.col("rep").alias("src"), "dst").union(ordered(_stars(large, hot_keys(mixed, "key"), percent)))
+    pairs = pairs.hint("merge").join(ordered(first).union(second.select("src", "dst")), ["src", "dst"], "left_anti")
     if mixed.counts["rows"]:
         comp = extended(pairs.distinct())
     again = _mixed(scratch, large, comp, hot=hot_keys(mixed, "key")) if mixed.counts["large"] else None
@@ -167,5 +201,5 @@ def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, pay
             comp = extended(_stars(crowded.where(F.col("k") > SMALL), hot_keys(crowded, "key"), percent).distinct())
         comp = extended(_prefix_pairs(_labelled(rows.drop("lab"), comp), percent))
         scratch.drop(rows, crowded)
-    scratch.drop(mixed)
+    scratch.drop(mixed, second)
     return comp
