@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .text import runs
 
 #: Pieces of a packing group, about.
 GROUP = 16384
 #: Bins filled less than this are packed again at the next level.
 TIGHT = 0.985
-#: Words whose ids a worker remembers at most.
-REMEMBER = 300_000
+#: Words whose ids a worker remembers at most; characters of texts whose new words are encoded together.
+REMEMBER, TOGETHER = 600_000, 1 << 20
 
 # In these texts NFC, white space as single spaces and lower case, the normalisation of the
 # vocabularies that PARTS describes, change letters' case only, and their split into words is that
@@ -49,7 +50,7 @@ class WordEncoder:
     """Token ids of texts as little-endian 32-bit bytes; words are encoded once and remembered.
 
     The vocabulary splits texts into words before it merges, so a text's ids are its
-    words' ids one after another.  New words are encoded together, parted by
+    words' ids one after another.  New words of many texts are encoded together, parted by
     spaces; a token that ends a word says so in its name.
     """
 
@@ -72,26 +73,26 @@ class WordEncoder:
         ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cut = np.flatnonzero(self.ends[ids]) + 1
         if len(cut) == len(words) and cut[-1] == len(ids):
-            parts = [x.tobytes() for x in np.split(ids, cut[:-1])]
+            flat, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
+            parts = [flat[a:b] for a, b in zip(cut, cut[1:])]
         else:
             parts = [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
         self.known.update(zip(words, parts))
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.by_words or not PLAIN.fullmatch(text) or (self.added and self.added.search(text)):
-            return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        words = WORDS.findall(text.lower())
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > REMEMBER:
-                known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            self.learn(new)
-            return b"".join([known[w] for w in words])
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the words that are new in any of them are encoded in one call."""
+        plain = [self.by_words and PLAIN.fullmatch(t) and not (self.added and self.added.search(t)) for t in texts]
+        words = [WORDS.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        new = set().union(*filter(None, words)).difference(self.known)
+        if new:
+            self.learn(list(new))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, w)) if w is not None else self.whole(t) if t else b"" for t, w in zip(texts, words)]
 
 
 @lru_cache(maxsize=2)
@@ -104,8 +105,9 @@ def _cutter(path: str, capacity: int, end_id: int, keep_ids: bool):
         enc, tail = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = ([], [], [], [], [], [])
-            for at, text in enumerate(batch.column(1)):
-                ids = enc.encode(text.as_py() or "") + tail
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for at, ids in enumerate(ids for i, j in runs(texts, TOGETHER) for ids in enc.encode(texts[i:j])):
+                ids += tail
                 for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[lo : lo + 4 * capacity]
                     for c, v in zip(rows, (at, k, lo // 4, len(part) // 4, zlib.crc32(part), part)):

@@ -284,6 +284,16 @@ def test_packing(spark):
     assert packing.pack(packing.pieces(d.limit(0), path)).collect() == []
 
 
+def test_new_words_of_many_texts_are_encoded_in_one_call(monkeypatch):
+    enc, calls = packing.WordEncoder(queries.tokenizer_path()), []
+    learn = enc.learn
+    monkeypatch.setattr(enc, "learn", lambda words: (calls.append(len(words)), learn(words)))
+    texts = [f"Some {w} words\nof {w}{k}'s" for k, w in enumerate(["blorp", "zanth", "", "qu"] * 50)] + ["日本語 text", ""]
+    got = enc.encode(texts)
+    assert [list(np.frombuffer(g, "<u4")) for g in got] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 1 and enc.encode(texts) == got and len(calls) == 1
+
+
 def test_sum_of_squares():
     b = packing.sum_of_squares(np.array([6, 4, 6, 4, 10, 5, 5]), 10)
     load = np.bincount(b, [6, 4, 6, 4, 10, 5, 5])
