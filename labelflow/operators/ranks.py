@@ -13,43 +13,40 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 17
 
 
-class RangeRanks:
-    """The k-th smallest of any range of ``values``, for all questions together.
+def kth_smallest(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The value of rank k, from 0, among values[lo:hi], for all questions together; 0 <= k < hi - lo.
 
     A wavelet matrix: the values' ranks bit by bit from the top, stably parted at each bit, with the
     number of zeros before each place.  A question moves its range down one bit at a time, so n values and q
-    questions cost (n + q) * log n whatever the lengths of the ranges.
+    questions cost (n + q) * log n whatever the lengths of the ranges; one bit's level is held at a time.
     """
-
-    def __init__(self, values: np.ndarray):
-        order = np.argsort(values, kind="stable")
-        self.sorted = values[order]
-        rank = np.empty(len(values), np.int64)
-        rank[order] = np.arange(len(values))
-        self.levels = []
-        for bit in reversed(range(max(1, int(len(values) - 1).bit_length()))):
-            one = (rank >> bit & 1).astype(bool)
-            zeros = np.concatenate([[0], np.cumsum(~one)])
-            self.levels.append((bit, zeros))
-            rank = np.concatenate([rank[~one], rank[one]])
-
-    def kth(self, lo: np.ndarray, hi: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """The value of rank k, from 0, among values[lo:hi]; 0 <= k < hi - lo."""
-        found = np.zeros(len(k), np.int64)
-        for bit, zeros in self.levels:
-            a, b = zeros[lo], zeros[hi]
-            down = k < b - a
-            found |= np.where(down, 0, 1 << bit)
-            lo, hi, k = np.where(down, a, zeros[-1] + lo - a), np.where(down, b, zeros[-1] + hi - b), np.where(down, k, k - (b - a))
-        return self.sorted[found]
-
-    def median(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Medians of values[lo:hi], the mean of the middle two of an even number; NaN for an empty range."""
-        out, some = np.full(len(lo), np.nan), hi > lo
-        lo, hi = lo[some], hi[some]
-        n = hi - lo
-        out[some] = (self.kth(lo, hi, (n - 1) // 2) + self.kth(lo, hi, n // 2)) / 2
-        return out
+    kind = np.int32 if len(values) < 1 << 31 else np.int64
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    rank = np.empty(len(values), kind)
+    rank[order] = np.arange(len(values), dtype=kind)
+    del order
+    lo, hi, k, found = lo.astype(kind), hi.astype(kind), k.astype(kind), np.zeros(len(k), kind)
+    for bit in reversed(range(max(1, int(len(values) - 1).bit_length()))):
+        one = (rank >> bit & 1).astype(bool)
+        zeros = np.zeros(len(values) + 1, kind)
+        np.cumsum(~one, out=zeros[1:])
+        a, b = zeros[lo], zeros[hi]
+        down = k < b - a
+        found |= np.where(down, kind(0), kind(1 << bit))
+        lo, hi, k = np.where(down, a, zeros[-1] + lo - a), np.where(down, b, zeros[-1] + hi - b), np.where(down, k, k - (b - a))
+        rank = np.concatenate([rank[~one], rank[one]])
+    return ordered[found]
+
+
+def medians(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Medians of values[lo:hi], the mean of the middle two of an even number; NaN for an empty range."""
+    out, some = np.full(len(lo), np.nan), hi > lo
+    lo, hi = lo[some], hi[some]
+    n = hi - lo
+    both = kth_smallest(values, np.concatenate([lo, lo]), np.concatenate([hi, hi]), np.concatenate([(n - 1) // 2, n // 2]))
+    out[some] = (both[: len(n)] + both[len(n) :]) / 2
+    return out
 
 
 def _changes(t: pa.Table, names: list[str]) -> np.ndarray:

@@ -7,8 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelflow.operators.ranks import RangeRanks, by_groups
-from labelflow.tables import first_reaching, running, time_slices
+from labelflow.operators.ranks import by_groups, kth_smallest, medians
+from labelflow.tables import first_reaching, running, time_slices, written
+
+#: Rows of a part of a slice of ``time_medians``, about.
+PART = 1 << 19
 
 
 def window_changelog(df: DataFrame, time: str = "ts", length: int = 3600, order: str = "seq") -> DataFrame:
@@ -44,7 +47,7 @@ def _medians(df: DataFrame, keys: tuple, time: str, order: list[str], value: str
         if first_only:
             want = want & (first == np.arange(len(at)))
         rows = np.flatnonzero(want)
-        found = RangeRanks(values).median(before[from_row[rows]], before[upto[rows]])
+        found = medians(values, before[from_row[rows]], before[upto[rows]])
         out = t.take(pa.array(rows)).drop_columns(["_slice", "_own"])
         return out.append_column(name, pa.array(found, mask=np.isnan(found)))
 
@@ -60,6 +63,51 @@ def sliding_median(df: DataFrame, keys: tuple = (), time: str = "ts", value: str
     return _medians(df, keys, time, [], value, length, name, False)
 
 
+def time_medians(df: DataFrame, time: str = "ts", value: str = "value", length: int = 3600, name: str = "median", part: int = PART) -> DataFrame:
+    """(time, name): for each time t of ``df`` the exact median of ``value`` over all rows in (t - length, t].
+
+    A task holds about ``part`` rows and a slice's times, however many rows a window has: the rows of a slice are parted by value; each
+    part counts its rows in every window, the counts name the parts that have the middle two, and those are asked
+    for them.  Times are whole numbers; null values do not count; a window without values has a null.
+    """
+    s = time_slices(df.select(F.col(time).cast("long").alias("t"), F.col(value).cast("double").alias("v")), "t", length)
+    asks = written(s.where("_own").select("_slice", "t").distinct())
+    rows = s.where("v is not null").select("_slice", "t", "v")
+    parts = max(1, -(-rows.count() // part))
+    rows = written(rows.repartitionByRange(parts, "_slice", "v", "t").withColumn("_part", F.spark_partition_id()))
+    pieces = rows.select(F.col("_slice").alias("_s"), F.col("_part").alias("_p")).distinct()  # a row per slice and part
+
+    def ranges(asked: pa.Table, held: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        at = held.column("t").to_numpy()
+        order = np.argsort(at, kind="stable")
+        at, want = at[order], asked.column("t").to_numpy()
+        return order, want, np.searchsorted(at, want - length, side="right"), np.searchsorted(at, want, side="right")
+
+    def count(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        _, want, lo, hi = ranges(asked, held)
+        some = hi > lo
+        return pa.table({"t": want[some], "_part": np.full(some.sum(), key[1].as_py(), np.int32), "n": (hi - lo)[some], "_slice": np.full(some.sum(), key[0].as_py())})
+
+    def pick(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        order, want, lo, hi = ranges(asked, held)
+        values, out = held.column("v").to_numpy()[order], np.zeros(len(want))
+        for end in ("low", "high"):
+            k = asked.column(end).to_numpy()
+            here = (k >= 0) & (k < hi - lo)
+            out[here] += kth_smallest(values, lo[here], hi[here], k[here])
+        return pa.table({"t": want, "half": out / 2})
+
+    by_piece = rows.groupBy("_slice", "_part")
+    counts = asks.join(F.broadcast(pieces), F.col("_slice") == F.col("_s")).select("_slice", "_p", "t").groupBy("_slice", "_p").cogroup(by_piece).applyInArrow(count, "t long, _part int, n long, _slice long")
+    window = Window.partitionBy("t")
+    before, total = F.sum("n").over(window.orderBy("_part")) - F.col("n"), F.sum("n").over(window)
+    found = counts.select("_slice", "_part", "t", "n", ((total - 1) / 2).cast("long").alias("low"), (total / 2).cast("long").alias("high"), before.alias("before"))
+    found = found.withColumns({"low": F.col("low") - F.col("before"), "high": F.col("high") - F.col("before")}).where("low between 0 and n - 1 or high between 0 and n - 1")
+    halves = found.select("_slice", "_part", "t", "low", "high").groupBy("_slice", "_part").cogroup(by_piece).applyInArrow(pick, "t long, half double")
+    middle = halves.groupBy("t").agg(F.sum("half").alias(name))
+    return asks.select("t").join(middle, "t", "left").select(F.col("t").alias(time), name)
+
+
 def first_reading_median(df: DataFrame, keys: tuple = (), time: str = "ts", order: str = "seq", value: str = "value", length: int = 3600, name: str = "median") -> DataFrame:
     """One row per key and time: the median over earlier rows of the window and the time's first row only."""
     return _medians(df, keys, time, [order], value, length, name, True).select(*keys, time, order, name)

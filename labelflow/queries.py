@@ -643,7 +643,7 @@ JOINED = f"{WORK}, {PLUG}, {GM}, j as (select pm.*, gmed from pm join gm using (
 def _medians(spark, sf_dir):
     w = work(spark, sf_dir)
     plug = wd.sliding_median(w, ("house", "household", "plug"), length=DAY, name="plug_median")
-    overall = wd.sliding_median(w, (), length=DAY, name="global_median").select("ts", "global_median").dropDuplicates(["ts"])
+    overall = wd.time_medians(w, length=DAY, name="global_median")
     return plug, overall
 
 

@@ -131,6 +131,22 @@ def test_sliding_medians_equal_sorted_windows(spark):
     assert wd.sliding_median(d.limit(0), ("k",)).collect() == []
 
 
+def test_time_medians_of_windows_larger_than_a_part(spark):
+    import statistics
+
+    from labelflow.operators import windows as wd
+
+    rng = random.Random(13)
+    rows = [(rng.randint(-300, 900), rng.choice([None, 7.0, 7.0, *map(float, range(20))])) for _ in range(900)] + [(5000, None), (9000, 1.5)]
+    d = spark.createDataFrame(rows, "ts long, value double")
+    want = {t: [v for u, v in rows if t - 200 < u <= t and v is not None] for t, _ in rows}
+    want = {t: statistics.median(v) if v else None for t, v in want.items()}
+    for part in (20, 150, 10_000):  # a window has 150 rows or so
+        got = wd.time_medians(d, length=200, part=part).collect()
+        assert {r["ts"]: r["median"] for r in got} == want and len(got) == len(want)
+    assert wd.time_medians(d.limit(0)).collect() == []
+
+
 def test_downsample_equals_the_sampler(spark):
     from labelflow.operators import metrics as mt
 
