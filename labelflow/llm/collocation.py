@@ -24,6 +24,8 @@ from .text import binary_parts, chunks, mix
 
 #: Longest phrase, bytes of text in a chunk, bits of the filter (as a power of two) and of a part of it, parts of a language's ranking.
 WORDS, CHUNK, FILTER_BITS, PART_BITS, PARTS = 4, 8 << 20, 26, 20, 64
+#: Chunks of a part that is counted by one task, about.
+DEALT = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KIND = np.zeros(256, np.uint8)
@@ -269,8 +271,11 @@ def collocations(docs: DataFrame, least: int = 30, scale: int = 2_000_000, cover
     coded = scratch.save(base.mapInArrow(_encoder(CHUNK), "chunk long, lang string, n long, words array<string>, counts array<long>, codes binary"))
     words = _dictionary(scratch, coded, least)
     ids = coded.select("chunk", "lang", F.posexplode("words").alias("pos", "word")).hint("merge").join(words.select("lang", "word", "id"), ["lang", "word"])
-    ids = ids.groupBy("chunk").agg(F.collect_list("pos").alias("pos"), F.collect_list("id").alias("id"))  # a chunk's words
-    mapped = scratch.save(coded.select("chunk", "codes", F.size("words").alias("many")).hint("merge").join(ids, "chunk").select("codes", "many", "pos", "id"))
+    # both are dealt out by a number of parts, which Spark does not merge: a Python worker is sent all chunks of a part at once
+    parts = max(1, coded.counts["rows"] // DEALT)
+    ids = ids.repartition(parts, "chunk").groupBy("chunk").agg(F.collect_list("pos").alias("pos"), F.collect_list("id").alias("id"))  # a chunk's words
+    dealt = coded.select("chunk", "codes", F.size("words").alias("many")).repartition(parts, "chunk")
+    mapped = scratch.save(dealt.hint("merge").join(ids, "chunk").select("codes", "many", "pos", "id"))
     sizes = scratch.save(coded.groupBy("lang").agg(F.sum("n").alias("n")))
     scratch.drop(coded)
 

@@ -207,3 +207,21 @@ def test_collocations_of_nothing(spark):
     assert collocation.collocations(none).collect() == [] and collocation.collocations(none.where("false")).collect() == []
     got = collocation.collocations(docs_of(spark, [(k, "a b", "en") for k in range(40)] + [(99, "c d " * 50, "en")]), top=1).collect()
     assert [(r["rank"], r["phrase"]) for r in got] == [(1, "a b")]
+
+
+def test_chunks_of_phrases_are_dealt_out(spark, monkeypatch):
+    from labelflow.llm import common
+
+    seen, save = [], common.Scratch.save
+
+    def spy(self, df, **measures):
+        out = save(self, df, **measures)
+        if out.columns == ["codes", "many", "pos", "id"]:
+            seen.extend(r["n"] for r in out.groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "save", spy)
+    monkeypatch.setattr(collocation, "CHUNK", 100)
+    d = spark.createDataFrame([(i, "one two three four, five six seven " * 3, "en") for i in range(60)], "doc_id long, text string, lang string")
+    assert collocation.collocations(d, least=30).count() > 0
+    assert sum(seen) >= 60 and max(seen) <= 12  # of 60 or more chunks
