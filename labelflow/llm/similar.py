@@ -112,6 +112,18 @@ def _stars(mixed: DataFrame, hot: list, percent: int) -> DataFrame:
     return out
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+
+
+def mixed_pairs(mixed: DataFrame, hot: list, percent: int) -> DataFrame:
+    """(src, dst) across components to be confirmed, each once however many buckets it shares: all near pairs of small buckets, members of large ones with centres."""
+    small, large = mixed.where(F.col("k") <= SMALL), mixed.where(F.col("k") > SMALL)
+    other = small.select("key", F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("ld"), F.col("sig").alias("sd"))
+    pairs = small.hint("merge").join(other, "key").where("rep < dst and lab <> ld").where(near("sig", "sd")).where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)")
+    return pairs.select(F.col("rep").alias("src"), "dst").union(ordered(_stars(large, hot, percent))).distinct()
+
+
 def prefixes(scratch: Scratch, sets: DataFrame, percent: int) -> DataFrame:
     """(key, rep, n, lab, sig, at, index) of sets (rep, n, lab, sig, payload): elements by which sets of several labels can meet.
 
@@ -179,18 +191,16 @@ def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, pay
     centre = centre.select("key", F.col("c.rep").alias("dst"), F.col("c.n").alias("nd"), F.col("c.lab").alias("ld"), F.col("c.sig").alias("sd"))
     star = lookup(whole.select("key", "rep", "n", "lab", "sig"), ["key"], centre, "inner", hot).where((F.col("lab") != F.col("ld")) & near("sig", "sd"))
     star = star.where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)").select(F.col("rep").alias("src"), "dst").distinct()
-    ordered = lambda d: d.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     comp, second = extended(ordered(star).hint("merge").join(ordered(first), ["src", "dst"], "left_anti"), keep=True)
 
     mixed = _mixed(scratch, whole.drop("lab", "k"), comp, hot=hot)
     scratch.drop(whole)
-    small, large = mixed.where(F.col("k") <= SMALL), mixed.where(F.col("k") > SMALL)
-    other = small.select("key", F.col("rep").alias("dst"), F.col("n").alias("nd"), F.col("lab").alias("ld"), F.col("sig").alias("sd"))
-    pairs = small.hint("merge").join(other, "key").where("rep < dst and lab <> ld").where(near("sig", "sd")).where(f"100 * least(n, nd) >= {percent} * greatest(n, nd)")
-    pairs = pairs.select(F.col("rep").alias("src"), "dst").union(ordered(_stars(large, hot_keys(mixed, "key"), percent)))
-    pairs = pairs.hint("merge").join(ordered(first).union(second.select("src", "dst")), ["src", "dst"], "left_anti")
+    large = mixed.where(F.col("k") > SMALL)
+    listed = scratch.save(mixed_pairs(mixed, hot_keys(mixed, "key"), percent))  # written, else Spark moves the join before the distinct
+    pairs = listed.hint("merge").join(ordered(first).union(second.select("src", "dst")), ["src", "dst"], "left_anti")
     if mixed.counts["rows"]:
-        comp = extended(pairs.distinct())
+        comp = extended(pairs)
+    scratch.drop(listed)
     again = _mixed(scratch, large, comp, hot=hot_keys(mixed, "key")) if mixed.counts["large"] else None
     if again and again.counts["rows"]:
         sigs = again.select("rep", "sig").distinct()

@@ -10,6 +10,7 @@ import pytest
 from labelflow.llm.embedding_dedup import near_duplicate_vectors
 from labelflow.llm.line_dedup import SHINGLE, drop_similar_lines, normal
 from labelflow.llm.minhash_dedup import near_duplicates
+from labelflow.llm.similar import mixed_pairs
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -78,6 +79,15 @@ def test_large_group_is_finished_in_blocks(spark):
     assert got == components(range(len(texts)), links)
 
 
+def test_pairs_of_many_shared_buckets_come_once(spark):
+    """Two reps that meet in ten buckets are one pair, in small buckets as in large ones."""
+    rows = [(key, rep, 0, 10, rep, k) for key, reps, k in [(b, range(3), 3) for b in range(10)] + [(20 + b, range(5, 45), 40) for b in range(10)] for rep in reps]
+    mixed = spark.createDataFrame(rows, "key long, rep long, sig long, n int, lab long, k long")
+    got = [(r["src"], r["dst"]) for r in mixed_pairs(mixed, [], 80).collect()]
+    assert len(got) == len(set(got)) and {(0, 1), (0, 2), (1, 2)} <= set(got)
+    assert {i for p in got for i in p} == {*range(3), *range(5, 45)} and len(got) <= 3 + 3 * 39
+
+
 def test_near_duplicates_edges(spark):
     schema = "doc_id long, text string, rep long, n int, key string, node int"
     assert near_duplicates(spark.createDataFrame([], schema)).collect() == []
