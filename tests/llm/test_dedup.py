@@ -3,14 +3,18 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from labelflow.llm.embedding_dedup import near_duplicate_vectors
-from labelflow.llm.line_dedup import SHINGLE, drop_similar_lines, normal
+from labelflow.llm.common import Scratch
+from labelflow.llm.line_dedup import SHINGLE, _buckets, drop_similar_lines, normal
 from labelflow.llm.minhash_dedup import near_duplicates
-from labelflow.llm.similar import mixed_pairs
+from labelflow.llm.similar import SMALL, mixed_pairs
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -130,6 +134,32 @@ def test_lines_equal_brute_force(spark):
         assert got[i]["text"] == "\n".join(keep) and got[i]["n_dropped"] == len(t.split("\n")) - len(keep)
 
 
+def test_buckets_keep_near_members_and_one_row_per_line():
+    """Members of small buckets that are near no other go; large buckets, salted ones and near members stay with the smallest of them."""
+    far = 0x5555555555555555
+    rows = [(1, 10, 0, -1), (1, 11, far, -1), (2, 20, 0, -1), (2, 21, 1, -1), (2, 19, far, -1), (3, 30, 0, -1), (4, 40, 0, 2), (4, 41, far, 2), (4, 42, 0, 1)]
+    rows += [(5, 100 + i, far * (i % 4), -1) for i in range(3 * SMALL)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([int(np.int64(np.uint64(v & (2**64 - 1)).view(np.int64))) for v in c], pa.int64()) for c in zip(*part)], ["key", "rep", "sig", "salt"]) for part in (rows[::2], rows[1::2])]
+    got = sorted(r for b in _buckets(batches) for r in zip(*(b.column(c).to_pylist() for c in ("key", "salt", "rep", "dst"))))
+    assert got[:5] == [(2, -1, 20, 20), (2, -1, 21, 20), (4, 1, 42, 42), (4, 2, 40, 40), (4, 2, 41, 40)]
+    assert got[5:] == [(5, -1, 100 + i, 100) for i in range(3 * SMALL)]
+    assert list(_buckets([])) == []
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Shuffle files of a step are gone when its table is written: they took more disk than the tables."""
+    scratch = Scratch(spark)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: disk.getAllFiles().mkString(" ").count("shuffle_")
+    before = shuffles()
+    saved = scratch.save(spark.range(20_000).repartition(7, "id").withColumn("x", F.col("id") % 5))
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and saved.groupBy("x").count().count() == 5
+
+
 def test_lines_edges(spark):
     schema = "doc_id long, text string, h int, line int, rep int"
     assert drop_similar_lines(spark.createDataFrame([], schema)).collect() == []
