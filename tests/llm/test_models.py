@@ -1,10 +1,12 @@
 """Learned operators by held-out accuracy; search by recall; packing, mixing, licences and URLs by definition."""
 
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -495,3 +497,14 @@ def test_url_filter_asks_every_depth(spark):
         cap = spark.createDataFrame([(1, url, 5), (2, "http://l49/0", 5), (3, "http://l49", 5)], "page_id long, url string, fetch_ts long")
         got = {r["page_id"]: (r["blocked"], r["n_active"], r["list_key"]) for r in url_filter.filter_captures(cap, e).collect()}
         assert got == {1: (True, 1, listed), 2: (False, 0, None), 3: (False, 0, None)}
+
+
+def test_language_grams_take_little_memory_at_once():
+    """A batch of many texts is counted in small runs, as executors share their memory with workers; grams are those of the texts one by one."""
+    texts = pa.array([f"words of text number {i} " * 40 for i in range(4000)])
+    tracemalloc.start()
+    n = sum(len(codes) for _, _, parts in language_id.gram_codes(texts) for codes, _ in parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == sum(len(codes) for t in texts.to_pylist() for _, _, parts in language_id.gram_codes(pa.array([t])) for codes, _ in parts)
+    assert peak < 60e6
