@@ -14,7 +14,7 @@ from labelflow.llm.embedding_dedup import near_duplicate_vectors
 from labelflow.llm.common import Scratch
 from labelflow.llm.line_dedup import SHINGLE, _buckets, drop_similar_lines, normal
 from labelflow.llm.minhash_dedup import near_duplicates
-from labelflow.llm.similar import SMALL, mixed_pairs
+from labelflow.llm.similar import BITMAP, SMALL, bitmaps, fitting, mixed_pairs
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -272,6 +272,48 @@ def test_hot_keys_are_joined_alike(spark, monkeypatch):
     assert common.lookup(rows, ["k"], table, "inner").count() == 30 and common.hot_keys(rows, "k") == [(1, 30)]
 
 
+def test_lines_that_are_not_quite_similar_are_not_compared_in_pairs(spark, monkeypatch):
+    """A large group of lines around the threshold: few pairs but the similar ones get to the exact comparison."""
+    from labelflow.llm import line_dedup
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 7)))
+    base, lines = [word() for _ in range(18)], []
+    for _ in range(220):
+        w = list(base)
+        w[rng.randrange(18)] = word()
+        w[rng.randrange(18)] = word()
+        lines.append(" ".join(w))
+    lines += [" ".join(x.split()[:-1]) for x in lines[:40]]
+    seen, confirm = [], line_dedup.confirm_lines
+
+    def spy(pairs, lines, percent):
+        seen.append(pairs.counts["rows"])
+        return confirm(pairs, lines, percent)
+
+    monkeypatch.setattr(line_dedup, "confirm_lines", spy)
+    got = {r["doc_id"]: r["text"] for r in drop_similar_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if similar_lines(lines[a], lines[b])]
+    low = components(range(len(lines)), links)
+    assert got == {i: x if low[i] == i else "" for i, x in enumerate(lines)} and len(set(low.values())) > 60
+    assert sum(seen) < 8 * len(lines), seen
+
+
+@pytest.mark.parametrize("size", [0, 1, 9, 200, 3000])
+def test_bitmaps_leave_out_no_similar_set(spark, size):
+    rng = np.random.default_rng(size)
+    x = rng.integers(0, 1 << 52, size, dtype=np.uint64)
+    more = rng.integers(0, 1 << 52, size // 4, dtype=np.uint64)
+    other = np.concatenate([x[size // 4 // 2 :], more[: size // 4 - size // 4 // 2]])
+    far = rng.integers(0, 1 << 52, size, dtype=np.uint64)
+    flat, at = np.concatenate([x, other, far]), np.cumsum([0, size, len(other), size])
+    rows = pa.table({"bits": bitmaps(flat, at), "n": np.diff(at)}).to_pylist()
+    pairs = [(rows[0]["n"], rows[0]["bits"], r["n"], r["bits"], len(set(x.tolist()) & set(s.tolist()))) for r, s in zip(rows, (x, other, far))]
+    got = spark.createDataFrame(pairs, f"n long, bits {BITMAP}, nd long, bd {BITMAP}, both long").withColumn("fit", fitting(80, True)).collect()
+    assert all(r["fit"] for r in got if 100 * r["both"] >= 80 * (r["n"] + r["nd"] - r["both"]))
+    assert size != 200 or not got[2]["fit"]
+
+
 def test_lines_that_differ_in_white_space(spark):
     words = "some words that make one line of text in a document"
     texts = [words] + [words.replace(" ", c) for c in "\u2003\u0085\u3000\u00a0\t\u1680\u2028"] + ["\u2003\u2003", "\u2003\u2003", "\u3000"]
