@@ -23,7 +23,7 @@ from .common import Scratch, hot_keys, lookup
 from .text import binary_parts, chunks, mix
 
 #: Longest phrase, bytes of text in a chunk, bits of the filter (as a power of two) and of a part of it, parts of a language's ranking.
-WORDS, CHUNK, FILTER_BITS, PART_BITS, PARTS = 4, 8 << 20, 26, 20, 64
+WORDS, CHUNK, FILTER_BITS, PART_BITS, PARTS = 4, 4 << 20, 26, 20, 64
 #: Chunks of a part that is counted by one task, about.
 DEALT = 2
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -63,7 +63,9 @@ def encode(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array, np.n
     ends = np.concatenate([[0], np.cumsum(e - s)])
     words = pa.Array.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(a[inside].tobytes())]).dictionary_encode()
     number = words.indices.to_numpy()
-    piece, text = np.cumsum(kind == 2)[s], np.searchsorted(at, s, side="right")
+    del last
+    stops = np.flatnonzero(kind == 2)  # far fewer than bytes
+    piece, text = np.searchsorted(stops, s), np.searchsorted(at, s, side="right")
     new = np.concatenate([[False], (piece[1:] != piece[:-1]) | (text[1:] != text[:-1])])[: len(s)]
     codes = np.zeros(len(s) + new.sum(), np.int32)
     codes[np.arange(len(s)) + np.cumsum(new)] = number + 1

@@ -225,3 +225,17 @@ def test_chunks_of_phrases_are_dealt_out(spark, monkeypatch):
     d = spark.createDataFrame([(i, "one two three four, five six seven " * 3, "en") for i in range(60)], "doc_id long, text string, lang string")
     assert collocation.collocations(d, least=30).count() > 0
     assert sum(seen) >= 60 and max(seen) <= 12  # of 60 or more chunks
+
+
+def test_encoding_a_chunk_takes_bounded_memory():
+    """Two workers of an executor encode at once: what a chunk takes beside its texts is small."""
+    import tracemalloc
+
+    words = ["".join(chr(97 + c) for c in w) for w in np.random.default_rng(1).integers(0, 26, (5000, 5))]
+    text = " ".join(w + "," * (k % 8 == 0) for k, w in enumerate(words))
+    data = np.frombuffer((text * (collocation.CHUNK // len(text))).encode(), np.uint8)
+    tracemalloc.start()
+    collocation.encode(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6, peak
