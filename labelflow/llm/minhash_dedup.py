@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .common import Scratch, hot_keys, lookup, with_smallest
-from .similar import deal, first_centres, near, similar_components, similar_sets
+from .similar import BITMAP, bitmaps, deal, first_centres, near, similar_components, similar_sets
 
 
 def _sketcher(width: int, side: int, seed: int):
@@ -59,7 +59,7 @@ def _sketcher(width: int, side: int, seed: int):
 
 
 def _set_builder(width: int):
-    """Rows (rep, dst, centre, text) -> (rep, dst, centre, n, payload), payload the text's set."""
+    """Rows (rep, dst, centre, text) -> (rep, dst, centre, n, bits, payload), payload the text's set and bits its bitmap."""
 
     def run(batches):
         for batch in batches:
@@ -69,7 +69,7 @@ def _set_builder(width: int):
                 flat, at = tx.distinct_sets(*tx.shingle_hashes(words, first, width))
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
                 kept = [batch.column(c).slice(i, j - i) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(at).astype(np.int64)), sets], ["rep", "dst", "centre", "n", "payload"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(at).astype(np.int64)), bitmaps(flat, at), sets], ["rep", "dst", "centre", "n", "bits", "payload"])
 
     return run
 
@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, side: in
     wanted = wanted.hint("merge").join(first.select(F.col("dst").alias("rep"), F.lit(True).alias("centre")).distinct(), "rep", "left")
     wanted = scratch.save(wanted)
     texts = base.hint("merge").join(wanted, ["doc_id", "tk"]).select("rep", "dst", "centre", "text")
-    sets = scratch.save(texts.mapInArrow(_set_builder(width), "rep long, dst long, centre boolean, n long, payload array<long>"))
+    sets = scratch.save(texts.mapInArrow(_set_builder(width), f"rep long, dst long, centre boolean, n long, bits {BITMAP}, payload array<long>"))
     if sets.counts["rows"] > wanted.counts["rows"]:  # repeated rows
         once = scratch.save(sets.dropDuplicates(["rep"]))
         scratch.drop(sets)

@@ -6,8 +6,8 @@ Shared by the document and the line operator.  Every link is confirmed on whole
    buckets; components follow.
 2. What is left are buckets with members in different components.  Their members are compared with the bucket's
    first member; then, in those that are still mixed, all whose signatures are near if the bucket is small; large ones get some more centres.
-3. Where bitmaps of the sets are at hand, all pairs of buckets of up to MIDDLE members that are still mixed are looked at by
-   them; a bitmap rules out nearly all pairs that are not similar, and none that are.
+3. Where bitmaps of the sets are at hand, both of these are one step, in tasks that hold whole buckets: a bitmap rules out nearly all pairs that are
+   not similar, and none that are.  All pairs of large buckets of up to MIDDLE members that are still mixed then are looked at by bitmaps, too.
 4. Members of large ones that are still in several components are joined by prefix filtering: with the elements of all sets in one order, rare ones
    first, two sets of similarity t share one of the first n - ceil(t * n) + 1 elements of the larger and the first
    n - ceil(2t / (1 + t) * n) + 1 of the smaller.  Elements that only one component has come first
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_LEAST, HOT_PARTS, Scratch, connected_components, extend_components, hot_keys, lookup
+from .text import mix
 
 #: In buckets of at most so many members all pairs across components are looked at; larger ones go by prefixes.
 SMALL = 24
@@ -119,17 +120,19 @@ def confirm_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """``rows`` with lab: the component of rep, or rep itself."""
-    out = rows.hint("merge").join(comp.select(F.col("node").alias("rep"), F.col("component").alias("lab")), "rep", "left")
+    labels = comp.select(F.col("node").alias("rep"), F.col("component").alias("lab"))
+    few = hasattr(comp, "counts") and comp.counts["rows"] <= FEW
+    out = rows.join(F.broadcast(labels), "rep", "left") if few else rows.hint("merge").join(labels, "rep", "left")
     return out.withColumn("lab", F.coalesce("lab", "rep"))
 
 
 def _mixed(scratch: Scratch, buckets: DataFrame, comp: DataFrame, sizes: DataFrame | None = None, hot: list | None = None) -> DataFrame:
     """The members of buckets (key, rep, sig, n) in several components, with lab and the bucket's size k; n, and bits if it has them, are from ``sizes`` if given."""
     hot = hot_keys(buckets, "key") if hot is None else hot
-    member = _labelled(buckets.select("key", "rep", "sig", *[c for c in ("n", "bits") if c in buckets.columns]), comp)
+    member = _labelled(buckets.select("key", "rep", "sig", *[c for c in ("n", "bits") if sizes is None and c in buckets.columns]), comp)
     keys = member.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("key", "k")
     out = lookup(member, ["key"], keys, "inner", hot)
-    return scratch.save(out if sizes is None else out.hint("merge").join(sizes, "rep"), large=F.count_if(F.col("k") > SMALL))
+    return scratch.save(out if sizes is None else out.hint("merge").join(sizes, "rep"), large=F.count_if(F.col("k") > SMALL), huge=F.count_if(F.col("k") > MIDDLE))
 
 
 def _others(rows: DataFrame) -> list[Column]:
@@ -170,8 +173,11 @@ def mixed_pairs(mixed: DataFrame, hot: list, percent: int) -> DataFrame:
     return _all_pairs(small, percent).union(ordered(_stars(large, hot, percent))).distinct()
 
 
-def _bucket_pairs(percent: int):
-    """A task's buckets (key, rep, n, lab, sig, bits) -> (src, dst): all near pairs of a bucket in different components and possibly similar."""
+def _bucket_pairs(percent: int, centres: bool):
+    """A task's buckets (key, rep, n, lab, sig, bits) -> (src, dst): near pairs of a bucket in different components and possibly similar.
+
+    All of them; with ``centres``, in buckets of more than SMALL members only those with its first member and with CENTRES others.
+    """
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -180,28 +186,67 @@ def _bucket_pairs(percent: int):
         t = pa.Table.from_batches(parts).combine_chunks()
         key, rep, n, lab, sig = (t.column(c).to_numpy() for c in ("key", "rep", "n", "lab", "sig"))
         bits = np.stack([x.to_numpy() for x in t.column("bits").combine_chunks().flatten()], 1)
-        order = np.argsort(key, kind="stable")
-        key, rep, n, lab, sig, bits = (c[order] for c in (key, rep, n, lab, sig.view(np.uint64), bits.view(np.uint64)))
-        ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1
-        found, size = [], 0
-        for lo, hi in zip(np.append(0, ends[:-1]), ends):
-            for i in range(lo, hi - 1):
-                differ = sig[i + 1 : hi] ^ sig[i]
-                y = i + 1 + np.flatnonzero((lab[i + 1 : hi] != lab[i]) & (np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)) <= FAR))
-                y = y[100 * np.minimum(n[y], n[i]) >= percent * np.maximum(n[y], n[i])]
-                y = y[(100 + percent) * np.bitwise_count(bits[y] ^ bits[i]).sum(1, dtype=np.int64) <= (100 - percent) * (n[y] + n[i])]
-                if len(y):
-                    found.append((np.minimum(rep[y], rep[i]), np.maximum(rep[y], rep[i])))
-                    size += len(y)
-                if size > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["src", "dst"])
-                    found, size = [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["src", "dst"])
+        order = np.lexsort((rep, key))
+        key, rep, n, lab, sig, bits = (c[order] for c in (key, rep, n.astype(np.int64), lab, sig.view(np.uint64), bits.view(np.uint64)))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(key)))
+        end, small = np.repeat(first + size, size), np.repeat(size <= SMALL, size)
+        found, many = [], 0
+
+        def keep(x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal many
+            ok = lab[x] != lab[y]
+            x, y = x[ok], y[ok]
+            differ = sig[x] ^ sig[y]
+            ok = np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)) <= FAR
+            x, y = x[ok], y[ok]
+            ok = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+            x, y = x[ok], y[ok]
+            ok = (100 + percent) * np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= (100 - percent) * (n[x] + n[y])
+            if ok.any():
+                found.append((np.minimum(rep[x], rep[y])[ok], np.maximum(rep[x], rep[y])[ok]))
+                many += int(ok.sum())
+
+        def taken() -> pa.RecordBatch:
+            nonlocal many
+            pairs = np.unique(np.stack([np.concatenate(c) for c in zip(*found)], 1), axis=0)
+            found.clear()
+            many = 0
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
+
+        at = np.flatnonzero(small)
+        for d in range(1, SMALL):
+            at = at[at + d < end[at]]
+            for lo in range(0, len(at), 50_000):
+                keep(at[lo : lo + 50_000], at[lo : lo + 50_000] + d)
+                if many > 50_000:
+                    yield taken()
+        for lo, k in zip(first, size):
+            if k <= SMALL:
+                continue
+            rows = np.arange(lo, lo + k)
+            turns = [rows[0], *rows[np.argsort(mix(rep[rows].view(np.uint64)))[:CENTRES]]] if centres else rows[:-1]
+            for i in turns:
+                y = rows[rows != i] if centres else np.arange(i + 1, lo + k)
+                keep(np.full(len(y), i), y)
+                if many > 50_000:
+                    yield taken()
+        if many:
+            yield taken()
 
     return run
 
 
+def _by_bitmaps(mixed: DataFrame, percent: int, centres: bool) -> DataFrame:
+    """(src, dst), each once, of ``mixed`` as ``_bucket_pairs`` finds them; in buckets of more than MIDDLE members those with centres."""
+    rows = (mixed.where(F.col("k") <= MIDDLE) if mixed.counts["huge"] else mixed).select("key", "rep", "n", "lab", "sig", "bits")
+    pairs = rows.repartition("key").mapInArrow(_bucket_pairs(percent, centres), "src long, dst long")
+    if mixed.counts["huge"] and centres:
+        huge, hot = mixed.where(F.col("k") > MIDDLE), hot_keys(mixed, "key")
+        pairs = pairs.union(ordered(_with_centres(huge, hot, percent, F.col("rep")))).union(ordered(_stars(huge, hot, percent)))
+    return pairs.distinct()
+
+
 def prefixes(scratch: Scratch, sets: DataFrame, percent: int) -> DataFrame:
     """(key, rep, n, lab, sig, at, index) of sets (rep, n, lab, sig, payload): elements by which sets of several labels can meet.
 
@@ -262,26 +307,29 @@ def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, pay
 
     own, bits = "n" in buckets.columns, "bits" in payload.columns
     about = payload.select("rep", "n", *["bits"] * bits)
-    whole = _mixed(scratch, buckets, comp, None if own else about)
+    whole = _mixed(scratch, buckets, comp, None if own and not bits else about)
     if not whole.counts["rows"]:
         return comp
-    hot = hot_keys(whole, "key")
-    star = _with_centres(whole, hot, percent, F.col("rep")).distinct()
-    comp, second = extended(ordered(star).hint("merge").join(ordered(first), ["src", "dst"], "left_anti"), keep=True)
-
-    mixed = _mixed(scratch, whole.drop("lab", "k"), comp, hot=hot)
-    scratch.drop(whole)
-    large = mixed.where(F.col("k") > SMALL)
-    listed = scratch.save(mixed_pairs(mixed, hot_keys(mixed, "key"), percent))  # written, else Spark moves the join before the distinct
-    pairs = listed.hint("merge").join(ordered(first).union(second.select("src", "dst")), ["src", "dst"], "left_anti")
-    if mixed.counts["rows"]:
-        comp = extended(pairs)
-    scratch.drop(listed)
-    again = _mixed(scratch, large, comp, hot=hot_keys(mixed, "key")) if mixed.counts["large"] else None
-    if again and again.counts["rows"] and "bits" in again.columns:
-        middle = again.where(F.col("k") <= MIDDLE).select("key", "rep", "n", "lab", "sig", "bits").repartition("key")
-        comp = extended(middle.mapInArrow(_bucket_pairs(percent), "src long, dst long").distinct())
-        again = _mixed(scratch, again.where(F.col("k") > MIDDLE), comp, hot=hot_keys(again, "key"))
+    if bits:
+        comp, used = extended(_by_bitmaps(whole, percent, centres=True)), [whole]
+        again = _mixed(scratch, whole.where(F.col("k") > SMALL).drop("lab", "k"), comp, hot=hot_keys(whole, "key")) if whole.counts["large"] else None
+        if again and again.counts["rows"]:
+            comp = extended(_by_bitmaps(again, percent, centres=False))
+            huge = again.where(F.col("k") > MIDDLE)
+            again = _mixed(scratch, huge, comp, hot=hot_keys(again, "key")) if again.counts["huge"] else None
+    else:
+        hot = hot_keys(whole, "key")
+        star = _with_centres(whole, hot, percent, F.col("rep")).distinct()
+        comp, second = extended(ordered(star).hint("merge").join(ordered(first), ["src", "dst"], "left_anti"), keep=True)
+        mixed = _mixed(scratch, whole.drop("lab", "k"), comp, hot=hot)
+        scratch.drop(whole)
+        large = mixed.where(F.col("k") > SMALL)
+        listed = scratch.save(mixed_pairs(mixed, hot_keys(mixed, "key"), percent))  # written, else Spark moves the join before the distinct
+        pairs = listed.hint("merge").join(ordered(first).union(second.select("src", "dst")), ["src", "dst"], "left_anti")
+        if mixed.counts["rows"]:
+            comp = extended(pairs)
+        scratch.drop(listed)
+        again, used = _mixed(scratch, large, comp, hot=hot_keys(mixed, "key")) if mixed.counts["large"] else None, [mixed, second]
     if again and again.counts["rows"]:
         sigs = again.select("rep", "sig").distinct()
         sets = _labelled(to_sets(payload.join(sigs, "rep", "left_semi")), comp).join(sigs, "rep")
@@ -293,5 +341,5 @@ def similar_components(scratch: Scratch, met: DataFrame, buckets: DataFrame, pay
             rows = rows.hint("merge").join(about.drop("n"), "rep")
         comp = extended(_prefix_pairs(_labelled(rows.drop("lab"), comp), percent))
         scratch.drop(written, crowded)
-    scratch.drop(mixed, second)
+    scratch.drop(*used)
     return comp

@@ -320,3 +320,44 @@ def test_lines_that_differ_in_white_space(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in drop_similar_lines(df).collect()}
     assert got == {i: words if i == 0 else "" if i < 8 else t for i, t in enumerate(texts)}
+
+
+def test_components_of_few_edges_take_two_steps(spark, monkeypatch):
+    """A chain is contracted in a task; where tasks hold few edges, rounds across them give the same."""
+    from labelflow.llm import common
+
+    rng = random.Random(4)
+    ids = rng.sample(range(10_000), 120)
+    edges = [(a, b) for part in (ids[:60], ids[60:]) for a, b in zip(part, part[1:])] + [(ids[0], ids[0]), (None, 3)]
+    want = {i: min(part) for part in (ids[:60], ids[60:]) for i in part}
+    table = spark.createDataFrame(edges, "src long, dst long").repartition(6)
+    scratch = common.Scratch(spark)
+    comp = common.connected_components(scratch, table)
+    assert {r["node"]: r["component"] for r in comp.collect()} == want and comp.counts["rows"] == 120 and scratch.n == 2
+    links = scratch.save(spark.createDataFrame([(ids[5], ids[99]), (-4, -2)], "src long, dst long"))
+    want = {i: min(ids) for i in ids} | {-4: -4, -2: -4}
+    assert {r["node"]: r["component"] for r in common.extend_components(scratch, comp, links).collect()} == want and scratch.n == 4
+    monkeypatch.setattr(common, "TASK_EDGES", 30)
+    comp = common.connected_components(scratch, table)
+    assert scratch.n > 6 and {r["node"]: r["component"] for r in common.extend_components(scratch, comp, links).collect()} == want
+
+
+@pytest.mark.parametrize("centres", [False, True])
+def test_bitmaps_give_all_pairs_of_small_buckets_and_centres_of_large_ones(centres):
+    from labelflow.llm import similar
+
+    rng = np.random.default_rng(8)
+    base, sets = rng.integers(0, 1 << 52, 100, dtype=np.uint64), []
+    for i in range(70):
+        sets.append(rng.integers(0, 1 << 52, 100, dtype=np.uint64) if i % 7 == 0 else np.concatenate([base[:95], rng.integers(0, 1 << 52, 5, dtype=np.uint64)]))
+    at = np.arange(0, 7001, 100)
+    reps = [*range(10), *range(70)]
+    t = {"key": [1] * 10 + [2] * 70, "rep": reps, "n": [100] * 80, "lab": [r // 2 for r in reps], "sig": [0] * 80}
+    batch = pa.RecordBatch.from_arrays([*(pa.array(np.array(c)) for c in t.values()), bitmaps(np.concatenate(sets), at).take(pa.array(reps))], [*t, "bits"])
+    order = rng.permutation(80)
+    got = [p for b in similar._bucket_pairs(80, centres)([batch.take(pa.array(order[:30])), batch.take(pa.array(order[30:]))]) for p in zip(*(c.to_pylist() for c in b.columns))]
+    alike = lambda a, b: a // 2 != b // 2 and a % 7 and b % 7
+    every = {p for p in itertools.combinations(range(70), 2) if alike(*p)}
+    small = {p for p in every if p[1] < 10}
+    assert len(got) == len(set(got)) and small <= set(got) <= every
+    assert set(got) == every if not centres else len(set(got) - small) <= (1 + similar.CENTRES) * 69
