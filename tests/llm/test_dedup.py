@@ -361,3 +361,23 @@ def test_bitmaps_give_all_pairs_of_small_buckets_and_centres_of_large_ones(centr
     small = {p for p in every if p[1] < 10}
     assert len(got) == len(set(got)) and small <= set(got) <= every
     assert set(got) == every if not centres else len(set(got) - small) <= (1 + similar.CENTRES) * 69
+
+
+def test_band_keys_are_packed_by_key_and_salt():
+    """A row for each part and PACK lines, not one for each of ten keys of a line; each key and salt has one part."""
+    from labelflow.llm import line_dedup
+
+    rng = np.random.default_rng(1)
+    n = line_dedup.PACK + 5000
+    t = {"h": rng.integers(-(1 << 62), 1 << 62, n), "sig": rng.integers(0, 9, n)} | {k: rng.integers(-3000, 50_000, n) for k in line_dedup.KEYS}
+    t["b0"][:5000] = 7
+    rows = pa.RecordBatch.from_arrays([pa.array(v) for v in t.values()], list(t))
+    out = list(line_dedup._packer([(-5, 2), (7, 9)], 13)([rows.slice(i, 10_000) for i in range(0, n, 10_000)]))
+    assert sum(b.num_rows for b in out) == 2 * 13
+    parts, got = {}, []
+    for part, data in ((p, x) for b in out for p, x in zip(b.column(0).to_pylist(), line_dedup._unpacked([b]))):
+        got.append(np.stack([c.to_numpy() for c in data.columns], 1))
+        assert all(parts.setdefault(tuple(k), part) == part for k in got[-1][:, [0, 3]].tolist())
+    got, want = np.concatenate(got), np.stack([np.concatenate([t[k] for k in line_dedup.KEYS]), *(np.tile(t[c], 10) for c in ("h", "sig"))], 1)
+    assert (got[np.lexsort(got[:, :3].T), :3] == want[np.lexsort(want.T)]).all()
+    assert [len(set(got[got[:, 0] == k, 3].tolist())) for k in (-5, 7)] == [2, 9] and (got[(got[:, 0] != -5) & (got[:, 0] != 7), 3] == -1).all()
