@@ -381,3 +381,72 @@ def test_band_keys_are_packed_by_key_and_salt():
     got, want = np.concatenate(got), np.stack([np.concatenate([t[k] for k in line_dedup.KEYS]), *(np.tile(t[c], 10) for c in ("h", "sig"))], 1)
     assert (got[np.lexsort(got[:, :3].T), :3] == want[np.lexsort(want.T)]).all()
     assert [len(set(got[got[:, 0] == k, 3].tolist())) for k in (-5, 7)] == [2, 9] and (got[(got[:, 0] != -5) & (got[:, 0] != 7), 3] == -1).all()
+
+
+@pytest.mark.parametrize("at_most", [1 << 22, 0])
+def test_large_buckets_give_fewer_links_than_members(at_most, monkeypatch):
+    """Links within buckets join what all similar pairs join, and are no more than the members; too large ones give their near pairs to be confirmed."""
+    from labelflow.llm import similar
+
+    monkeypatch.setattr(similar, "BUCKET_BYTES", at_most)
+    rng = np.random.default_rng(3)
+    bases = [rng.integers(0, 1 << 52, 100, dtype=np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([bases[i % 3][rng.permutation(100)[:92]], rng.integers(0, 1 << 52, int(rng.integers(2, 9)), dtype=np.uint64)])) for i in range(300)]
+    reps = [*range(120), *range(40, 300)]  # a bucket may span batches
+    t = {"key": [1] * 120 + [2] * 260, "rep": reps, "n": [len(sets[r]) for r in reps], "lab": [r // 2 for r in reps], "sig": [0] * len(reps)}
+    flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    payload = pa.array([sets[r].view(np.int64) for r in reps], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([*(pa.array(np.array(c)) for c in t.values()), bitmaps(flat, at).take(pa.array(reps)), payload], [*t, "bits", "payload"])
+
+    def sets_of(column):
+        return column.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+
+    got = [tuple(r.values()) for b in similar._bucket_links(80, sets_of)([batch.slice(i, 100) for i in range(0, len(reps), 100)]) for r in b.to_pylist()]
+    alike = lambda a, b: 100 * len(common := np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - len(common))
+    together = [p for p in itertools.combinations(range(300), 2) if (p[1] < 120 or p[0] >= 40)]
+    every = {p for p in together if p[0] // 2 != p[1] // 2 and alike(*p)}
+    own = [(2 * k, 2 * k + 1) for k in range(150)]
+    if at_most:
+        assert not any(o for *_, o in got) and len(got) < len(reps) and {(a, b) for a, b, _ in got} <= every
+        assert components(range(300), own + [(a, b) for a, b, _ in got]) == components(range(300), own + list(every)) and len(every) > 2000
+    else:
+        assert all(o for *_, o in got) and every <= {(a, b) for a, b, _ in got}
+
+
+@pytest.mark.parametrize("at_most", [1 << 22, 500])
+def test_similar_lines_of_large_buckets_are_confirmed_in_tasks(spark, monkeypatch, at_most):
+    """Lines that share band keys in large buckets are joined as by brute force, confirmed in the task or outside it."""
+    from labelflow.llm import line_dedup, similar
+    from labelflow.llm.common import Scratch
+
+    monkeypatch.setattr(similar, "BUCKET_BYTES", at_most)
+    rng = random.Random(4)
+    base = [f"word{rng.randrange(10**6)}" for _ in range(30)]
+    lines = [" ".join(w if rng.random() > 0.04 else f"other{rng.randrange(10**6)}" for w in base) for _ in range(120)]
+    flat, at = line_dedup.line_sets(pa.array(lines))
+    sets = [set(flat[at[k] : at[k + 1]].tolist()) for k in range(120)]
+    words = [tuple(x[f"w{k}"] for k in range(similar.WORDS)) for x in bitmaps(flat, at).to_pylist()]
+    scratch = Scratch(spark)
+    rows = spark.createDataFrame([(i, len(s), w, x) for i, (s, w, x) in enumerate(zip(sets, words, lines))], f"rep long, n long, bits {similar.BITMAP}, payload string")
+    buckets = scratch.save(rows.selectExpr("1L as key", "rep", "0L as sig"))
+    met = scratch.save(rows.where("rep > 0").selectExpr("rep as src", "0L as dst", "1L as times"))
+    got = similar.similar_components(scratch, met, buckets, scratch.save(rows), 80, line_dedup.confirm_lines, line_dedup.shingle_arrays, sets_of=line_dedup.line_sets)
+    got = {r["node"]: r["component"] for r in got.collect()}
+    links = [(a, b) for a, b in itertools.combinations(range(120), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert {i: got.get(i, i) for i in range(120)} == components(range(120), links) and len(links) > 200
+
+
+def test_band_keys_of_a_task_are_bounded_with_few_shuffle_partitions(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from labelflow.llm import line_dedup
+
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = lambda rows: line_dedup._key_parts(SimpleNamespace(sparkSession=spark, counts={"rows": rows}))
+    assert parts(0) == parts(1000) == few
+    assert 10 * 30_000_000 / parts(30_000_000) <= line_dedup.TASK_KEYS
+    monkeypatch.setattr(line_dedup, "TASK_KEYS", 20)
+    d = spark.createDataFrame([(i, f"the same line of text\nline number {i * 7919 % 101} {i * i}") for i in range(40)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in drop_similar_lines(d).collect()}
+    monkeypatch.undo()
+    assert got == {r["doc_id"]: r["text"] for r in drop_similar_lines(d).collect()}
